@@ -59,19 +59,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(offsets):
         offsets = np.zeros(1, dtype=np.int64)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+#: Everything but ASCII letters, digits and bytes of non-ASCII characters separates.
+PUNCTUATION = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
 class Words:
     """The words of a batch of texts: ``start``/``end`` byte places, ``row`` bounds and ``hash``."""
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, separators: np.ndarray = _SPACE):
         raw, offsets = text_bytes(column)
-        self.raw = _LOWER[raw] if lower else raw
+        self.raw = _LOWER[raw]
         self.offsets = offsets
         n = len(raw)
         inside = np.ones(n + 2, dtype=bool)
         inside[0] = inside[-1] = False
-        inside[1:-1] = ~_SPACE[raw]
+        inside[1:-1] = ~separators[raw]
         # a row's first byte starts a word even where the row before ends in one
         first = np.zeros(n + 1, dtype=bool)
         first[offsets] = True
