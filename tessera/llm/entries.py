@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arc, bpe, line_dedup, toxicity, url_reputation, winnow
+from tessera.llm import arc, bpe, decontam, line_dedup, pii, toxicity, url_reputation, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii").alias("n_pii"), F.array_join(F.transform("pii", lambda x: x.kind), " ").alias("kinds"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -55,13 +60,19 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op7_toxicity": op7_toxicity,
     "op8_warc_from_arc": op8_warc_from_arc,
     "op9_winnowing": op9_winnowing,
+    "op10_decontamination": op10_decontamination,
 }
 
 
