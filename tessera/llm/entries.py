@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arc, bpe, decontam, jaccard, line_dedup, pii, toxicity, url_reputation, winnow
+from tessera.llm import arc, bpe, class_lm, decontam, jaccard, line_dedup, pii, toxicity, url_reputation, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +44,10 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii").alias("n_pii"), F.array_join(F.transform("pii", lambda x: x.kind), " ").alias("kinds"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_class_lm": op5_class_lm,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_warc_from_arc": op8_warc_from_arc,

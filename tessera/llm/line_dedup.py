@@ -63,8 +63,9 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with its repeated chunks removed from ``text``, plus n_chunks and n_removed."""
-    columns = docs.columns
+    """``docs`` with its repeated chunks removed from ``text``, plus n_chunks and n_removed (replacing
+    columns of these names)."""
+    columns = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
     joined = with_chunks(docs, text).join(repeated_chunks(docs, key, text), key, "left")
     stays = lambda c: F.col("_gone").isNull() | ~counts(c) | ~F.array_contains("_gone", F.sha2(c, 256))
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_chunks")).otherwise(F.filter("_chunks", stays)))
