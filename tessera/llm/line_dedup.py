@@ -54,8 +54,8 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # hashes only: which ones occur in several documents
     shared = occurrences.groupBy("_h").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a < _b").select("_h")
     marks = occurrences.join(shared, "_h").groupBy(key).agg(F.collect_set("_h").alias("_marks"))
-    # bytes: the marked chunks' texts, compared by grouping
-    marked = chunked.join(marks, key)
+    # bytes: the marked chunks' texts, compared by grouping; chunks are made anew after the shuffle of the texts
+    marked = with_chunks(docs.select(key, text).join(marks, key), text)
     found = marked.select(key, F.explode(F.filter("_chunks", lambda c: counts(c) & F.array_contains("_marks", F.xxhash64(c)))).alias("_chunk"))
     least = found.groupBy("_chunk").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a < _b").select("_chunk", "_a")
     gone = found.join(least, "_chunk").where(F.col(key) > F.col("_a"))
@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with its repeated chunks removed from ``text``, plus n_chunks and n_removed (replacing
     columns of these names)."""
     columns = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
-    joined = with_chunks(docs, text).join(repeated_chunks(docs, key, text), key, "left")
+    joined = with_chunks(docs.join(repeated_chunks(docs, key, text), key, "left"), text)
     stays = lambda c: F.col("_gone").isNull() | ~counts(c) | ~F.array_contains("_gone", F.sha2(c, 256))
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_chunks")).otherwise(F.filter("_chunks", stays)))
     n = F.size("_chunks").cast("long")
