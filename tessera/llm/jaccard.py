@@ -10,10 +10,11 @@ by cost, splits them:
   a common element among the first n - c + 1). Heavy shingles, found by a count over all documents, come
   last in the order, so common passages don't make long lists.
 
-The members of a list are compared with the list's centre (the member with the fewest light shingles,
-hence the base of a group of near copies). Then only pairs of a list that are still in different
-components are compared. A pair is first bounded by the histograms of its two sets, then verified exactly on
-its whole texts. No pair is dropped: groups of copies cost a star of links instead of all pairs.
+A list's centre is its member with the fewest light shingles, hence the base of a group of near copies.
+Every member is first compared with the best of its lists' centres, then with those centres that are
+still in another component, at last members of a list that are still in different components with each
+other. A pair is first bounded by the histograms of its two sets, then verified exactly on its whole
+texts. No pair is dropped: groups of copies cost a star of links instead of all pairs.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than K
 words are one shingle; rows that share an id are one document with several texts; a null id gets the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import column, small
 from tessera.llm.components import connected_components
-from tessera.llm.store import cut
+from tessera.llm.store import cut, discard
 from tessera.llm.words import Words, distinct_by_row, mix
 
 K = 5
@@ -42,10 +43,11 @@ NUM, DEN = 4, 5
 LARGEST_SMALL = 16
 #: What an entry in an inverted list costs, with the comparisons it leads to, in rows of subsets.
 LIST_COST = 8
-#: A shingle seen this often (within tasks) is heavy; so many heavy ones at most, the most frequent, are
-#: broadcast (8 bytes each). Which ones are heavy affects only the order, so never the result.
-HEAVY, MAX_HEAVY = 8, 1_000_000
-BINS = 128
+#: A shingle that occurs this often is heavy; so many heavy ones at most, the most frequent, are broadcast (8
+#: bytes each). Which ones are heavy affects only the order, so never the result.
+HEAVY, MAX_HEAVY = 64, 1_000_000
+#: Histogram bins of a set, 16 bits each; larger sets than LARGEST_BINNED are not bounded by them.
+BINS, LARGEST_BINNED = 128, 65_535
 
 
 def overlap(n: int, m: int) -> int:
@@ -84,7 +86,8 @@ def heavy_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Sorted hashes of the heavy shingles.
 
     Each task counts what it reads and passes on what it saw twice, so that what is shuffled is a small
-    part of all shingles; a shingle of t tasks that occurs more than t times is always seen.
+    part of all shingles; a shingle of t tasks that occurs more than t times is always seen. What is
+    missed shows up as a long list later and is added then.
     """
 
     def run(batches):
@@ -98,7 +101,7 @@ def heavy_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
 
         for part in small(batches, text):
             held.append(_sets(column(part, text))[0])
-            if sum(map(len, held)) > 4_000_000:  # 32 MB
+            if sum(map(len, held)) > 2_000_000:  # 16 MB
                 yield count()
         if held:
             yield count()
@@ -144,7 +147,7 @@ def _entries(docs: DataFrame, heavy, key: str, text: str) -> DataFrame:
                 v, w = values[bounds[i] : bounds[i + 1]], weighty[bounds[i] : bounds[i + 1]]
                 n = len(v)
                 light.append(n - int(w.sum()))
-                sketch.append(np.bincount((v >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
+                sketch.append(np.bincount((v >> np.uint64(57)).astype(np.int64), minlength=BINS).clip(max=LARGEST_BINNED).astype("<u2").tobytes())
                 listed, subsets = v[:0], v[:0]
                 if n and DEN * n // NUM > SMALL:
                     listed = np.concatenate((v[~w], v[w]))[: prefix_length(n)]
@@ -189,46 +192,47 @@ def _explode(classes: DataFrame) -> DataFrame:
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """(token, sure, id, n, centre) of the lists with several members, by a scan over sorted entries.
+    """(token, sure, id, n, centre, weight) of the lists with several members, by a scan over sorted entries;
+    weight is the centre's number of light shingles.
 
     Nothing but the current list's centre is held, so a list may be of any length.
     """
 
     def run(batches):
-        last = None  # (token, sure, centre)
+        last = None  # (token, sure, centre, weight)
         waiting = None  # a list's only row so far
         for part in batches:
             if not part.num_rows:
                 continue
             token, sure = column(part, "token").to_numpy(), np.asarray(column(part, "sure").to_numpy(zero_copy_only=False), dtype=bool)
-            ids, n = column(part, "id").to_numpy(), column(part, "n").to_numpy()
+            ids, n, light = (column(part, c).to_numpy() for c in ("id", "n", "light"))
             starts = np.ones(len(token), dtype=bool)
             starts[1:] = (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])
             goes_on = last is not None and token[0] == last[0] and sure[0] == last[1]
             begin = np.flatnonzero(starts)
             run_of = np.cumsum(starts) - 1
-            centre = ids[begin][run_of]
+            centre, weight = ids[begin][run_of], light[begin][run_of]
             sizes = np.diff(np.concatenate((begin, [len(token)])))
             several = (sizes > 1)[run_of]
             out = []
             if goes_on:
-                centre = np.where(run_of == 0, last[2], centre)
+                centre, weight = np.where(run_of == 0, last[2], centre), np.where(run_of == 0, last[3], weight)
                 several |= run_of == 0
                 if waiting is not None:
                     out.append(waiting)
             waiting = None
             if sizes[-1] == 1 and not (goes_on and len(begin) == 1):
                 i = len(token) - 1
-                waiting = (token[i : i + 1], sure[i : i + 1], ids[i : i + 1], n[i : i + 1], ids[i : i + 1])
+                waiting = tuple(x[i:] for x in (token, sure, ids, n, ids, light))
                 several[i] = False
-            last = (token[-1], sure[-1], centre[-1])
-            out.append((token[several], sure[several], ids[several], n[several], centre[several]))
+            last = (token[-1], sure[-1], centre[-1], weight[-1])
+            out.append(tuple(x[several] for x in (token, sure, ids, n, centre, weight)))
             arrays = [np.concatenate(x) for x in zip(*out)]
             if len(arrays[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["token", "sure", "id", "n", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["token", "sure", "id", "n", "centre", "weight"])
 
     by_token = entries.repartition("token").sortWithinPartitions("token", "sure", "light", "id")
-    return by_token.mapInArrow(run, "token long, sure boolean, id long, n int, centre long")
+    return by_token.mapInArrow(run, "token long, sure boolean, id long, n int, centre long, weight int")
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -239,10 +243,11 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def run(batches):
         for part in batches:
             if part.num_rows:
-                bins = [np.frombuffer(b"".join(column(part, c).to_pylist()), dtype="<u4").reshape(-1, BINS) for c in ("_s", "_t")]
+                bins = [np.frombuffer(b"".join(column(part, c).to_pylist()), dtype="<u2").reshape(-1, BINS) for c in ("_s", "_t")]
                 most = np.minimum(*bins).sum(axis=1, dtype=np.int64)
-                both = column(part, "_n").to_numpy().astype(np.int64) + column(part, "_m").to_numpy()
-                yield part.filter(pa.array((NUM + DEN) * most >= NUM * both)).select(["a", "b"])
+                n, m = column(part, "_n").to_numpy().astype(np.int64), column(part, "_m").to_numpy().astype(np.int64)
+                possible = ((NUM + DEN) * most >= NUM * (n + m)) | (np.maximum(n, m) > LARGEST_BINNED)
+                yield part.filter(pa.array(possible)).select(["a", "b"])
 
     joined = pairs.join(one, "a").join(two, "b").where(F.least("_n", "_m") * DEN >= F.greatest("_n", "_m") * NUM)
     return joined.select("a", "b", "_n", "_s", "_m", "_t").mapInArrow(run, "a long, b long")
@@ -273,38 +278,70 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
+def _classes_and_lists(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(n, k1, k2, id, sketch) of every class of equal sets, and the lists of several members.
+
+    While a list that the count has missed turns out heavy, it is added to the heavy shingles and the lists
+    are made again.
+    """
+    heavy = heavy_shingles(docs, text)
+    while True:
+        shared = docs.sparkSession.sparkContext.broadcast(heavy)
+        # one row per class: copies collapse before the shuffle
+        entries = _entries(docs, shared, key, text).where("n > 0 AND _id IS NOT NULL")
+        classes = entries.groupBy("n", "k1", "k2").agg(F.min(F.col("_id").cast("long")).alias("id"), *[F.first(c).alias(c) for c in ("light", "tokens", "sure", "sketch")])
+        classes = cut(classes, "classes")
+        lists = cut(_lists(_explode(classes)), "lists")
+        long = lists.where("NOT sure").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY)
+        found = long.orderBy(F.desc("c"), "token").limit(MAX_HEAVY).select("token").toPandas().token.to_numpy(np.int64).view(np.uint64)
+        missed = np.setdiff1d(found, heavy)[: MAX_HEAVY - len(heavy)]
+        if not len(missed):
+            return classes.select("n", "k1", "k2", "id", "sketch"), lists
+        discard(classes)
+        discard(lists)
+        heavy = np.union1d(heavy, missed)
+
+
+def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components."""
+    one = found.select(F.col("node").alias("a"), F.col("component").alias("_l"))
+    two = found.select(F.col("node").alias("b"), F.col("component").alias("_k"))
+    out = pairs.join(one, "a", "left").join(two, "b", "left")
+    return out.where(F.coalesce("_l", "a") != F.coalesce("_k", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the least id reachable by links) of every row."""
-    spark = docs.sparkSession
-    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, text))
-    signed = cut(signatures(docs, key, text), "signatures")
-    # one row per class of equal sets; copies collapse before the shuffle
-    entries = _entries(docs, heavy, key, text).where("n > 0 AND _id IS NOT NULL")
-    classes = entries.groupBy("n", "k1", "k2").agg(F.min(F.col("_id").cast("long")).alias("id"), *[F.first(c).alias(c) for c in ("light", "tokens", "sure", "sketch")])
-    classes = cut(classes, "classes")
-    lists = cut(_lists(_explode(classes)), "lists")
+    classes, lists = _classes_and_lists(docs, key, text)
     sketches = classes.select("id", "n", "sketch")
+    verified = lambda pairs: cut(_verified(cut(_plausible(pairs, sketches), "pairs"), docs, key, text), "links")
 
-    star = lists.where("id <> centre").select("sure", F.col("id").alias("a"), F.col("centre").alias("b"))
+    star = lists.where("id <> centre").select("sure", F.col("id").alias("a"), F.col("centre").alias("b"), "weight")
     certain = star.where("sure").select("a", "b").distinct()
-    tried = star.where("NOT sure").select("a", "b").distinct()
-    links = cut(certain.union(_verified(cut(_plausible(tried, sketches), "pairs"), docs, key, text)).distinct(), "links")
+    stars = cut(star.where("NOT sure").groupBy("a", "b").agg(F.min("weight").alias("weight")), "stars")
+    best = cut(stars.groupBy("a").agg(F.min_by("b", F.struct("weight", "b")).alias("b")), "best")
+    links = cut(certain.union(verified(best)).distinct(), "links")
     found = connected_components(links)
 
-    # what is left: pairs of a list in different components that no star has compared
-    placed = lists.where("NOT sure").join(found, lists.id == found.node, "left").select("token", "id", "n", "centre", F.coalesce("component", "id").alias("label"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_c")).where("_x < _y AND _c > 2").select("token")
-    rest = cut(placed.join(mixed, "token"), "rest")
-    x = rest.where("id <> centre").select("token", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-    y = rest.where("id <> centre").select("token", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("label").alias("_k"))
+    others = _placed(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    more = verified(others)
+    if more.limit(1).count():
+        links = links.union(more)
+        found = connected_components(links)
+
+    # what is left: members of a list, other than its centre, that are in different components
+    member = lists.where("NOT sure AND id <> centre").join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("label"))
+    mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("token")
+    rest = cut(member.join(mixed, "token"), "rest")
+    x = rest.select("token", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"))
+    y = rest.select("token", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("label").alias("_k"))
     near = (F.col("a") < F.col("b")) & (F.col("_l") != F.col("_k")) & (F.least("_n", "_m") * DEN >= F.greatest("_n", "_m") * NUM)
-    pairs = x.join(y, (x.token == y.token) & near).select("a", "b").distinct()
-    late = cut(_verified(cut(_plausible(pairs, sketches), "pairs"), docs, key, text), "links")
+    late = verified(x.join(y, (x.token == y.token) & near).select("a", "b").distinct())
     if late.limit(1).count():
         found = connected_components(links.union(late))
 
     named = classes.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("_component"))
-    out = signed.join(named, ["n", "k1", "k2"], "left")
+    out = signatures(docs, key, text).join(named, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") == 0, F.col("_id").cast("long")).otherwise(F.col("_component"))
     return out.select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
