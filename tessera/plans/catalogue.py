@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import records, search  # noqa: F401  the modules enter their queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
