@@ -36,8 +36,8 @@ def public_suffix(host: Column) -> Column:
 
 def _suffixes(host: Column) -> Column:
     """host and every parent domain of it."""
-    n = F.size(F.split(host, r"\."))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.substring_index(host, ".", i))
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
