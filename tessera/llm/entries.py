@@ -85,6 +85,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _level(units: str, parents: str, parent: str, floor: float = 2.0, ceiling: float = 1000.0) -> str:
+    """SQL of url_reputation's posterior of each unit under its parent's prior."""
+    return f"""(WITH j AS (SELECT u.*, p.mean AS prior FROM {units} u JOIN {parents} p USING ({parent})),
+      s AS (SELECT {parent}, sum(n) AS tn, sum(n * (bad / greatest(n, 1)::DOUBLE - prior) ** 2) AS ss, count(*) AS k FROM j GROUP BY {parent}),
+      r AS (SELECT j.*, prior * (1 - prior) AS var, (ss / (prior * (1 - prior)) - k) / greatest(tn - k, 1) AS rho FROM j JOIN s USING ({parent})),
+      w AS (SELECT *, CASE WHEN var > 0 AND rho > 0 THEN greatest({floor}, least({ceiling}, 1 / rho - 1)) ELSE {ceiling} END AS strength FROM r)
+      SELECT * EXCLUDE (prior, var, rho, strength), (bad + strength * prior) / (n + strength) AS mean, n + strength AS weight FROM w)"""
+
+
+def _url_oracle() -> str:
+    hit = verdict = "NULL"
+    for kind, rule in sorted(URL_RULES, key=lambda x: len(x[1])):
+        name, path = rule.split("/", 1)
+        fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{path}')"
+        hit, verdict = f"CASE WHEN {fits} THEN '{rule}' ELSE {hit} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
+    pattern = r"'^.*?://([^/?#]*)([^?#]*)'"
+    return f"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, {pattern}, 1, 's'), ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host, coalesce(regexp_extract(url, {pattern}, 2, 's'), '') AS path FROM pages),
+marks AS (SELECT doc_id AS page_id, max(CAST(quality = 0 AS INT)) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, 1 AS all_, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN marks USING (page_id) GROUP BY host),
+d AS (SELECT domain, suffix, all_, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+x AS (SELECT suffix, all_, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+world AS (SELECT all_, (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS mean FROM x GROUP BY all_),
+x2 AS {_level("x", "world", "all_")}, d2 AS {_level("d", "x2", "suffix")}, h2 AS {_level("h", "d2", "domain")}
+SELECT page_id, host, path, {hit} AS rule, coalesce({verdict}, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN h2 USING (host)
+"""
+
+
+_BASE32 = "list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * i + 1, 5) AS INTEGER) >> b) & 31) + 1, 1)), lambda p, q: p || q)), lambda p, q: p || q)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": _url_oracle(),
+    "op8_warc_from_arc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p
+""",
     "op2_line_dedup": line_dedup.oracle(),
 }
