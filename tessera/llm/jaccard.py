@@ -333,10 +333,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = lists.where("NOT sure AND id <> centre").join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("token")
     rest = cut(member.join(mixed, "token"), "rest")
-    x = rest.select("token", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-    y = rest.select("token", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("label").alias("_k"))
+    # a pair is taken in the first list that both are in, so it comes up once
+    own = rest.groupBy("id").agg(F.collect_list("token").alias("_own"))
+    rest = rest.join(own, "id")
+    x = rest.select("token", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("_own").alias("_x"))
+    y = rest.select("token", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("label").alias("_k"), F.col("_own").alias("_y"))
     near = (F.col("a") < F.col("b")) & (F.col("_l") != F.col("_k")) & (F.least("_n", "_m") * DEN >= F.greatest("_n", "_m") * NUM)
-    late = verified(x.join(y, (x.token == y.token) & near).select("a", "b").distinct())
+    near = near & (F.array_min(F.array_intersect("_x", "_y")) == x.token)
+    late = verified(x.join(y, (x.token == y.token) & near).select("a", "b"))
     if late.limit(1).count():
         found = connected_components(links.union(late))
 
