@@ -13,8 +13,10 @@ by cost, splits them:
 A list's centre is its member with the fewest light shingles, hence the base of a group of near copies.
 Every member is first compared with the best of its lists' centres, then with those centres that are
 still in another component, at last members of a list that are still in different components with each
-other. A pair is first bounded by the histograms of its two sets, then verified exactly on its whole
-texts. No pair is dropped: groups of copies cost a star of links instead of all pairs.
+other. Two exact filters spare comparisons: the places of a common shingle in the two orders bound what
+can follow it, and distances to a list's centre bound those between its members (Jaccard distance is a
+metric). A pair is then bounded by the histograms of its two sets and verified exactly on its whole
+texts. No link is lost: groups of copies cost a star of links instead of all pairs.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than K
 words are one shingle; rows that share an id are one document with several texts; a null id gets the
@@ -28,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import column, small
@@ -60,6 +62,15 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def may_link(n: str, m: str, i: str, j: str) -> Column:
+    """Whether sets of sizes n and m can link whose first common element is at places i and j.
+
+    All common elements stand at or after these places, so n - i and m - j bound the overlap.
+    """
+    least = f"(({NUM} * ({n} + {m}) + {NUM + DEN - 1}) DIV {NUM + DEN})"
+    return F.expr(f"least({n}, {m}) * {DEN} >= greatest({n}, {m}) * {NUM} AND {n} - {i} >= {least} AND {m} - {j} >= {least}")
+
+
 def partner_sizes(n: int) -> list[int]:
     return [m for m in range(-(-NUM * n // DEN), DEN * n // NUM + 1) if overlap(n, m) <= min(n, m)]
 
@@ -174,7 +185,8 @@ def _subsets(v: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else v[:0]
 
 
-LISTED = "token long, sure boolean, id long, n int, light int"
+LISTED = "token long, sure boolean, id long, n int, pos int, light int"
+LISTS = "token long, sure boolean, id long, n int, pos int, centre long, weight int, centre_n int, centre_pos int"
 
 
 def _explode(classes: DataFrame) -> DataFrame:
@@ -186,57 +198,61 @@ def _explode(classes: DataFrame) -> DataFrame:
                 if counts.sum():
                     flat = np.frombuffer(b"".join(data.to_pylist()), dtype=np.int64)
                     again = lambda c: np.repeat(column(part, c).to_numpy(zero_copy_only=False), counts)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), sure)), pa.array(again("id")), pa.array(again("n")), pa.array(again("light"))], ["token", "sure", "id", "n", "light"])
+                    place = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), sure)), pa.array(again("id")), pa.array(again("n")), pa.array(place), pa.array(again("light"))], ["token", "sure", "id", "n", "pos", "light"])
 
     return classes.select("id", "n", "light", "tokens", "sure").mapInArrow(run, LISTED)
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """(token, sure, id, n, centre, weight) of the lists with several members, by a scan over sorted entries;
-    weight is the centre's number of light shingles.
+    """LISTS: the rows of the lists with several members, with their centre's id, number of light shingles
+    (weight), size and place, by a scan over sorted entries.
 
     Nothing but the current list's centre is held, so a list may be of any length.
     """
+    names = [x.split()[0] for x in LISTS.split(", ")]
 
     def run(batches):
-        last = None  # (token, sure, centre, weight)
+        last = None  # token, sure and the centre's values of the current list
         waiting = None  # a list's only row so far
         for part in batches:
             if not part.num_rows:
                 continue
             token, sure = column(part, "token").to_numpy(), np.asarray(column(part, "sure").to_numpy(zero_copy_only=False), dtype=bool)
-            ids, n, light = (column(part, c).to_numpy() for c in ("id", "n", "light"))
+            row = [column(part, c).to_numpy() for c in ("id", "n", "pos")]
+            head = [column(part, c).to_numpy() for c in ("id", "light", "n", "pos")]
             starts = np.ones(len(token), dtype=bool)
             starts[1:] = (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])
             goes_on = last is not None and token[0] == last[0] and sure[0] == last[1]
             begin = np.flatnonzero(starts)
             run_of = np.cumsum(starts) - 1
-            centre, weight = ids[begin][run_of], light[begin][run_of]
+            centre = [x[begin][run_of] for x in head]
             sizes = np.diff(np.concatenate((begin, [len(token)])))
             several = (sizes > 1)[run_of]
             out = []
             if goes_on:
-                centre, weight = np.where(run_of == 0, last[2], centre), np.where(run_of == 0, last[3], weight)
+                centre = [np.where(run_of == 0, old, x) for x, old in zip(centre, last[2:])]
                 several |= run_of == 0
                 if waiting is not None:
                     out.append(waiting)
             waiting = None
             if sizes[-1] == 1 and not (goes_on and len(begin) == 1):
                 i = len(token) - 1
-                waiting = tuple(x[i:] for x in (token, sure, ids, n, ids, light))
+                waiting = tuple(x[i:] for x in (token, sure, *row, *head))
                 several[i] = False
-            last = (token[-1], sure[-1], centre[-1], weight[-1])
-            out.append(tuple(x[several] for x in (token, sure, ids, n, centre, weight)))
+            last = (token[-1], sure[-1], *[x[-1] for x in centre])
+            out.append(tuple(x[several] for x in (token, sure, *row, *centre)))
             arrays = [np.concatenate(x) for x in zip(*out)]
             if len(arrays[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["token", "sure", "id", "n", "centre", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
 
     by_token = entries.repartition("token").sortWithinPartitions("token", "sure", "light", "id")
-    return by_token.mapInArrow(run, "token long, sure boolean, id long, n int, centre long, weight int")
+    return by_token.mapInArrow(run, LISTS)
 
 
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose histograms allow the overlap: the sum of the bins' minima bounds it."""
+def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, low, possible) of the pairs: a lower bound of their distance, and whether they can link. The sum
+    of the minima of two histograms' bins bounds the overlap."""
     one = sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
     two = sketches.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
 
@@ -247,14 +263,16 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 most = np.minimum(*bins).sum(axis=1, dtype=np.int64)
                 n, m = column(part, "_n").to_numpy().astype(np.int64), column(part, "_m").to_numpy().astype(np.int64)
                 possible = ((NUM + DEN) * most >= NUM * (n + m)) | (np.maximum(n, m) > LARGEST_BINNED)
-                yield part.filter(pa.array(possible)).select(["a", "b"])
+                possible &= np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM
+                most = np.where(np.maximum(n, m) > LARGEST_BINNED, np.minimum(n, m), most)
+                yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(1 - most / np.maximum(n + m - most, 1)), pa.array(possible)], ["a", "b", "low", "possible"])
 
-    joined = pairs.join(one, "a").join(two, "b").where(F.least("_n", "_m") * DEN >= F.greatest("_n", "_m") * NUM)
-    return joined.select("a", "b", "_n", "_s", "_m", "_t").mapInArrow(run, "a long, b long")
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.select("a", "b", "_n", "_s", "_m", "_t").mapInArrow(run, "a long, b long, low double, possible boolean")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are similar enough, from their whole texts."""
+    """(a, b, distance, linked) of pairs of documents: what their whole texts give."""
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches):
@@ -266,16 +284,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
             starts = np.flatnonzero(np.concatenate(([True], other)))
             seconds, where = _sets(y.take(pa.array(starts)))
             run_of = np.searchsorted(starts, np.arange(len(y)), side="right") - 1
-            keep = []
+            apart, linked = [], []
             for i in range(len(y)):
                 v, w = firsts[at[i] : at[i + 1]], seconds[where[run_of[i]] : where[run_of[i] + 1]]
                 common = len(np.intersect1d(v, w, assume_unique=True))
-                keep.append(bool(len(v) and len(w) and DEN * common >= NUM * (len(v) + len(w) - common)))
-            yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                union = len(v) + len(w) - common
+                apart.append(1 - common / max(union, 1))
+                linked.append(bool(len(v) and len(w) and DEN * common >= NUM * union))
+            yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
 
     first = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x")), "a")
     both = first.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_y")), "b")
-    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long, distance double, linked boolean")
 
 
 def _classes_and_lists(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -314,33 +334,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """key, n_shingles and component_id (the least id reachable by links) of every row."""
     classes, lists = _classes_and_lists(docs, key, text)
     sketches = classes.select("id", "n", "sketch")
-    verified = lambda pairs: cut(_verified(cut(_plausible(pairs, sketches), "pairs"), docs, key, text), "links")
 
-    star = lists.where("id <> centre").select("sure", F.col("id").alias("a"), F.col("centre").alias("b"), "weight")
-    certain = star.where("sure").select("a", "b").distinct()
-    stars = cut(star.where("NOT sure").groupBy("a", "b").agg(F.min("weight").alias("weight")), "stars")
+    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links (a, b) among the pairs, and the bounds (a, b, low, high) of all their distances."""
+        bounded = cut(_bounded(pairs, sketches), "pairs")
+        exact = cut(_verified(bounded.where("possible").select("a", "b"), docs, key, text), "compared")
+        bounds = bounded.where("NOT possible").select("a", "b", "low", F.lit(1.0).alias("high")).union(exact.select("a", "b", "distance", "distance"))
+        return exact.where("linked").select("a", "b"), bounds
+
+    star = lists.where("id <> centre")
+    certain = star.where("sure").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    chosen = star.where("NOT sure").where(may_link("n", "centre_n", "pos", "centre_pos"))
+    stars = cut(chosen.groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.min("weight").alias("weight")), "stars")
     best = cut(stars.groupBy("a").agg(F.min_by("b", F.struct("weight", "b")).alias("b")), "best")
-    links = cut(certain.union(verified(best)).distinct(), "links")
+    near, known = compared(best)
+    links = cut(certain.union(near).distinct(), "links")
     found = connected_components(links)
 
     others = _placed(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    more = verified(others)
+    more, bounds = compared(others)
+    known = known.union(bounds)
     if more.limit(1).count():
         links = links.union(more)
         found = connected_components(links)
 
     # what is left: members of a list, other than its centre, that are in different components
-    member = lists.where("NOT sure AND id <> centre").join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("label"))
+    member = lists.where("NOT sure AND id <> centre").join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", "centre", F.coalesce("component", "id").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("token")
-    rest = cut(member.join(mixed, "token"), "rest")
-    # a pair is taken in the first list that both are in, so it comes up once
-    own = rest.groupBy("id").agg(F.collect_list("token").alias("_own"))
-    rest = rest.join(own, "id")
-    x = rest.select("token", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("_own").alias("_x"))
-    y = rest.select("token", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("label").alias("_k"), F.col("_own").alias("_y"))
-    near = (F.col("a") < F.col("b")) & (F.col("_l") != F.col("_k")) & (F.least("_n", "_m") * DEN >= F.greatest("_n", "_m") * NUM)
-    near = near & (F.array_min(F.array_intersect("_x", "_y")) == x.token)
-    late = verified(x.join(y, (x.token == y.token) & near).select("a", "b"))
+    # an id with several texts has several distances to a centre: their hull
+    apart = known.groupBy(F.col("a").alias("id"), F.col("b").alias("centre")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rest = member.join(mixed, "token").join(apart, ["id", "centre"], "left").withColumns({"low": F.coalesce("low", F.lit(0.0)), "high": F.coalesce("high", F.lit(1.0))})
+    rest = cut(rest.select("token", "id", "n", "pos", "label", "low", "high"), "rest")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "label", "low", "high")]) for side in "xy")
+    furthest = 1 - NUM / DEN + 1e-9
+    open_ = (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & may_link("x_n", "y_n", "x_pos", "y_pos")
+    # by the triangle inequality a link's ends differ by at most this in their distance to any third set
+    open_ = open_ & (F.col("x_low") - F.col("y_high") <= furthest) & (F.col("y_low") - F.col("x_high") <= furthest)
+    late, _ = compared(x.join(y, (x.token == y.token) & open_).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct())
     if late.limit(1).count():
         found = connected_components(links.union(late))
 
