@@ -4,8 +4,9 @@ Documents with equal sets form a class, and only classes are joined. A boundary
 by cost, splits them:
 
 * small sets enumerate subsets: two sets of sizes n <= m link exactly when they share c(n, m) elements,
-  so each emits, for every partner size, its subsets of that fixed size; classes with a common subset
-  are linked without looking at the texts;
+  so each emits, for every partner size, its subsets of that fixed size; a class of the smaller size n is
+  linked with all that have a common subset with it, without looking at the texts. Two of the larger size m
+  share too little by that, they are linked by the subsets for (m, m);
 * large sets are entered into inverted lists, by their prefix in one global order (an overlap of c needs
   a common element among the first n - c + 1). Heavy shingles, found by a count over all documents, come
   last in the order, so common passages don't make long lists.
@@ -175,13 +176,17 @@ def _entries(docs: DataFrame, heavy, key: str, text: str) -> DataFrame:
 
 
 def _subsets(v: np.ndarray) -> np.ndarray:
-    """Hashes of the fixed-size subsets of a small set, for each partner size up to SMALL."""
+    """Hashes of the fixed-size subsets of a small set, for each partner size up to SMALL.
+
+    The last bit says whether both sizes are the same, so whether any two sets with the subset link.
+    """
     n, out = len(v), []
     for m in partner_sizes(n):
         if m <= SMALL:
             low, high, c = min(n, m), max(n, m), overlap(n, m)
             which = np.array(list(combinations(range(n), c)))
-            out.append(mix(mix(v)[which].sum(axis=1, dtype=np.uint64) + np.uint64((low << 16) + high)))
+            hashed = mix(mix(v)[which].sum(axis=1, dtype=np.uint64) + np.uint64((low << 16) + high))
+            out.append(hashed & ~np.uint64(1) | np.uint64(low == high))
     return np.unique(np.concatenate(out)) if out else v[:0]
 
 
@@ -190,6 +195,8 @@ LISTS = "token long, sure boolean, id long, n int, pos int, centre long, weight
 
 
 def _explode(classes: DataFrame) -> DataFrame:
+    """LISTED: a row per entry; light is the size in rows of subsets, whose centre is thus of the smaller size."""
+
     def run(batches):
         for part in batches:
             for name, sure in (("tokens", False), ("sure", True)):
@@ -199,7 +206,7 @@ def _explode(classes: DataFrame) -> DataFrame:
                     flat = np.frombuffer(b"".join(data.to_pylist()), dtype=np.int64)
                     again = lambda c: np.repeat(column(part, c).to_numpy(zero_copy_only=False), counts)  # noqa: B023, E731
                     place = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), sure)), pa.array(again("id")), pa.array(again("n")), pa.array(place), pa.array(again("light"))], ["token", "sure", "id", "n", "pos", "light"])
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), sure)), pa.array(again("id")), pa.array(again("n")), pa.array(place), pa.array(again("n" if sure else "light"))], ["token", "sure", "id", "n", "pos", "light"])
 
     return classes.select("id", "n", "light", "tokens", "sure").mapInArrow(run, LISTED)
 
@@ -343,7 +350,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return exact.where("linked").select("a", "b"), bounds
 
     star = lists.where("id <> centre")
-    certain = star.where("sure").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    certain = star.where("sure AND (centre_n < n OR (token & 1) = 1)").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     chosen = star.where("NOT sure").where(may_link("n", "centre_n", "pos", "centre_pos"))
     stars = cut(chosen.groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.min("weight").alias("weight")), "stars")
     best = cut(stars.groupBy("a").agg(F.min_by("b", F.struct("weight", "b")).alias("b")), "best")

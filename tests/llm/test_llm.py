@@ -208,6 +208,23 @@ def test_jaccard_join(spark, docs, edges, empty):
     assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, 8, None, 9}
 
 
+def test_jaccard_join_of_short_texts(spark):
+    from tessera.llm import jaccard
+
+    # texts that share all but one shingle: 5/7 to 8/10 are below or just at the bound, by size
+    rows = []
+    for n in range(5, 16):
+        words = [f"n{n}w{i}" for i in range(n)]
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((words[:-1] + ["x"], words[:-1] + ["y"], ["z"] + words[1:]))]
+        if n % 2:
+            rows.append((len(rows), " ".join(words[:-1])))
+            rows.append((len(rows), " ".join(words[:-2])))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected, _ = components(rows)
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert len(set(expected.values())) < len(rows)
+
+
 def test_size_bounds_are_exact():
     from tessera.llm import jaccard as j
 
