@@ -1,16 +1,19 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
 Every token with a digit becomes ``#``, every capitalised word ``@`` and every unit after a number ``~``;
-the rest is lower-cased. Windows of WINDOW template tokens are hash-joined with those of the benchmark's
-items. A document is a candidate for an item when it has at least CONTAINMENT of the item's distinct
-windows. For candidates the slots are compared: each value of an item must stand for one and the same
-value throughout the document's copy (a re-parameterised question renames consistently, chance matches
-don't). At least CONSISTENCY of the slots must agree.
+the rest is lower-cased. The folded template has no ``@``: names are lower-cased too, so it is the same for
+copies in capitals or in small letters. Windows of WINDOW tokens of both are hash-joined with those of the
+benchmark's items. A document is a candidate for an item when it has at least CONTAINMENT of the item's
+distinct windows, of one template or of the other. For candidates the slots are compared, in lower case:
+each value of an item must stand for one and the same value throughout the document's copy (a
+re-parameterised question renames consistently, chance matches don't). At least CONSISTENCY of the slots
+must agree.
 
 Defined results: null and empty texts have no windows; an item of fewer than WINDOW tokens is one window
 and only matches a text that is the same short template; windows with fewer than LITERALS literal words
-are no evidence, an item without other windows matches nothing; repeated items or ids count once each
-by id (their windows are united); a null id is ignored. Other columns are untouched.
+are no evidence in the template, and stand for themselves, as written in lower case, in the folded one;
+repeated items or ids count once each by id (their windows are united); a null id is ignored. Other columns
+are untouched.
 """
 
 from __future__ import annotations
@@ -31,71 +34,90 @@ _TOKEN_START = rf"(?<![^{_S}])"
 
 
 def with_template(df: DataFrame, text: str) -> DataFrame:
-    """Add _tokens (as written), _canon (template tokens, as many) and _grams (hashes of windows)."""
+    """Add _lower (tokens in lower case), _canon and _folded (tokens of the template and of the folded template,
+    as many), _grams and _folds (hashes of their windows)."""
     trimmed = f"trim(regexp_replace(coalesce(`{text}`, ''), '[{_S}]+', ' '))"
     df = df.withColumn("_flat", F.expr(trimmed))
-    canon = f"regexp_replace(_flat, '{_TOKEN_START}[^ 0-9]*[0-9][^ ]*', '#')"
-    canon = f"regexp_replace({canon}, '{_TOKEN_START}\\\\p{{Lu}}[\\\\p{{L}}-]*', '@')"
-    canon = f"lower({canon})"
-    canon = f"regexp_replace({canon}, '(?<=# )(?:{'|'.join(UNITS)})(?![a-z])', '~')"
-    df = df.withColumn("_canon", F.expr(f"filter(split({canon}, ' '), x -> x <> '')"))
-    hashed = "transform(_canon, x -> CASE substr(x, 1, 1) WHEN '#' THEN 1L WHEN '@' THEN 2L WHEN '~' THEN 3L ELSE xxhash64(x) END)"
-    df = df.withColumn("_hashed", F.expr(hashed)).withColumn("_n", F.size("_hashed"))
+    df = df.withColumn("_numbered", F.expr(f"regexp_replace(_flat, '{_TOKEN_START}[^ 0-9]*[0-9][^ ]*', '#')"))
+    named = f"regexp_replace(_numbered, '{_TOKEN_START}\\\\p{{Lu}}[\\\\p{{L}}-]*', '@')"
+    units = lambda x: f"regexp_replace(lower({x}), '(?<=# )(?:{'|'.join(UNITS)})(?![a-z])', '~')"
+    for out, flat in (("_lower", "lower(_flat)"), ("_canon", units(named)), ("_folded", units("_numbered"))):
+        df = df.withColumn(out, F.expr(f"filter(split({flat}, ' '), x -> x <> '')"))
+    df = df.withColumn("_n", F.size("_lower"))
+    as_written = "xxhash64(transform({}, x -> xxhash64(x)))"
+    df = _with_grams(df, "_canon", "_grams", "NULL", "NULL")
+    df = _with_grams(df, "_folded", "_folds", as_written.format("_lower"), as_written.format(f"slice(_lower, p + 1, {WINDOW})"))
+    return df.drop("_numbered", "_n")
+
+
+def _with_grams(df: DataFrame, tokens: str, out: str, few: str, few_at: str) -> DataFrame:
+    """Add ``out``: hashes of the windows of ``tokens``; those of few literals are ``few``, ``few_at`` at p."""
+    hashed = f"transform({tokens}, x -> CASE substr(x, 1, 1) WHEN '#' THEN 1L WHEN '@' THEN 2L WHEN '~' THEN 3L ELSE xxhash64(x) END)"
+    df = df.withColumn("_hashed", F.expr(hashed))
     for i in range(WINDOW):
         df = df.withColumn(f"_s{i}", F.expr(f"slice(_hashed, {i + 1}, greatest(_n - {WINDOW - 1}, 0))"))
     literal = " + ".join(f"if(x._s{i} BETWEEN 1 AND 3, 0, 1)" for i in range(WINDOW))
     zipped = f"arrays_zip({', '.join(f'_s{i}' for i in range(WINDOW))})"
     grams = f"""CASE WHEN _n = 0 THEN cast(array() AS array<bigint>)
-        WHEN _n < {WINDOW} THEN array(if(size(filter(_hashed, x -> NOT x BETWEEN 1 AND 3)) >= {LITERALS}, xxhash64(_hashed), NULL))
-        ELSE transform({zipped}, x -> if({literal} >= {LITERALS}, xxhash64(x), NULL)) END"""
-    df = df.withColumn("_grams", F.expr(grams))
-    return df.drop("_hashed", "_n", *[f"_s{i}" for i in range(WINDOW)])
+        WHEN _n < {WINDOW} THEN array(if(size(filter(_hashed, x -> NOT x BETWEEN 1 AND 3)) >= {LITERALS}, xxhash64(_hashed), {few}))
+        ELSE transform({zipped}, (x, p) -> if({literal} >= {LITERALS}, xxhash64(x), {few_at})) END"""
+    return df.withColumn(out, F.expr(grams)).drop("_hashed", *[f"_s{i}" for i in range(WINDOW)])
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    return df.withColumn("_tokens", F.expr("filter(split(_flat, ' '), x -> x <> '')"))
-
-
-
-
-def _windows(df: DataFrame, ids: list[str], keep: str = "true") -> DataFrame:
-    """A row per window: ids, _gram, and _slots, the values of its slots in order."""
-    slots = f"transform(filter(zip_with(slice(_tokens, p + 1, {WINDOW}), slice(_canon, p + 1, {WINDOW}), (a, b) -> if(substr(b, 1, 1) IN ('#', '@', '~'), a, NULL)), x -> x IS NOT NULL), x -> x)"
-    per = f"transform(filter(transform(_grams, (g, p) -> named_struct('g', g, 'p', p)), x -> x.g IS NOT NULL AND {keep}), x -> x)"
-    df = df.withColumn("_w", F.explode(F.expr(per))).withColumn("p", F.col("_w.p"))
-    return df.select(*ids, F.col("_w.g").alias("_gram"), F.col("p"), F.expr(slots).alias("_slots"))
+def _windows(df: DataFrame, ids: list[str]) -> DataFrame:
+    """A row per window: ids, p (its place), and _t and _f, the window (g) of the template and of the folded
+    template with the values of its slots in order (s)."""
+    slots = lambda canon: f"filter(zip_with(slice(_lower, p + 1, {WINDOW}), slice({canon}, p + 1, {WINDOW}), (a, b) -> if(substr(b, 1, 1) IN ('#', '@', '~'), a, NULL)), x -> x IS NOT NULL)"
+    df = df.select(*ids, "_lower", "_canon", "_folded", F.posexplode(F.expr("arrays_zip(_grams, _folds)")).alias("p", "_w"))
+    both = (F.expr(f"named_struct('g', _w.{grams}, 's', {slots(canon)})") for grams, canon in (("_grams", "_canon"), ("_folds", "_folded")))
+    return df.select(*ids, "p", *(x.alias(name) for x, name in zip(both, ("_t", "_f"))))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item, _gram and the slots of the window, with the number _of of the item's distinct windows."""
-    own = _windows(_tokens(with_template(benchmark.select(item, text).where(F.col(item).isNotNull()), text)), [item])
-    sizes = own.groupBy(item).agg(F.countDistinct("_gram").alias("_of"))
-    return own.join(sizes, item)
+    """item, _folds (whether the rows are of the folded template), _w (a window), p, _gram and _slots (what
+    matches it), _of (the number of the item's distinct windows) and _length (of tokens).
+
+    A window of the template is also matched by its folded form, in which names are written out.
+    """
+    own = with_template(benchmark.select(item, text).where(F.col(item).isNotNull()), text).withColumn("_length", F.size("_lower"))
+    ways = "array(struct(false AS k, _t.g AS w, _t.g AS g, _t.s AS s), struct(false AS k, if(_t.g = _f.g, NULL, _t.g) AS w, _f.g AS g, _f.s AS s), struct(true AS k, _f.g AS w, _f.g AS g, _f.s AS s))"
+    rows = _windows(own, [item, "_length"]).withColumn("_way", F.explode(F.expr(f"filter({ways}, x -> x.w IS NOT NULL)")))
+    rows = rows.select(item, F.col("_way.k").alias("_folds"), F.col("_way.w").alias("_w"), "p", F.col("_way.g").alias("_gram"), F.col("_way.s").alias("_slots"), "_length")
+    sizes = rows.groupBy(item, "_folds").agg(F.countDistinct("_w").alias("_of"))
+    return rows.join(sizes, [item, "_folds"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """(key, item, n_matched, n_windows, containment, consistency) of every match that holds."""
     bench = benchmark_windows(benchmark, item)
-    grams = bench.select(item, "_gram", "_of").distinct()
+    grams = bench.select(item, "_folds", "_w", "_gram", "_of").distinct()
     small = grams.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda x: x)
+    match = [key, item, "_folds"]
     templated = with_template(docs.select(key, text).where(F.col(key).isNotNull()), text)
-    seen = templated.select(key, F.explode(F.array_distinct("_grams")).alias("_gram"))
+    seen = templated.select(key, F.explode(F.expr("array_distinct(concat(_grams, _folds))")).alias("_gram")).where("_gram IS NOT NULL")
     hits = seen.join(hint(grams), "_gram")
-    counts = hits.groupBy(key, item, "_of").agg(F.count("*").alias("n_matched"))
-    # rows that share an id are one document: what repeats there is counted once at most
-    candidates = counts.withColumn("n_matched", F.least("n_matched", "_of")).where(F.col("n_matched") >= CONTAINMENT * F.col("_of"))
-    wanted = candidates.select(key, item, "_of", "n_matched")
+    # rows that share an id are one document: what repeats there is counted once
+    counts = hits.select(*match, "_of", "_w").distinct().groupBy(*match, "_of").agg(F.count("*").alias("n_matched"))
+    wanted = counts.where(F.col("n_matched") >= CONTAINMENT * F.col("_of"))
     # slots: only candidates' texts are looked at again
-    again = docs.select(key, text).join(wanted.select(key).distinct(), key)
-    windows = _windows(_tokens(with_template(again, text)), [key]).where(F.size("_slots") > 0)
-    mine = bench.where(F.size("_slots") > 0).select(item, "_gram", F.col("_slots").alias("_theirs"))
-    paired = windows.join(hint(mine), "_gram").join(wanted.select(key, item), [key, item])
-    values = paired.select(key, item, F.explode(F.arrays_zip("_theirs", "_slots")).alias("_v")).select(key, item, F.col("_v._theirs").alias("_was"), F.col("_v._slots").alias("_is"))
-    tally = values.groupBy(key, item, "_was", "_is").agg(F.count("*").alias("_c")).groupBy(key, item, "_was").agg(F.max("_c").alias("_same"), F.sum("_c").alias("_all"))
-    agree = tally.groupBy(key, item).agg((F.sum("_same") / F.sum("_all")).alias("consistency"))
-    out = wanted.join(agree, [key, item], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= CONSISTENCY)
-    return out.select(key, item, "n_matched", F.col("_of").alias("n_windows"), (F.col("n_matched") / F.col("_of")).alias("containment"), "consistency")
+    again = with_template(docs.select(key, text).join(wanted.select(key).distinct(), key), text).withColumn("_row", F.xxhash64("_flat"))
+    windows = _windows(again, [key, "_row"]).withColumn("_way", F.explode(F.array_distinct(F.array("_t", "_f"))))
+    windows = windows.select(key, "_row", "p", F.col("_way.g").alias("_gram"), F.col("_way.s").alias("_slots")).where("_gram IS NOT NULL")
+    mine = bench.select(item, "_folds", "_w", "_gram", F.col("p").alias("q"), F.col("_slots").alias("_theirs"), "_length")
+    paired = windows.join(hint(mine), "_gram").join(wanted.select(*match), match)
+    # where a match is judged: in the whole document
+    places = F.expr("array(struct(0 AS k, 0L AS row, 0L AS at))")
+    places = paired.select(*match, "_w", F.arrays_zip("_theirs", "_slots").alias("_values"), F.explode(places).alias("_place"))
+    covered = places.groupBy(*match, "_place").agg(F.countDistinct("_w").alias("_there"))
+    values = places.select(*match, "_place", F.explode("_values").alias("_v")).select(*match, "_place", F.col("_v._theirs").alias("_was"), F.col("_v._slots").alias("_is"))
+    tally = values.groupBy(*match, "_place", "_was", "_is").agg(F.count("*").alias("_c")).groupBy(*match, "_place", "_was").agg(F.max("_c").alias("_same"), F.sum("_c").alias("_all"))
+    agree = tally.groupBy(*match, "_place").agg((F.sum("_same") / F.sum("_all")).alias("consistency"))
+    judged = covered.join(agree, [*match, "_place"], "left").join(wanted, match).withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    judged = judged.where((F.col("_there") >= CONTAINMENT * F.col("_of")) & (F.col("consistency") >= CONSISTENCY))
+    judged = judged.withColumn("containment", F.col("n_matched") / F.col("_of"))
+    best = judged.groupBy(key, item).agg(F.max_by(F.struct("n_matched", F.col("_of").alias("n_windows"), "containment", "consistency"), F.struct("containment", "consistency", ~F.col("_folds"))).alias("_best"))
+    return best.select(key, item, "_best.*")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:

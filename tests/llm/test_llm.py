@@ -337,6 +337,20 @@ def test_decontamination(spark, edges, empty):
     assert decontam.decontaminate(edges, items.limit(0)).count() == len(EDGES)
 
 
+def test_decontamination_in_any_case(spark):
+    from tessera.llm import decontam
+
+    question = "If Alice walks 12 km to the old Market and then Bob buys 7 apples for Carol how many km are left"
+    other = "FIVE SMALL SHIPS LEAVE THE NORTHERN HARBOUR AT DAWN AND SAIL 40 MILES AGAINST THE WIND"
+    items = spark.createDataFrame([(1, question), (2, other), (3, "Ann Bea Cleo Dora Eve Fay Gus Hal")], "item_id long, text string")
+    rows = [
+        (1, f"before {question.upper()} after", 1), (2, f"before {question.lower()} after", 1), (3, f"BEFORE {question.upper()} AFTER".replace("12", "95"), 1), (4, f"so {other.lower()} then", 2),
+        (5, f"so {other} then", 2), (6, "with Ann Bea Cleo Dora Eve Fay Gus Hal again", 3), (7, "PLAIN WORDS THAT HAVE NOTHING TO DO WITH IT", None), (8, "with Ian Jo Kim Lea Mia Ned Ole Pia again", None),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r.doc_id: r.item_id for r in decontam.judge(docs, items).collect()} == {r[0]: r[2] for r in rows}
+
+
 def test_components(spark):
     from tessera.llm.components import connected_components
 
