@@ -5,7 +5,8 @@ the rest is lower-cased. The folded template has no ``@``: names are lower-cased
 copies in capitals or in small letters. Windows of WINDOW tokens of both are hash-joined with those of the
 benchmark's items. A document is a candidate for an item when it has at least CONTAINMENT of the item's
 distinct windows, of one template or of the other. For candidates the slots are compared, in lower case:
-each value of an item must stand for one and the same value throughout the document's copy (a
+each value of an item must stand for one and the same value throughout one occurrence,
+or throughout the document (a
 re-parameterised question renames consistently, chance matches don't). At least CONSISTENCY of the slots
 must agree.
 
@@ -68,9 +69,10 @@ def _windows(df: DataFrame, ids: list[str]) -> DataFrame:
     """A row per window: ids, p (its place), and _t and _f, the window (g) of the template and of the folded
     template with the values of its slots in order (s)."""
     slots = lambda canon: f"filter(zip_with(slice(_lower, p + 1, {WINDOW}), slice({canon}, p + 1, {WINDOW}), (a, b) -> if(substr(b, 1, 1) IN ('#', '@', '~'), a, NULL)), x -> x IS NOT NULL)"
-    df = df.select(*ids, "_lower", "_canon", "_folded", F.posexplode(F.expr("arrays_zip(_grams, _folds)")).alias("p", "_w"))
-    both = (F.expr(f"named_struct('g', _w.{grams}, 's', {slots(canon)})") for grams, canon in (("_grams", "_canon"), ("_folds", "_folded")))
-    return df.select(*ids, "p", *(x.alias(name) for x, name in zip(both, ("_t", "_f"))))
+    both = ", ".join(f"named_struct('g', w.{grams}, 's', {slots(canon)}) AS {name}" for grams, canon, name in (("_grams", "_canon", "_t"), ("_folds", "_folded", "_f")))
+    # the slots are cut out before the rows are made: a row of a window doesn't hold its whole text
+    df = df.select(*ids, F.explode(F.expr(f"transform(arrays_zip(_grams, _folds), (w, p) -> struct(p AS p, {both}))")).alias("_w"))
+    return df.select(*ids, "_w.*")
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -106,8 +108,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     windows = windows.select(key, "_row", "p", F.col("_way.g").alias("_gram"), F.col("_way.s").alias("_slots")).where("_gram IS NOT NULL")
     mine = bench.select(item, "_folds", "_w", "_gram", F.col("p").alias("q"), F.col("_slots").alias("_theirs"), "_length")
     paired = windows.join(hint(mine), "_gram").join(wanted.select(*match), match)
-    # where a match is judged: in the whole document
-    places = F.expr("array(struct(0 AS k, 0L AS row, 0L AS at))")
+    # where a match is judged: in the whole document; in an occurrence of the same length, whose windows are all
+    # at one distance from the item's; in one that is longer or shorter, at distances within the item's length,
+    # by buckets that overlap by half. Other occurrences start an item's length away, in no bucket of these.
+    paired = paired.withColumns({"_off": F.expr("cast(p - q AS bigint)"), "_half": F.expr("cast(greatest(_length DIV 2, 1) AS bigint)")})
+    bucket = "cast(floor(_off / _half) AS bigint)"
+    places = F.expr(f"array(struct(0 AS k, 0L AS row, 0L AS at), struct(1 AS k, _row AS row, _off AS at), struct(2 AS k, _row AS row, {bucket} AS at), struct(2 AS k, _row AS row, {bucket} - 1 AS at))")
     places = paired.select(*match, "_w", F.arrays_zip("_theirs", "_slots").alias("_values"), F.explode(places).alias("_place"))
     covered = places.groupBy(*match, "_place").agg(F.countDistinct("_w").alias("_there"))
     values = places.select(*match, "_place", F.explode("_values").alias("_v")).select(*match, "_place", F.col("_v._theirs").alias("_was"), F.col("_v._slots").alias("_is"))

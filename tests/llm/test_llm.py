@@ -351,6 +351,20 @@ def test_decontamination_in_any_case(spark):
     assert {r.doc_id: r.item_id for r in decontam.judge(docs, items).collect()} == {r[0]: r[2] for r in rows}
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    from tessera.llm import decontam
+
+    question = "If Alice walks 12 km to the old market and then buys 7 apples for her friend how many km are left"
+    series = "the red box holds 3 pens and the blue box holds 4 pens and the old box holds 5 pens and the new box holds 6 pens and the tin box holds 9 pens"
+    items = spark.createDataFrame([(1, question), (2, series)], "item_id long, text string")
+    again = [question.replace("12", str(20 + k)).replace("Alice", name).replace("7", str(50 + k)) for k, name in enumerate(["Robert", "Mary Ann", "Zoe", "Ida"])]
+    chance = " ".join(f"then Eve{k} buys {k} apples for her son, walks {k} km to the old barn." for k in range(60))
+    mixed = "If Alice walks 12 km to the old market. Nothing else of the question is here. Zoe walks 9 km to the old house and then buys 3 apples."
+    rows = [(1, " ".join([question, *again])), (2, "; ".join(again)), (3, f"{chance} {question} {chance}"), (4, f"so {series} then"), (5, mixed), (6, chance)]
+    got = decontam.judge(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r.doc_id: r.item_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 2, 5: None, 6: None}
+
+
 def test_components(spark):
     from tessera.llm.components import connected_components
 
