@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.store import cut, discard
 
-MAX_STEPS = 60
-
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -22,7 +20,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): for every node with a link to another one, the least node reachable."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, seen = cut(edges, "links"), None
-    for _ in range(MAX_STEPS):
+    while True:
         mark = _mark(edges)
         if mark == seen or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
@@ -35,4 +33,3 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         last, edges = edges, cut(small, "links")
         discard(last)
-    raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")

@@ -13,15 +13,19 @@ by cost, splits them:
 
 A list's centre is its member with the fewest light shingles, hence the base of a group of near copies.
 Every member is first compared with the best of its lists' centres, then with those centres that are
-still in another component, at last members of a list that are still in different components with each
-other. Two exact filters spare comparisons: the places of a common shingle in the two orders bound what
-can follow it, and distances to a list's centre bound those between its members (Jaccard distance is a
-metric). A pair is then bounded by the histograms of its two sets and verified exactly on its whole
-texts. No link is lost: groups of copies cost a star of links instead of all pairs.
+still in another component. What can be left are links between members of a list that are in different
+components. One of the two, x, then isn't linked with the centre c. Let D(x) be the shingles in which x and c
+differ, and most(n, m) the largest symmetric difference of linked sets of these sizes. Two members share
+at least t = (|D(x)| + |D(y)| - most) / 2 of their differences, and t > 0 if x isn't linked with c: so in
+lists of more than SHORT members only those meet again that have an element in common in the prefixes of
+their differences. A group of copies with edits of their own costs a star of links and some lists of
+edits, not all pairs. In shorter lists the members meet each other, if the places of the common shingle
+allow a link. Every pair is bounded by the histograms of its sets and verified exactly on its whole texts.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than K
 words are one shingle; rows that share an id are one document with several texts; a null id gets the
-component of its class, null if the class has no other.
+component of its class, null if the class has no other. Ids may be of any type that has an order. Columns
+other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,24 +35,31 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import column, small
 from tessera.llm.components import connected_components
+from tessera.llm.skew import salted_join
 from tessera.llm.store import cut, discard
 from tessera.llm.words import Words, distinct_by_row, mix
 
 K = 5
 #: Similarity as a fraction: 4/5.
 NUM, DEN = 4, 5
-#: Subsets are enumerated up to this size at most.
+#: Subsets are enumerated up to this size at most: beyond it a set has thousands of them.
 LARGEST_SMALL = 16
 #: What an entry in an inverted list costs, with the comparisons it leads to, in rows of subsets.
 LIST_COST = 8
 #: A shingle that occurs this often is heavy; so many heavy ones at most, the most frequent, are broadcast (8
 #: bytes each). Which ones are heavy affects only the order, so never the result.
 HEAVY, MAX_HEAVY = 64, 1_000_000
+#: Lists of shingles that occur this often are dealt in parts to several tasks; so many parts of a list and
+#: so many such lists, the longest, at most.
+PART, MAX_PARTS, MAX_DEALT = 2048, 4096, 50_000
+#: In longer lists members meet by their differences from the centre.
+SHORT = 32
 #: Histogram bins of a set, 16 bits each; larger sets than LARGEST_BINNED are not bounded by them.
 BINS, LARGEST_BINNED = 128, 65_535
 
@@ -76,17 +87,18 @@ def partner_sizes(n: int) -> list[int]:
     return [m for m in range(-(-NUM * n // DEN), DEN * n // NUM + 1) if overlap(n, m) <= min(n, m)]
 
 
-def boundary() -> int:
-    """The largest size whose subsets are cheaper than its entries in lists."""
-    best = 0
-    for n in range(1, LARGEST_SMALL + 1):
-        rows = sum(comb(n, overlap(n, m)) for m in partner_sizes(n))
-        if rows <= LIST_COST * prefix_length(n):
-            best = n
-    return best
+def boundary(sizes: dict[int, int]) -> int:
+    """The size up to which subsets are enumerated, chosen by cost: ``sizes`` has the number of sets by size.
 
+    With boundary b, sets of size n <= b emit their subsets for partners up to b, and those that have a
+    partner above b, entries in lists as well.
+    """
+
+    def cost(b: int) -> int:
+        subsets = sum(c * sum(comb(n, overlap(n, m)) for m in partner_sizes(n) if m <= b) for n, c in sizes.items() if 0 < n <= b)
+        return subsets + LIST_COST * sum(c * prefix_length(n) for n, c in sizes.items() if n > 0 and DEN * n // NUM > b)
 
-SMALL = boundary()
+    return min(range(LARGEST_SMALL + 1), key=lambda b: (cost(b), b))
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,33 +106,51 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct_by_row(values, rows, len(texts))
 
 
-def heavy_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Sorted hashes of the heavy shingles.
+#: A task passes on what it saw once for this part of all shingles, so that those spread over many tasks are seen.
+SLICE = 64
+
+
+def count_shingles(docs: DataFrame, text: str = "text") -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """The number of texts by set size up to DEN/NUM of LARGEST_SMALL, the sorted hashes of the heavy shingles and
+    about how often each occurs.
 
-    Each task counts what it reads and passes on what it saw twice, so that what is shuffled is a small
-    part of all shingles; a shingle of t tasks that occurs more than t times is always seen. What is
-    missed shows up as a long list later and is added then.
+    Each task counts what it reads and passes on what it saw several times, and, of one SLICE of all
+    shingles, what it saw once; what is shuffled is a small part of all shingles. A shingle that is never
+    seen twice in a task may be missed; as heaviness only orders the shingles, that costs a longer list.
     """
+    bound = DEN * LARGEST_SMALL // NUM
 
     def run(batches):
         held: list[np.ndarray] = []
+        slot = np.uint64(TaskContext.get().partitionId() % SLICE)
+        sizes = np.zeros(bound + 1, dtype=np.int64)
 
         def count():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times > 1
+            once = (times == 1) & (values % np.uint64(SLICE) == slot)
+            keep = (times > 1) | once
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(times[keep])], ["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(np.where(once, SLICE, times)[keep]), pa.array(np.zeros(int(keep.sum()), bool))], ["h", "c", "size"])
 
         for part in small(batches, text):
-            held.append(_sets(column(part, text))[0])
+            values, bounds = _sets(column(part, text))
+            n = np.diff(bounds)
+            sizes += np.bincount(n[n <= bound], minlength=bound + 1)
+            held.append(values)
             if sum(map(len, held)) > 2_000_000:  # 16 MB
                 yield count()
         if held:
             yield count()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bound + 1)), pa.array(sizes), pa.array(np.ones(bound + 1, bool))], ["h", "c", "size"])
 
-    counts = docs.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY)
-    rows = counts.orderBy(F.desc("c"), "h").limit(MAX_HEAVY).select("h").toPandas()
-    return np.sort(rows.h.to_numpy(np.int64).view(np.uint64))
+    counts = docs.select(text).mapInArrow(run, "h long, c long, size boolean").groupBy("size", "h").agg(F.sum("c").alias("c"))
+    counts = counts.where(F.col("size") | (F.col("c") >= HEAVY))
+    rows = counts.orderBy(F.desc("size"), F.desc("c"), "h").limit(bound + 1 + MAX_HEAVY).toPandas()
+    sizes = {int(n): int(c) for n, c in rows.loc[rows["size"], ["h", "c"]].to_numpy()}
+    rows = rows.loc[~rows["size"]]
+    h, c = rows.h.to_numpy(np.int64).view(np.uint64), rows.c.to_numpy(np.int64)
+    order = np.argsort(h)
+    return sizes, h[order], c[order]
 
 
 def _class_keys(values: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
@@ -144,7 +174,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"_id {kind}, {SIGNED}")
 
 
-def _entries(docs: DataFrame, heavy, key: str, text: str) -> DataFrame:
+def _entries(docs: DataFrame, heavy, most: int, key: str, text: str) -> DataFrame:
     """(_id, n, k1, k2, light, tokens, sure, sketch) of each document: its list entries and subsets."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -161,10 +191,10 @@ def _entries(docs: DataFrame, heavy, key: str, text: str) -> DataFrame:
                 light.append(n - int(w.sum()))
                 sketch.append(np.bincount((v >> np.uint64(57)).astype(np.int64), minlength=BINS).clip(max=LARGEST_BINNED).astype("<u2").tobytes())
                 listed, subsets = v[:0], v[:0]
-                if n and DEN * n // NUM > SMALL:
+                if n and DEN * n // NUM > most:
                     listed = np.concatenate((v[~w], v[w]))[: prefix_length(n)]
-                if n and n <= SMALL:
-                    subsets = _subsets(v)
+                if n and n <= most:
+                    subsets = _subsets(v, most)
                 tokens.append(listed.tobytes())
                 sure.append(subsets.tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -175,14 +205,14 @@ def _entries(docs: DataFrame, heavy, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"_id {kind}, {SIGNED}, light int, tokens binary, sure binary, sketch binary")
 
 
-def _subsets(v: np.ndarray) -> np.ndarray:
-    """Hashes of the fixed-size subsets of a small set, for each partner size up to SMALL.
+def _subsets(v: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of the fixed-size subsets of a small set, for each partner size up to ``most``.
 
     The last bit says whether both sizes are the same, so whether any two sets with the subset link.
     """
     n, out = len(v), []
     for m in partner_sizes(n):
-        if m <= SMALL:
+        if m <= most:
             low, high, c = min(n, m), max(n, m), overlap(n, m)
             which = np.array(list(combinations(range(n), c)))
             hashed = mix(mix(v)[which].sum(axis=1, dtype=np.uint64) + np.uint64((low << 16) + high))
@@ -190,14 +220,19 @@ def _subsets(v: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else v[:0]
 
 
-LISTED = "token long, sure boolean, id long, n int, pos int, light int"
-LISTS = "token long, sure boolean, id long, n int, pos int, centre long, weight int, centre_n int, centre_pos int"
+LISTED = "token long, sure boolean, id {id}, n int, pos int, light int, part int"
+LISTS = "token long, sure boolean, id {id}, n int, pos int, part int, centre {id}, weight int, centre_n int, centre_pos int"
+
 
+def _explode(classes: DataFrame, hot) -> DataFrame:
+    """LISTED: a row per entry; light is the size in rows of subsets, whose centre is thus of the smaller size.
 
-def _explode(classes: DataFrame) -> DataFrame:
-    """LISTED: a row per entry; light is the size in rows of subsets, whose centre is thus of the smaller size."""
+    ``hot`` has the sorted tokens whose lists are dealt in parts, and how many parts; part is -1 for the others.
+    """
+    kind = classes.schema["id"].dataType.simpleString()
 
     def run(batches):
+        tokens, parts = hot.value
         for part in batches:
             for name, sure in (("tokens", False), ("sure", True)):
                 data = column(part, name)
@@ -206,60 +241,74 @@ def _explode(classes: DataFrame) -> DataFrame:
                     flat = np.frombuffer(b"".join(data.to_pylist()), dtype=np.int64)
                     again = lambda c: np.repeat(column(part, c).to_numpy(zero_copy_only=False), counts)  # noqa: B023, E731
                     place = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), sure)), pa.array(again("id")), pa.array(again("n")), pa.array(place), pa.array(again("n" if sure else "light"))], ["token", "sure", "id", "n", "pos", "light"])
+                    at = np.minimum(np.searchsorted(tokens, flat.view(np.uint64)), max(len(tokens) - 1, 0))
+                    split = (tokens[at] == flat.view(np.uint64)) & (not sure) if len(tokens) else np.zeros(len(flat), dtype=bool)
+                    deal = np.repeat(mix(column(part, "k1").to_numpy().view(np.uint64)), counts)
+                    dealt = np.where(split, deal % parts[at].astype(np.uint64), 0).astype(np.int32) - ~split if len(tokens) else np.full(len(flat), -1, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), sure)), pa.array(again("id")), pa.array(again("n")), pa.array(place), pa.array(again("n" if sure else "light")), pa.array(dealt.astype(np.int32))], ["token", "sure", "id", "n", "pos", "light", "part"])
 
-    return classes.select("id", "n", "light", "tokens", "sure").mapInArrow(run, LISTED)
+    return classes.select("id", "n", "k1", "light", "tokens", "sure").mapInArrow(run, LISTED.format(id=kind))
 
 
 def _lists(entries: DataFrame) -> DataFrame:
     """LISTS: the rows of the lists with several members, with their centre's id, number of light shingles
     (weight), size and place, by a scan over sorted entries.
 
-    Nothing but the current list's centre is held, so a list may be of any length.
+    Nothing but the current list's centre is held, so a list may be of any length. Each part of a dealt list
+    has its own centre at first.
     """
+    kind = entries.schema["id"].dataType.simpleString()
     names = [x.split()[0] for x in LISTS.split(", ")]
 
     def run(batches):
-        last = None  # token, sure and the centre's values of the current list
+        last = None  # token, sure, part and the centre's values of the current list
         waiting = None  # a list's only row so far
-        for part in batches:
-            if not part.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            token, sure = column(part, "token").to_numpy(), np.asarray(column(part, "sure").to_numpy(zero_copy_only=False), dtype=bool)
-            row = [column(part, c).to_numpy() for c in ("id", "n", "pos")]
-            head = [column(part, c).to_numpy() for c in ("id", "light", "n", "pos")]
-            starts = np.ones(len(token), dtype=bool)
-            starts[1:] = (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])
-            goes_on = last is not None and token[0] == last[0] and sure[0] == last[1]
+            which = [column(batch, "token").to_numpy(), np.asarray(column(batch, "sure").to_numpy(zero_copy_only=False), dtype=bool), column(batch, "part").to_numpy()]
+            row = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("id", "n", "pos", "part")]
+            head = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("id", "light", "n", "pos")]
+            starts = np.ones(batch.num_rows, dtype=bool)
+            starts[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in which])
+            goes_on = last is not None and all(x[0] == y for x, y in zip(which, last[:3]))
             begin = np.flatnonzero(starts)
             run_of = np.cumsum(starts) - 1
             centre = [x[begin][run_of] for x in head]
-            sizes = np.diff(np.concatenate((begin, [len(token)])))
-            several = (sizes > 1)[run_of]
+            sizes = np.diff(np.concatenate((begin, [batch.num_rows])))
+            several = (sizes > 1)[run_of] | (which[2] >= 0)
             out = []
             if goes_on:
-                centre = [np.where(run_of == 0, old, x) for x, old in zip(centre, last[2:])]
+                centre = [np.where(run_of == 0, old, x) for x, old in zip(centre, last[3:])]
                 several |= run_of == 0
                 if waiting is not None:
                     out.append(waiting)
             waiting = None
-            if sizes[-1] == 1 and not (goes_on and len(begin) == 1):
-                i = len(token) - 1
-                waiting = tuple(x[i:] for x in (token, sure, *row, *head))
-                several[i] = False
-            last = (token[-1], sure[-1], *[x[-1] for x in centre])
-            out.append(tuple(x[several] for x in (token, sure, *row, *centre)))
+            i = batch.num_rows - 1
+            if sizes[-1] == 1 and not several[i]:
+                waiting = tuple(x[i:] for x in (which[0], which[1], *row, *head))
+            last = (*[x[-1] for x in which], *[x[-1] for x in centre])
+            out.append(tuple(x[several] for x in (which[0], which[1], *row, *centre)))
             arrays = [np.concatenate(x) for x in zip(*out)]
             if len(arrays[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
 
-    by_token = entries.repartition("token").sortWithinPartitions("token", "sure", "light", "id")
-    return by_token.mapInArrow(run, LISTS)
+    by_token = entries.repartition("token", "part").sortWithinPartitions("token", "sure", "part", "light", "id")
+    return by_token.mapInArrow(run, LISTS.format(id=kind))
+
+
+def _with_centres(lists: DataFrame) -> DataFrame:
+    """Give all parts of a dealt list the best of their centres; there are at most MAX_DEALT such lists."""
+    names = [x.split()[0] for x in LISTS.split(", ")]
+    dealt = lists.where("part >= 0")
+    best = dealt.groupBy("token").agg(F.min_by(F.struct("centre", "weight", "centre_n", "centre_pos"), F.struct("weight", "centre")).alias("_c"))
+    merged = dealt.select("token", "sure", "id", "n", "pos", "part").join(F.broadcast(best), "token").select("token", "sure", "id", "n", "pos", "part", "_c.*")
+    return lists.where("part < 0").select(*names).union(merged.select(*names))
 
 
 def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, low, possible) of the pairs: a lower bound of their distance, and whether they can link. The sum
-    of the minima of two histograms' bins bounds the overlap."""
+    """(a, b, possible) of the pairs: whether they can link. The sum of the minima of two histograms' bins bounds
+    the overlap."""
     one = sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
     two = sketches.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
 
@@ -271,62 +320,122 @@ def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 n, m = column(part, "_n").to_numpy().astype(np.int64), column(part, "_m").to_numpy().astype(np.int64)
                 possible = ((NUM + DEN) * most >= NUM * (n + m)) | (np.maximum(n, m) > LARGEST_BINNED)
                 possible &= np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM
-                most = np.where(np.maximum(n, m) > LARGEST_BINNED, np.minimum(n, m), most)
-                yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(1 - most / np.maximum(n + m - most, 1)), pa.array(possible)], ["a", "b", "low", "possible"])
+                yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(possible)], ["a", "b", "possible"])
+
+    joined = salted_join(pairs.join(one, "a"), two, "b", pairs)
+    kind = pairs.schema["a"].dataType.simpleString()
+    return joined.select("a", "b", "_n", "_s", "_m", "_t").mapInArrow(run, f"a {kind}, b {kind}, possible boolean")
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Add _x and _y, the texts of a and of b. Rows of one b come together, those of a frequent b in several parts."""
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    first = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x")), "a")
+    return salted_join(first, texts.select(F.col("_id").alias("b"), F.col("_text").alias("_y")), "b", pairs)
+
 
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", "_n", "_s", "_m", "_t").mapInArrow(run, "a long, b long, low double, possible boolean")
+def _set_pairs(part: pa.RecordBatch):
+    """The two sets of each row; that of equal texts _y in a row is made once."""
+    firsts, at = _sets(column(part, "_x"))
+    y = column(part, "_y")
+    other = np.asarray(pa.compute.not_equal(y.slice(1), y.slice(0, len(y) - 1)).to_numpy(zero_copy_only=False), dtype=bool)
+    starts = np.flatnonzero(np.concatenate(([True], other)))
+    seconds, where = _sets(y.take(pa.array(starts)))
+    run_of = np.searchsorted(starts, np.arange(len(y)), side="right") - 1
+    for i in range(len(y)):
+        yield firsts[at[i] : at[i + 1]], seconds[where[run_of[i]] : where[run_of[i] + 1]]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b, distance, linked) of pairs of documents: what their whole texts give."""
-    texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    """The linked ones among pairs (a, b) of documents: what their whole texts give."""
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
         for part in small(small(batches, "_x"), "_y"):
-            firsts, at = _sets(column(part, "_x"))
-            # the rows come grouped by b: its set is made once per run of equal texts
-            y = column(part, "_y")
-            other = np.asarray(pa.compute.not_equal(y.slice(1), y.slice(0, len(y) - 1)).to_numpy(zero_copy_only=False), dtype=bool)
-            starts = np.flatnonzero(np.concatenate(([True], other)))
-            seconds, where = _sets(y.take(pa.array(starts)))
-            run_of = np.searchsorted(starts, np.arange(len(y)), side="right") - 1
-            apart, linked = [], []
-            for i in range(len(y)):
-                v, w = firsts[at[i] : at[i + 1]], seconds[where[run_of[i]] : where[run_of[i] + 1]]
+            linked = []
+            for v, w in _set_pairs(part):
                 common = len(np.intersect1d(v, w, assume_unique=True))
-                union = len(v) + len(w) - common
-                apart.append(1 - common / max(union, 1))
-                linked.append(bool(len(v) and len(w) and DEN * common >= NUM * union))
-            yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+                linked.append(bool(len(v) and len(w) and DEN * common >= NUM * (len(v) + len(w) - common)))
+            yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return _with_texts(pairs, docs, key, text).select("a", "b", "_x", "_y").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def most_apart(n, m):
+    """The largest symmetric difference of linked sets of sizes n and m."""
+    return n + m - 2 * overlap(n, m)
+
+
+def shared_differences(d: int, m: int, k: int) -> int:
+    """How many of its d differences from a centre of size k a set of size m shares at least with any set that it is
+    linked with and that isn't linked with the centre.
+
+    That set, of size n, has more than most_apart(n, k) differences, hence two more at least, as all symmetric
+    differences of sets of these sizes are odd or all are even. The bound depends on n modulo NUM + DEN.
+    """
+    n = -(-NUM * m // DEN)
+    least = min(most_apart(i, k) - most_apart(i, m) for i in range(n, n + NUM + DEN))
+    return max(1, -(-(d + 2 + least) // 2))
 
-    first = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x")), "a")
-    both = first.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_y")), "b")
-    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long, distance double, linked boolean")
 
+DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, pos int, d int, label {id}"
 
-def _classes_and_lists(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(n, k1, k2, id, sketch) of every class of equal sets, and the lists of several members.
 
-    While a list that the count has missed turns out heavy, it is added to the heavy shingles and the lists
-    are made again.
+def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """DIFFERENCES: prefixes of the differences of list members (a, b, label, far) from their centres (b).
+
+    The order is: light elements that only the member has, heavy ones, those that only the centre has. A member
+    that is far, so not linked with the centre, has two prefixes: one for far partners (both), one for near
+    ones; a near member has one, for far partners.
     """
-    heavy = heavy_shingles(docs, text)
-    while True:
-        shared = docs.sparkSession.sparkContext.broadcast(heavy)
-        # one row per class: copies collapse before the shuffle
-        entries = _entries(docs, shared, key, text).where("n > 0 AND _id IS NOT NULL")
-        classes = entries.groupBy("n", "k1", "k2").agg(F.min(F.col("_id").cast("long")).alias("id"), *[F.first(c).alias(c) for c in ("light", "tokens", "sure", "sketch")])
-        classes = cut(classes, "classes")
-        lists = cut(_lists(_explode(classes)), "lists")
-        long = lists.where("NOT sure").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY)
-        found = long.orderBy(F.desc("c"), "token").limit(MAX_HEAVY).select("token").toPandas().token.to_numpy(np.int64).view(np.uint64)
-        missed = np.setdiff1d(found, heavy)[: MAX_HEAVY - len(heavy)]
-        if not len(missed):
-            return classes.select("n", "k1", "k2", "id", "sketch"), lists
-        discard(classes)
-        discard(lists)
-        heavy = np.union1d(heavy, missed)
+    kind = members.schema["a"].dataType.simpleString()
+    lacks = np.uint64(0xA0761D6478BD642F)  # marks what only the centre has
+
+    def run(batches):
+        last = heavy.value
+        for part in small(small(batches, "_x"), "_y"):
+            far = np.asarray(column(part, "far").to_numpy(zero_copy_only=False), dtype=bool)
+            rows, tokens, both, place, count, size = [], [], [], [], [], []
+            for i, (v, w) in enumerate(_set_pairs(part)):
+                own, gone = np.setdiff1d(v, w, assume_unique=True), np.setdiff1d(w, v, assume_unique=True)
+                at = np.minimum(np.searchsorted(last, own), max(len(last) - 1, 0))
+                weighty = last[at] == own if len(last) else np.zeros(len(own), dtype=bool)
+                order = np.concatenate((own[~weighty], own[weighty], mix(gone ^ lacks)))
+                d, n = len(order), len(v)
+                if not d or not n:
+                    continue
+                lengths = [(bool(far[i]), d - shared_differences(d, n, len(w)) + 1)]
+                if far[i]:  # a near partner has at least as many differences as are shared
+                    lengths.append((False, d - max(1, d - n // NUM) + 1))
+                for flag, length in lengths:
+                    length = max(0, min(d, length))
+                    rows += [i] * length
+                    tokens.append(order[:length])
+                    both += [flag] * length
+                    place += range(length)
+                    count += [d] * length
+                    size += [n] * length
+            if rows:
+                again = lambda c: column(part, c).take(pa.array(rows))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [again("b"), pa.array(np.concatenate(tokens).view(np.int64)), again("far"), pa.array(both), again("a"), pa.array(size, pa.int32()), pa.array(place, pa.int32()), pa.array(count, pa.int32()), again("label")],
+                    ["centre", "token", "far", "both", "id", "n", "pos", "d", "label"],
+                )
+
+    return _with_texts(members, docs, key, text).select("a", "b", "label", "far", "_x", "_y").mapInArrow(run, DIFFERENCES.format(id=kind))
+
+
+def _meetings(differences: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members whose differences from a centre can be those of linked sets."""
+    sides = [differences.select("centre", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "pos", "d", "label")]) for side in "xy"]
+    x, y = sides[0].where("x_far"), sides[1]
+    apart = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + DEN}))"
+    fits = F.expr(
+        f"x_both = y_both AND (x_both = y_far) AND (NOT x_both OR x_id < y_id) AND x_label <> y_label AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
+        f" AND 2 * least(x_d - x_pos, y_d - y_pos) >= x_d + y_d - {apart}"
+    )
+    found = x.join(y, (x.centre == y.centre) & (x.token == y.token) & fits)
+    return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -339,52 +448,73 @@ def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the least id reachable by links) of every row."""
-    classes, lists = _classes_and_lists(docs, key, text)
-    sketches = classes.select("id", "n", "sketch")
-
-    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The links (a, b) among the pairs, and the bounds (a, b, low, high) of all their distances."""
-        bounded = cut(_bounded(pairs, sketches), "pairs")
-        exact = cut(_verified(bounded.where("possible").select("a", "b"), docs, key, text), "compared")
-        bounds = bounded.where("NOT possible").select("a", "b", "low", F.lit(1.0).alias("high")).union(exact.select("a", "b", "distance", "distance"))
-        return exact.where("linked").select("a", "b"), bounds
+    context, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
+    docs = docs.select(key, text)
+    sizes, heavy, often = count_shingles(docs, text)
+    parts = np.minimum(often // PART, MAX_PARTS)
+    longest = np.sort(np.argsort(-parts, kind="stable")[:MAX_DEALT])
+    longest = longest[parts[longest] > 1]
+    hot, heavy = context.broadcast((heavy[longest], parts[longest])), context.broadcast(heavy)
+
+    # one row per class: copies collapse before the shuffle
+    entries = _entries(docs, heavy, boundary(sizes), key, text).where("n > 0 AND _id IS NOT NULL")
+    whole = entries.groupBy("n", "k1", "k2").agg(F.min("_id").alias("id"), *[F.first(c).alias(c) for c in ("light", "tokens", "sure", "sketch")])
+    whole = cut(whole, "classes")
+    scanned = cut(_lists(_explode(whole, hot)), "lists")
+    lists, sketches = _with_centres(scanned), whole.select("id", "n", "sketch")
+
+    temporary = [scanned]
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links (a, b) among the pairs."""
+        pairs = cut(pairs, "pairs")
+        bounded = cut(_bounded(pairs, sketches).where("possible").select("a", "b"), "bounded")
+        links = cut(_verified(bounded, docs, key, text), "compared")
+        discard(pairs)
+        discard(bounded)
+        temporary.append(links)
+        return links
 
     star = lists.where("id <> centre")
-    certain = star.where("sure AND (centre_n < n OR (token & 1) = 1)").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    subsets = star.where("sure AND (centre_n < n OR (token & 1) = 1)").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     chosen = star.where("NOT sure").where(may_link("n", "centre_n", "pos", "centre_pos"))
     stars = cut(chosen.groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.min("weight").alias("weight")), "stars")
     best = cut(stars.groupBy("a").agg(F.min_by("b", F.struct("weight", "b")).alias("b")), "best")
-    near, known = compared(best)
-    links = cut(certain.union(near).distinct(), "links")
+    links = compared(best.union(subsets).distinct())
     found = connected_components(links)
 
-    others = _placed(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    more, bounds = compared(others)
-    known = known.union(bounds)
-    if more.limit(1).count():
-        links = links.union(more)
+    others = compared(_placed(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found))
+    if others.limit(1).count():
+        links = links.union(others)
         found = connected_components(links)
 
     # what is left: members of a list, other than its centre, that are in different components
-    member = lists.where("NOT sure AND id <> centre").join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", "centre", F.coalesce("component", "id").alias("label"))
-    mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("token")
-    # an id with several texts has several distances to a centre: their hull
-    apart = known.groupBy(F.col("a").alias("id"), F.col("b").alias("centre")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    rest = member.join(mixed, "token").join(apart, ["id", "centre"], "left").withColumns({"low": F.coalesce("low", F.lit(0.0)), "high": F.coalesce("high", F.lit(1.0))})
-    rest = cut(rest.select("token", "id", "n", "pos", "label", "low", "high"), "rest")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "label", "low", "high")]) for side in "xy")
-    furthest = 1 - NUM / DEN + 1e-9
+    place = lambda name, label: found.select(F.col("node").alias(name), F.col("component").alias(label))
+    member = lists.where("NOT sure").select("token", "id", "n", "pos", "centre").join(place("id", "_l"), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
+    member = cut(member, "members")
+    mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_c")).where("_x < _y").select("token", "_c")
+    rest = salted_join(member, mixed, "token")
+    rest = cut(rest.select("token", "id", "n", "pos", "centre", "label", (F.col("_c") > SHORT).alias("long")), "rest")
+    x, y = (rest.where("NOT long AND id <> centre").select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "label")]) for side in "xy")
     open_ = (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & may_link("x_n", "y_n", "x_pos", "y_pos")
-    # by the triangle inequality a link's ends differ by at most this in their distance to any third set
-    open_ = open_ & (F.col("x_low") - F.col("y_high") <= furthest) & (F.col("y_low") - F.col("x_high") <= furthest)
-    late, _ = compared(x.join(y, (x.token == y.token) & open_).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct())
-    if late.limit(1).count():
-        found = connected_components(links.union(late))
+    late = x.join(y, (x.token == y.token) & open_).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    members = rest.where("long").select("centre", "id", "label").distinct()
+    own = members.where("id = centre").select("centre", F.col("label").alias("_own"))
+    members = salted_join(members, own, "centre").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "label", (F.col("label") != F.col("_own")).alias("far"))
+    members = cut(members, "far")
+    # a centre without far members has nothing to add
+    open_centres = members.where("far").select("b").distinct()
+    differences = cut(_differences(salted_join(members, open_centres, "b"), heavy, docs, key, text), "differences")
+    more = compared(late.union(_meetings(differences)).distinct())
+    if more.limit(1).count():
+        found = connected_components(links.union(more))
+    for table in (*temporary, stars, best, member, rest, members, differences):
+        discard(table)
 
-    named = classes.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("_component"))
+    named = whole.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("_component"))
     out = signatures(docs, key, text).join(named, ["n", "k1", "k2"], "left")
-    component = F.when(F.col("n") == 0, F.col("_id").cast("long")).otherwise(F.col("_component"))
-    return out.select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("_component"))
+    return out.select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.cast(kind).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

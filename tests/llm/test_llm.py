@@ -225,9 +225,41 @@ def test_jaccard_join_of_short_texts(spark):
     assert len(set(expected.values())) < len(rows)
 
 
+def test_jaccard_join_of_a_large_group_without_one_centre(spark):
+    from tessera.llm import jaccard
+
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    second = base[:60] + [rng.choice(words) for _ in range(30)] + base[90:]  # a family of its own within the group
+    rows = []
+    for c in range(260):
+        copy = list(base if c % 3 else second)
+        for _ in range(rng.randrange(11)):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[rng.choice(words)], [], [rng.choice(words), rng.choice(words)]])
+        rows.append((f"d{c:03}", " ".join(copy)))
+    for c in range(40):  # chains: each differs a little from the one before
+        tail = rows[-1][1].split() if c else list(base)
+        tail[3 * c : 3 * c + 3] = [rng.choice(words) for _ in range(3)]
+        rows.append((f"e{c:03}", " ".join(tail)))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    expected, _ = components(rows)
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert 20 < len(set(expected.values())) < len(rows)
+
+
 def test_size_bounds_are_exact():
     from tessera.llm import jaccard as j
 
+    for m in range(1, 60):
+        for k in range(max(1, m - 9), m + 9):
+            for n in j.partner_sizes(m):
+                for x in (j.most_apart(n, k) + 2, j.most_apart(n, k) + 4):
+                    for d in range(m + k + 1):
+                        if (d + m + k) % 2 == 0 and x <= n + k:
+                            assert j.shared_differences(d, m, k) <= max(1, (x + d - j.most_apart(n, m) + 1) // 2)
+
     for n in range(1, 60):
         for m in range(n, 90):
             links = [o for o in range(0, n + 1) if 100 * o >= 80 * (n + m - o)]
