@@ -1,97 +1,125 @@
 """Line dedup over content-defined chunks of lines, in DataFrame expressions only.
 
-A text's lines are cut into chunks where their content says so: after a line when the rolling hash over
-it and the line before is 0 modulo DIVISOR, and on both sides of every line of at least LONG_LINE words.
-A passage moved to another place of another text is thus cut at the same inner lines. A chunk counts
-when it has several lines or at least LONG_LINE words. Chunks whose hash occurs in several documents are
-compared byte by byte, and a chunk found in several documents stays only in the one of the least id.
-
-Defined results: a null text is an empty text with one empty line and stays null when nothing is removed;
-rows that share an id are one document and keep the same chunks; repeats inside one document stay; a
-null id is never the least and loses nothing; other columns are untouched.
+A text is taken as a sequence of units: its lines, long ones cut inside after every UNIT_WORDS words. Equal
+lines have equal units. A rolling hash covers each unit and the one after it; of every two neighbouring
+rolling hashes the smaller one, the right one on ties, marks a boundary, so boundaries depend on the content
+around them alone and shift with it. A chunk reaches from one boundary to the next, both units included,
+so it has two or three units, and any passage of at least five units that two texts share has a chunk in
+it: any shared run of whole lines with more than 4 * UNIT_WORDS words.
+
+Chunks whose hash occurs in several documents are compared byte by byte with the one of the least id. A
+match is then followed over at most EXTEND further units on either side, so that a passage's ends outside
+of its chunks go too. A run of at least LEAST_WORDS words goes from all documents but the one of
+the least id. Single short lines, however frequent, never go.
+
+Defined results: a null text is an empty text and stays null; rows that share an id are one document and
+keep the same chunks; repeats inside one document stay; a null id is never the least and loses nothing;
+other columns are untouched whatever their names, but for n_units and n_removed, which are replaced. What
+is left of a text is its remaining units as they stood, line ends included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIVISOR = 2
-LONG_LINE = 50
+from tessera.llm.skew import salted_join
+from tessera.llm.store import cut
 
+UNIT_WORDS, EXTEND, LEAST_WORDS = 12, 2, 20
+#: A unit: up to UNIT_WORDS words of a line, with the blank or line end after them.
+UNIT = rf"[^ \n]*(?: [^ \n]*){{0,{UNIT_WORDS - 1}}}(?:\n| |\z)"
+#: The rolling hash over the hashes of a unit and the next one.
+_R = "pmod(a + 31 * b, 4294967296)"
 
-def _words(line: str) -> str:
-    """Blanks of a line plus one: its words, as single blanks separate them."""
-    return f"(length({line}) - length(replace({line}, ' ', '')) + 1)"
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("\n", "\\n") + "'"
 
-def counts(chunk: Column) -> Column:
-    """Whether a chunk has several lines or is long."""
-    return chunk.contains("\n") | (F.length(chunk) - F.length(F.replace(chunk, F.lit(" "), F.lit(""))) + 1 >= LONG_LINE)
 
+def with_chunks(df: DataFrame, text: str = "_text") -> DataFrame:
+    """Add _units, which joined are the text, and _chunks: (s, e, h), first and last unit from 1, and a hash."""
+    df = df.withColumn("_units", F.expr(f"filter(regexp_extract_all({text}, {_sql(UNIT)}, 0), x -> x <> '')"))
+    df = df.withColumn("_bare", F.expr("transform(_units, x -> trim(TRAILING ' \\n' FROM x))"))
+    df = df.withColumn("_hash", F.expr("transform(_bare, x -> cast(conv(substr(md5(x), 1, 8), 16, 10) AS bigint))"))
+    df = df.withColumn("_rolling", F.expr(f"zip_with(slice(_hash, 1, greatest(size(_hash) - 1, 0)), slice(_hash, 2, greatest(size(_hash) - 1, 0)), (a, b) -> {_R})"))
+    # a boundary is the smaller of two neighbours, the right one on ties
+    before, after = "if(size(_rolling) > 0, array_prepend(slice(_rolling, 1, size(_rolling) - 1), -1L), _rolling)", "if(size(_rolling) > 0, array_append(slice(_rolling, 2, size(_rolling)), -1L), _rolling)"
+    df = df.withColumns({"_before": F.expr(before), "_after": F.expr(after)})
+    df = df.withColumn("_marks", F.expr("transform(arrays_zip(_rolling, _before, _after), x -> x._rolling < x._after OR (x._rolling <= x._before AND x._before >= 0))"))
+    df = df.withColumn("_ends", F.expr("filter(transform(_marks, (m, i) -> if(m, i + 1, 0)), i -> i > 0)"))
+    df = df.withColumn("_chunks", F.expr("zip_with(slice(_ends, 1, greatest(size(_ends) - 1, 0)), slice(_ends, 2, greatest(size(_ends) - 1, 0)), (s, e) -> named_struct('s', s, 'e', e, 'h', xxhash64(slice(_bare, s, e - s + 1))))"))
+    return df.drop("_bare", "_hash", "_rolling", "_before", "_after", "_marks", "_ends")
 
-def with_chunks(docs: DataFrame, text: str = "text", out: str = "_chunks") -> DataFrame:
-    """Add ``out``: the text's chunks in order; joined by line ends they are the text."""
-    df = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    df = df.withColumns({
-        "_hash": F.expr("transform(_lines, l -> cast(conv(substr(md5(l), 1, 8), 16, 10) AS bigint))"),
-        "_long": F.expr(f"transform(_lines, l -> {_words('l')} >= {LONG_LINE})"),
-    })
-    # cut[i]: whether a boundary follows line i
-    df = df.withColumns({"_before": F.expr("array_prepend(slice(_hash, 1, size(_hash) - 1), 0L)"), "_after": F.expr("array_append(slice(_long, 2, size(_long)), false)")})
-    df = df.withColumn("_cut", F.expr(f"transform(arrays_zip(_hash, _before, _long, _after), x -> (x._hash + 31 * x._before) % {DIVISOR} = 0 OR x._long OR x._after)"))
-    df = df.withColumn("_ends", F.expr("array_distinct(array_append(filter(transform(_cut, (c, i) -> if(c, i + 1, 0)), i -> i > 0), size(_cut)))"))
-    df = df.withColumn("_starts", F.expr("array_prepend(slice(_ends, 1, size(_ends) - 1), 0)"))
-    df = df.withColumn(out, F.expr("zip_with(_starts, _ends, (s, e) -> array_join(slice(_lines, s + 1, e - s), '\\n'))"))
-    return df.drop("_lines", "_hash", "_before", "_after", "_long", "_cut", "_ends", "_starts")
 
+def _bare_at(place: str) -> str:
+    """The unit at a place without its end; null outside of the text."""
+    return f"trim(TRAILING ' \\n' FROM if({place} BETWEEN 1 AND size(_units), element_at(_units, greatest({place}, 1)), NULL))"
 
-def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _gone): the SHA-256 digests of the chunks that a document loses."""
-    chunked = with_chunks(docs.select(key, text).where(F.col(key).isNotNull()), text)
-    own = F.filter("_chunks", counts)
-    occurrences = chunked.select(key, F.explode(F.transform(own, lambda c: F.xxhash64(c))).alias("_h"))
+
+def repeated_runs(chunked: DataFrame) -> DataFrame:
+    """(_rid, _gone): the places of the units that each row of ``chunked`` (_rid, _key, _units, _chunks) loses."""
+    chunks = chunked.where("_key IS NOT NULL").select("_rid", "_key", F.explode("_chunks").alias("_c")).select("_rid", "_key", "_c.*")
     # hashes only: which ones occur in several documents
-    shared = occurrences.groupBy("_h").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a < _b").select("_h")
-    marks = occurrences.join(shared, "_h").groupBy(key).agg(F.collect_set("_h").alias("_marks"))
-    # bytes: the marked chunks' texts, compared by grouping; chunks are made anew after the shuffle of the texts
-    marked = with_chunks(docs.select(key, text).join(marks, key), text)
-    found = marked.select(key, F.explode(F.filter("_chunks", lambda c: counts(c) & F.array_contains("_marks", F.xxhash64(c)))).alias("_chunk"))
-    least = found.groupBy("_chunk").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a < _b").select("_chunk", "_a")
-    gone = found.join(least, "_chunk").where(F.col(key) > F.col("_a"))
-    return gone.groupBy(key).agg(F.collect_set(F.sha2("_chunk", 256)).alias("_gone"))
+    shared = chunks.groupBy("h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.count("*").alias("_n")).where("_a < _b")
+    shared = cut(shared.select("h", "_n"), "shared")
+    marks = salted_join(chunks, shared, "h", chunks).groupBy("_rid").agg(F.collect_list(F.struct("s", "e", "h")).alias("_marks"))
+    # texts of the marked chunks and of the units around them, made before the rows: a row never holds a whole text
+    marked = chunked.select("_rid", "_key", "_units").join(marks, "_rid")
+    body = F.expr("transform(_marks, m -> named_struct('s', m.s, 'e', m.e, 'h', m.h, 'text', transform(slice(_units, m.s, m.e - m.s + 1), x -> trim(TRAILING ' \\n' FROM x))" + "".join(f", '{side}{k}', {_bare_at(f'm.{at} {sign} {k}')}" for k in range(1, EXTEND + 1) for side, at, sign in (("l", "s", "-"), ("r", "e", "+"))) + "))")
+    found = cut(marked.select("_rid", "_key", F.explode(body).alias("_c")).select("_rid", "_key", "_c.*"), "marked")
+    names = ["text", *[f"{side}{k}" for k in range(1, EXTEND + 1) for side in "lr"]]
+    first = found.groupBy("h").agg(F.min_by(F.struct(F.col("_key").alias("_first"), *[F.col(c).alias(f"_{c}") for c in names]), F.struct("_key", "_rid", "s")).alias("_ref")).select("h", "_ref.*")
+    matched = salted_join(found, first, "h").where("_key > _first AND text = _text")
+    # how far a match goes on
+    reach = {side: "CASE " + " ".join(f"WHEN {side}{k} IS NULL OR _{side}{k} IS NULL OR {side}{k} <> _{side}{k} THEN {k - 1}" for k in range(1, EXTEND + 1)) + f" ELSE {EXTEND} END" for side in "lr"}
+    matched = matched.withColumns({"_left": F.expr(reach["l"]), "_right": F.expr(reach["r"])})
+    words = lambda x: f"if({x} = '', 0, length({x}) - length(replace({x}, ' ', '')) + 1)"
+    total = f"aggregate(text, 0, (t, x) -> t + {words('x')})" + "".join(f" + if({n} >= {k}, {words(f'{side}{k}')}, 0)" for side, n in (("l", "_left"), ("r", "_right")) for k in range(1, EXTEND + 1))
+    places = matched.where(F.expr(f"{total} >= {LEAST_WORDS}")).groupBy("_rid").agg(F.collect_set(F.struct((F.col("s") - F.col("_left")).alias("s"), (F.col("e") + F.col("_right")).alias("e"))).alias("_runs"))
+    return places.select("_rid", F.expr("array_distinct(flatten(transform(_runs, r -> sequence(r.s, r.e))))").alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with its repeated chunks removed from ``text``, plus n_chunks and n_removed (replacing
-    columns of these names)."""
-    columns = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
-    joined = with_chunks(docs.join(repeated_chunks(docs, key, text), key, "left"), text)
-    stays = lambda c: F.col("_gone").isNull() | ~counts(c) | ~F.array_contains("_gone", F.sha2(c, 256))
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_chunks")).otherwise(F.filter("_chunks", stays)))
-    n = F.size("_chunks").cast("long")
-    joined = joined.withColumns({"n_chunks": n, "n_removed": n - F.size("_kept")})
-    return joined.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n"))).select(*columns, "n_chunks", "n_removed")
+    """``docs`` without the repeated runs in ``text``, plus n_units and n_removed (long; replacing columns of
+    these names)."""
+    columns = [c for c in docs.columns if c not in ("n_units", "n_removed")]
+    others = F.struct(*[F.col(f"`{c}`") for c in columns if c != text]).alias("_row")
+    packed = docs.select(others, F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(text).isNull().alias("_null"))
+    # the row number is kept by the cut; chunks are made once
+    chunked = cut(with_chunks(packed).drop("_text").withColumn("_rid", F.monotonically_increasing_id()), "chunks")
+    done = chunked.drop("_chunks").join(repeated_runs(chunked), "_rid", "left")
+    kept = F.expr("if(_gone IS NULL, _units, transform(array_except(if(size(_units) > 0, sequence(1, size(_units)), array()), _gone), i -> element_at(_units, i)))")
+    done = done.withColumn("_kept", kept)
+    n = F.size("_units").cast("long")
+    texts = {c: F.col(f"_row.`{c}`").alias(c) for c in columns if c != text} | {text: F.when(~F.col("_null"), F.array_join("_kept", "")).alias(text)}
+    return done.select(*[texts[c] for c in columns], n.alias("n_units"), (n - F.size("_kept")).alias("n_removed"))
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB SQL: doc_id, text, n_chunks, n_removed."""
-    words = "(length(line) - length(replace(line, ' ', '')) + 1)"
+    """The same in DuckDB SQL: doc_id, text, n_units, n_removed (for ids that aren't repeated)."""
+    around = ", ".join(f"lag(bare, {k}) OVER w AS l{k}" for k in range(1, EXTEND + 1))
+    after = ", ".join(f"lead(bare, {k}) OVER w AS r{k}" for k in range(1, EXTEND + 1))
+    ends = ", ".join(f"arg_max(r{k}, i) AS r{k}, arg_min(l{k}, i) AS l{k}" for k in range(1, EXTEND + 1))
+    names = ["chunk", *[f"{side}{k}" for k in range(1, EXTEND + 1) for side in "lr"]]
+    first = ", ".join(f"'{c}': {c}" for c in names)
+    reach = {side: "CASE " + " ".join(f"WHEN c.{side}{k} IS NULL OR f.{side}{k} IS NULL OR c.{side}{k} <> f.{side}{k} THEN {k - 1}" for k in range(1, EXTEND + 1)) + f" ELSE {EXTEND} END" for side in "lr"}
+    words = lambda x: f"CASE WHEN {x} = '' THEN 0 ELSE length({x}) - length(replace({x}, ' ', '')) + 1 END"
+    more = "".join(f" + CASE WHEN go_{side} >= {k} THEN {words(f'{side}{k}')} ELSE 0 END" for side in "lr" for k in range(1, EXTEND + 1))
+    unit = UNIT.replace("\n", "' || chr(10) || '")
     return f"""
-WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {table}
-), marked AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, {words} >= {LONG_LINE} AS a FROM lines
-), cuts AS (
-  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % {DIVISOR} = 0 OR a OR coalesce(lead(a) OVER w, false) AS cut FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), numbered AS (
-  SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cuts
-), chunks AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) > 1 OR max(a::INT) = 1 AS counts FROM numbered GROUP BY doc_id, k
-), least AS (
-  SELECT chunk, min(doc_id) AS first FROM chunks WHERE counts GROUP BY chunk HAVING min(doc_id) < max(doc_id)
-), judged AS (
-  SELECT c.*, counts AND first IS NOT NULL AND doc_id > first AS gone FROM chunks c LEFT JOIN least USING (chunk)
-)
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed FROM judged GROUP BY doc_id
+WITH cutted AS (SELECT doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '{unit}'), lambda x: x <> '') AS units FROM {table}),
+u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS i FROM cutted),
+b AS (SELECT *, rtrim(unit, ' ' || chr(10)) AS bare FROM u),
+h AS (SELECT *, ('0x' || substr(md5(bare), 1, 8))::BIGINT AS h FROM b),
+r AS (SELECT *, (h + 31 * lead(h) OVER w) % 4294967296 AS r, {around}, {after} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT *, coalesce(r < lead(r) OVER w, false) OR coalesce(r <= lag(r) OVER w, false) AS mark FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT doc_id, i AS s, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM m WHERE mark AND r IS NOT NULL),
+c AS (SELECT doc_id, s, e, string_agg(bare, chr(10) ORDER BY i) AS chunk, sum({words('bare')}) AS n, {ends} FROM e JOIN m USING (doc_id) WHERE e IS NOT NULL AND i BETWEEN s AND e GROUP BY doc_id, s, e),
+f AS (SELECT chunk, min(doc_id) AS first, arg_min({{{first}}}, (doc_id, s)) AS f FROM c GROUP BY chunk HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT c.*, {reach['l'].replace('f.', 'f.f.')} AS go_l, {reach['r'].replace('f.', 'f.f.')} AS go_r FROM c JOIN f ON c.chunk = f.chunk AND doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s - go_l, e + go_r + 1)) AS i FROM g WHERE n{more} >= {LEAST_WORDS}),
+left_ AS (SELECT u.doc_id, u.i, unit, gone.i IS NOT NULL AS gone FROM u LEFT JOIN gone USING (doc_id, i)),
+t AS (SELECT doc_id, string_agg(unit, '' ORDER BY i) FILTER (WHERE NOT gone) AS t, count(*) FILTER (WHERE gone) AS n FROM left_ GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text, len(units) AS n_units, coalesce(n, 0) AS n_removed FROM cutted LEFT JOIN t USING (doc_id)
 """

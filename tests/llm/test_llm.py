@@ -77,12 +77,42 @@ def test_line_dedup(spark, edges, empty):
     from tessera.llm import line_dedup as d
 
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"alpha\n{long}\nomega"), (2, f"other\n{long}\nend"), (3, f"{long}\n{long}"), (4, "short\nshort"), (5, None)]
+    rows = [(1, f"alpha\n{long}\nomega"), (2, f"other\n{long}\nend"), (3, f"{long}\n{long}"), (4, "short\nshort"), (5, None), (6, "short\nshort")]
     got = {r.doc_id: r for r in d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].text == rows[0][1] and got[2].text == "other\nend" and got[3].text == "" and got[4].text == "short\nshort" and got[5].text is None
+    assert got[1].text == rows[0][1] and got[2].text == "other\nend" and got[3].text == "" and got[4].text == got[6].text == "short\nshort" and got[5].text is None
     assert d.dedup_lines(edges).count() == len(EDGES) and d.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_every_passage_of_over_50_words(spark):
+    from tessera.llm import line_dedup as d
+
+    rng = random.Random(31)
+    line = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    common = line(9)  # a line that many texts have, of which none goes
+    passages = []
+    for k in range(40):
+        left, lines = 51 + k, []
+        while left > 0:
+            lines.append(line(min(left, rng.choice([3, 8, 13, 30, 60]))))
+            left -= len(lines[-1].split())
+        passages.append("\n".join(lines))
+    rows, own = [], {}
+    for i in range(160):
+        p = passages[i % 40]
+        before, after = ([line(rng.randint(1, 40)) for _ in range(rng.randint(0, 3))] + [common, line(5)] for _ in range(2))
+        after.reverse()
+        rows.append((i, "\n".join([*before, p, *after])))
+        own[i] = {w for x in (*before, *after) for w in x.split()}
+    frame = spark.createDataFrame([(i, t, str(i), i, -i) for i, t in rows], "doc_id long, text string, _units string, _gone long, h long")
+    out = d.dedup_lines(frame)
+    assert out.columns == [*frame.columns, "n_units", "n_removed"]
+    for r in out.collect():
+        p = passages[r.doc_id % 40]
+        assert (p in r.text) == (r.doc_id < 40) and common in r.text and (r._units, r._gone, r.h) == (str(r.doc_id), r.doc_id, -r.doc_id)
+        if r.doc_id >= 40:
+            assert not set(r.text.split()) & (set(p.split()) - own[r.doc_id]) and own[r.doc_id] == set(r.text.split())
+
+
 # 3
 def test_bpe_equals_the_library(spark, docs, edges, empty):
     import public_tokenizers
