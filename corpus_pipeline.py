@@ -1,7 +1,7 @@
 """A training-corpus pipeline in five stages; each works on all that the one before has kept.
 
 toxicity          documents predicted toxic go
-line_dedup        chunks of lines that an earlier document has go; a document that loses all its text goes
+line_dedup        runs of lines that an earlier document has go; a document that loses all its text goes
 jaccard_join      of each group of near copies the document of the least id stays
 decontamination   documents that contain an item of the benchmark go
 bpe               what is left is encoded (and decoded again as a proof)
@@ -23,12 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
-    done = done.where(~emptied)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    # written before the filter, which would otherwise be pushed into the making of the texts
+    done = cut(line_dedup.dedup_lines(docs.withColumnRenamed("n_chars", "_n_chars")), "lines")
+    done = done.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_n_chars"))
+    return done.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
