@@ -54,7 +54,7 @@ LARGEST_SMALL = 16
 LIST_COST = 8
 #: A shingle that occurs this often is heavy; so many heavy ones at most, the most frequent, are broadcast (8
 #: bytes each). Which ones are heavy affects only the order, so never the result.
-HEAVY, MAX_HEAVY = 64, 1_000_000
+HEAVY, MAX_HEAVY = 64, 500_000
 #: Lists of shingles that occur this often are dealt in parts to several tasks; so many parts of a list and
 #: so many such lists, the longest, at most.
 PART, MAX_PARTS, MAX_DEALT = 2048, 4096, 50_000
@@ -108,6 +108,8 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 #: A task passes on what it saw once for this part of all shingles, so that those spread over many tasks are seen.
 SLICE = 64
+#: What such a sighting counts: two make a heavy shingle.
+SIGHTING = HEAVY // 2
 
 
 def count_shingles(docs: DataFrame, text: str = "text") -> tuple[dict[int, int], np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ def count_shingles(docs: DataFrame, text: str = "text") -> tuple[dict[int, int],
             once = (times == 1) & (values % np.uint64(SLICE) == slot)
             keep = (times > 1) | once
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(np.where(once, SLICE, times)[keep]), pa.array(np.zeros(int(keep.sum()), bool))], ["h", "c", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(np.where(once, SIGHTING, times)[keep]), pa.array(np.zeros(int(keep.sum()), bool))], ["h", "c", "size"])
 
         for part in small(batches, text):
             values, bounds = _sets(column(part, text))
@@ -144,10 +146,18 @@ def count_shingles(docs: DataFrame, text: str = "text") -> tuple[dict[int, int],
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(bound + 1)), pa.array(sizes), pa.array(np.ones(bound + 1, bool))], ["h", "c", "size"])
 
     counts = docs.select(text).mapInArrow(run, "h long, c long, size boolean").groupBy("size", "h").agg(F.sum("c").alias("c"))
-    counts = counts.where(F.col("size") | (F.col("c") >= HEAVY))
-    rows = counts.orderBy(F.desc("size"), F.desc("c"), "h").limit(bound + 1 + MAX_HEAVY).toPandas()
-    sizes = {int(n): int(c) for n, c in rows.loc[rows["size"], ["h", "c"]].to_numpy()}
-    rows = rows.loc[~rows["size"]]
+    counts = cut(counts.where(F.col("size") | (F.col("c") >= HEAVY)), "shingles")
+    sizes = {r.h: r.c for r in counts.where("size").collect()}
+    # the most frequent ones by steps of the count, so that no more than MAX_HEAVY rows come to the driver
+    step = F.floor(F.log2("c") * 8)
+    held, least = 0, 0
+    for r in counts.where("NOT size").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > MAX_HEAVY:
+            least = r.step + 1
+            break
+    rows = counts.where(~F.col("size") & (step >= least)).select("h", "c").toPandas()
+    discard(counts)
     h, c = rows.h.to_numpy(np.int64).view(np.uint64), rows.c.to_numpy(np.int64)
     order = np.argsort(h)
     return sizes, h[order], c[order]
@@ -384,9 +394,9 @@ DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n in
 def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
     """DIFFERENCES: prefixes of the differences of list members (a, b, label, far) from their centres (b).
 
-    The order is: light elements that only the member has, heavy ones, those that only the centre has. A member
-    that is far, so not linked with the centre, has two prefixes: one for far partners (both), one for near
-    ones; a near member has one, for far partners.
+    The order is: light elements that only the member has, heavy ones, those that only the centre has. The prefix
+    for far partners, which aren't linked with the centre, is marked (both); a far member has a longer one
+    for near partners.
     """
     kind = members.schema["a"].dataType.simpleString()
     lacks = np.uint64(0xA0761D6478BD642F)  # marks what only the centre has
@@ -404,17 +414,16 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
                 d, n = len(order), len(v)
                 if not d or not n:
                     continue
-                lengths = [(bool(far[i]), d - shared_differences(d, n, len(w)) + 1)]
-                if far[i]:  # a near partner has at least as many differences as are shared
-                    lengths.append((False, d - max(1, d - n // NUM) + 1))
-                for flag, length in lengths:
-                    length = max(0, min(d, length))
-                    rows += [i] * length
-                    tokens.append(order[:length])
-                    both += [flag] * length
-                    place += range(length)
-                    count += [d] * length
-                    size += [n] * length
+                # a partner has at least as many differences as are shared, and is at most n / 4 away from the set
+                whole = d - max(1, d - n // NUM) + 1
+                with_far = max(0, min(whole, d - shared_differences(d, n, len(w)) + 1))
+                length = whole if far[i] else with_far
+                rows += [i] * length
+                tokens.append(order[:length])
+                both += [True] * with_far + [False] * (length - with_far)
+                place += range(length)
+                count += [d] * length
+                size += [n] * length
             if rows:
                 again = lambda c: column(part, c).take(pa.array(rows))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
@@ -431,7 +440,7 @@ def _meetings(differences: DataFrame) -> DataFrame:
     x, y = sides[0].where("x_far"), sides[1]
     apart = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + DEN}))"
     fits = F.expr(
-        f"x_both = y_both AND (x_both = y_far) AND (NOT x_both OR x_id < y_id) AND x_label <> y_label AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
+        f"(NOT y_far OR x_both AND y_both AND x_id < y_id) AND x_label <> y_label AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
         f" AND 2 * least(x_d - x_pos, y_d - y_pos) >= x_d + y_d - {apart}"
     )
     found = x.join(y, (x.centre == y.centre) & (x.token == y.token) & fits)
