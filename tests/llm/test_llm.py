@@ -105,7 +105,7 @@ def test_line_dedup_finds_every_passage_of_over_50_words(spark):
         own[i] = {w for x in (*before, *after) for w in x.split()}
     frame = spark.createDataFrame([(i, t, str(i), i, -i) for i, t in rows], "doc_id long, text string, _units string, _gone long, h long")
     out = d.dedup_lines(frame)
-    assert out.columns == [*frame.columns, "n_units", "n_removed"]
+    assert out.columns == [*frame.columns, "n_removed"]
     for r in out.collect():
         p = passages[r.doc_id % 40]
         assert (p in r.text) == (r.doc_id < 40) and common in r.text and (r._units, r._gone, r.h) == (str(r.doc_id), r.doc_id, -r.doc_id)
