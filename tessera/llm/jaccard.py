@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import column, small
 from tessera.llm.components import connected_components
 from tessera.llm.skew import salted_join
-from tessera.llm.store import cut, discard
+from tessera.llm.store import arrow_rows, cut, discard
 from tessera.llm.words import Words, distinct_by_row, mix
 
 K = 5
@@ -60,6 +60,8 @@ HEAVY, MAX_HEAVY = 64, 500_000
 PART, MAX_PARTS, MAX_DEALT = 2048, 4096, 50_000
 #: In longer lists members meet by their differences from the centre.
 SHORT = 32
+#: Pairs of texts in one Arrow batch.
+PAIR_ROWS = 256
 #: Histogram bins of a set, 16 bits each; larger sets than LARGEST_BINNED are not bounded by them.
 BINS, LARGEST_BINNED = 128, 65_535
 
@@ -457,7 +459,7 @@ def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the least id reachable by links) of every row."""
-    context, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
+    spark, context, kind = docs.sparkSession, docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
     docs = docs.select(key, text)
     sizes, heavy, often = count_shingles(docs, text)
     parts = np.minimum(often // PART, MAX_PARTS)
@@ -478,7 +480,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         """The links (a, b) among the pairs."""
         pairs = cut(pairs, "pairs")
         bounded = cut(_bounded(pairs, sketches).where("possible").select("a", "b"), "bounded")
-        links = cut(_verified(bounded, docs, key, text), "compared")
+        with arrow_rows(spark, PAIR_ROWS):
+            links = cut(_verified(bounded, docs, key, text), "compared")
         discard(pairs)
         discard(bounded)
         temporary.append(links)
@@ -513,7 +516,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = cut(members, "far")
     # a centre without far members has nothing to add
     open_centres = members.where("far").select("b").distinct()
-    differences = cut(_differences(salted_join(members, open_centres, "b"), heavy, docs, key, text), "differences")
+    with arrow_rows(spark, PAIR_ROWS):
+        differences = cut(_differences(salted_join(members, open_centres, "b"), heavy, docs, key, text), "differences")
     more = compared(late.union(_meetings(differences)).distinct())
     if more.limit(1).count():
         found = connected_components(links.union(more))

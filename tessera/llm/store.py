@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most ``n`` rows for what is written inside, for rows that hold several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for a table that nothing will read again."""
     path = getattr(df, "_tessera_path", None)
