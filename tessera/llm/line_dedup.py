@@ -67,7 +67,9 @@ def with_chunks(df: DataFrame, text: str) -> DataFrame:
 def repeated_runs(packed: DataFrame) -> DataFrame:
     """(_key, _rid, _gone): the places of the units that the rows of ``packed`` (_key, _rid, _text) lose."""
     texts = packed.where("_key IS NOT NULL")
-    chunks = cut(with_chunks(texts.select("_key", "_rid", "_text"), "_text").select("_key", "_rid", F.explode("_chunks").alias("_c")).select("_key", "_rid", "_c.*"), "chunks")
+    # the outer form, as a filter of empty arrays would be pushed below the making of the chunks and repeat it
+    chunks = with_chunks(texts.select("_key", "_rid", "_text"), "_text").select("_key", "_rid", F.explode_outer("_chunks").alias("_c"))
+    chunks = cut(chunks.where("_c IS NOT NULL").select("_key", "_rid", "_c.*"), "chunks")
     # hashes only: which ones occur in several documents
     shared = chunks.groupBy("h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a < _b").select("h")
     marks = salted_join(chunks, shared, "h").groupBy("_key", "_rid").agg(F.collect_set(F.struct("s", "e", "h")).alias("_marks"))
@@ -76,7 +78,7 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
     at = lambda place: _bare(f"if({place} BETWEEN 1 AND size(_units), element_at(_units, greatest({place}, 1)), NULL)")
     around = "".join(f", '{name}', {at(f'm.{end} + ({k})')}" for name, end, k in AROUND)
     body = f"transform(_marks, m -> named_struct('s', m.s, 'e', m.e, 'h', m.h, 'chunk', transform(slice(_units, m.s, m.e - m.s + 1), x -> {_bare('x')}){around}))"
-    found = cut(marked.select("_key", "_rid", F.explode(F.expr(body)).alias("_c")).select("_key", "_rid", "_c.*"), "marked")
+    found = cut(marked.select("_key", "_rid", F.explode_outer(F.expr(body)).alias("_c")).select("_key", "_rid", "_c.*"), "marked")
     first = found.groupBy("h").agg(F.min_by(F.struct(F.col("_key").alias("_first"), *[F.col(c).alias(f"_{c}") for c in ("chunk", *[x[0] for x in AROUND])]), F.struct("_key", "_rid", "s")).alias("_ref")).select("h", "_ref.*")
     matched = salted_join(found, first, "h").where("_key > _first AND chunk = _chunk")
     # how far a match goes on
