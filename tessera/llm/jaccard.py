@@ -15,12 +15,13 @@ A list's centre is its member with the fewest light shingles, hence the base of
 Every member is first compared with the best of its lists' centres, then with those centres that are
 still in another component. What can be left are links between members of a list that are in different
 components. One of the two, x, then isn't linked with the centre c. Let D(x) be the shingles in which x and c
-differ, and most(n, m) the largest symmetric difference of linked sets of these sizes. Two members share
-at least t = (|D(x)| + |D(y)| - most) / 2 of their differences, and t > 0 if x isn't linked with c: so in
-lists of more than SHORT members only those meet again that have an element in common in the prefixes of
-their differences. A group of copies with edits of their own costs a star of links and some lists of
-edits, not all pairs. In shorter lists the members meet each other, if the places of the common shingle
-allow a link. Every pair is bounded by the histograms of its sets and verified exactly on its whole texts.
+differ, and most(n, m) the largest symmetric difference of linked sets of these sizes. Two linked members
+share at least t = (|D(x)| + |D(y)| - most) / 2 of their differences, and t > 0 if x isn't linked with c. If
+they have a light shingle in common, they also meet in its list, as all light ones of both are in their
+prefixes; else the shared differences are among the others. So in lists of more than SHORT members only
+those meet again that have an element in common in the prefixes of these differences. A group of copies
+with edits of their own costs a star of links, not all pairs. In shorter lists the members meet each
+other, if the places of the common shingle allow a link. Every pair is bounded by the histograms of its sets and verified exactly on its whole texts.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than K
 words are one shingle; rows that share an id are one document with several texts; a null id gets the
@@ -233,7 +234,7 @@ def _subsets(v: np.ndarray, most: int) -> np.ndarray:
 
 
 LISTED = "token long, sure boolean, id {id}, n int, pos int, light int, part int"
-LISTS = "token long, sure boolean, id {id}, n int, pos int, part int, centre {id}, weight int, centre_n int, centre_pos int"
+LISTS = "token long, sure boolean, id {id}, n int, pos int, light int, part int, centre {id}, weight int, centre_n int, centre_pos int"
 
 
 def _explode(classes: DataFrame, hot) -> DataFrame:
@@ -279,7 +280,7 @@ def _lists(entries: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             which = [column(batch, "token").to_numpy(), np.asarray(column(batch, "sure").to_numpy(zero_copy_only=False), dtype=bool), column(batch, "part").to_numpy()]
-            row = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("id", "n", "pos", "part")]
+            row = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("id", "n", "pos", "light", "part")]
             head = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("id", "light", "n", "pos")]
             starts = np.ones(batch.num_rows, dtype=bool)
             starts[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in which])
@@ -314,7 +315,7 @@ def _with_centres(lists: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in LISTS.split(", ")]
     dealt = lists.where("part >= 0")
     best = dealt.groupBy("token").agg(F.min_by(F.struct("centre", "weight", "centre_n", "centre_pos"), F.struct("weight", "centre")).alias("_c"))
-    merged = dealt.select("token", "sure", "id", "n", "pos", "part").join(F.broadcast(best), "token").select("token", "sure", "id", "n", "pos", "part", "_c.*")
+    merged = dealt.select("token", "sure", "id", "n", "pos", "light", "part").join(F.broadcast(best), "token").select("token", "sure", "id", "n", "pos", "light", "part", "_c.*")
     return lists.where("part < 0").select(*names).union(merged.select(*names))
 
 
@@ -390,13 +391,14 @@ def shared_differences(d: int, m: int, k: int) -> int:
     return max(1, -(-(d + 2 + least) // 2))
 
 
-DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, pos int, d int, label {id}"
+DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, left int, d int, label {id}"
 
 
 def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """DIFFERENCES: prefixes of the differences of list members (a, b, label, far) from their centres (b).
+    """DIFFERENCES: prefixes of the differences of list members (a, b, label, far, light) from their centres (b).
 
-    The order is: light elements that only the member has, heavy ones, those that only the centre has. The prefix
+    The order is: light elements that only the member has (if they meet in the list of a light one), heavy
+    ones, those that only the centre has. The prefix
     for far partners, which aren't linked with the centre, is marked (both); a far member has a longer one
     for near partners.
     """
@@ -406,44 +408,47 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
     def run(batches):
         last = heavy.value
         for part in small(small(batches, "_x"), "_y"):
-            far = np.asarray(column(part, "far").to_numpy(zero_copy_only=False), dtype=bool)
-            rows, tokens, both, place, count, size = [], [], [], [], [], []
+            far, lights = (np.asarray(column(part, c).to_numpy(zero_copy_only=False), dtype=bool) for c in ("far", "light"))
+            rows, tokens, both, left, count, size = [], [], [], [], [], []
             for i, (v, w) in enumerate(_set_pairs(part)):
                 own, gone = np.setdiff1d(v, w, assume_unique=True), np.setdiff1d(w, v, assume_unique=True)
                 at = np.minimum(np.searchsorted(last, own), max(len(last) - 1, 0))
                 weighty = last[at] == own if len(last) else np.zeros(len(own), dtype=bool)
-                order = np.concatenate((own[~weighty], own[weighty], mix(gone ^ lacks)))
-                d, n = len(order), len(v)
-                if not d or not n:
+                order = np.concatenate((own[~weighty] if lights[i] else own[:0], own[weighty], mix(gone ^ lacks)))
+                d, n, m = len(own) + len(gone), len(v), len(order)
+                if not m or not n:
                     continue
                 # a partner has at least as many differences as are shared, and is at most n / 4 away from the set
-                whole = d - max(1, d - n // NUM) + 1
-                with_far = max(0, min(whole, d - shared_differences(d, n, len(w)) + 1))
+                whole = max(0, m - max(1, d - n // NUM) + 1)
+                with_far = max(0, min(whole, m - shared_differences(d, n, len(w)) + 1))
                 length = whole if far[i] else with_far
                 rows += [i] * length
                 tokens.append(order[:length])
                 both += [True] * with_far + [False] * (length - with_far)
-                place += range(length)
+                left += range(m, m - length, -1)
                 count += [d] * length
                 size += [n] * length
             if rows:
                 again = lambda c: column(part, c).take(pa.array(rows))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [again("b"), pa.array(np.concatenate(tokens).view(np.int64)), again("far"), pa.array(both), again("a"), pa.array(size, pa.int32()), pa.array(place, pa.int32()), pa.array(count, pa.int32()), again("label")],
-                    ["centre", "token", "far", "both", "id", "n", "pos", "d", "label"],
+                    [again("b"), pa.array(np.concatenate(tokens).view(np.int64)), again("far"), pa.array(both), again("a"), pa.array(size, pa.int32()), pa.array(left, pa.int32()), pa.array(count, pa.int32()), again("label")],
+                    ["centre", "token", "far", "both", "id", "n", "left", "d", "label"],
                 )
 
-    return _with_texts(members, docs, key, text).select("a", "b", "label", "far", "_x", "_y").mapInArrow(run, DIFFERENCES.format(id=kind))
+    return _with_texts(members, docs, key, text).select("a", "b", "label", "far", "light", "_x", "_y").mapInArrow(run, DIFFERENCES.format(id=kind))
+
+
+#: most_apart in SQL, of x_n and y_n.
+APART = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + DEN}))"
 
 
 def _meetings(differences: DataFrame) -> DataFrame:
     """Pairs (a, b) of members whose differences from a centre can be those of linked sets."""
-    sides = [differences.select("centre", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "pos", "d", "label")]) for side in "xy"]
+    sides = [differences.select("centre", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "left", "d", "label")]) for side in "xy"]
     x, y = sides[0].where("x_far"), sides[1]
-    apart = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + DEN}))"
     fits = F.expr(
         f"(NOT y_far OR x_both AND y_both AND x_id < y_id) AND x_label <> y_label AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
-        f" AND 2 * least(x_d - x_pos, y_d - y_pos) >= x_d + y_d - {apart}"
+        f" AND 2 * least(x_left, y_left) >= x_d + y_d - {APART}"
     )
     found = x.join(y, (x.centre == y.centre) & (x.token == y.token) & fits)
     return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
@@ -502,17 +507,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # what is left: members of a list, other than its centre, that are in different components
     place = lambda name, label: found.select(F.col("node").alias(name), F.col("component").alias(label))
-    member = lists.where("NOT sure").select("token", "id", "n", "pos", "centre").join(place("id", "_l"), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
+    # those without a common light shingle are apart by their light ones, of which the centre has the fewest
+    member = lists.where(f"NOT sure AND (id = centre OR pos < light OR light + weight <= n DIV {NUM})").select("token", "id", "n", "pos", "light", "centre").join(place("id", "_l"), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
     member = cut(member, "members")
     mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_c")).where("_x < _y").select("token", "_c")
     rest = salted_join(member, mixed, "token")
-    rest = cut(rest.select("token", "id", "n", "pos", "centre", "label", (F.col("_c") > SHORT).alias("long")), "rest")
-    x, y = (rest.where("NOT long AND id <> centre").select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "label")]) for side in "xy")
+    rest = cut(rest.select("token", "id", "n", "pos", "light", "centre", "label", (F.col("_c") > SHORT).alias("long")), "rest")
+    x, y = (rest.where("NOT long AND id <> centre").select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "light", "label")]) for side in "xy")
     open_ = (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & may_link("x_n", "y_n", "x_pos", "y_pos")
+    open_ = open_ & F.expr(f"x_pos < x_light OR y_pos < y_light OR x_light + y_light <= {APART}")
     late = x.join(y, (x.token == y.token) & open_).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    members = rest.where("long").select("centre", "id", "label").distinct()
+    members = rest.where("long").groupBy("centre", "id", "label").agg(F.max(F.col("pos") < F.col("light")).alias("light"))
     own = members.where("id = centre").select("centre", F.col("label").alias("_own"))
-    members = salted_join(members, own, "centre").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "label", (F.col("label") != F.col("_own")).alias("far"))
+    members = salted_join(members, own, "centre").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "label", "light", (F.col("label") != F.col("_own")).alias("far"))
     members = cut(members, "far")
     # a centre without far members has nothing to add
     open_centres = members.where("far").select("b").distinct()
