@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import column, small
 from tessera.llm.components import connected_components
 from tessera.llm.skew import salted_join
-from tessera.llm.store import arrow_rows, cut, discard
+from tessera.llm.store import cut, discard
 from tessera.llm.words import Words, distinct_by_row, mix
 
 K = 5
@@ -464,7 +464,7 @@ def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the least id reachable by links) of every row."""
-    spark, context, kind = docs.sparkSession, docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
+    context, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
     docs = docs.select(key, text)
     sizes, heavy, often = count_shingles(docs, text)
     parts = np.minimum(often // PART, MAX_PARTS)
@@ -475,18 +475,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # one row per class: copies collapse before the shuffle
     entries = _entries(docs, heavy, boundary(sizes), key, text).where("n > 0 AND _id IS NOT NULL")
     whole = entries.groupBy("n", "k1", "k2").agg(F.min("_id").alias("id"), *[F.first(c).alias(c) for c in ("light", "tokens", "sure", "sketch")])
-    whole = cut(whole, "classes")
-    scanned = cut(_lists(_explode(whole, hot)), "lists")
+    listed = cut(whole, "classes")
+    scanned = cut(_lists(_explode(listed, hot)), "lists")
+    whole = cut(listed.select("n", "k1", "k2", "id", "sketch"), "sketches")
+    discard(listed)
     lists, sketches = _with_centres(scanned), whole.select("id", "n", "sketch")
-
-    temporary = [scanned]
+    temporary = []
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The links (a, b) among the pairs."""
         pairs = cut(pairs, "pairs")
         bounded = cut(_bounded(pairs, sketches).where("possible").select("a", "b"), "bounded")
-        with arrow_rows(spark, PAIR_ROWS):
-            links = cut(_verified(bounded, docs, key, text), "compared")
+        links = cut(_verified(bounded, docs, key, text), "compared", PAIR_ROWS)
         discard(pairs)
         discard(bounded)
         temporary.append(links)
@@ -511,6 +511,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = lists.where(f"NOT sure AND (id = centre OR pos < light OR light + weight <= n DIV {NUM})").select("token", "id", "n", "pos", "light", "centre").join(place("id", "_l"), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
     member = cut(member, "members")
     mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_c")).where("_x < _y").select("token", "_c")
+    discard(scanned)
     rest = salted_join(member, mixed, "token")
     rest = cut(rest.select("token", "id", "n", "pos", "light", "centre", "label", (F.col("_c") > SHORT).alias("long")), "rest")
     x, y = (rest.where("NOT long AND id <> centre").select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "light", "label")]) for side in "xy")
@@ -521,14 +522,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = members.where("id = centre").select("centre", F.col("label").alias("_own"))
     members = salted_join(members, own, "centre").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "label", "light", (F.col("label") != F.col("_own")).alias("far"))
     members = cut(members, "far")
+    discard(member)
     # a centre without far members has nothing to add
     open_centres = members.where("far").select("b").distinct()
-    with arrow_rows(spark, PAIR_ROWS):
-        differences = cut(_differences(salted_join(members, open_centres, "b"), heavy, docs, key, text), "differences")
+    differences = cut(_differences(salted_join(members, open_centres, "b"), heavy, docs, key, text), "differences", PAIR_ROWS)
     more = compared(late.union(_meetings(differences)).distinct())
     if more.limit(1).count():
         found = connected_components(links.union(more))
-    for table in (*temporary, stars, best, member, rest, members, differences):
+    for table in (*temporary, stars, best, rest, members, differences):
         discard(table)
 
     named = whole.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("_component"))

@@ -23,29 +23,36 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Has Spark delete a query's shuffle files when it has ended; what ``cut`` writes replaces them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str = "cut", arrow_rows: int = 10_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, so a lost executor
-    costs a reread and not a recomputation."""
+    costs a reread and not a recomputation. ``arrow_rows`` bounds Arrow batches whose rows hold several texts."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows)):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of at most ``n`` rows for what is written inside, for rows that hold several texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(n, int(before)) if int(before) > 0 else n))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def discard(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for a table that nothing will read again."""
     path = getattr(df, "_tessera_path", None)
