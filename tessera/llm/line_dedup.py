@@ -74,7 +74,7 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
     shared = chunks.groupBy("h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a < _b").select("h")
     marks = salted_join(chunks, shared, "h").groupBy("_key", "_rid").agg(F.collect_set(F.struct("s", "e", "h")).alias("_marks"))
     # texts of the marked chunks and of the units around them, cut out before the rows are made: a row never holds a whole text
-    marked = packed.join(marks, ["_key", "_rid"]).withColumn("_units", F.expr(_units("_text")))
+    marked = packed.join(marks.hint("shuffle_hash"), ["_key", "_rid"]).withColumn("_units", F.expr(_units("_text")))
     at = lambda place: _bare(f"if({place} BETWEEN 1 AND size(_units), element_at(_units, greatest({place}, 1)), NULL)")
     around = "".join(f", '{name}', {at(f'm.{end} + ({k})')}" for name, end, k in AROUND)
     body = f"transform(_marks, m -> named_struct('s', m.s, 'e', m.e, 'h', m.h, 'chunk', transform(slice(_units, m.s, m.e - m.s + 1), x -> {_bare('x')}){around}))"
@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     others = [c for c in columns if c not in (key, text)]
     packed = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_rid"), F.col(text).alias("_text"), *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")] if others else []))
     # equal texts of one id lose the same units, so these two tell rows apart as far as needed
-    done = packed.join(repeated_runs(packed), ["_key", "_rid"], "left")
+    done = packed.join(repeated_runs(packed).hint("shuffle_hash"), ["_key", "_rid"], "left")
     kept = f"element_at(transform(array({_units('_text')}), u -> transform(array_except(sequence(1, size(u)), _gone), i -> element_at(u, i))), 1)"
     values = {c: F.col(f"_row.`{c}`").alias(c) for c in others}
     values |= {key: F.col("_key").alias(key), text: F.expr(f"CASE WHEN _gone IS NULL THEN _text ELSE array_join({kept}, '') END").alias(text)}
