@@ -137,24 +137,153 @@ def test_bpe_equals_the_library(spark, docs, edges, empty):
 
 
 # 4
-def test_pii(spark, edges, empty):
+KEY = "a key"
+
+
+def pseudonym(kind, x):
+    """What op 4 puts in place of a value, written anew."""
+    import datetime
+
+    def bits(value, tweak):
+        return int(hashlib.sha256(f"{KEY}|{tweak}|{value}".encode()).hexdigest()[:12], 16)
+
+    def digits(d, tweak):
+        a, b = d[: len(d) // 2], d[len(d) // 2 :]
+        for i in range(1, 9):
+            a, b = b, str((int(a) + bits(b, f"{tweak}{i}")) % 10 ** len(a)).zfill(len(a))
+        return a + b
+
+    def below(n, size, tweak, valid=lambda t: True):
+        half = 1 << size // 2
+        while True:
+            a, b = divmod(n, half)
+            for i in range(1, 9):
+                a, b = b, (a + bits(b, f"{tweak}{i}")) % half
+            n = a * half + b
+            if valid(n):
+                return n
+
+    def refill(new):
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in x)
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10
+
+    d, first = re.sub("[^0-9]", "", x), datetime.date(1900, 1, 1)
+    if kind == "card":
+        body = d[:6] + digits(d[6:-1], "card" + d[:6]) if luhn(d) == 0 and int(d) else None
+        return refill(body + str(-luhn(body + "0") % 10)) if body else x
+    if kind == "ip":
+        o = [int(c) for c in x.split(".")]
+        n = below(int.from_bytes(bytes(o), "big"), 32, "ip") if max(o) < 256 else None
+        return x if n is None else ".".join(str(b) for b in n.to_bytes(4, "big"))
+    if kind == "date":
+        for form in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
+            try:
+                n = (datetime.datetime.strptime(x, form).date() - first).days
+            except ValueError:
+                continue
+            at = lambda t: first + datetime.timedelta(t)
+            if not 0 <= n < 65536:
+                return x
+            return at(below(n, 16, "month first", lambda t: at(t).day > 12) if form == "%m/%d/%Y" else below(n, 16, "date")).strftime(form)
+        return x
+    if kind == "phone":
+        if re.match("[+][2-9]", x):
+            return refill(d[:2] + digits(d[2:], "phone" + d[:2])) if 8 <= len(d) <= 15 else x
+        area, exchange = int(d[-10:-7]), int(d[-7:-4])
+        if not area or not exchange:
+            return x
+        n = below(((area - 1) * 999 + exchange - 1) * 10000 + int(d[-4:]), 34, "phone", lambda t: t < 999 * 999 * 10000)
+        return refill(f"{d[:-10]}{n // 9990000 + 1:03}{n // 10000 % 999 + 1:03}{n % 10000:04}")
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return x
+        n = below(((area - (1 if area < 666 else 2)) * 99 + group - 1) * 9999 + serial - 1, 30, "ssn", lambda t: t < 898 * 99 * 9999)
+        area = n // (99 * 9999)
+        return refill(f"{area + (1 if area < 665 else 2):03}{n // 9999 % 99 + 1:02}{n % 9999 + 1:04}")
+    if kind == "iban":
+        p = x.replace(" ", "")
+        rest = lambda q: int("".join(str(int(c, 36)) for c in q[4:] + q[:4])) % 97
+        own = re.sub("[^0-9]", "", p[4:])
+        if rest(p) != 1 or not "02" <= p[2:4] <= "98" or not 2 <= len(own) <= 30:
+            return x
+        new = iter(digits(own, "iban" + p[:2] + re.sub("[0-9]", "#", p[4:])))
+        q = p[:2] + "00" + "".join(next(new) if c.isdigit() else c for c in p[4:])
+        q = iter(q[:2] + f"{98 - rest(q):02}" + q[4:])
+        return "".join(c if c == " " else next(q) for c in x)
+    keyed = lambda what: hashlib.sha256(f"{KEY}|{kind}|{what}".encode()).hexdigest()
+    if kind == "email":
+        return f"user-{keyed(x.lower())[:16]}@mail.invalid"
+    value = re.search(r"[A-Za-z0-9+/_.-]{12,200}$", x)[0]
+    return x[: -len(value)] + (keyed(value) * 4)[: len(value)]
+
+
+def test_pii_against_brute_force(spark):
     from tessera.llm import pii
 
-    rows = ["call +1 (743) 555-3824", "card 4111 1111 1111 1111 bad 4111111111111112", "ip 1.2.3.4. 300.1.1.1", "born 1999-12-31, 2023-02-30", "mail a.b@c.example.com", 'token = "24be64439e3e49cf"', "DE89 3704 0044 0532 0130 00", None, "", "plain"]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
-    assert [len(got[i].pii) for i in range(7)] == [1] * 7
-    for i, secret in enumerate(["743", "4111 1111 1111 1111", "1.2.3.4", "1999-12-31", "a.b@c", "24be", "3704 0044"]):
-        assert secret not in got[i].text
-    assert "4111111111111112" in got[1].text and "300.1.1.1" in got[2].text and "2023-02-30" in got[3].text
-    card = [int(c) for c in got[1].pii[0].out if c.isdigit()][::-1]
-    assert sum(c if i % 2 == 0 else sum(divmod(2 * c, 10)) for i, c in enumerate(card)) % 10 == 0
-    iban = got[6].pii[0].out.replace(" ", "")
-    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert got[7].text is None and got[9].text == "plain"
-    digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
-    assert digits.select(F.expr(pii.feistel_digits("x", "key", "'t'")).alias("y")).distinct().count() == 1000
-    assert pii.pseudonymise(edges).count() == len(EDGES) and pii.pseudonymise(empty).count() == 0
+    anything, patterns = re.compile(pii.ANY), {k: re.compile(p) for k, p in pii.PATTERNS.items()}
+    seen = []
+
+    def replaced(m):
+        kind = next(k for k, p in patterns.items() if p.fullmatch(m[0]))
+        out = pseudonym(kind, m[0])
+        if out != m[0]:
+            seen.append(kind)
+        return out
+
+    rng = random.Random(17)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(n):
+        body = d(n - 1)
+        return next(body + c for c in "0123456789" if sum(int(y) if i % 2 == 0 else sum(divmod(2 * int(y), 10)) for i, y in enumerate(reversed(body + c))) % 10 == 0)
+
+    def blocks(x, *sizes):
+        return rng.choice(" -").join(x[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+
+    make = [
+        lambda: card(rng.choice([13, 16, 19])), lambda: blocks(card(16), 4, 4, 4, 4), lambda: blocks(card(15), 4, 6, 5), lambda: d(16), lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+        lambda: f"{rng.randrange(1890, 2090)}-{rng.randrange(14):02}-{rng.randrange(33):02}", lambda: f"{rng.randrange(1, 32):02}/{rng.randrange(1, 32):02}/{rng.randrange(1900, 2079)}", lambda: f"{rng.randrange(1, 32):02}.{rng.randrange(1, 13):02}.1999",
+        lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"+1 {d(10)}", lambda: f"+44 20 {d(4)} {d(4)}", lambda: f"+49{d(9)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: "000-12-3456", lambda: "000 000 0000", lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB29NWBK60161331926819",
+        lambda: "ES91 2100 0418 4502 0005 1332 PAGE", lambda: "4111 1111 1111 1111 12/27", lambda: "4111111111111111 345 Main", lambda: f"x{d(2)}@mail{d(1)}.example.com", lambda: f'token = "{d(20)}abc"', lambda: "plain words", lambda: d(5),
+    ]
+    rows = [(i, " ".join(f"{rng.choice(make)()} word" for _ in range(rng.randrange(8))), "kept", "kept") for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _found string, pii string")
+    out = pii.pseudonymise(frame, KEY)
+    assert out.columns == ["doc_id", "text", "_found", "pii"]
+    for r in out.collect():
+        assert r.text == anything.sub(replaced, rows[r.doc_id][1]) and r._found == "kept"
+    assert {*seen} == {*pii.PATTERNS} and len(seen) > 1000
+
+
+def test_pii_permutations_are_one_to_one(spark):
+    from tessera.llm import pii
+
+    one = lambda df, kind: df.select(F.col("x"), F.expr(f"{pii._replacement('x', kind, KEY)}").alias("y"))
+    day = F.expr(f"date_add({pii.FIRST_DAY}, cast(id AS int))")
+    days = spark.range(65536)
+    slashes = days.select(F.date_format(day, "dd/MM/yyyy").alias("x")).union(days.select(F.date_format(day, "MM/dd/yyyy"))).distinct()
+    for dates in (slashes, days.select(F.date_format(day, "yyyy-MM-dd").alias("x")), days.select(F.date_format(day, "dd.MM.yyyy").alias("x"))):
+        got = one(dates, "date").agg(F.count("*").alias("n"), F.countDistinct("y").alias("y"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("same")).first()
+        assert got.n == got.y and got.same < 40  # with those outside of the window
+        assert one(dates, "date").select("y").join(dates, F.col("x") == F.col("y"), "left_anti").count() == 0
+    ssn = spark.range(20_000).select(F.expr("concat(lpad(cast(id % 1000 AS string), 3, '0'), '-', lpad(cast(id DIV 1000 AS string), 2, '0'), '-0001')").alias("x"))
+    assert one(ssn, "ssn").select("y").distinct().count() == 20_000
+    # one number, in whichever way it is written
+    phones = spark.createDataFrame([(x,) for x in ("+1 743 555 3824", "+17435553824", "(743) 555-3824", "743.555.3824", "+1 7435553824")], "x string")
+    assert {re.sub("[^0-9]", "", r.y)[-10:] for r in one(phones, "phone").collect()} != {"7435553824"} and one(phones, "phone").select(F.expr("right(regexp_replace(y, '[^0-9]', ''), 10)")).distinct().count() == 1
+    short = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
+    assert short.select(F.expr(pii.feistel_digits("x", "key", "'t'")).alias("y")).distinct().count() == 1000
+
+
+def test_pii_edges(spark, edges, empty):
+    from tessera.llm import pii
+
+    assert pii.pseudonymise(edges, KEY).count() == len(EDGES) and pii.pseudonymise(empty, KEY).count() == 0
+    assert {r.doc_id: r.text for r in pii.pseudonymise(edges, KEY).collect()} == {i: t for i, t in EDGES}
 
 
 # 5
