@@ -11,10 +11,10 @@ parameters lambda and K of clean text, a segment of score S in a text of n token
 score lambda*S - ln(K*n); positive sums of these over a document go through a logistic curve fitted on
 labelled documents that the counting didn't see.
 
-The sample bound is SAMPLE labelled documents (the least by hash of their id), the model bound is
-MAX_FEATURES; everything else covers all documents and whole texts.
+The sample bound is SAMPLE labelled documents (the least by hash of their id), which bounds the model;
+everything else covers all documents and whole texts.
 
-Defined results: null and empty texts have no tokens and score as a text without segments; rows with
+Columns other than the id and the text are not looked at, whatever their names. Defined results: null and empty texts have no tokens and score as a text without segments; rows with
 contradictory labels count as toxic; without labelled rows of both kinds every score is the base rate
 of the rows there are (0 for none).
 """
@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import column, small
+from tessera.llm.store import cut, discard
 from tessera.llm.words import PUNCTUATION, Words
 
 #: Labelled documents used for fitting; two thirds count, one third calibrates.
 SAMPLE = 30_000
-#: Features kept in the model, the best supported first.
-MAX_FEATURES = 100_000
 PREFIXES = (4, 5, 6)
 #: Prior weight of the level above, in documents.
 PRIOR = 4.0
@@ -163,14 +162,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """``labels`` has ``key`` and toxic; documents without a label don't count."""
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = known.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(sample)
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    # the sample's texts are read once more than they are written here, instead of once by each step
+    rows = cut(rows.select("text", "toxic", "_h"), "sample")
     fold = F.pmod("_h", F.lit(3)) == 0
     counting = rows.where(~fold).select("text", "toxic")
     n_docs, n_toxic = counting.agg(F.count("*"), F.sum("toxic")).first()
     base = (n_toxic or 0) / n_docs if n_docs else 0.0
     if not 0 < base < 1:
         return Model(base, np.zeros(0, dtype=np.int64), np.zeros(0))
-    counts = _count(counting).where(F.col("docs") >= LEAST_DOCS)
+    counts = cut(_count(counting).where(F.col("docs") >= LEAST_DOCS), "counts")
     # shrink level by level; each level is joined to the posterior rate of the one above
     above, levels = None, []
     logit = lambda r: F.log(r / (1 - r))
@@ -186,15 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     every = levels[0]
     for more in levels[1:]:
         every = every.unionByName(more)
-    matter = every.where((F.col("odds") > SHIFT) | (F.col("up") > SHIFT)).select("feature", "odds", (F.col("docs") * F.greatest("odds", "up")).alias("w"))
-    kept = matter.orderBy(F.desc("w"), "feature").limit(MAX_FEATURES).select("feature", "odds").toPandas()
-    kept = kept.sort_values("feature")
+    kept = every.where((F.col("odds") > SHIFT) | (F.col("up") > SHIFT)).select("feature", "odds").toPandas().sort_values("feature")
+    discard(counts)
     model = Model(base, kept.feature.to_numpy(np.int64), np.clip(kept.odds.to_numpy(float), -2, 8) - SHIFT)
-    return _calibrate(model, rows.where(fold).select("text", "toxic"))
+    model = _calibrate(model, rows.where(fold).select("text", "toxic"))
+    discard(rows)
+    return model
 
 
 def _calibrate(model: Model, rows: DataFrame) -> Model:
-    """Extreme-value parameters from clean documents and the logistic curve, from at most SAMPLE rows' numbers."""
+    """Extreme-value parameters from clean documents and the logistic curve. Sums are made by Spark; the driver gets
+    a histogram, two means and at most SAMPLE pairs of numbers for the curve."""
     edges = np.arange(-4, 8.01, 0.25)
 
     def run(batches):
@@ -207,17 +210,21 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
                 out.append((len(s), [x for _, _, x in segments(s)], np.histogram(s, edges)[0].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2] for x in out], pa.list_(pa.int64())), column(part, "toxic")], ["n", "found", "histogram", "toxic"])
 
-    got = rows.mapInArrow(run, "n long, found array<double>, histogram array<long>, toxic int").toPandas()
-    if not len(got) or got.toxic.nunique() < 2:
+    got = cut(rows.mapInArrow(run, "n long, found array<double>, histogram array<long>, toxic int"), "calibration")
+    clean = got.where("toxic = 0")
+    if not clean.limit(1).count() or not got.where("toxic <> 0").limit(1).count():
         return model
-    clean = got[got.toxic == 0]
-    weights = np.sum(clean.histogram.to_list(), axis=0) + 1e-3
-    model.lam = _lambda((edges[:-1] + edges[1:]) / 2, weights.astype(float))
-    # for maxima m of texts of n tokens, K has the moment estimate mean(exp(lambda*m) ... ) of the Gumbel law
-    best = np.array([max(x, default=0.0) for x in clean.found])
-    model.k = float(np.exp(np.mean(model.lam * best - np.log(np.maximum(clean.n, 1))) - 0.5772))
-    x = np.array([_evidence(model, [(0, 0, s) for s in f], n) for f, n in zip(got.found, got.n)])
-    model.curve = _logistic(np.log1p(x), got.toxic.to_numpy(float))
+    bins = dict(clean.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col")).collect())
+    weights = np.array([bins.get(i, 0) for i in range(len(edges) - 1)], dtype=float) + 1e-3
+    model.lam = _lambda((edges[:-1] + edges[1:]) / 2, weights)
+    # maxima m of texts of n tokens follow a Gumbel law: the mean of lambda * m - ln(n) is ln K plus Euler's constant
+    best, n = F.coalesce(F.array_max("found"), F.lit(0.0)), F.greatest("n", F.lit(1))
+    model.k = float(np.exp(clean.agg(F.avg(model.lam * best - F.log(n))).first()[0] - 0.5772))
+    floor = F.log(F.greatest(model.k * n, F.lit(1e-9)))
+    evidence = F.aggregate("found", F.lit(0.0), lambda t, x: t + F.greatest(F.lit(0.0), model.lam * x - floor))
+    points = got.select(F.log1p(evidence).alias("x"), F.col("toxic").cast("double").alias("y")).toPandas()
+    model.curve = _logistic(points.x.to_numpy(), points.y.to_numpy())
+    discard(got)
     return model
 
 
