@@ -18,7 +18,7 @@ from tessera.llm.store import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.reject_toxic(docs, model)
 
 
