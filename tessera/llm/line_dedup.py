@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.skew import salted_join
-from tessera.llm.store import cut
+from tessera.llm.store import cut, discard
 
 UNIT_WORDS, LEAST_WORDS = 12, 20
 #: No passage has more units outside of its chunks.
@@ -79,6 +79,7 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
     around = "".join(f", '{name}', {at(f'm.{end} + ({k})')}" for name, end, k in AROUND)
     body = f"transform(_marks, m -> named_struct('s', m.s, 'e', m.e, 'h', m.h, 'chunk', transform(slice(_units, m.s, m.e - m.s + 1), x -> {_bare('x')}){around}))"
     found = cut(marked.select("_key", "_rid", F.explode_outer(F.expr(body)).alias("_c")).select("_key", "_rid", "_c.*"), "marked")
+    discard(chunks)
     first = found.groupBy("h").agg(F.min_by(F.struct(F.col("_key").alias("_first"), *[F.col(c).alias(f"_{c}") for c in ("chunk", *[x[0] for x in AROUND])]), F.struct("_key", "_rid", "s")).alias("_ref")).select("h", "_ref.*")
     matched = salted_join(found, first, "h").where("_key > _first AND chunk = _chunk")
     # how far a match goes on
@@ -89,7 +90,10 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
     words = lambda x: f"if({x} = '', 0, length({x}) - length(replace({x}, ' ', '')) + 1)"
     total = f"aggregate(chunk, 0, (t, x) -> t + {words('x')})" + "".join(f" + if(_go_{name[0]} >= {abs(k)}, {words(name)}, 0)" for name, _, k in AROUND)
     places = matched.where(F.expr(f"{total} >= {LEAST_WORDS}")).select("_key", "_rid", (F.col("s") - F.col("_go_l")).alias("s"), (F.col("e") + F.col("_go_r")).alias("e"))
-    return places.groupBy("_key", "_rid").agg(F.collect_set(F.struct("s", "e")).alias("_runs")).select("_key", "_rid", F.expr("array_distinct(flatten(transform(_runs, r -> sequence(r.s, r.e))))").alias("_gone"))
+    runs = places.groupBy("_key", "_rid").agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
+    gone = cut(runs.select("_key", "_rid", F.expr("array_distinct(flatten(transform(_runs, r -> sequence(r.s, r.e))))").alias("_gone")), "gone")
+    discard(found)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
