@@ -391,7 +391,7 @@ def shared_differences(d: int, m: int, k: int) -> int:
     return max(1, -(-(d + 2 + least) // 2))
 
 
-DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, left int, d int, label {id}"
+DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, left int, d int, label {id}, home {id}"
 
 
 def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -431,11 +431,11 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
             if rows:
                 again = lambda c: column(part, c).take(pa.array(rows))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [again("b"), pa.array(np.concatenate(tokens).view(np.int64)), again("far"), pa.array(both), again("a"), pa.array(size, pa.int32()), pa.array(left, pa.int32()), pa.array(count, pa.int32()), again("label")],
-                    ["centre", "token", "far", "both", "id", "n", "left", "d", "label"],
+                    [again("b"), pa.array(np.concatenate(tokens).view(np.int64)), again("far"), pa.array(both), again("a"), pa.array(size, pa.int32()), pa.array(left, pa.int32()), pa.array(count, pa.int32()), again("label"), again("home")],
+                    ["centre", "token", "far", "both", "id", "n", "left", "d", "label", "home"],
                 )
 
-    return _with_texts(members, docs, key, text).select("a", "b", "label", "far", "light", "_x", "_y").mapInArrow(run, DIFFERENCES.format(id=kind))
+    return _with_texts(members, docs, key, text).select("a", "b", "label", "far", "light", "home", "_x", "_y").mapInArrow(run, DIFFERENCES.format(id=kind))
 
 
 #: most_apart in SQL, of x_n and y_n.
@@ -443,14 +443,15 @@ APART = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + D
 
 
 def _meetings(differences: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members whose differences from a centre can be those of linked sets."""
-    sides = [differences.select("centre", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "left", "d", "label")]) for side in "xy"]
-    x, y = sides[0].where("x_far"), sides[1]
+    """Pairs (a, b) of members whose differences from a centre can be those of linked sets; for members with the same
+    home, from that one."""
+    sides = [differences.select("centre", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "left", "d", "label", "home")]) for side in "xy"]
+    x, y = sides[0].where("x_far").alias("x"), sides[1].alias("y")
     fits = F.expr(
-        f"(NOT y_far OR x_both AND y_both AND x_id < y_id) AND x_label <> y_label AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
+        f"(NOT y_far OR x_both AND y_both AND x_id < y_id) AND x_label <> y_label AND (x_home <> y_home OR x.centre = x_home) AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
         f" AND 2 * least(x_left, y_left) >= x_d + y_d - {APART}"
     )
-    found = x.join(y, (x.centre == y.centre) & (x.token == y.token) & fits)
+    found = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & fits)
     return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
@@ -518,10 +519,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_ = (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & may_link("x_n", "y_n", "x_pos", "y_pos")
     open_ = open_ & F.expr(f"x_pos < x_light OR y_pos < y_light OR x_light + y_light <= {APART}")
     late = x.join(y, (x.token == y.token) & open_).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    members = rest.where("long").groupBy("centre", "id", "label").agg(F.max(F.col("pos") < F.col("light")).alias("light"))
+    members = rest.where("long").groupBy("centre", "id", "label").agg(F.max(F.col("pos") < F.col("light")).alias("light"), F.count("*").alias("_c"))
+    members = cut(members, "centres")
+    temporary.append(members)
+    # members with the same home, the centre of most of their lists, need to meet there only
+    homes = members.where("id <> centre").groupBy("id").agg(F.max_by("centre", F.struct("_c", "centre")).alias("home"))
     own = members.where("id = centre").select("centre", F.col("label").alias("_own"))
     members = salted_join(members, own, "centre").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "label", "light", (F.col("label") != F.col("_own")).alias("far"))
-    members = cut(members, "far")
+    members = cut(members.join(homes.withColumnRenamed("id", "a"), "a"), "far")
     discard(member)
     # a centre without far members has nothing to add
     open_centres = members.where("far").select("b").distinct()
