@@ -19,6 +19,11 @@ def email_id(c: Column) -> Column:
     return F.sha2(F.lower(F.trim(F.coalesce(c, F.lit("")))), 256)
 
 
+def identity(explicit: Column, *parts: Column) -> Column:
+    """The record's own id, or digits of a hash of what makes it up."""
+    return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), stable_id(*parts))
+
+
 def fingerprint(*columns: Column) -> Column:
     """A hash that differs whenever any column differs, null included."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -37,6 +37,46 @@ def first_truthy(*columns: Column | str) -> Column:
     return F.coalesce(*map(kept, columns))
 
 
+# A category's later name, and the departments of categories.
+RENAMED = {"Transportation & Parking": "Transportation"}
+DEPARTMENTS = {
+    "Administration & Governance": "Legislative Services", "Animals": "Bylaw Services", "Business & Licensing": "Business Licensing", "Environment": "Engineering & Public Works", "Finance": "Finance",
+    "Land Use & Zoning": "Development Services", "Other": "Corporate Services", "Parks & Recreation": "Parks, Recreation & Culture", "Public Safety": "Public Safety", "Transportation": "Engineering & Public Works",
+}
+
+
+def _literal_map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def normalize_category(c: Column) -> Column:
+    text = F.coalesce(c, F.lit(""))
+    return F.coalesce(_literal_map(RENAMED)[text], text)
+
+
+def department(explicit: Column, category: Column, default: str = "Corporate Services") -> Column:
+    """The explicit department, else the category's, else the default."""
+    return first_truthy(explicit, F.coalesce(_literal_map(DEPARTMENTS)[normalize_category(category)], F.lit(default)))
+
+
+def committee_name(title: Column, name: Column, default: str = "Committee, board or panel") -> Column:
+    return F.trim(first_truthy(title, name, F.lit(default)))
+
+
+def numeric_key(c: Column) -> Column:
+    """The number by which records are sorted: groups of digits, padded to five, with a decimal point between.
+
+    Without digits it is -Infinity; more than two groups are no number and give null.
+    """
+    parts = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), 0), lambda x: F.when(F.length(x) < 5, F.lpad(x, 5, "0")).otherwise(x))
+    return F.when(F.size(parts) == 0, F.lit(float("-inf"))).when(F.size(parts) <= 2, F.array_join(parts, ".").cast("double"))
+
+
+def toggle(members: Column, value: Column) -> Column:
+    """The set without the value where it has it, else with it at its end."""
+    return F.when(F.array_contains(members, value), F.array_remove(members, value)).otherwise(F.array_append(members, value))
+
+
 def normalize_space(c: Column) -> Column:
     """Non-breaking and all other Unicode blanks collapsed to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -21,7 +21,110 @@ def canonical_url(c: Column) -> Column:
 
 
 def valid_url(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^https?://[^/?#]+"), F.lit(False))
+    """Whether it has the scheme http or https, in any case, and a host."""
+    return F.coalesce(c.rlike(r"(?i)^https?://[^/?#]+"), F.lit(False))
+
+
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def encoded_canonical_url(c: Column) -> Column:
+    """The archive's form: lower-case scheme and host, no empty path steps, no fragment; query items are decoded,
+    sorted by the lower-cased name and the value, and encoded anew, without ``fillwidth`` and ``_``."""
+    part = lambda i: F.regexp_extract(c, _PARTS, i)
+    pair = lambda x: F.struct(F.lower(_decoded(F.regexp_extract(x, "^([^=]*)", 1))).alias("k"), _decoded(F.regexp_extract(x, "^[^=]*=?(.*)$", 1)).alias("v"), _decoded(F.regexp_extract(x, "^([^=]*)", 1)).alias("name"))
+    items = F.filter(F.transform(F.filter(F.split(part(4), "&"), lambda x: x != ""), pair), lambda x: ~x["k"].isin("fillwidth", "_"))
+    # an asterisk is left alone by one encoder and a tilde by the other
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    query = F.array_join(F.transform(F.array_sort(items), lambda x: F.concat(encoded(x["name"]), F.lit("="), encoded(x["v"]))), "&")
+    path = F.concat(F.lit("/"), F.array_join(F.filter(F.split(part(3), "/"), lambda x: x != ""), "/"))
+    url = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "").otherwise(url)
+
+
+def is_remote(c: Column) -> Column:
+    return F.coalesce(F.lower(c).rlike("^https?://"), F.lit(False))
+
+
+def safe_external_url(c: Column) -> Column:
+    """An http or https URL as it is, else empty."""
+    return F.when(valid_url(F.trim(c)), F.trim(c)).otherwise("")
+
+
+def safe_url(c: Column, allowed: tuple[str, ...]) -> Column:
+    """An external URL, or a safe relative path that begins with one of ``allowed``; else empty."""
+    path = normalize_local(c)
+    inside = path.rlike("^(?:" + "|".join(x.replace(".", "[.]") for x in allowed) + ")")
+    return F.when(is_remote(F.trim(c)), safe_external_url(c)).when(inside, path).otherwise("")
+
+
+def viewer_url(path: Column, title: Column, context: Column, number: Column) -> Column:
+    """The viewer's address of an archived PDF with its query, or empty."""
+    local = local_pdf(path)
+    given = lambda x, other: F.when(F.coalesce(x, F.lit("")) == "", other).otherwise(x)
+    query = [F.lit("pdf.html?file="), F.url_encode(local), F.lit("&title="), F.url_encode(given(title, "Archived document")), F.lit("&context="), F.url_encode(given(context, "Archived source document"))]
+    tail = F.when(F.coalesce(number, F.lit("")) == "", "").otherwise(F.concat(F.lit("&number="), F.url_encode(number)))
+    return F.when(local == "", "").otherwise(F.concat(*query, tail))
+
+
+def primary_url(detail: Column, viewer: Column, source: Column, meeting: Column) -> Column:
+    """The first that there is: the detail page, the viewer, the source document, the meeting; else ``#``."""
+    some = lambda x: F.nullif(F.coalesce(x, F.lit("")), F.lit(""))
+    return F.coalesce(some(safe_url(detail, ("bylaws/detail.html",))), some(viewer), some(safe_external_url(source)), some(safe_external_url(meeting)), F.lit("#"))
+
+
+def committee_pdf(c: Column) -> Column:
+    """The path of a local PDF without its query, or empty: no scheme, no parent steps after the first."""
+    path = F.replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^\.\./", ""), F.lit("\\"), F.lit("/"))
+    bad = is_remote(path) | path.contains("..") | ~path.rlike(r"(?i)\.pdf(?:$|[?#])")
+    return F.when(bad, "").otherwise(F.regexp_replace(path, "[?#].*$", ""))
+
+
+# Kinds of meetings, and what their links contain.
+MEETING_KINDS = "regular council|special council|public hearing|governance and priorities|finance and audit|public safety committee|advisory committee|committee|board|commission|panel|task force|working group"
+MEETING_TOKENS = "meeting|agenda|id="
+
+
+def is_meeting_link(label: Column, context: Column, href: Column) -> Column:
+    """Whether the words around a link name a kind of meeting and its target looks like one."""
+    words = F.lower(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(context, F.lit(""))))
+    return words.rlike(MEETING_KINDS) & F.coalesce(F.lower(href).rlike(MEETING_TOKENS), F.lit(False))
+
+
+# What is published, and what of it isn't.
+PUBLISHED = "data/|archive/|bylaws/pdf/|council/"
+PUBLIC_KEYS = ("collection-status.json", "archive-manifest.json")
+
+
+def is_publishable(c: Column, excluded_names: tuple[str, ...] = (".ds_store", "thumbs.db"), excluded_suffixes: tuple[str, ...] = (".tmp", ".part", ".py", ".js", ".html")) -> Column:
+    """Whether a file of the site goes to the store: below a published folder, not directly in ``council/``, and
+    neither of an excluded name nor suffix."""
+    name = F.lower(F.regexp_extract(c, "([^/]*)$", 1))
+    excluded = name.isin(*excluded_names) | name.rlike("(?:" + "|".join(x.replace(".", "[.]") for x in excluded_suffixes) + ")$")
+    return F.coalesce(c.rlike(f"^(?:{PUBLISHED})") & ~c.rlike("^council/[^/]*$") & ~excluded, F.lit(False))
+
+
+def is_allowed_key(c: Column) -> Column:
+    """Whether the store hands out a key: not a folder, no parent steps or control characters, a public key or below
+    a published folder."""
+    safe = (c != "") & ~c.endswith("/") & ~c.contains("..") & ~c.rlike("[\x01-\x1f]")
+    return F.coalesce(safe & (c.isin(*PUBLIC_KEYS) | c.rlike(f"^(?:{PUBLISHED}|text/)")), F.lit(False))
+
+
+def is_pdf(content: Column) -> Column:
+    """Whether the content, after blanks, begins as a PDF does."""
+    return F.coalesce(F.ltrim(content).startswith("%PDF-"), F.lit(False))
+
+
+def is_authored_page(c: Column, excluded: tuple[str, ...]) -> Column:
+    """Whether a page is outside of the excluded folders and isn't one of them."""
+    return ~c.rlike("^(?:" + "|".join(x.replace(".", "[.]") for x in excluded) + ")(?:/|$)")
+
+
+def expected_root(c: Column) -> Column:
+    """How a page names the site's root: ``..`` from a folder, ``.`` at the top."""
+    return F.when(c.contains("/"), "..").otherwise(".")
 
 
 def absolute_url(site: str, c: Column, fallback: str) -> Column:

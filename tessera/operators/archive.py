@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import first_truthy
+
 
 def manifest(files: DataFrame, key: str, digest: str, size: str) -> DataFrame:
     """n, total bytes, distinct contents and duplicates in one aggregate."""
@@ -34,12 +36,75 @@ def remote_changed(before: str, after: str) -> Column:
     return differ("url") | differ("etag") | differ("modified") | differ("length")
 
 
+def overlay(base: DataFrame, over: DataFrame, key: str, present: str) -> DataFrame:
+    """Records of ``base`` with the fields that ``over`` has, even where they are null there.
+
+    ``present`` is a column of ``over``: an array of the names of the fields that the record has.
+    """
+    fields = [c for c in over.columns if c not in (key, present)]
+    other = over.select(key, F.col(present).alias("_present"), *[F.col(c).alias(f"_over_{c}") for c in fields])
+    joined = base.join(other, key, "left")
+    has = lambda c: F.coalesce(F.array_contains("_present", c), F.lit(False))
+    return joined.select(*[F.when(has(c), F.col(f"_over_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns])
+
+
+def length_changed(before: Column, after: Column, content_type: Column, local_size: Column) -> Column:
+    """Whether lengths prove a change: two recorded ones that differ, or for a PDF without a recorded one, the local
+    file's size and the new length."""
+    recorded, now = F.try_to_number(before, F.lit("9999999999")), F.try_to_number(after, F.lit("9999999999"))
+    unrecorded = F.coalesce(before, F.lit("")) == ""
+    pdf = F.lower(F.coalesce(content_type, F.lit(""))).contains("pdf")
+    return F.coalesce(~unrecorded & (recorded != now), F.lit(False)) | F.coalesce(unrecorded & pdf & (local_size != now), F.lit(False))
+
+
+def reuse_action(exists: Column, changed: Column, stored_anew: Column, previous_hash: Column, canonical: Column) -> Column:
+    """What to do for a document: reuse the archived copy unless there is none or its source has changed.
+
+    ``stored_anew`` says whether the content is new to the archive, ``canonical`` whether the copy is in its place.
+    """
+    download = ~exists | changed
+    known = F.coalesce(previous_hash, F.lit("")) != ""
+    fetched = F.when(~stored_anew, "downloaded-deduplicated").when(known, "downloaded-changed").otherwise("downloaded-new")
+    return F.when(download, fetched).when(canonical, "reused").when(stored_anew, "archive-repaired").otherwise("reused")
+
+
+def sidecar_source(live: Column, archived: Column, previous_method: Column, force: Column) -> tuple[Column, Column]:
+    """(where a document's text comes from, method): the live sidecar unless the content has changed, the archive's,
+    else a new extraction."""
+    source = F.when(~force & live.isNotNull(), "live").when(archived.isNotNull(), "archive").otherwise("extract")
+    method = F.when(source == "extract", "extracted").otherwise(first_truthy(previous_method, F.when(source == "live", "cached").otherwise("cached-archive")))
+    return source, method
+
+
+def page_extraction(pages: DataFrame, document: str, least: int = 80) -> DataFrame:
+    """How documents' texts were extracted, from a row per page (document, page, text, ocr_text).
+
+    A page with fewer than ``least`` letters and digits is sparse; its recognised text is taken if it has more.
+    """
+    count = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]", ""))
+    sparse = count(F.col("text")) < least
+    ocr = sparse & (count(F.col("ocr_text")) > count(F.col("text")))
+    chosen = pages.select(document, sparse.alias("sparse"), ocr.alias("ocr"), F.length(F.trim(F.when(ocr, F.col("ocr_text")).otherwise(F.coalesce("text", F.lit(""))))).alias("n"))
+    per = chosen.groupBy(document).agg(F.count("*").alias("n_pages"), F.count_if("sparse").alias("n_sparse"), F.count_if("ocr").alias("n_ocr"), F.sum("n").alias("_n"))
+    method = F.when((F.col("n_ocr") > 0) & (F.col("n_ocr") == F.col("n_pages")), "ocr").when(F.col("n_ocr") > 0, "hybrid").when(F.col("_n") > 0, "embedded").otherwise("none")
+    return per.select(document, "n_pages", "n_sparse", "n_ocr", method.alias("method"))
+
+
+def file_set(*listings: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of several listings, in order."""
+    every = listings[0].select(key)
+    for more in listings[1:]:
+        every = every.unionByName(more.select(key))
+    return every.distinct().orderBy(key)
+
+
 def carry_forward(new: DataFrame, previous: DataFrame, key: str, prefixes: tuple[str, ...]) -> DataFrame:
-    """Fields with one of the prefixes are taken from the previous record where the new one lacks them."""
+    """Fields with one of the prefixes are taken from the previous record where the new one lacks them: null, or
+    empty."""
     carried = [c for c in previous.columns if c != key and c.startswith(prefixes)]
     old = previous.select(key, *[F.col(c).alias(f"_old_{c}") for c in carried])
     joined = new.join(old, key, "left")
-    return joined.select(*[F.coalesce(c, f"_old_{c}").alias(c) if c in carried else F.col(c) for c in new.columns])
+    return joined.select(*[first_truthy(c, f"_old_{c}").alias(c) if c in carried else F.col(c) for c in new.columns])
 
 
 def choose_candidate(candidates: DataFrame, key: str, priority: str, value: str) -> DataFrame:

@@ -27,9 +27,18 @@ def keep_last(df: DataFrame, keys: list, position: str) -> DataFrame:
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
+def keep_newest(df: DataFrame, keys: list, time: str, position: str) -> DataFrame:
+    """The latest wins; of equally late ones the first by (numeric) position."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(time), -F.col(position))).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
+
+
 def keep_ranked(df: DataFrame, keys: list, rank: Column, position: str) -> DataFrame:
-    """Highest source rank wins; on ties the last by position."""
-    return keep_best(df, keys, rank.desc(), F.col(position).desc())
+    """Highest source rank wins; on ties the last by position. An aggregate, so copies collapse before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(rank, F.col(position))).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
 
 
 def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:

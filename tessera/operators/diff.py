@@ -6,22 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.hashes import fingerprint
 
-def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+
+def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str], if_known: tuple[str, ...] = ()) -> DataFrame:
     """Added, removed and changed keys: key, change_type, changed_fields and before_/after_ values.
 
-    One full outer join on the key; values are compared null-safely.
+    One full outer join on the key; values are compared null-safely, but those of ``if_known`` (hashes) only where
+    both sides have one.
     """
     a = before.select(key, *[F.col(f).alias(f"before_{f}") for f in fields], F.lit(True).alias("_a"))
     b = after.select(key, *[F.col(f).alias(f"after_{f}") for f in fields], F.lit(True).alias("_b"))
     both = a.join(b, key, "full_outer")
-    differs = [F.when(~F.col(f"before_{f}").eqNullSafe(F.col(f"after_{f}")), F.lit(f)) for f in fields]
+    unequal = lambda f: F.col(f"before_{f}") != F.col(f"after_{f}") if f in if_known else ~F.col(f"before_{f}").eqNullSafe(F.col(f"after_{f}"))
+    differs = [F.when(unequal(f), F.lit(f)) for f in fields]
     changed = F.filter(F.array(*differs), lambda x: x.isNotNull())
     kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.size(changed) > 0, "changed")
     out = both.withColumns({"change_type": kind, "changed_fields": F.when(kind == "changed", changed)})
     return out.where("change_type IS NOT NULL").drop("_a", "_b")
 
 
+def item_set_diff(before: DataFrame, after: DataFrame, identity: Column, fields: list[str]) -> DataFrame:
+    """(id, change_type) of items by their identity: added, removed, or changed in any of the fields, which are
+    compared by one fingerprint."""
+    side = lambda df, name: df.groupBy(identity.alias("id")).agg(F.max(fingerprint(*[F.col(f) for f in fields])).alias(name))
+    both = side(before, "_a").join(side(after, "_b"), "id", "full_outer")
+    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
+    return both.select("id", kind.alias("change_type")).where("change_type IS NOT NULL")
+
+
+#: What a table of changes can be sorted by: the key, and what decides between equal ones.
+CHANGE_ORDERS = {"number": ["number"], "status": ["status", "-date"], "category": ["category", "-date"], "date": ["date"]}
+
+
+def sorted_changes(df: DataFrame, key: str, ascending: bool, n: int, *ties: Column) -> DataFrame:
+    """The first ``n`` changes by one of CHANGE_ORDERS. Status and category compare without case; equal ones are newest
+    first in either direction."""
+    first, *then = CHANGE_ORDERS[key]
+    value = F.lower(F.coalesce(F.col(first), F.lit(""))) if then else F.col(first)
+    return newest(df, n, value.asc_nulls_last() if ascending else value.desc_nulls_last(), *[F.desc(x[1:]) for x in then], *ties)
+
+
 def event_status(change_type: Column, searchable: Column, relationships_changed: Column | None = None) -> Column:
     """New, Repealed, Consolidated or Amended. A changed set of relationships always reads as a repeal, because its
     field names are searched along with its values."""

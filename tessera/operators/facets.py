@@ -27,6 +27,11 @@ def counts_over(df: DataFrame, value: Column, domain: list[str], name: str = "ca
     return F.broadcast(cards).join(found, name, "right").union(cards.join(found, name, "left_anti").withColumn("n", F.lit(0).cast("long"))).where(F.col(name).isin(domain))
 
 
+def in_year(df: DataFrame, date: str, year: str) -> DataFrame:
+    """Rows whose date begins with the year's digits; an empty choice passes."""
+    return df.where(F.coalesce(F.col(date), F.lit("")).startswith(year)) if year else df
+
+
 def domain(df: DataFrame, facet: str, value: Column) -> DataFrame:
     return df.select(F.lit(facet).alias("facet"), value.cast("string").alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
 

@@ -29,6 +29,80 @@ def share(test: Column) -> Column:
     return F.avg(F.coalesce(test, F.lit(False)).cast("int"))
 
 
+def failures(code: str, test: Column, all_fail: bool = False) -> Column:
+    """Any failing row warns; with ``all_fail``, only failing rows fail."""
+    n, of = F.count_if(test), F.count("*")
+    severity = F.when((n == of) & (n > 0), "fail").otherwise("warn") if all_fail else F.lit("warn")
+    return F.struct(F.when(n > 0, severity).otherwise("pass").alias("severity"), F.lit(code).alias("code"), n.cast("double").alias("value"))
+
+
+def nothing(code: str, test: Column, severity: str = "warn") -> Column:
+    """Rows without a single one that passes the test are worth a warning."""
+    n = F.count_if(test)
+    return check(code, n, (F.count("*") > 0) & (n == 0), severity)
+
+
+def ratio(code: str, part: Column, whole: Column, least: float = 0.7) -> Column:
+    """The share of the rows of ``whole`` that are in ``part``, warned about below ``least``."""
+    share_of = F.count_if(part) / F.nullif(F.count_if(whole), F.lit(0))
+    return check(code, share_of, share_of < least)
+
+
+def at_most(code: str, limit: int) -> Column:
+    n = F.count("*")
+    return check(code, n, n > limit, "fail")
+
+
+def same_size(inferred: DataFrame, kept: DataFrame, empty_code: str, code: str) -> DataFrame:
+    """A set that was inferred against the one that is kept: kept empty fails, another size warns."""
+    both = inferred.agg(F.count("*").alias("_i")).join(F.broadcast(kept.agg(F.count("*").alias("_k"))), F.lit(True))
+    empty = (F.col("_i") > 0) & (F.col("_k") == 0)
+    severity = F.when(empty, "fail").when(F.col("_i") != F.col("_k"), "warn").otherwise("pass")
+    return both.select(severity.alias("severity"), F.when(empty, empty_code).otherwise(code).alias("code"), F.col("_k").cast("double").alias("value"))
+
+
+def absent(required: list[str], present: DataFrame, key: str) -> DataFrame:
+    """The required keys that a listing lacks; ``required`` is a literal table."""
+    wanted = present.sparkSession.createDataFrame([(x,) for x in required], f"{key} string")
+    there = present.select(key).where(F.col(key).isin(required)).distinct()
+    return wanted.join(there, key, "left_anti")
+
+
+def featured(number: Column, chosen: DataFrame, items: DataFrame, item_number: str) -> DataFrame:
+    """The featured record against the collected items: none warns, one without a number fails, one without an item
+    warns. ``chosen`` has one row at most."""
+    one = chosen.agg(F.count("*").alias("_n"), F.max(number).alias("_number"))
+    hit = items.join(F.broadcast(one), F.col(item_number).cast("string") == F.col("_number"), "left_semi").agg((F.count("*") > 0).alias("_hit"))
+    both = one.join(F.broadcast(hit), F.lit(True))
+    none, empty = F.col("_n") == 0, F.coalesce("_number", F.lit("")) == ""
+    severity = F.when(none, "warn").when(empty, "fail").when(~F.col("_hit"), "warn").otherwise("pass")
+    code = F.when(none, "featured-missing").when(empty, "featured-number").otherwise("featured-source-match")
+    return both.select(severity.alias("severity"), code.alias("code"), F.col("_n").cast("double").alias("value"))
+
+
+def details(df: DataFrame, value: str, n: int = 20) -> DataFrame:
+    """(values, n_values): the first ``n`` distinct values in order, and how many there are."""
+    shown = df.select(value).distinct().orderBy(value).limit(n).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    return shown.join(F.broadcast(df.agg(F.countDistinct(value).alias("n_values"))), F.lit(True))
+
+
+def header_lint(pages: DataFrame, path: str, html: str, placeholder: str, script: str, root: Column, expected: Column) -> DataFrame:
+    """(path, errors): pages whose shared header isn't one placeholder for the site's root and, after it, one script of
+    the expected address. ``placeholder`` and ``script`` are patterns; group 1 is the root or the address."""
+    every = lambda p, g: F.regexp_extract_all(html, F.lit(p), g)
+    df = pages.select(F.col(path), F.size(every(placeholder, 0)).alias("_p"), F.size(every(script, 0)).alias("_s"), F.get(every(placeholder, 1), F.lit(0)).alias("_root"), F.get(every(script, 1), F.lit(0)).alias("_src"), F.expr(f"instr(`{html}`, regexp_extract(`{html}`, '{_quoted(placeholder)}', 0))").alias("_at"), F.expr(f"instr(`{html}`, regexp_extract(`{html}`, '{_quoted(script)}', 0))").alias("_after"), root.alias("_want"), expected.alias("_wanted"))
+    errors = F.array_compact(F.array(
+        F.when(F.col("_p") != 1, "placeholders").otherwise(F.when(F.col("_root") != F.col("_want"), "root")),
+        F.when(F.col("_s") != 1, "scripts").otherwise(F.when(F.col("_src") != F.col("_wanted"), "address")),
+        F.when((F.col("_p") > 0) & (F.col("_s") > 0) & (F.col("_at") > F.col("_after")), "order"),
+    ))
+    return df.select(path, F.array_join(errors, ",").alias("errors")).where("errors <> ''")
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def combine(*reports: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), reports)
 

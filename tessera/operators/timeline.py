@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def unify(*sources: DataFrame) -> DataFrame:
@@ -17,9 +16,14 @@ def unify(*sources: DataFrame) -> DataFrame:
 def year_breaks(events: DataFrame, date: str, *order: str) -> DataFrame:
     """Mark, newest first, the first event of every year.
 
-    A year's first event is the one without an earlier one in its year, so the window is partitioned by
-    year and no global order is needed.
+    A year's first event is the latest one, the least by ``order`` on ties: two pre-aggregated passes give a row
+    per year, which is joined back, so no year's events meet in one task. Events that agree in the date
+    and in ``order`` are marked alike.
     """
     year = F.coalesce(F.nullif(F.substring(F.col(date), 1, 4), F.lit("")), F.lit("Unknown"))
-    window = Window.partitionBy("year").orderBy(F.col(date).desc(), *order)
-    return events.withColumn("year", year).withColumn("year_break", F.row_number().over(window) == 1)
+    dated = events.withColumn("year", year)
+    latest = dated.groupBy("year").agg(F.max(date).alias("_latest"))
+    # as many rows as there are years
+    first = dated.join(F.broadcast(latest), "year").where(F.col(date).eqNullSafe(F.col("_latest"))).groupBy("year", "_latest").agg(F.min(F.struct(*order)).alias("_first"))
+    is_first = F.col(date).eqNullSafe(F.col("_latest")) & F.struct(*order).eqNullSafe(F.col("_first"))
+    return dated.join(F.broadcast(first), "year").withColumn("year_break", is_first).drop("_latest", "_first").select(*events.columns, "year", "year_break")

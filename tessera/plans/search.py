@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, hashes, text, urls
 from tessera.operators import diff, extract, facets, timeline
-from tessera.operators.dedup import keep_first, keep_last, keep_ranked
+from tessera.operators.dedup import keep_first, keep_newest, keep_ranked
 from tessera.plans.registry import add, t
 
 DOMAIN = ["ECONOMY ANODIZED STEEL", "STANDARD POLISHED BRASS", "PROMO BURNISHED COPPER", "Other"]
-# Departments of categories.
-DEPARTMENTS = {"Transportation": "Engineering and Public Works", "Finance": "Finance", "Animals": "Community Safety", "Public Safety": "Community Safety", "Environment": "Engineering and Public Works"}
 
 
 @add("facet_counts", "SELECT p_type AS category, count(*) AS n FROM part WHERE p_size >= 10 GROUP BY p_type")
@@ -166,10 +164,10 @@ def dedup_first(spark, sf):
     return keep_first(rows, ["user_id", "event_type"], "pos").select("user_id", "event_type", "event_id")
 
 
-@add("dedup_newest", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@add("dedup_newest", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
 def dedup_newest(spark, sf):
-    rows = t(spark, sf, "events").select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("pos"))
-    return keep_last(rows, ["user_id", "event_type"], "pos").select("user_id", "event_type", "event_id")
+    rows = t(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    return keep_newest(rows, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
 @add("timeline", f"""WITH e AS (SELECT 'order-' || o_orderkey AS id, 'Order' AS type, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS title FROM orders UNION ALL SELECT 'event-' || event_id, 'Event', strftime(ts, '%Y-%m-%d'), event_type FROM events)
