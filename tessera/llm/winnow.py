@@ -1,13 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Hashes of every K consecutive words are taken; in each window of W consecutive hashes the smallest is
-selected, the rightmost on ties, with its place. Any passage of at least W + K - 1 words that two texts
-share puts a common selected hash into both fingerprints. A selected hash and its place are one long:
-31 hash bits above 32 bits that fall with the place, so that the smallest long is the rightmost minimum.
+A rolling hash (rotate and xor of word hashes) covers every K consecutive words; in each window of W
+consecutive hashes the smallest is selected, the rightmost on ties, with its place. Any passage of at least
+W + K - 1 words that two texts share puts a common selected hash into both fingerprints. A selected hash and
+its place are one long: 31 hash bits above 32 bits that fall with the place, so that the smallest long is the
+rightmost minimum.
 
 Defined results: null counts as empty; a text without words has an empty fingerprint; a text of fewer
 than K words is one gram; fewer than W grams are one window; equal texts have equal fingerprints;
-likeness is the Jaccard similarity of the sets of hashes, 1 for two empty ones.
+likeness is the Jaccard similarity of the sets of hashes, 1 for two empty ones. Ids are integers; those that
+share an id are ordered by a hash of their text, rows that share id and text are one document, and null ids
+come last. Columns other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,33 +19,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.store import cut
+
 K = 5
 #: A power of two: the windowed minimum is built by doubling.
 W = 16
-#: Rows of a neighbour bucket aimed at, and the bound on the number of buckets.
-BUCKET_ROWS, MAX_BUCKETS = 64, 4096
+#: Ids of a part of the order aimed at, and the bound on the number of parts.
+PART_IDS, MAX_PARTS = 50_000, 4096
+
+
+def _turned(x: str, n: int) -> str:
+    return f"shiftleft({x}, {n}) ^ shiftrightunsigned({x}, {64 - n})"
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, out: str, w: int = W) -> DataFrame:
     """Add ``out``: the selected (hash, place) longs of column ``text`` in order of place.
 
     Each step is a column of its own: an array that two later places use is then computed once.
     """
     t = f"_{out}_"
+
+    def later(first: str, second: str, step: int, f: str) -> Column:
+        """Each element of ``first`` with that of ``second`` ``step`` places later."""
+        n = f"greatest(size(`{t}{second}`) - {step}, 0)"
+        return F.expr(f"zip_with(slice(`{t}{first}`, 1, {n}), slice(`{t}{second}`, {step + 1}, {n}), (x, y) -> {f})")
+
     df = df.withColumn(t + "w", F.expr(rf"transform(filter(split(lower(coalesce(`{text}`, '')), '[ \\t-\\r]+'), x -> x != ''), x -> xxhash64(x))"))
-    df = df.withColumn(t + "n", F.size(t + "w"))
-    zipped = ", ".join(f"slice(`{t}w`, {i + 1}, greatest(`{t}n` - {k - 1}, 0))" for i in range(k))
-    grams = f"CASE WHEN `{t}n` = 0 THEN cast(array() AS array<bigint>) WHEN `{t}n` < {k} THEN array(xxhash64(`{t}w`)) ELSE transform(arrays_zip({zipped}), x -> xxhash64(x)) END"
-    df = df.withColumn(t + "g", F.expr(grams))
-    place = "shiftleft(shiftrightunsigned(x, 33), 32) + (4294967295L - i)"
-    df = df.withColumn(t + "0", F.expr(f"transform(`{t}g`, (x, i) -> {place})"))
+    df = df.withColumn(t + "w2", later("w", "w", 1, f"{_turned('x', 7)} ^ y")).withColumn(t + "w4", later("w2", "w2", 2, f"{_turned('x', 14)} ^ y"))
+    df = df.withColumn(t + "w5", later("w4", "w", K - 1, f"{_turned('x', 7)} ^ y"))
+    df = df.withColumn(t + "g", F.expr(f"CASE WHEN size(`{t}w`) BETWEEN 1 AND {K - 1} THEN array(xxhash64(`{t}w`)) ELSE `{t}w5` END"))
+    df = df.withColumn(t + "0", F.expr(f"transform(`{t}g`, (x, i) -> shiftleft(shiftrightunsigned(x, 33), 32) + (4294967295L - i))"))
     step, level = 1, 0
     while step < w:
-        a = f"`{t}{level}`"
-        df = df.withColumn(f"{t}{level + 1}", F.expr(f"zip_with({a}, slice({a}, {step + 1}, greatest(size({a}) - {step}, 0)), (x, y) -> least(x, y))"))
+        df = df.withColumn(f"{t}{level + 1}", later(str(level), str(level), step, "least(x, y)"))
+        # a text of fewer windows keeps what it has
+        df = df.withColumn(f"{t}{level + 1}", F.expr(f"if(size(`{t}{level + 1}`) = 0, if(size(`{t}{level}`) = 0, `{t}{level}`, array(array_min(`{t}{level}`))), `{t}{level + 1}`)"))
         step, level = step * 2, level + 1
-    last = f"`{t}{level}`"
-    df = df.withColumn(out, F.expr(f"array_distinct(slice({last}, 1, greatest(size({last}) - {w - 1}, least(size({last}), 1))))"))
+    df = df.withColumn(out, F.expr(f"array_distinct(`{t}{level}`)"))
     return df.drop(*[c for c in df.columns if c.startswith(t)])
 
 
@@ -64,51 +77,50 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>``: the values of the row that follows in descending ``key``; the first follows the last.
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(_key, _rid, _half, _next_key, _next_rid): the row that follows in descending order; the first one follows the last.
 
-    The key's range is cut into buckets of about equal counts; each bucket also gets the first row of the
-    bucket after it, so one shuffle by bucket and a window inside each suffice. Only the bucket edges
-    and each bucket's largest key, at most MAX_BUCKETS numbers, come to the driver. Null keys sort last;
-    equal keys are ordered by a hash of the row.
+    ``ids`` has distinct rows of _key, _null (whether the id is null; these come last), _rid (a hash) and _half, no
+    texts. The range of keys is cut into parts of about equal counts, at most MAX_PARTS, whose edges and
+    first rows come to the driver; a window inside each part does the rest.
     """
-    spark = df.sparkSession
-    total = df.select(key).count()
-    n = max(1, min(MAX_BUCKETS, total // BUCKET_ROWS))
-    fractions = [i / n for i in range(1, n)]
-    edges = sorted({x for x in (df.agg(F.percentile_approx(key, fractions, 20 * MAX_BUCKETS)).first()[0] or [])}) if fractions else []
+    spark, total = ids.sparkSession, ids.count()
+    n = max(1, min(MAX_PARTS, total // PART_IDS))
+    edges = sorted(set(ids.where("NOT _null").agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 20 * MAX_PARTS)).first()[0] or [])) if n > 1 else []
+    # parts ascend with the key; null ids are in the lowest, -1
     limits = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<bigint>")
-    # buckets ascend with the key; null keys are in the lowest
-    where = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(limits, lambda e: e < F.col(key))))
-    placed = df.withColumn("_bucket", where)
-    heads = {r[0]: r[1] for r in df.select(key).withColumn("_bucket", where).groupBy("_bucket").agg(F.max(key)).collect()}
-    order = sorted(heads, reverse=True)
-    serve = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # b's first row also ends the bucket above it
-    helpers = spark.createDataFrame(serve, "_head long, _extra int")
-    both = placed.join(F.broadcast(helpers), F.col(key).eqNullSafe(F.col("_head")), "left")
-    own, extra = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("h")), F.struct(F.col("_extra").alias("b"), F.lit(1).alias("h"))
-    both = both.withColumn("_at", F.explode(F.when(F.col("_extra").isNull(), F.array(own)).otherwise(F.array(own, extra))))
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    window = Window.partitionBy("_b").orderBy("_h", F.col(key).desc_nulls_last(), "_tie")
-    out = both.withColumns({"_b": F.col("_at.b"), "_h": F.col("_at.h"), "_tie": tie}).drop("_at", "_bucket", "_head", "_extra")
-    out = out.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
-    return out.where("_h = 0").drop("_b", "_h", "_tie")
+    placed = ids.withColumn("_part", F.when(F.col("_null"), F.lit(-1)).otherwise(F.size(F.filter(limits, lambda e: e < F.col("_key")))))
+    firsts = {r._part: r.f for r in placed.groupBy("_part").agg(F.max(F.struct("_key", "_rid")).alias("f")).collect()}
+    order = sorted(firsts, reverse=True)
+    after = [(b, *firsts[order[(i + 1) % len(order)]]) for i, b in enumerate(order)]
+    follow = spark.createDataFrame(after, "_part int, _after_key long, _after_rid long")
+    window = Window.partitionBy("_part").orderBy(F.col("_key").desc(), F.col("_rid").desc())
+    out = placed.withColumn("_next", F.lead(F.struct("_key", "_rid")).over(window)).join(F.broadcast(follow), "_part")
+    value = lambda c: F.when(F.col("_next").isNull(), F.col(f"_after{c}")).otherwise(F.col(f"_next.{c}")).alias(f"_next{c}")
+    return out.select("_key", "_rid", "_half", value("_key"), value("_rid"))
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
-    Edited: the last half (floor) of the code points is replaced by as many of the next document's first.
+    Edited: the last half (floor) of the code points is replaced by as many of the next document's first. The
+    order is made of ids alone; texts are shuffled once, and of next documents only the needed beginnings
+    and the hashes.
     """
-    base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    base = with_fingerprint(base, "_text", "_own")
-    pairs = with_next(base, key, ["_text", "_own"])
-    half = F.expr("cast(floor(length(_text) / 2) AS int)")
-    pairs = pairs.withColumn("n_chars", F.length("_text").cast("long")).withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 2) AS int))"), F.col("next__text").substr(F.lit(1), half)))
-    pairs = pairs.drop("_text", "next__text")
-    pairs = with_fingerprint(pairs, "_edited", "_changed")
-    pairs = pairs.withColumns({"_a": hashes(F.col("_own")), "_b": hashes(F.col("_changed")), "_c": hashes(F.col("next__own"))})
+    null = F.col(key).isNull()
+    rows = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), null.alias("_null"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_rid", F.xxhash64("_text", "_null"))
+    linked = cut(next_ids(cut(rows.select("_key", "_null", "_rid", F.floor(F.length("_text") / 2).cast("int").alias("_half")).distinct(), "ids")), "order")
+    # what a document's predecessor needs of it, under the predecessor's id
+    ahead = rows.join(linked.select(F.col("_key").alias("_for"), F.col("_rid").alias("_for_rid"), "_half", F.col("_next_key").alias("_key"), F.col("_next_rid").alias("_rid")), ["_key", "_rid"])
+    ahead = with_fingerprint(ahead, "_text", "_fp")
+    ahead = ahead.select(F.col("_for").alias("_key"), F.col("_for_rid").alias("_rid"), F.expr("substring(_text, 1, _half)").alias("_tail"), hashes(F.col("_fp")).alias("_c"))
+    ahead = ahead.groupBy("_key", "_rid").agg(F.first("_tail").alias("_tail"), F.first("_c").alias("_c"))
+    pairs = rows.join(ahead, ["_key", "_rid"]).withColumn("n_chars", F.length("_text").cast("long"))
+    pairs = pairs.withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 2) AS int))"), "_tail"))
+    pairs = with_fingerprint(with_fingerprint(pairs, "_text", "_own"), "_edited", "_changed")
+    pairs = pairs.withColumns({"_a": hashes(F.col("_own")), "_b": hashes(F.col("_changed"))})
     return pairs.select(
-        key, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("_own")).alias("fingerprint"),
+        F.col(key), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("_own")).alias("fingerprint"),
         as_string(F.col("_changed")).alias("edited_fingerprint"), likeness("_a", "_b").alias("near_edited"), likeness("_a", "_c").alias("near_next"),
     )

@@ -483,32 +483,72 @@ def test_warc(spark):
 
 
 # 9
+def fingerprint(text):
+    """The selected (hash, place) pairs of a text, written anew."""
+    import xxhash
+
+    turned = lambda x, n: (x << n | x >> (64 - n)) & (1 << 64) - 1
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split("[ \\t-\\r]+", text.lower()) if w]
+    grams = []
+    for i in range(len(words) - 4):
+        h = 0
+        for w in words[i : i + 5]:
+            h = turned(h, 7) ^ w
+        grams.append(h >> 33)
+    out = []
+    for i in range(max(len(grams) - 15, min(len(grams), 1))):
+        low = min(grams[i : i + 16])
+        out.append((low, max(j for j in range(i, min(i + 16, len(grams))) if grams[j] == low)))
+    return list(dict.fromkeys(out))
+
+
 def test_winnowing(spark, edges, empty):
     from tessera.llm import winnow
 
-    got = {(r.doc_id, r.n_chars): r for r in winnow.fingerprint_edits(edges).collect()}
-    ordered = sorted(((i, t or "") for i, t in EDGES if i is not None), reverse=True)
-    ids = [i for i, _ in ordered]
-    for k, (i, t) in enumerate(ordered):
-        if ids.count(i) > 1 or (k + 1 < len(ids) and ids.count(ids[k + 1]) > 1) or k + 1 == len(ids):
-            continue
-        half = len(t) // 2
-        edited = t[: len(t) - half] + ordered[k + 1][1][:half]
-        assert got[i, len(t)].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-    assert got[2, 40].fingerprint == got[1, 40].fingerprint and got[2, 40].near_next == 1.0
-    assert winnow.fingerprint_edits(empty).count() == 0
-    # the selected places are those of the definition: in each window the rightmost least hash
-    rng = random.Random(4)
-    text = " ".join(rng.choice(["a", "b", "c"]) for _ in range(120))
-    one = spark.createDataFrame([(text,)], "t string")
-    row = winnow.with_fingerprint(one, "t", "f").first()
-    grams = [r.h for r in one.select(F.posexplode(F.expr("transform(split(t, ' '), x -> xxhash64(x))"))).select("pos", F.col("col").alias("h")).orderBy("pos").collect()]
-    hashed = [r.h for r in spark.createDataFrame([tuple(grams[i : i + winnow.K]) for i in range(len(grams) - winnow.K + 1)], ", ".join(f"`_f_{i}` long" for i in range(winnow.K))).select((F.shiftrightunsigned(F.xxhash64(F.struct(*[f"_f_{i}" for i in range(winnow.K)])), 33)).alias("h")).collect()]
-    places = []
-    for i in range(len(hashed) - winnow.W + 1):
-        low = min(hashed[i : i + winnow.W])
-        places.append(max(j for j in range(i, i + winnow.W) if hashed[j] == low))
-    assert [4294967295 - (x & 4294967295) for x in row.f] == list(dict.fromkeys(places))
+    rng = random.Random(8)
+    made = [(100 + i, " ".join(rng.choice(["ab", "C", "dé", "ef\n"]) for _ in range(rng.choice([0, 5, 6, 19, 20, 21, 40, 300])))) for i in range(60)]
+    made[30:33] = [(130, made[29][1]), (131, made[29][1]), (131, "one two three four five six")]
+    rows = made + [(i, t) for i, t in EDGES if i is not None and i != 7]
+    got = winnow.fingerprint_edits(spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, _text string, _key long")).collect()
+    assert len(got) == len(rows)
+    unique = {(i, t or "") for i, t in rows}
+    followers = {}  # documents of one id may stand in either order
+    ordered = sorted({i for i, _ in unique}, reverse=True)
+    texts = {i: sorted(t for j, t in unique if j == i) for i in ordered}
+    for k, i in enumerate(ordered):
+        for t in texts[i]:
+            followers[i, t] = [x for x in texts[i] if x != t] + texts[ordered[(k + 1) % len(ordered)]]
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    show = lambda f: " ".join(f"{h:X}@{p:X}" for h, p in f)
+    for r in got:
+        fits = []
+        for t in texts[r.doc_id]:
+            for after in followers[r.doc_id, t]:
+                half = len(t) // 2
+                edited = t[: len(t) - half] + after[:half]
+                own, changed, then = (fingerprint(x) for x in (t, edited, after))
+                sets = [{h for h, _ in f} for f in (own, changed, then)]
+                # texts of fewer than five words are one gram with a hash of another kind
+                few = min(len(x.split()) for x in (t, edited, after)) < 5
+                fits.append((r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest()) and (few or (r.fingerprint, r.edited_fingerprint) == (show(own), show(changed)) and math.isclose(r.near_edited, likeness(*sets[:2])) and math.isclose(r.near_next, likeness(sets[0], sets[2]))))
+        assert any(fits), r
+    by_text = {}
+    for r in got:
+        for t in texts[r.doc_id]:
+            if len(texts[r.doc_id]) == 1:
+                assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
+    assert winnow.fingerprint_edits(edges).count() == len(EDGES) and winnow.fingerprint_edits(empty).count() == 0
+
+
+def test_winnowing_order_in_parts(spark, monkeypatch):
+    from tessera.llm import winnow
+
+    monkeypatch.setattr(winnow, "PART_IDS", 7)
+    ids = [3 * i * i for i in range(90)]
+    frame = spark.createDataFrame([(i, False, i % 5, 0) for i in ids] + [(0, True, 1, 0)], "_key long, _null boolean, _rid long, _half int")
+    got = {(r._key, r._rid): (r._next_key, r._next_rid) for r in winnow.next_ids(frame).collect()}
+    order = [(i, i % 5) for i in sorted(ids, reverse=True)] + [(0, 1)]
+    assert got == {x: order[(k + 1) % len(order)] for k, x in enumerate(order)}
 
 
 # 10
