@@ -2,16 +2,20 @@
 
 An ARC record is a header line, whose fields depend on the version named in the file's leading
 ``filedesc:`` record, and the number of bytes that the line declares. The converter synthesises what WARC
-has and ARC lacks: record ids, ISO timestamps, record types, block and payload digests. Records with
-equal payloads are stored once: the one with the largest page id is the response, the others are
-``revisit`` records that refer to it.
+has and ARC lacks: record ids, ISO timestamps, record types, block and payload digests. An HTTP exchange
+becomes a ``response`` with its head and payload, the version record a ``warcinfo``, a record of the scheme
+``metadata:`` a ``metadata``, any other content (DNS answers, files) a ``resource`` with the content type that
+ARC gives. Payloads and heads are bytes and stay as they are. Records of pages with equal payloads are stored
+once: the one with the largest page id is the response, the others are ``revisit`` records that refer to it.
 
-WARC files are written by Spark's text writer (a record's end, two CRLF, is the line separator) and read
-back as whole files of a bounded number of records.
+WARC files are written by Spark's text writer (a record's end, two CRLF, is the line separator; the bytes
+are written as they are) in files of bounded numbers of records by size, so of bounded size, and read back
+as whole files.
 
 Defined results: a null html is an empty payload, a null url becomes ``about:blank``, blanks and control
 characters in a url are percent-encoded; a null page id never becomes the response of a group that has
-an id; rows that repeat an id and a payload are all of the same type. An empty table gives no records.
+an id; rows that repeat an id and a payload are all of the same type. An empty table gives no records. Other
+columns of the pages are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import column, small
-from tessera.llm.store import new_path
+from tessera.llm.skew import salted_join
+from tessera.llm.store import cut, discard, new_path
 
 #: The header fields of ARC records by version.
 ARC_FIELDS = {
@@ -37,7 +42,10 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
-PARSED = "page_id long, target string, ip string, warc_date string, head string, payload string, payload_bytes long, payload_digest string"
+PARSED = "page_id long, kind string, content_type string, target string, ip string, warc_date string, head binary, payload binary, payload_bytes long, payload_digest string"
+#: Records of up to so many payload bytes come to so many in a file at most, larger ones one by one: no file of
+#: many records holds more than 128 MB of payloads.
+FILE_SIZES = [(64 << 10, 2000), (1 << 20, 128), (16 << 20, 8), (1 << 62, 1)]
 
 
 def digest(data: bytes) -> str:
@@ -61,7 +69,7 @@ def _arc_line(url: str, ip: str, date: str, kind: str, content: bytes, version:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of each record after the leading version record."""
+    """(header fields, content) of each record, the leading version record first."""
     at, fields = 0, ARC_FIELDS[1]
     while at < len(data):
         end = data.find(b"\n", at)
@@ -78,6 +86,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             version = int(content.split(None, 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version} is unknown")
+            yield dict(zip(ARC_FIELDS[1], values)), content
             fields = ARC_FIELDS[version]
         else:
             if len(values) != len(fields):
@@ -99,20 +108,24 @@ def record_id(page_id: int | None, payload_digest: str) -> str:
 def _convert(contents: Iterator[bytes]) -> Iterator[list]:
     for data in contents:
         for fields, content in parse_arc(data):
-            head, _, payload = content.partition(b"\r\n\r\n")
-            page = re.search(rb"(?im)^X-Page-Id: *(-?\d+)", head)
-            yield [int(page[1]) if page else None, fields["URL"], fields["IP-address"], warc_date(fields["Archive-date"]), head.decode("utf-8", "replace"), payload, len(payload), digest(payload)]
+            url, head, payload, page = fields["URL"], b"", content, None
+            if content.startswith(b"HTTP/") and not url.startswith("filedesc:"):
+                kind, content_type = "response", "application/http; msgtype=response"
+                head, _, payload = content.partition(b"\r\n\r\n")
+                page = re.search(rb"(?im)^X-Page-Id: *(-?\d+)", head)
+            else:
+                kind = "warcinfo" if url.startswith("filedesc:") else "metadata" if url.startswith("metadata:") else "resource"
+                content_type = fields["Content-type"]
+            yield [int(page[1]) if page else None, kind, content_type, url, fields["IP-address"], warc_date(fields["Archive-date"]), head, payload, len(payload), digest(payload)]
 
 
 def _as_batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
-    arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-    arrays[5] = arrays[5].cast(pa.string())
-    return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PARSED.split(", ")])
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in PARSED.split(", ")])
 
 
 def convert_arc(archives: DataFrame, content: str = "content") -> DataFrame:
-    """The records of ARC files held in a binary column, as columns PARSED (payloads are UTF-8)."""
+    """The records of ARC files held in a binary column, as columns PARSED."""
 
     def run(batches):
         for part in small(batches, content):
@@ -152,26 +165,33 @@ def pages_as_arc(pages: DataFrame) -> DataFrame:
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
-    """Add ``refers_to``: for all but the largest page id of equal payloads, that id."""
-    groups = records.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_first"))
-    joined = records.join(groups, ["payload_digest", "payload_bytes"])
-    return joined.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("_first")), F.lit(None)).otherwise(F.col("_first"))).drop("_first")
+    """Add ``refers_to``: for all but the largest page id of equal payloads, that id. ``records`` is a written table.
 
+    Groups of one are left out of the join, which is by digest alone and deals frequent payloads to several tasks.
+    """
+    keys = records.select("page_id", "payload_digest", "payload_bytes")
+    groups = keys.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    groups = groups.select(F.concat_ws("/", "payload_digest", "payload_bytes").alias("_group"), "_first")
+    keyed = records.withColumn("_group", F.concat_ws("/", "payload_digest", "payload_bytes"))
+    joined = salted_join(keyed, groups, "_group", keys.select(F.concat_ws("/", "payload_digest", "payload_bytes").alias("_group")), "left")
+    own = F.col("_first").isNull() | F.col("page_id").eqNullSafe(F.col("_first"))
+    return joined.withColumn("refers_to", F.when(~own, F.col("_first"))).drop("_first", "_group")
 
-def _warc_text(row: dict) -> bytes:
-    head, payload = row["head"].encode() + b"\r\n\r\n", row["payload"].encode()
+
+def _warc_bytes(row: dict) -> bytes:
     revisit = row["refers_to"] is not None
-    block = head if revisit else head + payload
+    head = row["head"] + b"\r\n\r\n" if row["kind"] == "response" else b""
+    block = head if revisit else head + row["payload"]
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Type: {'revisit' if revisit else row['kind']}",
         f"WARC-Record-ID: {record_id(row['page_id'], row['payload_digest'])}",
         f"WARC-Date: {row['warc_date']}",
         f"WARC-Target-URI: {row['target']}",
         f"WARC-IP-Address: {row['ip']}",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
-        "Content-Type: application/http; msgtype=response",
+        f"Content-Type: {row['content_type']}",
         f"Content-Length: {len(block)}",
     ]
     if revisit:
@@ -179,15 +199,22 @@ def _warc_text(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Write records (PARSED and refers_to) as ``.gz`` WARC files under ``path``."""
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write records (PARSED and refers_to) as ``.gz`` WARC files under ``path``, by classes of size."""
 
     def run(batches):
         for part in small(batches, "payload"):
-            yield pa.RecordBatch.from_arrays([pa.array([_warc_text(r) for r in part.to_pylist()], pa.binary()).cast(pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([_warc_bytes(r) for r in part.to_pylist()], pa.binary())], ["value"])
 
-    lines = records.select("page_id", "target", "ip", "warc_date", "head", "payload", "payload_digest", "refers_to").mapInArrow(run, "value string")
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    below = 0
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    for limit, n in FILE_SIZES:
+        if below <= largest:
+            # a string of any bytes: the cast keeps them and the writer passes them on
+            lines = records.where(F.col("payload_bytes").between(below, limit)).select(*names, "refers_to").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+            lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", n).text(f"{path}/to-{limit}")
+        below = limit + 1
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -214,7 +241,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     if fields["WARC-Block-Digest"] != f"sha1:{digest(block)}":
                         raise ValueError(f"block digest of {fields['WARC-Record-ID']} doesn't fit")
-                    head, _, payload = block.partition(b"\r\n\r\n")
+                    head, _, payload = block.partition(b"\r\n\r\n") if "application/http" in fields["Content-Type"] else (b"", b"", block)
                     page, own = re.search(rb"(?im)^X-Page-Id: *(-?\d+)", head), fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = fields["WARC-Type"] == "revisit"
                     if not revisit and digest(payload) != own:
@@ -233,5 +260,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Pages -> ARC -> WARC files in the shared folder -> what is read back from them."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_warc(with_revisits(convert_arc(pages_as_arc(pages))), path)
+    # parsed once; the version records of the ARC files, one per page here, are no pages
+    records = cut(convert_arc(pages_as_arc(pages)).where("kind <> 'warcinfo'"), "records")
+    write_warc(with_revisits(records), path)
+    discard(records)
     return read_warc(spark, path)

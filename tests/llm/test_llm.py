@@ -467,7 +467,7 @@ def test_warc(spark):
     assert arc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     for version in (1, 2):
         content = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\n\r\nbody\n"
-        (fields, back), = arc.parse_arc(arc.arc_file([("http://a.b/c", "1.2.3.4", "19990102", "text/html", content)], version))
+        _, (fields, back) = arc.parse_arc(arc.arc_file([("http://a.b/c", "1.2.3.4", "19990102", "text/html", content)], version))
         assert back == content and fields["URL"] == "http://a.b/c" and arc.warc_date(fields["Archive-date"]) == "1999-01-02T00:00:00Z"
     with pytest.raises(ValueError):
         list(arc.parse_arc(b"http://a.b 1.2.3.4 19990102 text/html 99\nshort"))
@@ -482,6 +482,36 @@ def test_warc(spark):
     assert arc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_legacy_archives_of_any_content(spark, tmp_path):
+    import gzip
+
+    from tessera.llm import arc
+
+    head = "HTTP/1.0 200 OK\r\nServer: caf\u00e9".encode("latin-1")
+    latin, image = "caf\u00e9 \u00fc\r\n\r\nx".encode("latin-1"), bytes(range(256)) * 40 + b"\r\n\r\nWARC/1.1"
+    records = [
+        ("http://a.example/l", "1.2.3.4", "19970101120000", "text/html", head + b"\r\n\r\n" + latin), ("http://a.example/i", "1.2.3.4", "1997", "image/gif", b"HTTP/1.0 200 OK\r\n\r\n" + image),
+        ("dns:a.example", "5.6.7.8", "19970101", "text/dns", b"19970101\na.example. 3600 IN A 1.2.3.4\n"), ("ftp://a.example/f", "1.2.3.4", "19970102", "text/plain", b"HTTQ"), ("metadata:about", "0.0.0.0", "19970103", "text/anvl", b"k: v"),
+    ]
+    for version in (1, 2):
+        folder = tmp_path / str(version)
+        folder.mkdir()
+        (folder / "a.arc").write_bytes(arc.arc_file(records, version))
+        (folder / "b.arc.gz").write_bytes(gzip.compress(arc.arc_file(records[:1], version)))
+        got = arc.read_arc(spark, f"file://{folder}")
+        assert {(r.kind, r.target, bytes(r.payload), r.content_type) for r in got.where("kind <> 'warcinfo'").collect()} == {
+            ("response", records[0][0], latin, "application/http; msgtype=response"), ("response", records[1][0], image, "application/http; msgtype=response"),
+            ("resource", records[2][0], records[2][4], "text/dns"), ("resource", records[3][0], records[3][4], "text/plain"), ("metadata", records[4][0], records[4][4], "text/anvl"),
+        }
+        info = got.where("kind = 'warcinfo'").first()
+        assert got.count() == 8 and info.content_type == "text/plain" and bytes(info.payload).startswith(f"{version} 0 ".encode())
+        assert bytes(got.where("target = 'http://a.example/l'").first().head) == head
+        out = f"file://{tmp_path}/warc{version}"
+        arc.write_warc(got.withColumn("refers_to", F.lit(None).cast("long")), out)
+        back = arc.read_warc(spark, out).collect()
+        assert sorted((r.record_type, r.payload_digest, r.payload_bytes, r.warc_date) for r in back) == sorted((r.kind, r.payload_digest, r.payload_bytes, r.warc_date) for r in got.collect())
+
+
 # 9
 def fingerprint(text):
     """The selected (hash, place) pairs of a text, written anew."""
