@@ -103,15 +103,18 @@ def _url_oracle() -> str:
         fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{path}')"
         hit, verdict = f"CASE WHEN {fits} THEN '{rule}' ELSE {hit} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
     pattern = r"'^.*?://([^/?#]*)([^?#]*)'"
+    address, two = r"regexp_matches(name, '^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$')", ", ".join(f"'{x}'" for x in url_reputation.SUFFIXES)
+    last = lambda n: f"array_to_string(string_split(name, '.')[-{n}:], '.')"
     return f"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, {pattern}, 1, 's'), ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host, coalesce(regexp_extract(url, {pattern}, 2, 's'), '') AS path FROM pages),
 marks AS (SELECT doc_id AS page_id, max(CAST(quality = 0 AS INT)) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, 1 AS all_, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN marks USING (page_id) GROUP BY host),
+v AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '(?::[0-9]*)?$', '') AS name FROM u LEFT JOIN marks USING (page_id)),
+h AS (SELECT host, CASE WHEN {address} THEN name WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {address} THEN name WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix, 1 AS all_, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM v GROUP BY host, name),
 d AS (SELECT domain, suffix, all_, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 x AS (SELECT suffix, all_, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 world AS (SELECT all_, (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS mean FROM x GROUP BY all_),
 x2 AS {_level("x", "world", "all_")}, d2 AS {_level("d", "x2", "suffix")}, h2 AS {_level("h", "d2", "domain")}
-SELECT page_id, host, path, {hit} AS rule, coalesce({verdict}, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN h2 USING (host)
+SELECT page_id, host, path, {hit} AS rule, coalesce({verdict}, CASE WHEN h2.mean - 1.645::DOUBLE * sqrt(h2.mean * (1 - h2.mean) / (weight + 1)) > world.mean THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN h2 USING (host), world
 """
 
 

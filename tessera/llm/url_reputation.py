@@ -1,8 +1,15 @@
 """URL filters: listed rules first, then an empirical-Bayes reputation of hosts.
 
+Labelled outcomes of pages are counted by host, registered domain, public suffix and in all. Each level's bad
+rate is shrunk by a beta prior whose mean is the posterior mean of the level above and whose strength comes
+from the beta-binomial spread of the level's units. A host is blocked when the lower bound of its
+posterior is above the rate of all pages (or a given one).
+
 Everything is DataFrame expressions. Defined results: a null url, or one without ``://``, has an empty
-host and path, fits no rule and gets the reputation of the empty host. Null, repeated or contradictory
-outcomes count as they are (null outcomes count for nothing). Rows and columns of the input are kept.
+host and path, fits no rule and gets the reputation of the empty host. Repeated or contradictory outcomes of
+a page count once, as bad if any is; null ones count for nothing. A port is part of the host but of no domain,
+and an IP address is its own registered domain and suffix. Rows and columns of the input are kept but for host,
+path, rule, verdict, bad_mean and bad_lower, which are replaced.
 """
 
 from __future__ import annotations
@@ -12,9 +19,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.skew import salted_join
+from tessera.llm.store import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More rules than this are joined instead of being held in the expression.
-MAX_INLINE_RULES = 10_000
+#: Rules up to this count are held in the expression, more are joined; both give the same.
+INLINE_RULES = 24
+#: Suffixes of two labels under which names are registered; a longer list can be given.
+SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp or.jp ne.jp com.br com.cn com.mx co.in co.kr co.za com.tr com.ar com.sg com.hk com.tw".split())
+_ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -26,12 +39,21 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def _name(host: Column) -> Column:
+    """The host without user, port and a final dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(?::[0-9]*)?$|\.(?::[0-9]*)?$", "")
+
+
+def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    name = _name(host)
+    labels = F.when(F.substring_index(name, ".", -2).isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(_ADDRESS), name).otherwise(labels)
 
 
-def public_suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def public_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def _suffixes(host: Column) -> Column:
@@ -44,24 +66,26 @@ def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -
     """Add ``rule`` and ``rule_verdict`` to rows with ``host`` and ``path``.
 
     A rule is (verdict, "host/path"); it fits its host and all subdomains when the path starts with the
-    rule's; the longest wins. A list of up to MAX_INLINE_RULES is evaluated in the scan, a DataFrame with
-    columns verdict, rule is joined on the host's parent domains.
+    rule's; the longest wins. A list of up to INLINE_RULES is evaluated in the scan, a longer one or a DataFrame
+    with columns verdict, rule is joined on the host's parent domains, of which frequent ones are dealt out.
     """
     if isinstance(rules, DataFrame):
         keyed = rules.select(
             F.col("rule").alias("_rule"), F.col("verdict").alias("_verdict"),
             F.substring_index("rule", "/", 1).alias("_rule_host"), F.expr("substr(rule, instr(rule, '/'))").alias("_rule_path"),
         )
-        keys = urls.select("host", "path").distinct()
+        keys = urls.select("host", "path").distinct().withColumn("_rule_host", F.explode(_suffixes(F.col("host"))))
+        # only parents that a rule names are joined, so that common suffixes without rules bring no rows
         best = (
-            keys.withColumn("_rule_host", F.explode(_suffixes(F.col("host"))))
-            .join(keyed, "_rule_host")
+            salted_join(keys, keyed, "_rule_host")
             .where(F.col("path").startswith(F.col("_rule_path")))
             .groupBy("host", "path")
             .agg(F.max(F.struct(F.length("_rule").alias("n"), "_rule", "_verdict")).alias("_best"))
         )
-        return urls.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_best._rule"), "rule_verdict": F.col("_best._verdict")}).drop("_best")
-    if len(rules) > MAX_INLINE_RULES:
+        best = best.select(F.concat_ws("/", F.length("host"), "host", "path").alias("_url"), "_best")
+        joined = salted_join(urls.withColumn("_url", F.concat_ws("/", F.length("host"), "host", "path")), best, "_url", how="left")
+        return joined.withColumns({"rule": F.col("_best._rule"), "rule_verdict": F.col("_best._verdict")}).drop("_best", "_url")
+    if len(rules) > INLINE_RULES:
         return match_rules(urls, urls.sparkSession.createDataFrame(list(rules), "verdict string, rule string"))
     hit, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, rule in sorted(rules, key=lambda x: len(x[1])):  # each longer one overrides
@@ -77,7 +101,7 @@ def _level(units: DataFrame, parents: DataFrame, parent: str, floor: float, ceil
     The prior's mean is the parent's own posterior mean; its strength comes from the spread of the units
     around it (method of moments), kept within floor..ceiling.
     """
-    joined = units.join(parents.select(parent, F.col("mean").alias("_prior")), parent)
+    joined = cut(salted_join(units, parents.select(parent, F.col("mean").alias("_prior")), parent), "level")
     spread = joined.groupBy(parent).agg(
         F.sum("n").alias("_n"),
         F.sum(F.col("n") * F.pow(F.col("bad") / F.greatest(F.col("n"), F.lit(1)) - F.col("_prior"), F.lit(2))).alias("_ss"),
@@ -88,7 +112,7 @@ def _level(units: DataFrame, parents: DataFrame, parent: str, floor: float, ceil
     rho = (F.col("_ss") / var - F.col("_k")) / F.greatest(F.col("_n") - F.col("_k"), F.lit(1))
     strength = F.when(rho > 0, F.greatest(F.lit(floor), F.least(F.lit(ceiling), 1 / rho - 1))).otherwise(F.lit(ceiling))
     return (
-        joined.join(spread, parent)
+        salted_join(joined, spread, parent)
         .withColumn("_s", F.when(var > 0, strength).otherwise(F.lit(ceiling)))
         .withColumn("mean", (F.col("bad") + F.col("_s") * F.col("_prior")) / (F.col("n") + F.col("_s")))
         .withColumn("weight", F.col("n") + F.col("_s"))
@@ -96,34 +120,41 @@ def _level(units: DataFrame, parents: DataFrame, parent: str, floor: float, ceil
 
 
 def host_reputation(outcomes: DataFrame, floor: float = 2.0, ceiling: float = 1000.0, z: float = 1.645) -> DataFrame:
-    """Posterior bad rate of every host: (host, n, bad, mean, lower).
+    """Posterior bad rate of every host: (host, n, bad, mean, lower, world).
 
     ``outcomes`` has host and bad (0, 1 or null for unlabelled). Counts are aggregated before any
     shuffle; the levels suffix > registered domain > host then shrink towards each other. ``lower`` is the
-    one-sided bound mean - z * sd of the beta posterior.
+    one-sided bound mean - z * sd of the beta posterior, ``world`` the rate of all.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host")), "all": F.lit(1)})
+    hosts = cut(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix", "all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix", "all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     world = suffixes.groupBy("all").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
     suffixes = _level(suffixes, world, "all", floor, ceiling)
     domains = _level(domains, suffixes, "suffix", floor, ceiling)
-    hosts = _level(hosts, domains, "domain", floor, ceiling)
+    hosts = _level(hosts, domains, "domain", floor, ceiling).join(F.broadcast(world.select("all", F.col("mean").alias("world"))), "all")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return hosts.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("lower"))
+    return hosts.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("lower"), "world")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules, key: str = "page_id", max_bad: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules, key: str = "page_id", max_bad: float | None = None) -> DataFrame:
     """Add host, path, rule, verdict, bad_mean and bad_lower to ``pages``.
 
     ``outcomes`` has ``key`` and bad (0/1). A page that fits a rule gets the rule's verdict; else it is
-    blocked when the lower posterior bound of its host's bad rate is above ``max_bad``.
+    blocked when the lower posterior bound of its host's bad rate is above ``max_bad``, by default the bad rate
+    of all labelled pages.
     """
-    urls = pages.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
+    added = ("host", "path", "rule", "verdict", "bad_mean", "bad_lower")
+    kept = [c for c in pages.columns if c not in added]
+    packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(key).alias("_key"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     marks = outcomes.select(F.col(key).alias("_key"), F.col("bad").cast("int").alias("bad")).groupBy("_key").agg(F.max("bad").alias("bad"))
-    seen = urls.select(F.col(key).alias("_key"), "host").join(marks, "_key", "left")
-    known = host_reputation(seen).select("host", F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower"))
-    out = match_rules(urls, rules).join(known, "host", "left")
-    method = F.when(F.col("bad_lower") > max_bad, "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict")
+    # as small as the outcomes: only labelled pages are counted, the other hosts are added with nothing
+    seen = packed.select("_key", "host").join(marks, "_key", "left")
+    reputation = host_reputation(seen)
+    bound = F.col("world") if max_bad is None else F.lit(max_bad)
+    known = cut(reputation.select("host", F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower"), (F.col("lower") > bound).alias("_bad")), "reputation")
+    out = salted_join(match_rules(packed, rules), known, "host", packed.select("host"), "left")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("_bad"), "block").otherwise("allow"))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "host", "path", "rule", verdict.alias("verdict"), "bad_mean", "bad_lower")

@@ -70,6 +70,29 @@ def test_url_rules_and_reputation(spark):
     joined = u.match_rules(pages.withColumns({"host": u.url_host(F.col("url")), "path": u.url_path(F.col("url"))}), spark.createDataFrame(URL_RULES, "verdict string, rule string"))
     assert {r.page_id: r.rule for r in joined.collect()} == {i: r.rule for i, r in got.items()}
     assert u.judge_urls(pages.limit(0), outcomes, URL_RULES).count() == 0
+    odd = spark.createDataFrame([(h,) for h in ("a.b.co.uk:80", "x.y.example.com", "10.0.0.1:8080", "co.uk", "com", "")], "h string")
+    assert [tuple(r) for r in odd.select(u.registered_domain(F.col("h")), u.public_suffix(F.col("h"))).collect()] == [("b.co.uk", "co.uk"), ("example.com", "com"), ("10.0.0.1", "10.0.0.1"), ("co.uk", "co.uk"), ("com", "com"), ("", "")]
+
+
+def test_url_reputation_decides_pages(spark):
+    from tessera.llm import url_reputation as u
+
+    rng = random.Random(6)
+    rows, bad = [], []
+    for d in range(12):  # domain 3 is bad as a whole, host 0 of domain 5 alone
+        for h in range(4):
+            rate = 0.7 if d == 3 or (d == 5 and h == 0) else 0.1
+            for _ in range(60):
+                rows.append((len(rows), f"https://h{h}.d{d}.co.uk/x", "kept", 1.0))
+                if len(rows) % 3:
+                    bad.append((len(rows) - 1, rng.random() < rate))
+    rows.append((len(rows), "https://new.d3.co.uk/", "kept", 1.0))  # no outcome of its own: its domain decides
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, bad_mean double")
+    rules = [("block", f"r{i}.example/p") for i in range(20_000)] + [("allow", "h1.d3.co.uk/")]
+    got = u.judge_urls(pages, spark.createDataFrame(bad, "page_id long, bad boolean"), rules)
+    assert sorted(got.columns) == sorted(set(got.columns))
+    blocked = {r.host for r in got.where("verdict = 'block'").collect()}
+    assert blocked == {"h0.d3.co.uk", "h2.d3.co.uk", "h3.d3.co.uk", "h0.d5.co.uk", "new.d3.co.uk"}
 
 
 # 2
