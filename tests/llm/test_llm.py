@@ -329,6 +329,51 @@ def test_class_lm(spark, docs, edges, empty):
     assert class_lm.fit_and_score(edges).count() == len(EDGES) and class_lm.fit_and_score(empty).count() == 0
 
 
+def test_class_lm_scores_against_brute_force(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import class_lm
+    from tessera.llm.words import Words
+
+    for name, value in (("CLASSED", 110), ("SEED", 30), ("CLASSES", 3)):
+        monkeypatch.setattr(class_lm, name, value)
+    rng = random.Random(12)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]  # words of three kinds that take turns
+    texts = [" ".join(rng.choice(kinds[(i + s) % 3]) if rng.random() < 0.95 else f"rare{rng.randrange(50)}" for i in range(rng.randint(0, 60))) for s in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    training = frame.where(~class_lm.held_out()).select("text")
+    m = class_lm.fit(training, class_lm.word_counts(training))
+    place = {int(h): i for i, h in enumerate(m.known)}
+    of = lambda w: int(Words(pa.array([w])).hash[0])
+    # words of a kind are in the same class, seed or not
+    classed = {w: m.of[place[of(w)]] for k in kinds for w in k if of(w) in place}
+    common = {k: Counter(c for w, c in classed.items() if w[0] == k) for k in "abc"}
+    assert 60 < len(classed) <= 110 and sum(c.most_common(1)[0][1] for c in common.values()) > 0.9 * len(classed)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    counts, moves, size = Counter(), Counter(), m.classes + 2
+    state = lambda w: int(m.of[place[of(w)]]) if of(w) in place else m.classes
+    for i, t in enumerate(texts):
+        if not held(i):
+            counts.update(split(t))
+            path = [m.classes + 1, *map(state, split(t)), m.classes + 1]
+            moves.update(zip(path, path[1:]))
+    n, into, away = sum(moves.values()), Counter(), Counter()
+    for (a, b), c in moves.items():
+        away[a] += c
+        into[b] += c
+    move = lambda a, b: math.log10((moves[a, b] + 2.0 * (into[b] + 0.5) / (n + 0.5 * size)) / (away[a] + 2.0))
+    weight, rare = Counter(), Counter()
+    for w, c in counts.items():
+        (weight if of(w) in place else rare)[state(w)] += c
+    left = sum(rare.values()) + 0.5 * (len(counts) - len(place) + 1)
+    emit = lambda w: math.log10(counts[w] / weight[state(w)]) if of(w) in place else math.log10((counts[w] + 0.5) / left)
+    for r in class_lm.fit_and_score(frame).collect():
+        words = split(texts[r.doc_id])
+        path = [m.classes + 1, *map(state, words), m.classes + 1]
+        expected = sum(map(move, path, path[1:])) + sum(map(emit, words))
+        assert math.isclose(r.score, expected, rel_tol=1e-9) and math.isclose(r.perplexity, 10 ** (-expected / (len(words) + 1)), rel_tol=1e-9)
+
+
 def test_exchange_finds_planted_classes():
     from tessera.llm.class_lm import exchange
 
