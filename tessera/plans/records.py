@@ -9,6 +9,7 @@ from tessera.functions import dates, hashes, text, urls
 from tessera.operators import alerts, archive, diff, extract, facets, graph, quality
 from tessera.operators.dedup import duplicate_groups, newest_known, rewrite_duplicates
 from tessera.plans.registry import add, t
+from tessera.sources.shared import shared_dir
 
 
 @add("exact_duplicates", "SELECT sha256(text) AS digest, min(doc_id) AS survivor, count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
@@ -378,10 +379,7 @@ def stream_dedup_state(spark, sf):
 
     from tessera.streaming import incremental
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     batch = t(spark, sf, "events")
     stream = incremental.first_seen(spark, f"{sf}/events.parquet*", batch.schema, ["user_id", "event_type"], "ts", "60 days")
     incremental.run_available(stream.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/state")
