@@ -6,7 +6,9 @@ two tokens by the merge ranks gives the two tokens again; this is tested for all
 once by undoing merges in numpy. Only words with an incompatible pair are merged step by step.
 
 Defined results: null and empty texts have no tokens; the special string is one token wherever it
-occurs; words of any length are handled (exact merging uses a heap and is n log n).
+occurs; words of any length are handled (exact merging uses a heap and is n log n). Vocabulary files with
+other steps than these (a normalizer, another splitting, special tokens with conditions) are refused.
+Columns other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Texts all below this code point are cut by an equivalent pattern with spelled-out classes, which the
 #: standard library's matcher runs about twice as fast.
 PLAIN_BELOW = 0x250
-#: Words whose tokens a task remembers; a cache, so results don't depend on it.
+#: Words whose tokens a task remembers, besides those of one slice of a batch (4 MB of text); a cache, so results
+#: don't depend on it.
 REMEMBERED = 300_000
+#: What a vocabulary file must say for the steps below to be the right ones.
+SPLITTING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 _NONE = np.int64(1) << 40
 
 
@@ -53,6 +59,7 @@ def plain_pattern() -> re.Pattern:
 class Bpe:
     def __init__(self, path: str):
         model = json.load(open(path, encoding="utf-8"))
+        self._check(model)
         alphabet, vocab = byte_alphabet(), model["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -91,10 +98,20 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._forget()
 
+    @staticmethod
+    def _check(model: dict) -> None:
+        """Refuse files that ask for steps which aren't taken here."""
+        splitting = model.get("pre_tokenizer") or {}
+        odd = [k for k, v in SPLITTING.items() if splitting.get(k, v) != v] + [k for k, v in PLAIN_MODEL.items() if (model["model"].get(k) or None) != (v or None)]
+        odd += ["normalizer"] * bool(model.get("normalizer")) + ["pre_tokenizer"] * (not splitting) + ["post_processor"] * ((model.get("post_processor") or {}).get("type", "ByteLevel") != "ByteLevel")
+        odd += [x["content"] for x in model["added_tokens"] if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized")]
+        if odd:
+            raise ValueError(f"the vocabulary file asks for other steps: {', '.join(odd)}")
+
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.known = np.zeros(0, dtype=np.int32)
-        self.known_at = np.zeros(1, dtype=np.int64)
+        # buffers that double when they are full, so that learning doesn't copy what is known each time
+        self.known, self.known_at = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a[i] b[i] stay as they are when their bytes are merged by rank.
@@ -193,10 +210,13 @@ class Bpe:
             tokens = np.concatenate((tokens[keep], np.array([t for x in exact for t in x], dtype=np.int64)))
             order = np.argsort(owner, kind="stable")
             tokens, sizes = tokens[order], np.bincount(owner, minlength=len(words))
-        base = len(self.known_at) - 1
+        base = len(self.index)
         self.index.update(zip(words, range(base, base + len(words))))
-        self.known = np.concatenate((self.known, tokens.astype(np.int32)))
-        self.known_at = np.concatenate((self.known_at, self.known_at[-1] + np.cumsum(sizes)))
+        end = int(self.known_at[base])
+        self.known = _with_room(self.known, end, len(tokens))
+        self.known[end : end + len(tokens)] = tokens
+        self.known_at = _with_room(self.known_at, base + 1, len(words))
+        self.known_at[base + 1 : base + 1 + len(words)] = end + np.cumsum(sizes)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text."""
@@ -226,6 +246,15 @@ class Bpe:
         return self.flat[gather(self.place[ids], self.length[ids])].tobytes().decode("utf-8", "replace")
 
 
+def _with_room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, made larger if ``more`` values don't fit after the ``used`` ones."""
+    if used + more <= len(values):
+        return values
+    out = np.zeros(2 * (used + more), dtype=values.dtype)
+    out[:used] = values[:used]
+    return out
+
+
 _LOADED: dict[str, Bpe] = {}
 
 

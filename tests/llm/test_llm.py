@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips, held-out accuracy and defined edge cases."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -154,6 +155,10 @@ def test_bpe_equals_the_library(spark, docs, edges, empty):
         expected = t.encode(text or "", add_special_tokens=False).ids
         assert list(ids) == expected
         assert mine.decode(ids) == t.decode(expected, skip_special_tokens=False)
+    model = json.load(open(path, encoding="utf-8"))
+    for other in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": model["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.Bpe._check(model | other)
     table = bpe.encode_documents(edges, path, with_ids=True)
     back = bpe.decode_documents(table, path).join(edges.select("doc_id", F.col("text").alias("was")), "doc_id").collect()
     assert all(r.text == (r.was or "") for r in back) and bpe.encode_documents(empty, path).count() == 0
