@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
-Every token with a digit becomes ``#``, every capitalised word ``@`` and every unit after a number ``~``;
+Every token with a digit becomes ``#``, every capitalised one ``@`` and every unit after a number ``~``;
 the rest is lower-cased. The folded template has no ``@``: names are lower-cased too, so it is the same for
 copies in capitals or in small letters. Windows of WINDOW tokens of both, hashed by a rolling hash (rotate and
 xor), are hash-joined with those of the benchmark's items. A document is a candidate for an item when it has at least CONTAINMENT of the item's
@@ -63,8 +63,8 @@ def with_template(df: DataFrame, text: str, written: bool) -> DataFrame:
     blank-separated tokens, and the hashes of their windows: _grams, _folds and, if ``written``, _words."""
     df = df.withColumn("_flat", F.expr(f"trim(regexp_replace(coalesce(`{text}`, ''), '[{_S}]+', ' '))"))
     df = df.withColumn("_numbered", F.expr(f"regexp_replace(_flat, '{_TOKEN_START}[^ 0-9]*[0-9][^ ]*', '#')"))
-    named = f"regexp_replace(_numbered, '{_TOKEN_START}\\\\p{{Lu}}[\\\\p{{L}}-]*', '@')"
-    units = lambda x: F.expr(f"regexp_replace(lower({x}), '# (?:{'|'.join(UNITS)})(?![a-z])', '# ~')")
+    named = f"regexp_replace(_numbered, '{_TOKEN_START}\\\\p{{Lu}}[^ ]*', '@')"
+    units = lambda x: F.expr(f"regexp_replace(lower({x}), '# (?:{'|'.join(UNITS)})(?![a-z])[^ ]*', '# ~')")
     df = df.withColumns({"_plain": F.expr("lower(_flat)"), "_canon": units(named), "_folded": units("_numbered")}).drop("_flat", "_numbered")
     df = _rolled(_rolled(df, "_canon", "_grams"), "_folded", "_folds")
     return _rolled(df, "_plain", "_words") if written else df

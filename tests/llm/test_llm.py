@@ -591,7 +591,7 @@ def fingerprint(text):
     import xxhash
 
     turned = lambda x, n: (x << n | x >> (64 - n)) & (1 << 64) - 1
-    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split("[ \\t-\\r]+", text.lower()) if w]
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split("[ \t-\r]+", text.lower()) if w]
     grams = []
     for i in range(len(words) - 4):
         h = 0
@@ -699,6 +699,104 @@ def test_decontamination_judges_each_occurrence(spark):
     assert {r.doc_id: r.item_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 2, 5: None, 6: None}
 
 
+def contaminated_by_hand(text, items):
+    """The items that a text contains, by the definition of op 10, written anew; and the best of them."""
+    import regex
+
+    from tessera.llm import decontam as d
+
+    def windows(text):
+        """(place, [(window, slot values, literal words) of the template, the folded template and the words])"""
+        flat = [x for x in re.split("[ \t-\r]+", text or "") if x]
+        folded = ["#" if re.search("[0-9]", x) else x for x in flat]
+        canon = ["@" if regex.match(r"\p{Lu}", x) else x for x in folded]
+        plain = [x.lower() for x in flat]
+        for tokens in (canon, folded):
+            tokens[:] = [x.lower() for x in tokens]
+            before = list(tokens)
+            for i in range(1, len(tokens)):
+                if before[i - 1] == "#" and any(before[i].startswith(u) and not re.match("[a-z]", before[i][len(u) :]) for u in d.UNITS):
+                    tokens[i] = "~"
+        n = len(flat)
+        for p in range(n - 4 if n >= 5 else min(n, 1)):
+            out = []
+            for tokens in (canon, folded, plain):
+                part = tokens[p : p + 5]
+                out.append((tuple(part), tuple(x for x, y in zip(plain[p : p + 5], part) if y in "#@~" and tokens is not plain), sum(y not in "#@~" for y in part)))
+            yield p, out
+
+    seen = [(p, g, s) for p, ways in windows(text) for g, s in {(w[0], w[1]) for w in ways}]
+    grams = {g for _, g, _ in seen}
+    found = {}
+    for item, question in items:
+        rows = []  # folds, window, place, what matches it, its slots
+        for q, (t, f, w) in windows(question):
+            if t[2] >= 2:
+                rows.append((False, ("t", t[0]), q, t[0], t[1]))
+                if t[0] != f[0] and f[2] >= 2:
+                    rows.append((False, ("t", t[0]), q, f[0], f[1]))
+            rows.append((True, ("f", f[0]), q, f[0], f[1]) if f[2] >= 2 else (True, ("w", w[0]), q, w[0], ()))
+        length = len((question or "").split())
+        for folds in (False, True):
+            mine = [r for r in rows if r[0] == folds]
+            of = len({r[1] for r in mine})
+            matched = {r[1] for r in mine if r[3] in grams}
+            if not of or len(matched) < 0.8 * of:
+                continue
+            places = {}
+            for _, w, q, g, theirs in mine:
+                for p, h, own in seen:
+                    if g == h and len(theirs) == len(own):
+                        bucket = (p - q) // max(length // 2, 1)
+                        for place in ((0, 0), (1, p - q), (2, bucket), (2, bucket - 1)):
+                            there, tally = places.setdefault(place, (set(), {}))
+                            there.add(w)
+                            for was, is_ in zip(theirs, own):
+                                tally.setdefault(was, Counter())[is_] += 1
+            for there, tally in places.values():
+                total = sum(sum(c.values()) for c in tally.values())
+                if len(there) >= 0.8 * of and (not total or sum(max(c.values()) for c in tally.values()) / total >= 0.8):
+                    found[item] = max(found.get(item, 0), len(matched) / of)
+    return found, min(found, key=lambda i: (-found[i], i), default=None)
+
+
+def test_decontamination_against_brute_force(spark):
+    from tessera.llm import decontam
+
+    rng = random.Random(41)
+    words, names, units = [f"w{chr(97 + i)}x" for i in range(22)], ["Ann", "Bob,", "Carla", "Dan"], ["km", "apples", "hours.", "kg"]
+
+    def token():
+        x = rng.random()
+        return rng.choice(names) if x < 0.15 else f"{rng.randrange(2, 90)} {rng.choice(units)}" if x < 0.35 else rng.choice(words)
+
+    items = [(i, " ".join(token() for _ in range(rng.choice([2, 4, 6, 9, 14, 20])))) for i in range(25)] + [(90, "3 5 8 13 21 34"), (91, None), (92, "")]
+
+    def variant(x):
+        style, rename = rng.random(), {}
+        out = [rename.setdefault(w, rng.choice(names) if w in names else str(rng.randrange(90))) if style > 0.5 and (w in names or w.isdigit()) else w for w in x.split()]
+        if style < 0.2:
+            out = [w.upper() for w in out]
+        if 0.2 < style < 0.35:  # not consistent
+            out = [str(rng.randrange(90)) if w.isdigit() else w for w in out]
+        if rng.random() < 0.3 and out:
+            out[rng.randrange(len(out))] = rng.choice(words)
+        return " ".join(out)
+
+    rows = []
+    for i in range(220):
+        parts = [" ".join(token() for _ in range(rng.randrange(25)))]
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            parts += [variant(rng.choice(items)[1] or ""), " ".join(token() for _ in range(rng.randrange(12)))]
+        rows.append((i, "  ".join(parts), "kept"))
+    out = decontam.judge(spark.createDataFrame(rows, "doc_id long, text string, _gram string"), spark.createDataFrame(items, "item_id long, text string"))
+    expected = {i: contaminated_by_hand(t, items) for i, t, _ in rows}
+    for r in out.collect():
+        found, best = expected[r.doc_id]
+        assert (r.contaminated, r.n_items, r.item_id) == (bool(found), len(found), best), (rows[r.doc_id], found)
+    assert 40 < sum(bool(f) for f, _ in expected.values()) < 200
+
+
 def test_components(spark):
     from tessera.llm.components import connected_components
 
