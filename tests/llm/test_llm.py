@@ -811,14 +811,55 @@ def test_components(spark):
     assert all(got.get(a, a) == find(a) for a in at)
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
+    from tessera.llm import line_dedup, toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-        docs = out
-    assert 0.5 * n < docs.count() < n
-    assert p.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    # planted: near copies, an empty text and a text that loses all its lines
+    extra = docs.where("doc_id < 12 AND length(text) > 400").select((F.col("doc_id") + 100_000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"), *docs.columns[2:])
+    docs = docs.unionByName(extra.select(*docs.columns)).unionByName(spark.createDataFrame([(200_000, "", "en", None, 0), (200_001, None, "en", None, 0)], docs.schema))
+    stage = dict(p.STAGES)
+
+    def kept(name, frame):
+        out = stage[name](spark, frame, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(docs.schema).parquet(f"{tmp_path}/{name}")
+
+    clean = kept("toxicity", docs)
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
+
+    deduped = kept("line_dedup", clean)
+    expected = duckdb.sql(line_dedup.oracle(f"'{tmp_path}/toxicity/*.parquet'")).fetchall()
+    assert {(r.doc_id, r.text) for r in deduped.collect()} == {(i, x) for i, x, n in expected if not n or x.strip(" ")}
+    assert all(r.n_chars == len(r.text or "") for r in deduped.collect())
+
+    unique = kept("jaccard_join", deduped)
+    rows = [(r.doc_id, r.text) for r in deduped.collect()]
+    of, _ = components(rows)
+    assert {r.doc_id for r in unique.collect()} == {i for i, _ in rows if of[i] == i}
+
+    pure = kept("decontamination", unique)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert {r.doc_id for r in pure.collect()} == {r.doc_id for r in unique.collect() if not contaminated_by_hand(r.text, items)[0]}
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in pure.collect()}
+    encoded = stage["bpe"](spark, pure, SF).collect()
+    assert {r.doc_id: r.n_tokens for r in encoded} == {i: len(tokenizer.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
+    assert len(encoded) < docs.count()
+
+
+def test_pipeline_stages_on_nothing(spark):
+    import corpus_pipeline as p
+
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
