@@ -34,7 +34,7 @@ def normalize_datetime(c: Column, zone: str = ZONE) -> Column:
     text = F.trim(c)
     has_offset = text.rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$") & text.contains(":")
     # local times are read as if they were UTC and then moved, so the session's zone plays no part
-    day = F.substring(text, 1, 10)
+    day = F.nullif(F.regexp_extract(text, "^[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.lit(""))
     whole = F.when(F.length(text) <= 10, F.try_to_timestamp(F.concat(day, F.lit("T00:00:00Z")))).otherwise(F.try_to_timestamp(F.concat(text, F.lit("Z"))))
     noon = F.try_to_timestamp(F.concat(day, F.lit("T12:00:00Z")))
     return F.when(has_offset, F.try_to_timestamp(text)).otherwise(F.to_utc_timestamp(F.coalesce(whole, noon), zone))

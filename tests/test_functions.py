@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, text, urls
 from tessera.operators import alerts, diff, graph
-from tessera.operators.dedup import keep_ranked
+from tessera.operators.dedup import keep_newest, keep_ranked
 
 
 def one(spark, column):
@@ -14,6 +14,8 @@ def one(spark, column):
 
 @pytest.mark.parametrize("value, expected", [
     ("Monday, July 20, 2026", "2026-07-20"), ("July 15, 2026", "2026-07-15"), ("2026-Jul-15", "2026-07-15"), ("2026-07-15", "2026-07-15"), ("February 31, 2026", None), ("", None),
+    # the form with a weekday goes first on the whole text
+    ("Posted July 15, 2026 for Monday, July 20, 2026", "2026-07-20"), ("Monday, Junk 40, 2026 and July 1, 2026", None), ("2026-07-15 or July 4, 2026", "2026-07-04"),
 ])
 def test_parse_date(spark, value, expected):
     assert one(spark, dates.parse_date(F.lit(value))) == expected
@@ -90,3 +92,97 @@ def test_sources(spark, tmp_path):
     assert j.previous_snapshot(spark, root, "2026-01-01", "061700").count() == 0
     with pytest.raises(Exception, match="empty"):
         j.require(df.where("k > 5"), F.count("*") == 0, "empty").collect()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Vancouver"])
+@pytest.mark.parametrize("value, expected", [
+    ("2026-07-20T10:00:00Z", "2026-07-20 10:00:00"), ("2026-07-20T10:00:00-07:00", "2026-07-20 17:00:00"), ("2026-07-20T10:00:00", "2026-07-20 17:00:00"),
+    ("2026-01-20", "2026-01-20 08:00:00"), ("2026-07-20Tx", "2026-07-20 19:00:00"), ("nothing", None), ("", None),
+])
+def test_times_do_not_depend_on_the_session(spark, zone, value, expected):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = spark.range(1).select(F.unix_seconds(dates.normalize_datetime(F.lit(value))).alias("x")).first().x
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert at == (None if expected is None else one(spark, F.unix_seconds(F.to_timestamp(F.lit(expected)))))
+
+
+def test_newest_dedup_first_wins_on_ties(spark):
+    rows = spark.createDataFrame([("k", 5, 1), ("k", 9, 2), ("k", 9, 3), ("k", 1, 4)], "id string, time int, pos int")
+    assert keep_newest(rows, ["id"], "time", "pos").first()["pos"] == 2
+
+
+def test_empty_values_are_carried_forward(spark):
+    from tessera.operators import archive
+
+    new = spark.createDataFrame([(1, "", "n"), (2, None, "n"), (3, "own", "n")], "k int, pdf_sha string, title string")
+    old = spark.createDataFrame([(1, "a", "o"), (2, "b", "o"), (3, "c", "o")], "k int, pdf_sha string, title string")
+    assert {tuple(r) for r in archive.carry_forward(new, old, "k", ("pdf_",)).collect()} == {(1, "a", "n"), (2, "b", "n"), (3, "own", "n")}
+
+
+def test_a_missing_hash_is_no_change(spark):
+    a = spark.createDataFrame([(1, "x", "t"), (2, None, "t"), (3, "x", "t"), (4, "x", "t")], "k int, sha string, title string")
+    b = spark.createDataFrame([(1, "y", "t"), (2, "y", "t"), (3, None, "t"), (4, "x", None)], "k int, sha string, title string")
+    assert {(r.k, tuple(r.changed_fields)) for r in diff.snapshot_diff(a, b, "k", ["sha", "title"], if_known=("sha",)).collect()} == {(1, ("sha",)), (4, ("title",))}
+
+
+def test_links(spark):
+    assert one(spark, urls.valid_url(F.lit("HTTPS://a.b/c"))) and not one(spark, urls.valid_url(F.lit("ftp://a.b/c")))
+    link = lambda label, href: one(spark, urls.is_document_link(F.lit(label), F.lit(href)))
+    assert link("Agenda", "/x.pdf") and link("", "/files/a.ashx") and not link("Watch video", "/x.pdf") and not link("Agenda", "/calendar.aspx")
+    assert one(spark, urls.is_meeting_link(F.lit("Special COUNCIL"), F.lit(None).cast("string"), F.lit("/View?ID=3"))) and not one(spark, urls.is_meeting_link(F.lit("Contact"), F.lit("us"), F.lit("/View?ID=3")))
+    assert [one(spark, urls.byte_label(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"]
+    assert one(spark, urls.committee_pdf(F.lit("../a\\b.pdf?x"))) == "a/b.pdf" and one(spark, urls.committee_pdf(F.lit("a/../b.pdf"))) == ""
+    assert one(spark, urls.encoded_canonical_url(F.lit("HTTP://A.b//c//d/?z=%7Ex&_=1&Y=a%20b#f"))) == "http://a.b/c/d?Y=a+b&z=~x"
+
+
+@pytest.mark.parametrize("value, context, expected", [("Finance Committee Agenda", "", "Finance Committee"), ("Agenda", "Parks Commission - July 2, 2026", "Parks Commission"), ("Home", "page", "Home")])
+def test_meeting_title(spark, value, context, expected):
+    assert one(spark, text.meeting_title(F.lit(value), F.lit(context))) == expected
+
+
+@pytest.mark.parametrize("value, expected", [("7331", 7331.0), ("4500.123", 4500.00123), ("none", float("-inf")), ("1.2.3", None), (None, float("-inf"))])
+def test_numeric_key(spark, value, expected):
+    assert one(spark, text.numeric_key(F.lit(value).cast("string"))) == expected
+
+
+def test_fingerprints(spark):
+    from tessera.functions import hashes
+
+    a, b = (one(spark, hashes.fingerprint(F.lit(x).cast("string").alias("p"), F.lit(y).cast("string").alias("q"))) for x, y in ((None, "x"), ("x", None)))
+    assert a != b
+    assert one(spark, hashes.identity(F.lit(" id "), F.lit(1))) == "id" and len(one(spark, hashes.identity(F.lit(" "), F.lit(1)))) == 16
+
+
+def test_relationship_edges(spark):
+    found = spark.range(1).select(F.lit("9000").alias("number"), graph.infer_relationships(F.lit("9000"), F.lit("amends Bylaw No. 4000 and repeals Bylaw No. 5000")).alias("r"))
+    assert {(r.source, r.target, r.type) for r in graph.edges(found, "number", "r").collect()} >= {("9000", "4000", "amends"), ("9000", "5000", "repeals")}
+    assert found.select(graph.targets("r").alias("t")).first().t == ["4000", "5000"]
+
+
+def test_remembered_state_is_merged(spark):
+    from tessera.streaming.incremental import merge_state
+
+    state = spark.createDataFrame([("a", ["1", "2", "3"]), ("b", ["9"])], "who string, keys array<string>")
+    batch = spark.createDataFrame([("a", "3"), ("a", "4"), ("c", "5")], "who string, key string")
+    assert {r.who: r["keys"] for r in merge_state(state, batch, "who", "key", 3).collect()} == {"a": ["2", "3", "4"], "b": ["9"], "c": ["5"]}
+
+
+def test_file_index(spark, tmp_path):
+    import hashlib
+
+    from tessera.sources.json_tables import file_index
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.pdf").write_bytes(b"%PDF-")
+    (tmp_path / "b.txt").write_bytes(b"no")
+    assert [(r.length, r.sha256) for r in file_index(spark, f"file://{tmp_path}").collect()] == [(5, hashlib.sha256(b"%PDF-").hexdigest())]
+
+
+def test_alerts_without_category_reach_everyone_with_the_type(spark):
+    events = spark.createDataFrame([("e1", "new", "x", 5), ("e2", "new", "", 5), ("e3", "new", None, 5), ("e4", "old", "x", 5), ("e5", "new", "x", 0), ("e6", "new", "*", 5)], "key string, change_type string, category string, occurred_at int")
+    groups = spark.createDataFrame([("a", 1, ["new"], ["x"], False), ("b", 1, ["new"], ["y"], False), ("c", 1, ["new", "old"], [], True)], "recipient string, activation_at int, change_types array<string>, categories array<string>, all_categories boolean")
+    got = {(r.recipient, r.key) for r in alerts.match(events, groups).collect()}
+    assert got == {("a", "e1"), ("a", "e2"), ("a", "e3"), ("b", "e2"), ("b", "e3"), *(("c", k) for k in ("e1", "e2", "e3", "e4", "e6"))}
