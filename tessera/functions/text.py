@@ -49,6 +49,46 @@ def _literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def one_of(c: Column, allowed: list[str], default: str) -> Column:
+    return F.when(c.isin(*allowed), c).otherwise(default)
+
+
+def as_boolean(c: Column) -> Column:
+    """Whether a setting is on; whatever isn't a yes is off."""
+    return F.coalesce(F.lower(F.trim(c)).isin("true", "1", "yes", "on"), F.lit(False))
+
+
+def as_list(c: Column) -> Column:
+    """A single choice as a list: empty for none."""
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(F.trim(c)))
+
+
+def normalize_number(c: Column) -> Column:
+    """Trimmed, without dots at the end."""
+    return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "[.]+$", "")
+
+
+def _plain_letters() -> dict[str, str]:
+    """Accented Latin letters by their base, from their decompositions."""
+    import unicodedata
+
+    bases: dict[str, str] = {}
+    for code in range(0xC0, 0x250):
+        parts = unicodedata.normalize("NFKD", chr(code).lower())
+        if len(parts) > 1 and "a" <= parts[0] <= "z":
+            bases[parts[0]] = bases.get(parts[0], "") + chr(code)
+    return bases
+
+
+def name_slug(c: Column) -> Column:
+    """The slug of a page's name: lower case, letters taken apart from their marks, all else a hyphen. A mark within a
+    word becomes a hyphen too, unless it ends up beside one or at an end."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    for base, accented in _plain_letters().items():
+        low = F.regexp_replace(low, f"[{accented}]", base)
+    return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
 def normalize_category(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     return F.coalesce(_literal_map(RENAMED)[text], text)

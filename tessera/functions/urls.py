@@ -157,6 +157,18 @@ def content_type(c: Column) -> Column:
     return F.when(low.endswith(".pdf"), "application/pdf").when(low.endswith(".json"), "application/json; charset=utf-8").when(low.endswith(".txt"), "text/plain; charset=utf-8").when(low.endswith(".html"), "text/html; charset=utf-8").otherwise("application/octet-stream")
 
 
+# How long answers may be kept.
+def cache_control(c: Column) -> Column:
+    """By path: data are short-lived, texts live an hour, files a day."""
+    low = F.lower(c)
+    return F.when(low.endswith(".json"), "public, max-age=60, s-maxage=300").when(low.endswith(".txt"), "public, max-age=3600").otherwise("public, max-age=86400")
+
+
+def status_class(status: Column) -> Column:
+    """The style of a status label."""
+    return F.concat(F.lit("status-"), F.lower(F.regexp_replace(status, "[^A-Za-z0-9]+", "-")))
+
+
 def byte_label(c: Column) -> Column:
     return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1048576, F.concat(F.round(c / 1024, 1).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.round(c / 1048576, 1).cast("string"), F.lit(" MB")))
 

@@ -90,6 +90,25 @@ def page_extraction(pages: DataFrame, document: str, least: int = 80) -> DataFra
     return per.select(document, "n_pages", "n_sparse", "n_ocr", method.alias("method"))
 
 
+def copy_plan(source: DataFrame, there: DataFrame, key: str, size: str, digest: str) -> DataFrame:
+    """(key, action): copy what is missing, and what differs in size or content; sizes are compared before hashes."""
+    other = there.select(key, F.col(size).alias("_size"), F.col(digest).alias("_digest"))
+    same = (F.col(size) == F.col("_size")) & (F.col(digest) == F.col("_digest"))
+    action = F.when(F.col("_digest").isNull(), "copy-missing").when(same, "skip").otherwise("copy-changed")
+    return source.join(other, key, "left").select(key, action.alias("action"))
+
+
+def rewrite_paths(records: DataFrame, columns: list[str], moved: DataFrame) -> DataFrame:
+    """Records whose paths are replaced by those that ``moved`` (duplicate, survivor) names, with n_changed; a path with
+    backslashes is also looked up with slashes."""
+    out, changed = records, F.lit(0)
+    for c in columns:
+        found = moved.select(F.col("duplicate").alias(f"_d_{c}"), F.col("survivor").alias(f"_s_{c}"))
+        out = out.join(found, F.replace(c, F.lit("\\"), F.lit("/")) == F.col(f"_d_{c}"), "left")
+        changed = changed + F.when(F.col(f"_s_{c}").isNotNull(), 1).otherwise(0)
+    return out.select(*[F.coalesce(f"_s_{c}", c).alias(c) if c in columns else F.col(c) for c in records.columns], changed.alias("n_changed"))
+
+
 def file_set(*listings: DataFrame, key: str) -> DataFrame:
     """The distinct keys of several listings, in order."""
     every = listings[0].select(key)

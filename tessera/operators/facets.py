@@ -27,6 +27,26 @@ def counts_over(df: DataFrame, value: Column, domain: list[str], name: str = "ca
     return F.broadcast(cards).join(found, name, "right").union(cards.join(found, name, "left_anti").withColumn("n", F.lit(0).cast("long"))).where(F.col(name).isin(domain))
 
 
+def search_records(df: DataFrame, query: str, relationships: Column, *columns: str) -> DataFrame:
+    """Substring search in the joined fields and in the relationships as JSON, names included: a record without any has
+    an empty object, and a missing field reads ``undefined``."""
+    needle = query.strip().lower()
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("undefined")) for c in columns]
+    whole = F.lower(F.concat_ws(" ", *fields, F.coalesce(F.to_json(relationships), F.lit("{}"))))
+    return df.where(F.contains(whole, F.lit(needle))) if needle else df
+
+
+def first_pdf(*paths: Column) -> Column:
+    """The first of the paths that names a PDF, with its query."""
+    return F.coalesce(*[F.when(p.rlike(r"(?i)\.pdf(?:$|[?#])"), p) for p in paths])
+
+
+def status_class(c: Column) -> Column:
+    """Repealed over consolidated over amended over published, by the words of a status."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike("repeal|replac"), "repealed").when(low.contains("consolidat"), "consolidated").when(low.contains("amend"), "amended").otherwise("published")
+
+
 def in_year(df: DataFrame, date: str, year: str) -> DataFrame:
     """Rows whose date begins with the year's digits; an empty choice passes."""
     return df.where(F.coalesce(F.col(date), F.lit("")).startswith(year)) if year else df

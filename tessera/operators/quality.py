@@ -86,6 +86,19 @@ def details(df: DataFrame, value: str, n: int = 20) -> DataFrame:
     return shown.join(F.broadcast(df.agg(F.countDistinct(value).alias("n_values"))), F.lit(True))
 
 
+def unknown(df: DataFrame, column: str, known: list[str]) -> DataFrame:
+    """(n, labels): the distinct labels outside of the known ones."""
+    other = df.select(column).where(~F.col(column).isin(known)).distinct()
+    return other.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(column)).alias("labels"))
+
+
+def health(datasets: DataFrame) -> DataFrame:
+    """(n_available, n_missing, status) of a table of datasets (name, n, required)."""
+    there, missing = F.count_if(F.col("n") > 0), F.count_if((F.col("n") == 0) & F.col("required"))
+    status = F.when(missing > 0, "Attention").when(there < F.count("*"), "Partial").otherwise("Healthy")
+    return datasets.agg(there.alias("n_available"), missing.alias("n_missing"), status.alias("status"))
+
+
 def header_lint(pages: DataFrame, path: str, html: str, placeholder: str, script: str, root: Column, expected: Column) -> DataFrame:
     """(path, errors): pages whose shared header isn't one placeholder for the site's root and, after it, one script of
     the expected address. ``placeholder`` and ``script`` are patterns; group 1 is the root or the address."""
