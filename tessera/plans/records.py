@@ -198,11 +198,14 @@ def quality_report(spark, sf):
     )
 
 
-@add("quality_overall", "SELECT 0 AS n_fail, 1 AS n_warn, 1 AS n_pass, 'warn' AS status FROM (SELECT count(*) FROM orders)")
+@add("quality_overall", """WITH s AS (SELECT unnest([CASE WHEN count(*) = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN count(*) FILTER (WHERE o_totalprice > 400000) > 0 THEN 'warn' ELSE 'pass' END, CASE WHEN count(DISTINCT o_orderstatus) > 3 THEN 'fail' ELSE 'pass' END, CASE WHEN avg(CAST(o_orderpriority = '5-LOW' AS INT)) > 0.1 THEN 'warn' ELSE 'pass' END]) AS v FROM orders),
+c AS (SELECT count(*) FILTER (WHERE v = 'fail') AS n_fail, count(*) FILTER (WHERE v = 'warn') AS n_warn, count(*) FILTER (WHERE v = 'pass') AS n_pass FROM s)
+SELECT *, CASE WHEN n_fail > 0 THEN 'fail' WHEN n_warn > 0 THEN 'warn' ELSE 'pass' END AS status FROM c""")
 def quality_overall(spark, sf):
-    n = F.count("*")
-    odd = F.count(F.when(F.col("o_orderkey") > 0, 1))
-    return quality.overall(quality.report(t(spark, sf, "orders"), quality.check("found", n, n == 0, "fail"), quality.check("odd", odd, odd > 0)))
+    n, dear, states = F.count("*"), F.count_if(F.col("o_totalprice") > 400000), F.countDistinct("o_orderstatus")
+    low = quality.share(F.col("o_orderpriority") == "5-LOW")
+    checks = [quality.check("found", n, n == 0, "fail"), quality.check("dear", dear, dear > 0), quality.check("states", states, states > 3, "fail"), quality.check("low", low, low > 0.1)]
+    return quality.overall(quality.report(t(spark, sf, "orders"), *checks))
 
 
 @add("order_check", "SELECT count(*) AS n_out_of_order FROM (SELECT o_totalprice < lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS d FROM orders) WHERE d")
