@@ -797,6 +797,19 @@ def test_decontamination_against_brute_force(spark):
     assert 40 < sum(bool(f) for f, _ in expected.values()) < 200
 
 
+def test_salted_join_of_frequent_keys(spark, monkeypatch):
+    from tessera.llm import skew
+
+    left = spark.createDataFrame([(i % 4 if i % 3 else 7, i) for i in range(600)] + [(None, -1)], "k long, v long")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (7, "d"), (9, "e")], "k long, w string")
+    rows = lambda df: sorted((str(r.k), r.v, str(r.w)) for r in df.select("k", "v", "w").collect())
+    expected = {how: rows(left.join(right, "k", how)) for how in ("inner", "left")}
+    for size in (5, 1000):
+        monkeypatch.setattr(skew, "ROWS", size)
+        for how in ("inner", "left"):
+            assert rows(skew.salted_join(left, right, "k", how=how)) == expected[how]
+
+
 def test_components(spark):
     from tessera.llm.components import connected_components
 
