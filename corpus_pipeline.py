@@ -5,6 +5,11 @@ line_dedup        runs of lines that an earlier document has go; a document that
 jaccard_join      of each group of near copies the document of the least id stays
 decontamination   documents that contain an item of the benchmark go
 bpe               what is left is encoded (and decoded again as a proof)
+
+Defined results: null and empty texts are clean, have no lines, are copies of nothing and have no tokens; rows that
+share an id are one document in the second to fourth stage, and a row with a null id is only ever dropped
+as toxic; an empty table gives an empty one. Columns other than the id, the text and n_chars (the length of
+what is left of a text) pass through untouched.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # written before the filter, which would otherwise be pushed into the making of the texts
-    done = cut(line_dedup.dedup_lines(docs.withColumnRenamed("n_chars", "_n_chars")), "lines")
+    done = cut(line_dedup.dedup_lines(docs), "lines")
     done = done.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_n_chars"))
-    return done.withColumn("n_chars", changed).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
