@@ -517,6 +517,74 @@ def test_segments_against_brute_force():
         assert sorted((a, b) for a, b, _ in segments(np.array(s))) == sorted(maximal(s))
 
 
+def test_toxicity_against_brute_force(spark):
+    import pyarrow as pa
+
+    from tessera.llm import toxicity as x
+    from tessera.llm.words import PUNCTUATION, Words
+
+    rng = random.Random(19)
+    plain, bad = [f"wörd{i}" for i in range(60)], [f"vile{s}" for s in ("", "s", "ly", "ness", "st")] + ["Grim", "grimly"]
+    rows = []
+    for i in range(900):
+        toxic = i % 4 == 0
+        words = [rng.choice(plain) for _ in range(rng.randrange(1, 60))]
+        for _ in range(rng.randrange(2, 6) if toxic else rng.random() < 0.05):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(bad))
+        rows.append((i, ", ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = x.fit(docs, labels)
+
+    tokens = lambda s: re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s))
+    levels = lambda w: [w.encode()[:k] for k in x.PREFIXES] + [w.encode()]
+    fold = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).collect()}
+    counting = [(set(tokens(s)), y) for i, s, y in rows if i in fold]
+    base = sum(y for _, y in counting) / len(counting)
+    seen = [Counter() for _ in range(4)]
+    toxic, parent = [Counter() for _ in range(4)], {}
+    for words, y in counting:
+        for k in range(4):
+            for f in {levels(w)[k] for w in words}:
+                seen[k][f] += 1
+                toxic[k][f] += y
+        for w in words:
+            for k in range(1, 4):
+                parent[k, levels(w)[k]] = levels(w)[k - 1]
+    logit = lambda p: math.log(p / (1 - p))
+    rate, score = {}, {}
+    for k in range(4):
+        for f, n in seen[k].items():
+            if n >= x.LEAST_DOCS:
+                prior = rate.get((k - 1, parent[k, f]), base) if k else base
+                rate[k, f] = (toxic[k][f] + x.PRIOR * prior) / (n + x.PRIOR)
+                odds, up = logit(rate[k, f]) - logit(base), logit(prior) - logit(base)
+                if odds > x.SHIFT or up > x.SHIFT:
+                    score[k, f] = min(max(odds, -2), 8) - x.SHIFT
+    assert model.base == base and len(model.features) == len(score) > 5
+    of = lambda w: [score[k, f] for k, f in enumerate(levels(w)) if (k, f) in score]
+    for w in plain + [b.lower() for b in bad]:
+        expected = of(w)[-1] if of(w) else x.UNKNOWN
+        assert math.isclose(model.token_scores(Words(pa.array([w]), PUNCTUATION))[0], expected, rel_tol=1e-9)
+
+    def maximal(s):
+        best = max(((sum(s[i:j]), i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,))
+        return maximal(s[: best[2]]) + [best[0]] + maximal(s[best[3] :]) if best[0] > 0 else []
+
+    got = {r.doc_id: r for r in x.score(docs, model).collect()}
+    for i, s, _ in rows[:150]:
+        line = [of(w)[-1] if of(w) else x.UNKNOWN for w in tokens(s)]
+        floor = math.log(model.k * max(len(line), 1))
+        evidence = sum(max(0.0, model.lam * m - floor) for m in maximal(line))
+        expected = 1 / (1 + math.exp(-(model.curve[0] * math.log1p(evidence) + model.curve[1])))
+        assert math.isclose(got[i].score, expected, rel_tol=1e-6) and got[i].predicted == (expected >= 0.5)
+    # the extreme-value scale is the root of E[exp(lambda * score)] = 1 over the tokens of clean documents
+    clean = [of(w)[-1] if of(w) else x.UNKNOWN for i, s, y in rows if i not in fold and not y for w in tokens(s)]
+    bins = [b / 4 + 0.125 for b in range(-16, 32)]  # each has a thousandth of a token besides
+    total = sum(math.exp(model.lam * (math.floor(v * 4) / 4 + 0.125)) for v in clean) + sum(math.exp(model.lam * b) for b in bins) / 1000
+    assert abs(total / (len(clean) + len(bins) / 1000) - 1) < 0.01
+
+
 def test_toxicity(spark, edges, empty):
     from tessera.llm import toxicity
 
