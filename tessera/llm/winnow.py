@@ -78,7 +78,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """(_key, _rid, _half, _next_key, _next_rid): the row that follows in descending order; the first one follows the last.
+    """(_key, _null, _rid, _half, _next_key, _next_rid): the row that follows in descending order; the first one follows the last.
 
     ``ids`` has distinct rows of _key, _null (whether the id is null; these come last), _rid (a hash) and _half, no
     texts. The range of keys is cut into parts of about equal counts, at most MAX_PARTS, whose edges and
@@ -97,7 +97,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
     window = Window.partitionBy("_part").orderBy(F.col("_key").desc(), F.col("_rid").desc())
     out = placed.withColumn("_next", F.lead(F.struct("_key", "_rid")).over(window)).join(F.broadcast(follow), "_part")
     value = lambda c: F.when(F.col("_next").isNull(), F.col(f"_after{c}")).otherwise(F.col(f"_next.{c}")).alias(f"_next{c}")
-    return out.select("_key", "_rid", "_half", value("_key"), value("_rid"))
+    return out.select("_key", "_null", "_rid", "_half", value("_key"), value("_rid"))
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,20 +107,22 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     order is made of ids alone; texts are shuffled once, and of next documents only the needed beginnings
     and the hashes.
     """
-    null = F.col(key).isNull()
-    rows = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), null.alias("_null"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), F.col(key).isNull().alias("_null"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_rid", F.xxhash64("_text", "_null"))
     linked = cut(next_ids(cut(rows.select("_key", "_null", "_rid", F.floor(F.length("_text") / 2).cast("int").alias("_half")).distinct(), "ids")), "order")
+    # both joins below read these columns alone, so that one shuffle serves them
+    rows = rows.select("_key", "_rid", "_text")
     # what a document's predecessor needs of it, under the predecessor's id
-    ahead = rows.join(linked.select(F.col("_key").alias("_for"), F.col("_rid").alias("_for_rid"), "_half", F.col("_next_key").alias("_key"), F.col("_next_rid").alias("_rid")), ["_key", "_rid"])
+    ahead = rows.join(linked.select(F.col("_key").alias("_for"), F.col("_rid").alias("_for_rid"), F.col("_null").alias("_for_null"), "_half", F.col("_next_key").alias("_key"), F.col("_next_rid").alias("_rid")), ["_key", "_rid"])
     ahead = with_fingerprint(ahead, "_text", "_fp")
-    ahead = ahead.select(F.col("_for").alias("_key"), F.col("_for_rid").alias("_rid"), F.expr("substring(_text, 1, _half)").alias("_tail"), hashes(F.col("_fp")).alias("_c"))
-    ahead = ahead.groupBy("_key", "_rid").agg(F.first("_tail").alias("_tail"), F.first("_c").alias("_c"))
+    ahead = ahead.select(F.col("_for").alias("_key"), F.col("_for_rid").alias("_rid"), F.col("_for_null").alias("_null"), F.expr("substring(_text, 1, _half)").alias("_tail"), hashes(F.col("_fp")).alias("_c"))
+    ahead = ahead.groupBy("_key", "_rid").agg(F.first("_null").alias("_null"), F.first("_tail").alias("_tail"), F.first("_c").alias("_c"))
     pairs = rows.join(ahead, ["_key", "_rid"]).withColumn("n_chars", F.length("_text").cast("long"))
     pairs = pairs.withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 2) AS int))"), "_tail"))
     pairs = with_fingerprint(with_fingerprint(pairs, "_text", "_own"), "_edited", "_changed")
     pairs = pairs.withColumns({"_a": hashes(F.col("_own")), "_b": hashes(F.col("_changed"))})
     return pairs.select(
-        F.col(key), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("_own")).alias("fingerprint"),
+        F.when(~F.col("_null"), F.col("_key").cast(kind)).alias(key), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("_own")).alias("fingerprint"),
         as_string(F.col("_changed")).alias("edited_fingerprint"), likeness("_a", "_b").alias("near_edited"), likeness("_a", "_c").alias("near_next"),
     )
