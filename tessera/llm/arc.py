@@ -43,6 +43,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
 PARSED = "page_id long, kind string, content_type string, target string, ip string, warc_date string, head binary, payload binary, payload_bytes long, payload_digest string"
+#: Groups of equal payloads (some 60 bytes each) up to this count are broadcast.
+FEW_GROUPS = 200_000
 #: Records of up to so many payload bytes come to so many in a file at most, larger ones one by one: no file of
 #: many records holds more than 128 MB of payloads.
 FILE_SIZES = [(64 << 10, 2000), (1 << 20, 128), (16 << 20, 8), (1 << 62, 1)]
@@ -171,9 +173,9 @@ def with_revisits(records: DataFrame) -> DataFrame:
     """
     keys = records.select("page_id", "payload_digest", "payload_bytes")
     groups = keys.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    groups = groups.select(F.concat_ws("/", "payload_digest", "payload_bytes").alias("_group"), "_first")
+    groups = cut(groups.select(F.concat_ws("/", "payload_digest", "payload_bytes").alias("_group"), "_first"), "copies")
     keyed = records.withColumn("_group", F.concat_ws("/", "payload_digest", "payload_bytes"))
-    joined = salted_join(keyed, groups, "_group", keys.select(F.concat_ws("/", "payload_digest", "payload_bytes").alias("_group")), "left")
+    joined = salted_join(keyed, groups, "_group", keys.select(F.concat_ws("/", "payload_digest", "payload_bytes").alias("_group")), "left", FEW_GROUPS)
     own = F.col("_first").isNull() | F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.withColumn("refers_to", F.when(~own, F.col("_first"))).drop("_first", "_group")
 

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 ROWS, SHARE = 1000, 10_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str, counted: DataFrame | None = None, how: str = "inner", few: int = 0) -> DataFrame:
     """Inner or left join of ``left`` with ``right``, whose keys repeat little.
 
     Frequent keys are counted in ``counted`` (by default ``left``), which has the key column and is cheap to
     read. There are at most SHARE of them, as each has more than one SHARE-th of all rows: they are broadcast.
-    Their rows of ``left`` get a random part, those of ``right`` are repeated for each part.
+    Their rows of ``left`` get a random part, those of ``right`` are repeated for each part. A ``right`` of narrow
+    rows, ``few`` at most by its count, is broadcast instead, so that ``left`` stays where it is.
     """
+    if few and right.count() <= few:
+        return left.join(F.broadcast(right), on, how)
     counted = left if counted is None else counted
     per = max(ROWS, counted.count() // SHARE)
     hot = counted.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > per).select(on, F.ceil(F.col("_n") / per).cast("int").alias("_parts"))
