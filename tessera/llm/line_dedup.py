@@ -72,14 +72,18 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
     chunks = cut(chunks.where("_c IS NOT NULL").select("_key", "_rid", "_c.*"), "chunks")
     # hashes only: which ones occur in several documents
     shared = chunks.groupBy("h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a < _b").select("h", "_a")
+    shared = cut(shared, "shared")
     marks = salted_join(chunks, shared, "h").groupBy("_key", "_rid").agg(F.collect_set(F.struct("s", "e", "h", (F.col("_key") == F.col("_a")).alias("least"))).alias("_marks"))
+    marks = cut(marks, "marks")
+    for table in (chunks, shared):
+        discard(table)
     # texts of the marked chunks and of the units around them, cut out before the rows are made: a row never holds a whole text
     marked = packed.join(marks.hint("shuffle_hash"), ["_key", "_rid"]).withColumn("_units", F.expr(_units("_text")))
     at = lambda place: _bare(f"if({place} BETWEEN 1 AND size(_units), element_at(_units, greatest({place}, 1)), NULL)")
     around = "".join(f", '{name}', {at(f'm.{end} + ({k})')}" for name, end, k in AROUND)
     body = f"transform(_marks, m -> named_struct('s', m.s, 'e', m.e, 'h', m.h, 'least', m.least, 'chunk', transform(slice(_units, m.s, m.e - m.s + 1), x -> {_bare('x')}){around}))"
     found = cut(marked.select("_key", "_rid", F.explode_outer(F.expr(body)).alias("_c")).select("_key", "_rid", "_c.*"), "marked")
-    discard(chunks)
+    discard(marks)
     first = found.where("least").groupBy("h").agg(F.min_by(F.struct(F.col("_key").alias("_first"), *[F.col(c).alias(f"_{c}") for c in ("chunk", *[x[0] for x in AROUND])]), F.struct("_key", "_rid", "s")).alias("_ref")).select("h", "_ref.*")
     matched = salted_join(found.where("NOT least"), first, "h").where("chunk = _chunk")
     # how far a match goes on
