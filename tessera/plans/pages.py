@@ -42,11 +42,11 @@ def documents_by_address(spark, sf):
     return crawl.last_by_address(d, "meeting", "url", "page_id").select("meeting", "address", "page_id")
 
 
-@add("document_resolution", """WITH RECURSIVE h AS (SELECT p_partkey AS page, (p_partkey * 7 + p_size) % 97 AS target FROM part WHERE p_partkey < 97),
+@add("document_resolution", """WITH RECURSIVE h AS (SELECT p_partkey AS page, (p_partkey * 7 + p_size) % 97 AS target FROM part),
 r AS (SELECT page AS start, page AS "at", [page] AS seen, 0 AS depth FROM h UNION ALL SELECT start, target, list_append(seen, target), depth + 1 FROM r JOIN h ON r.at = page WHERE depth < 3 AND NOT list_contains(seen, target))
 SELECT start, max(depth) AS depth, arg_max(r.at, depth) AS page FROM r GROUP BY start""")
 def document_resolution(spark, sf):
-    hops = t(spark, sf, "part").where("p_partkey < 97").select(F.col("p_partkey").alias("page"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 97).alias("target"))
+    hops = t(spark, sf, "part").select(F.col("p_partkey").alias("page"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 97).alias("target"))
     return crawl.resolve(hops.select(F.col("page").alias("start")), hops).withColumnRenamed("at", "page")
 
 
