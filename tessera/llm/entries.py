@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arc, bpe, class_lm, decontam, jaccard, line_dedup, packing, pii, toxicity, url_reputation, winnow
+from tessera.llm import arc, bpe, class_lm, decontam, fim, jaccard, line_dedup, packing, pii, toxicity, url_reputation, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(table(spark, sf_dir, "documents"), with_output=False).drop("output")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_from_arc": op8_warc_from_arc,
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "op13_packing": op13_packing,
 }
 
@@ -141,4 +146,5 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p
 """,
     "op2_line_dedup": line_dedup.oracle(),
+    "op11_fill_in_middle": fim.oracle(),
 }
