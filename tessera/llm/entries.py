@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arc, bpe, class_lm, decontam, fim, jaccard, line_dedup, packing, pii, toxicity, url_reputation, winnow
+from tessera.llm import arc, bpe, class_lm, collocation, decontam, fim, jaccard, line_dedup, packing, pii, toxicity, url_reputation, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transform(table(spark, sf_dir, "documents"), with_output=False).drop("output")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_packing": op13_packing,
 }
 
@@ -147,4 +152,5 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS
 """,
     "op2_line_dedup": line_dedup.oracle(),
     "op11_fill_in_middle": fim.oracle(),
+    "op12_phrase_collocations": collocation.oracle(),
 }
