@@ -39,7 +39,7 @@ from tessera.llm.words import Words, mix
 #: The bytes that end a piece, and those that only separate words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: At most 2**FILTER_BITS bits (16 MB) are sent to the tasks per level.
 FILTER_BITS = 27
 #: Words with one hash that may be given other numbers; more mean that the hash is broken.
@@ -176,11 +176,12 @@ def extend(ids: np.ndarray, sizes: np.ndarray, positions: np.ndarray, filters: l
 
     ``filters[k]`` tells which phrases of k + 1 words are worth extending.
     """
-    name = np.repeat(np.arange(len(ids)), sizes)
+    name = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     kept = filters[0].holds(ids[:, None])[name]
     name, place = name[kept], positions[kept]
     in_order = np.argsort(place, kind="stable")
     posting_place, posting_name = place[in_order], name[in_order]  # all postings by position
+    del kept, in_order
     name, place = posting_name, posting_place  # occurrences by position: the words themselves at first
     phrases, counts = ids[:, None], sizes
     for k, passes in enumerate(filters, 1):
@@ -209,14 +210,13 @@ def _level(index: DataFrame, filters: list[Filter], least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sizes, positions in zip(*(batch.column(i) for i in range(3))):
-                sizes, positions = np.asarray(sizes.values, dtype=np.int64), np.frombuffer(positions.as_py(), dtype="<i4").astype(np.int64)
+                sizes, positions = np.asarray(sizes.values, dtype=np.int64), np.frombuffer(positions.as_py(), dtype="<i4")
                 phrases, counts = extend(np.asarray(ids.values).view(np.uint64), sizes, positions, filters)
-                if not len(counts):
-                    continue
                 data = pa.py_buffer(phrases.astype(">u8").tobytes())
                 ends = pa.py_buffer(np.arange(0, 8 * words * (len(counts) + 1), 8 * words, dtype=np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, data]), pa.array(counts, pa.int64())], ["phrase", "n"])
-        give_back()
+                del phrases, counts, data, ends, sizes, positions
+                give_back()
 
     found = index.select("ids", "sizes", "positions").mapInArrow(run, "phrase binary, n long")
     return cut(found.groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases", arrow_rows=4)
