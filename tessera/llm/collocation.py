@@ -40,6 +40,8 @@ from tessera.llm.words import Words, mix
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text in a block.
 BLOCK = 4 << 20
+#: Words whose spellings are compared at once.
+SLICE = 1 << 15
 #: At most 2**FILTER_BITS bits (16 MB) are sent to the tasks per level.
 FILTER_BITS = 27
 #: Words with one hash that may be given other numbers; more mean that the hash is broken.
@@ -74,7 +76,8 @@ def _block(part: pa.RecordBatch, text: str, lang: str, renamed: Renamed, bits: i
     names = ["und" if x is None else x for x in column(part, lang).to_pylist()]
     row = np.repeat(np.arange(part.num_rows), np.diff(words.bounds))
     ids = _ids(words, names, row, renamed, bits)
-    ends = np.concatenate(([0], np.cumsum(_ENDS[words.raw], dtype=np.int32)))
+    ends = np.zeros(len(words.raw) + 1, dtype=np.int32)
+    np.cumsum(_ENDS[words.raw], out=ends[1:])
     apart = (row[1:] != row[:-1]) | (ends[words.start[1:]] != ends[words.end[:-1]])
     position = np.arange(n, dtype=np.int32)
     position[1:] += np.cumsum(apart, dtype=np.int32)
@@ -87,11 +90,11 @@ def _block(part: pa.RecordBatch, text: str, lang: str, renamed: Renamed, bits: i
     code = {x: i for i, x in enumerate(dict.fromkeys(names))}
     of = np.array([code[x] for x in names])[row[order]]
     odd = (length != length[first]) | (of != of[first])
-    even = np.flatnonzero(~odd)
-    here, there = gather(start[even], length[even]), gather(start[first[even]], length[even])
-    differ = np.flatnonzero(words.raw[here] != words.raw[there])
-    if len(differ):
-        odd[even[np.searchsorted(np.cumsum(length[even]), differ, side="right")]] = True
+    for i in range(0, n, SLICE):  # by slices, so that the places of bytes need little room
+        even = i + np.flatnonzero(~odd[i : i + SLICE])
+        differ = words.raw[gather(start[even], length[even])] != words.raw[gather(start[first[even]], length[even])]
+        if differ.any():
+            odd[even[np.searchsorted(np.cumsum(length[even]), np.flatnonzero(differ), side="right")]] = True
     spell = lambda i: names[row[order[i]]] + "\t" + words.raw[start[i] : start[i] + length[i]].tobytes().decode()
     spelled = [spell(i) for i in heads]
     more = sorted({(int(ids[i]), spell(i)) for i in np.flatnonzero(odd)})  # words with the number of another one
