@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keyword groups of the category function, first match wins.
 CATEGORY_WORDS = [
@@ -19,24 +20,41 @@ CATEGORY_WORDS = [
 ]
 # Action words in order of precedence, and the openings of motions.
 ACTION_WORDS = ["adopted", "passed", "reading", "rescinded", "amended", "deferred", "directed", "approved", "endorsed", "received", "referred", "denied"]
-MOTION_OPENINGS = [f"Council {x}" for x in ("directed", "approved", "endorsed", "adopted", "deferred", "referred", "denied", "received", "supported")]
+MOTION_OPENINGS = [
+    "Council directed", "Council approved", "Council endorsed", "Council adopted", "Council deferred", "Council referred", "Council denied", "Council received", "Council supported",
+]
 # Patterns of references.
-REFERENCE = r"(?i)\bBylaw(?:\s+Amendment)?(?:\s+[0-9]{4})?\s+(?:No\.?\s*)?([0-9]{3,4}(?:\.[0-9]+)*)"
+REFERENCE = r"(?i)(?<![\p{L}\p{N}_])Bylaw(?:\s+Amendment)?(?:\s+[0-9]{4})?\s+(?:No\.?\s*)?([0-9]{3,4}(?:\.[0-9]+)*)"
 NUMBER_IN_TEXT = r"(?i)(?:NO\.?\s*|ViewBylaw/)([0-9]{3,4}(?:\.[0-9]+)*)"
 ABBREVIATION = r"(?i)(?<![\p{L}\p{N}_])(No|Nos|St|Mt|Dr|Mr|Ms)\."
 MAX_TEXT, MAX_CHUNK, MIN_LINE = 2_000_000, 2400, 12
 
 
 def first_truthy(*columns: Column | str) -> Column:
-    """The first value that is neither null nor empty, 0 or false."""
+    """The first value that is neither null nor empty. Columns hold text, for which "0" and "false" are values like any
+    other; numbers, booleans and lists have ``first_value``."""
     def kept(c):
         c = F.col(c) if isinstance(c, str) else c
-        text = c.cast("string")
-        return F.when((text != "") & ~text.isin("0", "0.0", "false", "[]"), c)
+        return F.when(c.cast("string") != "", c)
 
     return F.coalesce(*map(kept, columns))
 
 
+def first_value(df: DataFrame, *names: str) -> Column:
+    """The first of some columns that isn't null nor, by the type of each, empty, zero or false."""
+    def kept(name):
+        kind, c = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.StringType):
+            return F.when(c != "", c)
+        if isinstance(kind, T.BooleanType):
+            return F.when(c, c)
+        if isinstance(kind, T.NumericType):
+            return F.when(c != 0, c)
+        return F.when(F.size(c) > 0, c) if isinstance(kind, (T.ArrayType, T.MapType)) else c
+
+    return F.coalesce(*map(kept, names))
+
+
 # A category's later name, and the departments of categories.
 RENAMED = {"Transportation & Parking": "Transportation"}
 DEPARTMENTS = {
@@ -118,8 +136,8 @@ def toggle(members: Column, value: Column) -> Column:
 
 
 def normalize_space(c: Column) -> Column:
-    """Non-breaking and all other Unicode blanks collapsed to single spaces, ends trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Non-breaking and all other Unicode blanks and separators collapsed to single spaces, ends trimmed."""
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def slugify(c: Column, limit: int = 100, default: str = "meeting") -> Column:
@@ -154,6 +172,22 @@ def references(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(REFERENCE), 1)
 
 
+def match_places(c: Column, pattern: str) -> Column:
+    """All matches of a pattern, in order, as (at, text); places count from 1.
+
+    A match starts after all that stands between matches, and all matches, before it: the running sum of the lengths of what
+    the pattern splits and what it finds.
+    """
+    found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    steps = F.arrays_zip(found.alias("text"), F.slice(between, F.lit(1), F.size(found)).alias("gap"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("found"))
+    def add(done, step):
+        at = done["at"] + F.length(step["gap"])
+        return F.struct((at + F.length(step["text"])).alias("at"), F.array_append(done["found"], F.struct(at.alias("at"), step["text"].alias("text"))).alias("found"))
+
+    return F.aggregate(steps, start, add, lambda done: done["found"])
+
+
 def item_action(c: Column) -> Column:
     low, out = F.lower(c), None
     ordinal = F.regexp_extract(low, r"\b((?:first|second|third|three)\s+readings?)\b", 1)

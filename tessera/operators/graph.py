@@ -24,24 +24,44 @@ REVERSE = {"amends": "amended_by", "repeals": "repealed_by", "replaces": "replac
 KINDS = [*REVERSE, *REVERSE.values()]
 
 
-def infer_relationships(number: Column, text: Column) -> Column:
-    """A struct of sorted distinct numbers by relationship, the record's own left out."""
-    own = F.regexp_replace(F.trim(number), r"\.+$", "")
-    source = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    every = lambda pattern, group=1: F.regexp_extract_all(source, F.lit(f"(?is){pattern}"), group)
-    found = {kind: [every(p) for p in patterns] for kind, patterns in FORWARD.items()} | {kind: [] for kind in REVERSE.values()}
-    found["amends"].append(F.when(own.contains("."), F.array(F.substring_index(own, ".", 1))).otherwise(F.array().cast("array<string>")))
-    for kind, (verb, forward) in PASSIVE.items():
+#: A word that each kind's patterns hold, so that texts without it needn't be searched.
+STEMS = {"amends": "amend", "repeals": "repeal", "replaces": "replace", "consolidates": "consolidat"}
+
+
+def mentions(text: Column) -> Column:
+    """What a text says about any record: a struct of the numbers by forward relationship, and of (subject, actor) pairs
+    by passive one. It depends on the text alone, so texts that many records share are searched once."""
+    source = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+    low = F.lower(source)
+    every = lambda pattern, group=1: F.regexp_extract_all(source, F.lit(f"(?is){pattern}"), F.lit(group))
+    none, no_pairs = F.array().cast("array<string>"), F.array().cast("array<struct<subject:string,actor:string>>")
+    found = [F.when(low.contains(STEMS[kind]), F.concat(*[every(p) for p in patterns])).otherwise(none).alias(kind) for kind, patterns in FORWARD.items()]
+    for kind, (verb, _) in PASSIVE.items():
         pattern = rf"{REF}\s+(?:was|is|has\s+been)?\s*{verb}\s+by\s+{REF}"
-        # the two groups of each match: whom the sentence is about, and who acts
-        subject, actor = every(pattern, 1), every(pattern, 2)
-        found[kind].append(F.filter(F.zip_with(subject, actor, lambda s, a: F.when(s == own, a)), lambda x: x.isNotNull()))
-        found[forward].append(F.filter(F.zip_with(subject, actor, lambda s, a: F.when((a == own) & (s != own), s)), lambda x: x.isNotNull()))
+        pairs = F.arrays_zip(every(pattern, 1).alias("subject"), every(pattern, 2).alias("actor"))
+        found.append(F.when(low.contains(f"{verb} by"), pairs).otherwise(no_pairs).alias(kind))
+    return F.struct(*found)
+
+
+def relate(number: Column, said: Column) -> Column:
+    """A struct of sorted distinct numbers by relationship for one record, from the ``mentions`` of a text; the record's own
+    number is left out, and an amendment's number names its base."""
+    own = F.regexp_replace(F.trim(number), r"\.+$", "")
     none = F.array().cast("array<string>")
+    found = {kind: [said[kind]] for kind in FORWARD} | {kind: [] for kind in REVERSE.values()}
+    found["amends"].append(F.when(own.contains("."), F.array(F.substring_index(own, ".", 1))).otherwise(none))
+    for kind, (_, forward) in PASSIVE.items():
+        found[kind].append(F.transform(F.filter(said[kind], lambda x: x["subject"] == own), lambda x: x["actor"]))
+        found[forward].append(F.transform(F.filter(said[kind], lambda x: (x["actor"] == own) & (x["subject"] != own)), lambda x: x["subject"]))
     tidy = lambda lists: F.array_sort(F.array_distinct(F.filter(F.concat(none, *lists), lambda x: (x != "") & (x != own))))
     return F.struct(*[tidy(found[kind]).alias(kind) for kind in KINDS])
 
 
+def infer_relationships(number: Column, text: Column) -> Column:
+    """A struct of sorted distinct numbers by relationship, the record's own left out."""
+    return relate(number, mentions(text))
+
+
 def targets(relationships: str) -> Column:
     """All forward targets of a relationships struct, sorted."""
     return F.array_sort(F.array_distinct(F.concat(*[F.col(f"{relationships}.{k}") for k in REVERSE])))
@@ -62,8 +82,8 @@ def invert(edge_table: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 
 def enrich(edge_table: DataFrame, records: DataFrame, key: str, title: str) -> DataFrame:
-    """Edges with both titles, and whether the target is collected."""
-    names = records.select(F.col(key).alias("_k"), F.col(title).alias("_t"))
+    """Edges with both titles, and whether the target is collected; of records with equal keys the greatest title counts."""
+    names = records.groupBy(F.col(key).alias("_k")).agg(F.max(title).alias("_t"))
     out = edge_table.join(names.select(F.col("_k").alias("source"), F.col("_t").alias("source_title")), "source", "left")
     out = out.join(names.select(F.col("_k").alias("target"), F.col("_t").alias("target_title"), F.lit(True).alias("_hit")), "target", "left")
     return out.withColumn("target_collected", F.coalesce("_hit", F.lit(False))).drop("_hit")

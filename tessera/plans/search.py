@@ -88,10 +88,12 @@ def ordered_classifier(spark, sf):
     return orders.groupBy("o_orderstatus", "phrase", *cols).agg(F.count("*").alias("n"))
 
 
-_CHUNKS = r"""
+#: SQL of the sentences of a text, before they are wrapped.
+CHUNK_PARTS = r"""list_filter(flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 12),
+    lambda x: string_split(regexp_replace(regexp_replace(x, '(?i)(^|[^\pL\pN_])(No|Nos|St|Mt|Dr|Mr|Ms)\.', '\1\2<DOT>', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda y: y <> '')"""
+_CHUNKS = f"""
 chunks AS (
-  SELECT doc_id, list_filter(flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 12),
-    lambda x: string_split(regexp_replace(regexp_replace(x, '(?i)(^|[^\pL\pN_])(No|Nos|St|Mt|Dr|Mr|Ms)\.', '\1\2<DOT>', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda y: y <> '') AS parts FROM documents)"""
+  SELECT doc_id, {CHUNK_PARTS} AS parts FROM documents)"""
 
 
 @add("sentence_chunks", f"WITH {_CHUNKS} SELECT doc_id, CAST(sum(CASE WHEN length(replace(p, '<DOT>', '.')) <= 2400 THEN 1 ELSE ceil(length(replace(p, '<DOT>', '.')) / 2400.0) END) AS BIGINT) AS n_chunks, CAST(max(least(length(replace(p, '<DOT>', '.')), 2400)) AS BIGINT) AS longest FROM (SELECT doc_id, unnest(parts) AS p FROM chunks) GROUP BY doc_id")
@@ -100,15 +102,6 @@ def sentence_chunks(spark, sf):
     return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("chunk")).cast("long").alias("longest"))
 
 
-@add("extract_items", r"""WITH s AS (SELECT conv_id, turn, role, 'Council approved the plan for case ' || conv_id || '. See Bylaw No. ' || (1000 + conv_id % 50) || ' adopted.' AS txt FROM conversations)
-SELECT DISTINCT conv_id, 'Motion' AS type, NULL AS number, 'Approved' AS action, substr(sha256('motion|2026-01-01|' || lower('Council approved the plan for case ' || conv_id || '.')), 1, 16) AS id FROM s
-UNION ALL SELECT DISTINCT conv_id, 'Bylaw', CAST(1000 + conv_id % 50 AS VARCHAR), 'Adopted', substr(sha256('bylaw|2026-01-01|' || (1000 + conv_id % 50) || '|Adopted'), 1, 16) FROM s""")
-def extract_items(spark, sf):
-    body = F.concat(F.lit("Council approved the plan for case "), F.col("conv_id").cast("string"), F.lit(". See Bylaw No. "), (1000 + F.col("conv_id") % 50).cast("string"), F.lit(" adopted."))
-    talks = t(spark, sf, "conversations").select("conv_id", body.alias("body")).distinct()
-    return extract.items(extract.chunks(talks, "conv_id", "body").withColumn("date", F.lit("2026-01-01")), "conv_id", "date").select("conv_id", "type", "number", "action", "id")
-
-
 @add("canonical_url", r"""SELECT page_id, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS canonical
 FROM (SELECT page_id, url, rtrim(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/') AS p, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)""")
 def canonical_url(spark, sf):

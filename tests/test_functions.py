@@ -48,7 +48,7 @@ def test_relationships(spark, number, body, kind, expected):
     assert one(spark, graph.infer_relationships(F.lit(number), F.lit(body)))[kind] == expected
 
 
-@pytest.mark.parametrize("a, b, expected", [("", "x", "x"), ("0", "5", "5"), (None, "y", "y")])
+@pytest.mark.parametrize("a, b, expected", [("", "x", "x"), ("0", "5", "0"), ("false", "5", "false"), ("[]", "5", "[]"), ("0.0", "5", "0.0"), (None, "y", "y")])
 def test_first_truthy(spark, a, b, expected):
     assert one(spark, text.first_truthy(F.lit(a).cast("string"), F.lit(b))) == expected
 
