@@ -125,7 +125,9 @@ def build_index(docs: DataFrame, text: str = "text", lang: str = "lang", bits: i
         shared = words.groupBy("ids").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k")
         clashes = words.join(shared, "ids", "left_semi").select("ids", "spelled").limit(CLASHES + 1).collect()
         if not clashes:
-            return index, words.select(F.unhex(F.lpad(F.hex("ids"), 16, "0")).alias("phrase"), "spelled", "f")
+            vocabulary = words.select(F.unhex(F.lpad(F.hex("ids"), 16, "0")).alias("phrase"), "spelled", "f")
+            vocabulary._tessera_path = words._tessera_path  # for discard
+            return index, vocabulary
         if len(clashes) > CLASHES:
             raise ValueError("too many words share a number")
         for r in clashes:
@@ -261,6 +263,37 @@ def _spelled(phrases: DataFrame, named: DataFrame) -> DataFrame:
     return phrases.join(whole, "phrase")
 
 
+#: A candidate's place, most significant digit first: by score, then by frequency.
+DIGITS = {"d1": "score div 1000", "d2": "score % 1000", "d3": "least(a, 99999)"}
+
+
+def _borders(scored: DataFrame, top: int) -> DataFrame:
+    """(lang, b1, b2, b3): the digits of each language's ``top``-th candidate, for languages with as many. Digit by digit
+    the candidates that agree so far are counted; a count has at most a thousand digits, or a hundred thousand
+    frequencies, whatever the number of candidates."""
+    ranked = scored.selectExpr("lang", *[f"{x} AS {d}" for d, x in DIGITS.items()])
+    border, known = None, []
+    for d in DIGITS:
+        same = ranked.withColumn("above", F.lit(0).cast("long"))
+        if known:
+            same = salted_join(ranked, border, "lang", few=FEW).where(" AND ".join(f"d{b[1:]} = {b}" for b in known))
+        counts = same.groupBy("lang", "above", *known, d).agg(F.count("*").alias("k"))
+        run = F.col("above") + F.sum("k").over(Window.partitionBy("lang").orderBy(F.col(d).desc()))
+        reached = counts.withColumn("run", run).where(F.col("run") >= top)
+        last, b = border, f"b{d[1:]}"
+        border = cut(reached.groupBy("lang").agg(F.max(F.struct(F.col(d).alias(b), (F.col("run") - F.col("k")).alias("above"), *known)).alias("_b")).select("lang", "_b.*"), "border")
+        known.append(b)
+        if last is not None:
+            discard(last)
+    return border.drop("above")
+
+
+def _beyond(scored: DataFrame, borders: DataFrame) -> DataFrame:
+    """Candidates that are at or beyond the border of their language, if it has one."""
+    place, border = F.struct(*[F.expr(x) for x in DIGITS.values()]), F.struct("b1", "b2", "b3")
+    return salted_join(scored, borders, "lang", how="left", few=FEW).where(F.col("b1").isNull() | (place >= border)).drop("b1", "b2", "b3")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, overlap: int = 50, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words that occur
     ``least`` times at least.
@@ -290,16 +323,14 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     if covered is not None:
         candidates = candidates.join(covered, "phrase", "left").where(f"most IS NULL OR 100 * most < {overlap} * a").drop("most")
     scored = cut(_scored(candidates, counts), "scored")
-    better = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
+    last = _borders(scored, top)
+    rest = _beyond(scored, last)
     with setting(scored.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", str(top)):  # each task sends its best ones only
-        last = scored.withColumn("_k", F.row_number().over(better)).where(F.col("_k") <= top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("_last"))
-        last = cut(last.join(totals, "lang"), "last")  # a row per language
-        rest = salted_join(scored, last, "lang", few=FEW).where(F.struct("score", "a") >= F.col("_last"))
-        ranked = _spelled(rest.drop("_last"), named)
+        ranked = salted_join(_spelled(rest, named), totals, "lang", few=FEW)
         order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("spelling"))
         best = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
         out = cut(best.select("lang", F.col("rank").cast("long").alias("rank"), F.col("spelling").alias("phrase"), "a", "l", "r", "n", F.col("score").cast("long").alias("score")), "collocations")
-    for table in (*levels, scored, last, totals):
+    for table in (*levels, scored, last, totals, vocabulary):
         discard(table)
     return out
 
