@@ -130,6 +130,22 @@ def numeric_key(c: Column) -> Column:
     return F.when(F.size(parts) == 0, F.lit(float("-inf"))).when(F.size(parts) <= 2, F.array_join(parts, ".").cast("double"))
 
 
+def natural_key(c: Column) -> Column:
+    """A key that sorts texts as people do: letters without regard to case and accents, and runs of digits by their value.
+
+    Every letter is compared under the Unicode collation, so marks and ignorable characters of their own are taken out first; a
+    run of digits stands among them as a digit does, and between two runs the length without leading zeros
+    decides, then the digits.
+    """
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{M}\p{Cc}\p{Cf}]", "")
+    pieces = F.regexp_extract_all(plain, F.lit(r"(?s)[0-9]+|[^0-9]"), F.lit(0))
+    def place(x):
+        digits = F.when(x.rlike("^[0-9]"), F.regexp_replace(x, "^0+(?=[0-9])", "")).otherwise("")
+        return F.struct(F.collate(F.when(digits != "", "0").otherwise(x), "UNICODE_CI_AI").alias("letter"), F.length(digits).alias("n"), digits.alias("digits"))
+
+    return F.transform(pieces, place)
+
+
 def toggle(members: Column, value: Column) -> Column:
     """The set without the value where it has it, else with it at its end."""
     return F.when(F.array_contains(members, value), F.array_remove(members, value)).otherwise(F.array_append(members, value))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.functions.text import first_truthy
+from tessera.functions.text import alnum_count, first_truthy
 
 
 def manifest(files: DataFrame, key: str, digest: str, size: str) -> DataFrame:
@@ -90,6 +91,43 @@ def page_extraction(pages: DataFrame, document: str, least: int = 80) -> DataFra
     return per.select(document, "n_pages", "n_sparse", "n_ocr", method.alias("method"))
 
 
+def page_texts(pages: DataFrame, document: str, least: int = 80, max_pages: int = 300, max_ocr_pages: int = 12, max_characters: int = 2_000_000) -> DataFrame:
+    """(document, text, page_count, method, ocr_pages, sparse_pages, character_count, warnings) of documents from a row per page
+    (document, page, text, ocr_text; pages count from 1).
+
+    Only the first ``max_pages`` pages are read. Of those with fewer than ``least`` letters and digits the first
+    ``max_ocr_pages`` take their recognised text if it has more. Pages that aren't blank are joined in order under a
+    marker, up to ``max_characters``: a running length tells what fits, so no more than that is gathered.
+    """
+    stripped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    by_page = Window.partitionBy(document).orderBy("page")
+    sparse = alnum_count(F.col("text")) < least
+    read = pages.where(F.col("page") <= max_pages).select(document, "page", "text", "ocr_text", sparse.alias("_sparse"))
+    tried = F.col("_sparse") & (F.sum(F.col("_sparse").cast("int")).over(by_page) <= max_ocr_pages)
+    ocr = tried & (alnum_count(F.col("ocr_text")) > alnum_count(F.col("text")))
+    chosen = read.withColumn("_ocr", ocr).withColumn("_body", stripped(F.when(F.col("_ocr"), F.col("ocr_text")).otherwise(F.col("text"))))
+    piece = F.when(F.col("_body") != "", F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("_body")))
+    # with the separator; the first piece has one too many
+    placed = chosen.withColumn("_piece", piece).withColumn("_end", F.sum(F.coalesce(F.length("_piece") + 2, F.lit(0))).over(by_page) - 2)
+    start = F.col("_end") - F.length("_piece")
+    fitting = F.when(start < max_characters, F.substr(F.col("_piece"), F.lit(1), F.greatest(F.lit(max_characters) - start, F.lit(0)).cast("int")))
+    numbers = lambda flag: F.array_sort(F.collect_list(F.when(F.col(flag), F.col("page"))))
+    per = placed.withColumn("_piece", fitting).groupBy(document).agg(
+        F.expr("listagg(_piece, '\n\n') WITHIN GROUP (ORDER BY page)").alias("text"), F.count("*").alias("page_count"), F.max("_end").alias("_whole"), numbers("_ocr").alias("ocr_pages"), numbers("_sparse").alias("sparse_pages"),
+    )
+    all_pages = pages.groupBy(document).agg(F.count("*").alias("_all"))
+    out = per.join(all_pages, document).withColumn("text", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(max_characters)))
+    n, n_sparse = F.size("ocr_pages"), F.size("sparse_pages")
+    method = F.when((n > 0) & (n == F.col("page_count")), "ocr").when(n > 0, "hybrid").when(F.col("text") != "", "embedded").otherwise("none")
+    said = lambda test, *parts: F.when(test, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]))
+    warnings = F.array_compact(F.array(
+        said(F.col("_all") > max_pages, f"Embedded extraction limited to {max_pages} of ", F.col("_all").cast("string"), " pages"),
+        said(n_sparse > max_ocr_pages, f"OCR limited to {max_ocr_pages} of ", n_sparse.cast("string"), " sparse pages"),
+        said(F.col("_whole") > max_characters, f"Extracted text limited to {max_characters} characters"),
+    ))
+    return out.select(document, "text", "page_count", method.alias("method"), "ocr_pages", "sparse_pages", F.length("text").alias("character_count"), warnings.alias("warnings"))
+
+
 def copy_plan(source: DataFrame, there: DataFrame, key: str, size: str, digest: str) -> DataFrame:
     """(key, action): copy what is missing, and what differs in size or content; sizes are compared before hashes."""
     other = there.select(key, F.col(size).alias("_size"), F.col(digest).alias("_digest"))

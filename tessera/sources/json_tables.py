@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tessera.sources.versions import Versions
+
+
+def json_entries(text: Column, key: str | None = None) -> Column:
+    """The objects of a JSON text as JSON texts of their own: those of a bare list, or of the list that ``key`` holds in an
+    object. Entries that aren't objects are left out, and a text that isn't JSON, or holds no such list, has none."""
+    whole = F.try_parse_json(text)
+    held = F.try_variant_get(whole, f"$['{key}']", "array<variant>") if key else F.lit(None).cast("array<variant>")
+    listed = F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), held)
+    return F.transform(F.filter(listed, lambda x: F.schema_of_variant(x).startswith("OBJECT")), lambda x: F.to_json(x))
+
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, key: str | None = None) -> DataFrame:
     """Rows of whole-file JSON: a bare list, or an object whose ``key`` holds the list. A missing path or an
-    unreadable file gives no rows; entries that aren't objects are dropped."""
+    unreadable file gives no rows; entries are read one by one, and those that aren't objects are dropped. A field that
+    doesn't fit its type is null."""
     shape = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    empty = spark.createDataFrame([], shape)
     try:
         files = spark.read.text(path, wholetext=True)
     except AnalysisException:
-        return empty
-    row = shape.simpleString()
-    bare = F.from_json("value", f"array<{row}>")
-    held = F.from_json("value", f"struct<`{key}`:array<{row}>>")[key] if key else F.lit(None).cast(f"array<{row}>")
-    rows = files.select(F.explode(F.when(F.ltrim(F.col("value")).startswith("["), bare).otherwise(held)).alias("r"))
-    return rows.where("r IS NOT NULL").select("r.*")
+        return spark.createDataFrame([], shape)
+    entries = files.select(F.explode(json_entries(F.col("value"), key)).alias("e"))
+    return entries.select(F.from_json("e", shape).alias("r")).select("r.*")
 
 
 def write_snapshot(df: DataFrame, root: str, run_date: str, run_time: str) -> None:
-    """The immutable snapshot first, then the live table."""
-    df.withColumns({"run_date": F.lit(run_date), "run_time": F.lit(run_time)}).write.mode("append").partitionBy("run_date", "run_time").parquet(f"{root}/archive")
-    df.write.mode("overwrite").parquet(f"{root}/live")
+    """The immutable snapshot first, then the live table, whose pointer is replaced when all is written: a job that fails
+    leaves the old one. A repeated run replaces its own snapshot only."""
+    df.write.mode("overwrite").parquet(f"{root}/archive/run_date={run_date}/run_time={run_time}")
+    live = Versions(df.sparkSession, f"{root}/live")
+    live.publish((live.current() or 0) + 1, {"rows": df})
+
+
+def read_live(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
+    """The live table as last published."""
+    return Versions(spark, f"{root}/live").read("rows", schema)
 
 
 def previous_snapshot(spark: SparkSession, root: str, run_date: str, run_time: str) -> DataFrame:
