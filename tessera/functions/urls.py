@@ -95,13 +95,15 @@ def is_meeting_link(label: Column, context: Column, href: Column) -> Column:
 # What is published, and what of it isn't.
 PUBLISHED = "data/|archive/|bylaws/pdf/|council/"
 PUBLIC_KEYS = ("collection-status.json", "archive-manifest.json")
+EXCLUDED_NAMES = ("index.html", "list.js", "detail.html", "detail.js", "web.config", ".gitkeep", "desktop.ini", "thumbs.db")
+EXCLUDED_SUFFIXES = (".pyc", ".tmp", ".log", ".db", ".sqlite", ".sqlite3")
 
 
-def is_publishable(c: Column, excluded_names: tuple[str, ...] = (".ds_store", "thumbs.db"), excluded_suffixes: tuple[str, ...] = (".tmp", ".part", ".py", ".js", ".html")) -> Column:
+def is_publishable(c: Column) -> Column:
     """Whether a file of the site goes to the store: below a published folder, not directly in ``council/``, and
-    neither of an excluded name nor suffix."""
+    neither of an excluded name nor suffix. A name that only begins with a dot has no suffix."""
     name = F.lower(F.regexp_extract(c, "([^/]*)$", 1))
-    excluded = name.isin(*excluded_names) | name.rlike("(?:" + "|".join(x.replace(".", "[.]") for x in excluded_suffixes) + ")$")
+    excluded = name.isin(*EXCLUDED_NAMES) | name.rlike("[^.].*(?:" + "|".join(x.replace(".", "[.]") for x in EXCLUDED_SUFFIXES) + ")$|^[^.](?:" + "|".join(x.replace(".", "[.]") for x in EXCLUDED_SUFFIXES) + ")$")
     return F.coalesce(c.rlike(f"^(?:{PUBLISHED})") & ~c.rlike("^council/[^/]*$") & ~excluded, F.lit(False))
 
 
@@ -151,17 +153,54 @@ def local_pdf(c: Column) -> Column:
     return F.when(path.rlike(r"(?i)\.pdf(?:$|[?#])") & ~path.rlike(r"(?i)\.(?:ashx|aspx)(?:$|[?#])") & plain.rlike(f"^(?:{PDF_FOLDERS})"), plain).otherwise("")
 
 
+# Media types by suffix.
+MEDIA_TYPES = {
+    ".pdf": "application/pdf", ".json": "application/json", ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".css": "text/css", ".js": "text/javascript", ".csv": "text/csv", ".xml": "text/xml", ".svg": "image/svg+xml",
+    ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".zip": "application/zip",
+}
+
+
 def content_type(c: Column) -> Column:
-    """By extension."""
-    low = F.lower(c)
-    return F.when(low.endswith(".pdf"), "application/pdf").when(low.endswith(".json"), "application/json; charset=utf-8").when(low.endswith(".txt"), "text/plain; charset=utf-8").when(low.endswith(".html"), "text/html; charset=utf-8").otherwise("application/octet-stream")
+    """The media type by suffix, of bytes where it tells nothing."""
+    suffix = F.lower(F.regexp_extract(c, "[^/]([.][^./]+)$", 1))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])[suffix], F.lit("application/octet-stream"))
 
 
-# How long answers may be kept.
+# How long stored files and answers of the store may be kept.
 def cache_control(c: Column) -> Column:
-    """By path: data are short-lived, texts live an hour, files a day."""
-    low = F.lower(c)
-    return F.when(low.endswith(".json"), "public, max-age=60, s-maxage=300").when(low.endswith(".txt"), "public, max-age=3600").otherwise("public, max-age=86400")
+    """Of a stored file: data are short-lived, PDFs and texts live an hour, all else five minutes."""
+    return F.when(c.startswith("data/"), "public, max-age=60, must-revalidate").when(F.lower(c).rlike("[^/][.](?:pdf|txt)$"), "public, max-age=3600").otherwise("public, max-age=300, must-revalidate")
+
+
+def answer_cache_control(c: Column) -> Column:
+    """Of an answer for a key: caches in between may keep it longer than browsers."""
+    return (
+        F.when(c == "collection-status.json", "public, max-age=30, s-maxage=60, must-revalidate").when(c.startswith("data/"), "public, max-age=60, s-maxage=300, must-revalidate")
+        .when(c.rlike("(?i)[.](?:pdf|txt)$"), "public, max-age=3600, s-maxage=86400").otherwise("public, max-age=300, s-maxage=900, must-revalidate")
+    )
+
+
+def _steps(path: Column) -> Column:
+    """A path without its dot steps."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).otherwise(F.array_append(done, x)))
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def join(base: Column, c: Column) -> Column:
+    """The address that a link leads to from a page: absolute ones as they are, others from the page's scheme, host, folder or
+    path."""
+    part = lambda i: F.regexp_extract(base, _PARTS, i)
+    link = F.trim(F.coalesce(c, F.lit("")))
+    origin, path = F.concat(part(1), F.lit("://"), part(2)), part(3)
+    own, tail = F.regexp_extract(link, "^([^?#]*)", 1), F.regexp_extract(link, "^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(part(1), F.lit(":"), link)).when(link.startswith("/"), F.concat(origin, _steps(own), tail))
+        .when(link == "", F.regexp_replace(base, "#.*$", "")).when(link.startswith("?"), F.concat(origin, path, tail)).when(link.startswith("#"), F.concat(origin, path, query, tail)).otherwise(F.concat(origin, _steps(F.concat(folder, own)), tail))
+    )
 
 
 def status_class(status: Column) -> Column:

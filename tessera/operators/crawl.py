@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import html_to_text, normalize_space
+from tessera.functions import dates, urls
+from tessera.functions.text import classify_meeting, html_lines, html_to_text, html_unescape, normalize_space
+from tessera.operators.extract import items
 
 _ANCHOR = r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a>"""
 #: What a candidate for a document contains.
@@ -28,9 +30,24 @@ def index_entries(pages: DataFrame, key: str, html: str, target: str) -> DataFra
     return blocks.select(key, href.alias("href"), title.alias("title"), F.when(title == "", whole).otherwise(rest).alias("description")).where(F.contains("href", F.lit(target)))
 
 
-def document_candidates(html: Column) -> Column:
-    """Targets of links, frames and embedded objects in order, each once, that look like documents."""
-    every = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:a|iframe|embed|object)\b[^>]*?\b(?:href|src|data)=["']([^"']*)["']"""), 1)
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _attributes(html: Column, tags: str, name: str) -> Column:
+    """Values of an attribute of some tags, quoted or not, in order."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b[^>]*?\s{name}{_VALUE}"), F.lit(1))
+    return F.transform(found, lambda x: html_unescape(F.regexp_replace(x, "^[\"']|[\"']$", "")))
+
+
+def document_candidates(html: Column, base: Column | None = None) -> Column:
+    """Targets that look like documents, each once: first those of links, frames and embedded objects, then whatever a quoted
+    href, src or data of any tag names, as it is written. With ``base``, the addresses that they lead to from there."""
+    every = F.concat(
+        _attributes(html, "a|iframe|embed|object", "href"), _attributes(html, "iframe|embed|object", "src"), _attributes(html, "object", "data"),
+        F.regexp_extract_all(html, F.lit(r"""(?i)(?:href|src|data)=["']([^"']+)["']"""), F.lit(1)),
+    )
+    if base is not None:
+        every = F.transform(every, lambda x: urls.join(base, x))
     return F.filter(F.array_distinct(every), lambda x: x.rlike(CANDIDATE))
 
 
@@ -69,8 +86,36 @@ def source_headers(headers: Column, final_url: Column) -> Column:
     return F.when(headers.isNotNull(), fields)
 
 
-def summaries(pages: DataFrame, key: str, title: str, html: str, date_of, limit: int = 5000) -> DataFrame:
-    """(key, title, date, text) of summary pages: the title without its tail, the date from the title, else the body, and
-    the first ``limit`` characters of the body. ``date_of`` parses a date from a column."""
-    body = html_to_text(F.col(html))
-    return pages.select(key, F.regexp_replace(normalize_space(F.col(title)), " Summary$", "").alias("title"), F.coalesce(date_of(F.col(title)), date_of(body)).alias("date"), F.substring(body, 1, limit).alias("text"))
+def summary_links(index: DataFrame, url: str, html: str, years: list[int]) -> DataFrame:
+    """(url, first_at) of the summaries that index pages link to, each once.
+
+    The words or the address of a link must say summary, and the address lie below ``summaries/``. A date among the words must be
+    of one of the years; without any, or without a date, all are taken. ``first_at`` is the page and the place.
+    """
+    found = links(index.select(F.col(url).alias("_page"), F.col(html).alias("_html")), "_page", "_html")
+    to = urls.join(F.col("_page"), F.col("href"))
+    date = dates.parse_date(F.col("label"))
+    wanted = F.lower(F.concat_ws(" ", "label", "_to")).contains("summary") & F.col("_to").contains("/summaries/") & (F.regexp_replace("_to", "/+$", "") != F.regexp_replace("_page", "/+$", ""))
+    in_years = F.coalesce(F.substring(date, 1, 4).cast("int").isin(years), F.lit(True)) if years else F.lit(True)
+    kept = found.withColumn("_to", to).where(wanted & in_years)
+    return kept.groupBy(F.col("_to").alias("url")).agg(F.min(F.struct("_page", "pos")).alias("first_at"))
+
+
+def summaries(pages: DataFrame, url: str, html: str, limit: int = 5000) -> DataFrame:
+    """(date, title, url, text, meeting_title, meeting_group, lines) of summary pages.
+
+    The title is the first heading's, else the page's; the date is in the title, else in the text; what a meeting is called and
+    its group come from the title without the word Summary. ``text`` has ``limit`` characters, ``lines`` the whole text.
+    """
+    heading = lambda tag: F.nullif(html_to_text(F.regexp_extract(F.col(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    given = pages.select(F.col(url).alias("url"), html_unescape(F.coalesce(heading("h1"), heading("title"))).alias("title"), html_lines(F.col(html)).alias("lines"))
+    body = normalize_space(F.col("lines"))
+    name, group = classify_meeting(F.coalesce(F.replace("title", F.lit(" Summary"), F.lit("")), F.lit("Council meeting")))
+    date = F.coalesce(dates.parse_date(F.col("title")), dates.parse_date(F.regexp_replace("lines", r"\s+", " ")))
+    return given.select(date.alias("date"), "title", "url", F.substring(body, 1, limit).alias("text"), name.alias("meeting_title"), group.alias("meeting_group"), "lines")
+
+
+def summary_items(read: DataFrame, records: DataFrame, position: str) -> DataFrame:
+    """Items of what ``summaries`` has read: of whole texts, under the meeting that each summary names; the key is the address."""
+    meetings = read.select("url", "lines", "date", "meeting_title", "meeting_group", F.col("url").alias("meeting_url"), F.col("url").alias("summary_url"), F.lit("Council summary").alias("source_kind"))
+    return items(meetings, records, "url", "lines", position)

@@ -54,9 +54,18 @@ def rewrite_duplicates(df: DataFrame, column: str, canonical: DataFrame) -> Data
 
 
 def newest_known(sources: list[DataFrame], key: str, position: str) -> DataFrame:
-    """The record of each key in the first source that has it (live first, then snapshots, newest first)."""
+    """The record of each key in the first source that has it (live first, then snapshots, newest first), with its
+    source_rank. An aggregate, so copies collapse before the shuffle."""
     every = None
     for rank, source in enumerate(sources):
-        ranked = source.withColumn("_source", F.lit(rank))
+        ranked = source.withColumn("source_rank", F.lit(rank))
         every = ranked if every is None else every.unionByName(ranked)
-    return keep_best(every, [key], F.col("_source"), F.col(position)).withColumnRenamed("_source", "source_rank")
+    rest = [c for c in every.columns if c != key]
+    best = every.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("source_rank", position)).alias("_row"))
+    return best.select(key, "_row.*").select(*every.columns)
+
+
+def small_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", few: int = 100_000) -> DataFrame:
+    """A join with a narrow table of a row per key: broadcast if it has ``few`` rows at most by its count, so that keys
+    with many rows on the left stay spread; else a plain join."""
+    return left.join(F.broadcast(right) if right.count() <= few else right, on, how)

@@ -86,10 +86,11 @@ def details(df: DataFrame, value: str, n: int = 20) -> DataFrame:
     return shown.join(F.broadcast(df.agg(F.countDistinct(value).alias("n_values"))), F.lit(True))
 
 
-def unknown(df: DataFrame, column: str, known: list[str]) -> DataFrame:
-    """(n, labels): the distinct labels outside of the known ones."""
+def unknown(df: DataFrame, column: str, known: list[str], shown: int = 100) -> DataFrame:
+    """(n, labels): how many distinct labels are outside of the known ones, and the first ``shown`` of them in order."""
     other = df.select(column).where(~F.col(column).isin(known)).distinct()
-    return other.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(column)).alias("labels"))
+    first = other.orderBy(column).limit(shown).agg(F.array_sort(F.collect_list(column)).alias("labels"))
+    return other.agg(F.count("*").alias("n")).join(F.broadcast(first), F.lit(True))
 
 
 def health(datasets: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.dedup import small_join
+
 
 def unify(*sources: DataFrame) -> DataFrame:
     out = sources[0]
@@ -23,7 +25,6 @@ def year_breaks(events: DataFrame, date: str, *order: str) -> DataFrame:
     year = F.coalesce(F.nullif(F.substring(F.col(date), 1, 4), F.lit("")), F.lit("Unknown"))
     dated = events.withColumn("year", year)
     latest = dated.groupBy("year").agg(F.max(date).alias("_latest"))
-    # as many rows as there are years
-    first = dated.join(F.broadcast(latest), "year").where(F.col(date).eqNullSafe(F.col("_latest"))).groupBy("year", "_latest").agg(F.min(F.struct(*order)).alias("_first"))
+    first = small_join(dated, latest, "year").where(F.col(date).eqNullSafe(F.col("_latest"))).groupBy("year", "_latest").agg(F.min(F.struct(*order)).alias("_first"))
     is_first = F.col(date).eqNullSafe(F.col("_latest")) & F.struct(*order).eqNullSafe(F.col("_first"))
-    return dated.join(F.broadcast(first), "year").withColumn("year_break", is_first).drop("_latest", "_first").select(*events.columns, "year", "year_break")
+    return small_join(dated, first, "year").withColumn("year_break", is_first).drop("_latest", "_first").select(*events.columns, "year", "year_break")

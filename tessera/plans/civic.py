@@ -141,12 +141,16 @@ def meeting_links(spark, sf):
     return t(spark, sf, "orders").where(urls.is_meeting_link(label, context, href)).select("o_orderkey")
 
 
-@add("published_files", """WITH k AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'data/' WHEN 1 THEN 'council/' WHEN 2 THEN 'council/pdf/' WHEN 3 THEN 'drafts/' WHEN 4 THEN 'archive/' ELSE 'data/../' END || page_id || CASE WHEN page_id % 5 = 0 THEN '.tmp' ELSE '.json' END AS key FROM pages)
-SELECT page_id, page_id % 6 IN (0, 2, 4, 5) AND page_id % 5 <> 0 AS publishable, page_id % 6 IN (0, 1, 2, 4) AS allowed FROM k""")
+_FILES = ["data/%s.json", "council/%s.pdf", "council/pdf/%s.pdf", "drafts/%s.pdf", "archive/%s.LOG", "archive/2026/index.html", "archive/%s.html", "bylaws/pdf/%s.sqlite3", "council/x/Desktop.ini", "bylaws/pdf/%s.js", "archive/.log", "data/../%s.json", "archive/a.log/%s.txt"]
+
+
+@add("published_files", f"""WITH k AS (SELECT page_id, replace(unnest([{', '.join(repr(x) for x in _FILES)}]), '%s', CAST(page_id AS VARCHAR)) AS key FROM pages), n AS (SELECT *, lower(split_part(key, '/', -1)) AS name FROM k)
+SELECT page_id, key, (key LIKE 'data/%' OR key LIKE 'archive/%' OR key LIKE 'bylaws/pdf/%' OR key LIKE 'council/%/%') AND name NOT IN ('index.html', 'list.js', 'detail.html', 'detail.js', 'web.config', '.gitkeep', 'desktop.ini', 'thumbs.db')
+  AND NOT (strpos(substr(name, 2), '.') > 0 AND '.' || split_part(name, '.', -1) IN ('.pyc', '.tmp', '.log', '.db', '.sqlite', '.sqlite3')) AS publishable, NOT contains(key, '..') AND (key LIKE 'data/%' OR key LIKE 'archive/%' OR key LIKE 'bylaws/pdf/%' OR key LIKE 'council/%') AS allowed FROM n""")
 def published_files(spark, sf):
-    folder = F.element_at(F.array(*[F.lit(x) for x in ("data/", "council/", "council/pdf/", "drafts/", "archive/", "data/../")]), (F.col("page_id") % 6 + 1).cast("int"))
-    key = F.concat(folder, F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, ".tmp").otherwise(".json"))
-    return t(spark, sf, "pages").select("page_id", urls.is_publishable(key).alias("publishable"), urls.is_allowed_key(key).alias("allowed"))
+    number = F.col("page_id").cast("string")
+    every = t(spark, sf, "pages").select("page_id", F.explode(F.array(*[F.replace(F.lit(x), F.lit("%s"), number) for x in _FILES])).alias("key"))
+    return every.select("page_id", "key", urls.is_publishable(F.col("key")).alias("publishable"), urls.is_allowed_key(F.col("key")).alias("allowed"))
 
 
 @add("pdf_contents", "SELECT page_id, page_id % 3 = 0 AS is_pdf, url LIKE 'http://%' OR url LIKE 'https://%' AS remote FROM pages")

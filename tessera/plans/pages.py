@@ -22,10 +22,14 @@ def index_entries(spark, sf):
     return crawl.index_entries(t(spark, sf, "pages"), "page_id", "html", "/a")
 
 
-@add("document_candidates", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/x.PDF,/get?download=1' WHEN 1 THEN '/Document/7' ELSE '' END AS found FROM pages""")
+@add("document_candidates", r"""WITH p AS (SELECT page_id, page_id % 3 AS k, regexp_extract_all(html, '(?i)(?:href|src|data)=["'']([^"'']+)["'']', 1) AS own FROM pages),
+l AS (SELECT page_id, CASE k WHEN 0 THEN ['/get?download=1', '/x.PDF?a=1&b=2', '/x.PDF?a=1&amp;b=2'] WHEN 1 THEN ['/page.aspx', '/Document/7', '/scan.pdf'] ELSE ['/lazy.pdf'] END || list_filter(own, lambda x: regexp_matches(lower(x), '[.]pdf|download|document|[.]aspx')) AS found FROM p)
+SELECT page_id, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ' ') AS found FROM l""")
 def document_candidates(spark, sf):
-    more = F.when(F.col("page_id") % 3 == 0, '<iframe title="x" src="/x.PDF"></iframe><a class=b href="/get?download=1">y</a><a href="/x.PDF">z</a>').when(F.col("page_id") % 3 == 1, '<object data=\'/Document/7\'></object><img src="/scan.pdf">').otherwise("")
-    return t(spark, sf, "pages").select("page_id", F.array_join(crawl.document_candidates(F.concat(more, "html")), ",").alias("found"))
+    """Links, frames and objects with and without quotes come first, then what any tag names: images, and text with entities."""
+    k = F.col("page_id") % 3
+    more = F.when(k == 0, '<iframe title="x" src="/x.PDF?a=1&amp;b=2"></iframe><a class=b href=/get?download=1>y</a>').when(k == 1, "<object data='/Document/7'></object><img src=\"/scan.pdf\"><A class='z' HREF = /page.aspx >q</A>").otherwise('<img data-src="/lazy.pdf"><p data="/none">')
+    return t(spark, sf, "pages").select("page_id", F.array_join(crawl.document_candidates(F.concat(more, "html")), " ").alias("found"))
 
 
 @add("discovery", """SELECT user_id, event_type, coalesce(arg_min(event_id, event_id) FILTER (WHERE value > 80), min(event_id)) AS event_id FROM events GROUP BY user_id, event_type""")
@@ -59,14 +63,14 @@ def source_headers(spark, sf):
     return t(spark, sf, "pages").select("page_id", answer.alias("h")).where("h IS NOT NULL").select("page_id", "h.etag", "h.length", "h.type")
 
 
-@add("page_summaries", r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g'), ' Summary$', '')) AS title, CASE WHEN page_id % 2 = 0 THEN '2026-07-20' ELSE '2025-01-02' END AS date FROM pages)
-SELECT page_id, title, date FROM p""")
+@add("page_summaries", r"""WITH p AS (SELECT page_id, 'Council Summary ' || CASE WHEN page_id % 2 = 0 THEN 'July 20, 2026' ELSE 'notes Summary' END AS title, CASE WHEN page_id % 2 = 0 THEN '2026-07-20' ELSE '2025-01-02' END AS date FROM pages)
+SELECT page_id, title, date, replace(title, ' Summary', '') AS meeting_title, 'council' AS meeting_group FROM p""")
 def page_summaries(spark, sf):
-    heading = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    title = F.when(F.col("page_id") % 2 == 0, F.concat(heading, F.lit(" Summary"))).otherwise(heading)
-    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<p>Monday, July 20, 2026</p>"), "html")).otherwise(F.concat(F.lit("<b>January 2, 2025</b>"), "html"))
-    pages = t(spark, sf, "pages").select("page_id", title.alias("title"), body.alias("html"))
-    return crawl.summaries(pages, "page_id", "title", "html", dates.parse_date).select("page_id", "title", "date")
+    """The word Summary goes wherever it stands; the date is the title's, else the text's."""
+    k = F.col("page_id")
+    head = F.concat(F.lit("<h1>Council  Summary "), F.when(k % 2 == 0, "July 20, 2026").otherwise("notes Summary"), F.lit("</h1>"), F.when(k % 2 == 0, "").otherwise("<b>January 2, 2025</b>"))
+    pages = t(spark, sf, "pages").select(k.cast("string").alias("url"), F.concat(head, F.regexp_replace("html", "(?s)<h1>.*?</h1>", "")).alias("html"))
+    return crawl.summaries(pages, "url", "html").select(F.col("url").cast("long").alias("page_id"), "title", "date", "meeting_title", "meeting_group")
 
 
 @add("canonical_files", "SELECT l.doc_id, min(d.doc_id) AS canonical FROM labels l JOIN documents x ON x.doc_id = l.doc_id JOIN documents d ON d.text = x.text GROUP BY l.doc_id")
@@ -172,12 +176,22 @@ def item_order(spark, sf):
     return listed.select(F.posexplode(F.reverse(F.array_sort("l")))).select((F.col("pos") + 1).cast("long").alias("r"), (-F.col("col.k")).alias("o_orderkey"))
 
 
-@add("cache_rules", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'public, max-age=60, s-maxage=300' WHEN 1 THEN 'public, max-age=3600' ELSE 'public, max-age=86400' END AS cache, CASE page_id % 3 WHEN 0 THEN 'status-repealed' WHEN 1 THEN 'status-amended' ELSE 'status-new' END AS css, '7' || page_id AS number FROM pages""")
+_PATHS = ["data/a.json", "data/a.pdf", "council/a.TXT", "archive/%s.pdf", "archive/%s.html", "collection-status.json", "council/pdf"]
+
+
+@add("cache_rules", f"""WITH k AS (SELECT page_id, replace(unnest([{', '.join(repr(x) for x in _PATHS)}]), '%s', CAST(page_id AS VARCHAR)) AS key FROM pages)
+SELECT page_id, key, CASE WHEN key LIKE 'data/%' THEN 'public, max-age=60, must-revalidate' WHEN lower(key) LIKE '%.pdf' OR lower(key) LIKE '%.txt' THEN 'public, max-age=3600' ELSE 'public, max-age=300, must-revalidate' END AS stored,
+  CASE WHEN key = 'collection-status.json' THEN 'public, max-age=30, s-maxage=60, must-revalidate' WHEN key LIKE 'data/%' THEN 'public, max-age=60, s-maxage=300, must-revalidate' WHEN lower(key) LIKE '%.pdf' OR lower(key) LIKE '%.txt' THEN 'public, max-age=3600, s-maxage=86400' ELSE 'public, max-age=300, s-maxage=900, must-revalidate' END AS answered,
+  CASE lower(regexp_extract(key, '[.]([a-zA-Z]+)$', 1)) WHEN 'json' THEN 'application/json' WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS media FROM k""")
 def cache_rules(spark, sf):
-    k = F.col("page_id") % 3
-    path = F.when(k == 0, "data/a.json").when(k == 1, "council/a.TXT").otherwise("archive/a.pdf")
-    status = F.when(k == 0, "Repealed").when(k == 1, "Amended").otherwise("New")
-    return t(spark, sf, "pages").select("page_id", urls.cache_control(path).alias("cache"), urls.status_class(status).alias("css"), text.normalize_number(F.concat(F.lit(" 7"), F.col("page_id").cast("string"), F.lit(".. "))).alias("number"))
+    every = t(spark, sf, "pages").select("page_id", F.explode(F.array(*[F.replace(F.lit(x), F.lit("%s"), F.col("page_id").cast("string")) for x in _PATHS])).alias("key"))
+    return every.select("page_id", "key", urls.cache_control(F.col("key")).alias("stored"), urls.answer_cache_control(F.col("key")).alias("answered"), urls.content_type(F.col("key")).alias("media"))
+
+
+@add("label_forms", """SELECT o_orderkey, 'status-' || CASE o_orderstatus WHEN 'F' THEN 'repealed' WHEN 'O' THEN 'first-reading' ELSE 'new' END AS css, '7' || o_orderkey AS number FROM orders""")
+def label_forms(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "Repealed").when(F.col("o_orderstatus") == "O", "First Reading").otherwise("New")
+    return t(spark, sf, "orders").select("o_orderkey", urls.status_class(status).alias("css"), text.normalize_number(F.concat(F.lit(" 7"), F.col("o_orderkey").cast("string"), F.lit(".. "))).alias("number"))
 
 
 @add("unknown_labels", "SELECT count(DISTINCT o_orderpriority) AS n, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS labels FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")

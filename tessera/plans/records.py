@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import dates, hashes, text, urls
 from tessera.operators import alerts, archive, diff, extract, facets, graph, quality
-from tessera.operators.dedup import duplicate_groups, newest_known, rewrite_duplicates
+from tessera.operators.dedup import duplicate_groups, newest_known, rewrite_duplicates, small_join
 from tessera.plans.registry import add, t
 from tessera.sources.shared import shared_dir
 
@@ -87,14 +87,25 @@ def edge_inversion(spark, sf):
     return back.groupBy("source").agg(F.count("*").alias("n_sources"), F.countDistinct("type").alias("n_types"))
 
 
-@add("legal_status", f"""WITH e AS (SELECT target, max(CAST(type = 'repeals' AS INT)) AS r, max(CAST(type = 'amends' AS INT)) AS a FROM {_EDGES} GROUP BY target)
-SELECT CASE WHEN r = 1 THEN 'Repealed' WHEN a = 1 THEN 'Amendment bylaw' WHEN contains(lower(p_type), 'consolidat') THEN 'Consolidated' ELSE 'Published' END AS status, count(*) AS n FROM part LEFT JOIN e ON p_partkey = target GROUP BY 1""")
+_RELATED = "(SELECT DISTINCT l_orderkey % 1999 AS source, l_partkey AS target, CASE l_quantity WHEN 50 THEN 'repeals' WHEN 49 THEN 'replaces' WHEN 48 THEN 'amends' ELSE 'consolidates' END AS type FROM lineitem WHERE l_quantity > 46 AND l_tax < 0.02)"
+
+
+@add("legal_status", f"""WITH e AS {_RELATED},
+h AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'A consolidation of ' || p_name ELSE p_name END AS said, p_partkey IN (SELECT target FROM e WHERE type = 'repeals') AS repealed, p_partkey IN (SELECT target FROM e WHERE type = 'replaces') AS replaced,
+  p_partkey IN (SELECT source FROM e WHERE type = 'amends') AS amends, p_partkey IN (SELECT source FROM e WHERE type = 'repeals') AS repeals, p_partkey IN (SELECT source FROM e WHERE type = 'replaces') AS replaces FROM part)
+SELECT p_partkey, CASE WHEN repealed THEN 'Repealed' WHEN replaced THEN 'Replaced' WHEN amends THEN 'Amendment bylaw' WHEN repeals THEN 'Repealing bylaw' WHEN replaces THEN 'Replacement bylaw' WHEN contains(lower(said), 'consolidat') THEN 'Consolidated' ELSE 'Published' END AS status FROM h""")
 def legal_status(spark, sf):
-    has = _edges(spark, sf).groupBy("target").agg(F.bool_or(F.col("type") == "repeals").alias("r"), F.bool_or(F.col("type") == "amends").alias("a"))
-    joined = t(spark, sf, "part").join(has, F.col("p_partkey") == F.col("target"), "left")
-    no, yes = F.lit(False), lambda c: F.coalesce(F.col(c), F.lit(False))
-    status = graph.legal_status({"repealed_by": yes("r"), "replaced_by": no, "amends": yes("a"), "repeals": no, "replaces": no}, F.col("p_type"))
-    return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    quantity = F.col("l_quantity")
+    kind = F.when(quantity == 50, "repeals").when(quantity == 49, "replaces").when(quantity == 48, "amends").otherwise("consolidates")
+    related = t(spark, sf, "lineitem").where("l_quantity > 46 AND l_tax < 0.02").select((F.col("l_orderkey") % 1999).alias("source"), F.col("l_partkey").alias("target"), kind.alias("type")).distinct()
+    part = t(spark, sf, "part")
+    back = graph.invert(related, part, "p_partkey").select("source", "type")
+    both = related.select("source", "type").unionByName(back)
+    names = ("repealed_by", "replaced_by", "amends", "repeals", "replaces")
+    per = both.groupBy("source").agg(*[F.bool_or(F.col("type") == n).alias(n) for n in names])
+    joined = part.join(per, F.col("p_partkey") == F.col("source"), "left")
+    said = F.when(F.col("p_size") > 25, F.concat(F.lit("A consolidation of "), "p_name")).otherwise(F.col("p_name"))
+    return joined.select("p_partkey", graph.legal_status({n: F.coalesce(F.col(n), F.lit(False)) for n in names}, said).alias("status"))
 
 
 @add("relation_resolve", f"SELECT source, target, coalesce(p_name, 'Historical reference') AS title, p_partkey IS NOT NULL AS target_collected FROM {_EDGES} e LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON p_partkey = target WHERE type = 'repeals' AND source % 50 = 0")
@@ -131,13 +142,6 @@ def watchlist_resolve(spark, sf):
     return c.join(o, "c_custkey", "left_semi").withColumn("state", F.lit("found")).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("state", F.lit("unresolved")))
 
 
-@add("watchlist_replace", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'keep' WHEN c_custkey % 3 = 0 THEN 'delete' ELSE 'insert' END AS action FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")
-def watchlist_replace(spark, sf):
-    c = t(spark, sf, "customer").select("c_custkey")
-    d = c.where("c_custkey % 3 = 0").withColumn("_old", F.lit(1)).join(c.where("c_custkey % 2 = 0").withColumn("_new", F.lit(1)), "c_custkey", "full_outer")
-    return d.select("c_custkey", F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("keep").alias("action"))
-
-
 @add("watchlist_merge", "SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
 def watchlist_merge(spark, sf):
     e = t(spark, sf, "events")
@@ -163,15 +167,15 @@ def year_range(spark, sf):
     return t(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).where("y > 1800").agg(F.countDistinct("y").alias("n_years"), F.min("y").alias("first_year"), F.max("y").alias("last_year"))
 
 
-@add("status_histogram", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'repealed' WHEN o_orderpriority = '1-URGENT' THEN 'amended' ELSE 'published' END AS status, count(*) AS n FROM orders GROUP BY 1")
-def status_histogram(spark, sf):
+@add("status_counts", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'repealed' WHEN o_orderpriority = '1-URGENT' THEN 'amended' ELSE 'published' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "repealed").when(F.col("o_orderpriority") == "1-URGENT", "amended").otherwise("published")
     return t(spark, sf, "orders").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@add("overview_counts", """SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'pages', count(*) FROM pages
+@add("dataset_counts", """SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'pages', count(*) FROM pages
 UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'missing', 0""")
-def overview_counts(spark, sf):
+def dataset_counts(spark, sf):
     names = ["documents", "orders", "events", "pages", "labels", "customer", "part"]
     rows = [t(spark, sf, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
     every = quality.combine(*rows)
@@ -258,19 +262,6 @@ def remembered_keys(spark, sf):
     return kept.select("user_id", F.size("k").cast("long").alias("n"), F.array_join("k", ",").alias("keys"))
 
 
-@add("alert_events_unify", """SELECT 'bylaw:' || o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'repealed' ELSE 'new' END AS change_type, 'https://example.org/records/' || o_orderkey AS url, substr(sha256(lower('USER' || o_custkey || '@example.org')), 1, 64) AS recipient FROM orders WHERE NOT (o_orderpriority = '5-LOW') AND NOT regexp_matches(lower(o_orderpriority), 'not specified')
-UNION ALL SELECT 'council:' || substr(sha256(event_id || '|' || event_type), 1, 24), 'new', 'https://example.org/index.html', sha256(lower('USER' || user_id || '@example.org')) FROM events""")
-def alert_events_unify(spark, sf):
-    mail = lambda c: hashes.email_id(F.concat(F.lit(" USER"), c, F.lit("@example.org ")))
-    status = F.when(F.col("o_orderstatus") == "F", "Repealed").otherwise("New")
-    # baseline rows and those of committees are no alerts
-    title = F.regexp_replace("o_orderpriority", "NOT SPECIFIED", "Advisory Committee")
-    news = t(spark, sf, "orders").where(~((F.col("o_orderpriority") == "5-LOW") | text.committee_by_sender(F.lit(""), title)))
-    a = news.select(F.concat(F.lit("bylaw:"), "o_orderkey").alias("key"), text.change_type(status).alias("change_type"), urls.absolute_url("https://example.org", F.concat(F.lit("/records/"), "o_orderkey"), "index.html").alias("url"), mail(F.col("o_custkey")).alias("recipient"))
-    b = t(spark, sf, "events").select(F.concat(F.lit("council:"), hashes.stable_id(F.col("event_id"), F.col("event_type"), length=24)).alias("key"), text.change_type(F.lit("Added")).alias("change_type"), urls.absolute_url("https://example.org", F.lit(" "), "index.html").alias("url"), mail(F.col("user_id")).alias("recipient"))
-    return a.unionByName(b)
-
-
 @add("activation_reset", "SELECT event_id FROM (SELECT event_id, value > 50 AS a, lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE a AND NOT coalesce(p, false)")
 def activation_reset(spark, sf):
     return diff.transitions(t(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("value") > 50).where("activated").select("event_id")
@@ -353,7 +344,7 @@ def candidate_chain(spark, sf):
 def content_store(spark, sf):
     kept = t(spark, sf, "documents").groupBy(hashes.content_hash(F.col("text")).alias("digest")).agg(F.min("lang").alias("lang"), F.min("doc_id").alias("doc_id"))
     first = kept.groupBy("lang").agg(F.min("doc_id").alias("_first"))
-    return kept.join(first, "lang").select("digest", archive.stored_name(F.col("lang"), ".pdf", F.col("digest"), F.col("doc_id") != F.col("_first")).alias("name"))
+    return small_join(kept, first, "lang").select("digest", archive.stored_name(F.col("lang"), ".pdf", F.col("digest"), F.col("doc_id") != F.col("_first")).alias("name"))
 
 
 @add("link_repair", "SELECT count(*) AS n, CAST(sum(CAST(page_id % 6 = 0 AS INT)) AS BIGINT) AS n_updated, CAST(sum(CAST(page_id % 6 = 1 AS INT)) AS BIGINT) AS n_cleared FROM pages")

@@ -15,8 +15,10 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def add(name: str, sql: str | None = None):
-    """Register a query under a name, with SQL that gives the same rows."""
+    """Register a query under a name of its own, with SQL that gives the same rows."""
     def entered(f):
+        if name in QUERIES:
+            raise ValueError(f"there is a query {name} already")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql

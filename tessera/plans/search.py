@@ -247,7 +247,7 @@ def age_and_labels(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", (age > 48).alias("stale"), dates.date_value(date, F.year("o_orderdate")).alias("value"))
 
 
-@add("url_safety", r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'archive/' || page_id || '.pdf' WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'council/a.pdf' END AS local_pdf, true AS valid, CASE WHEN url LIKE '%.html' THEN 'text/html; charset=utf-8' ELSE 'application/octet-stream' END AS kind FROM pages""")
+@add("url_safety", r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'archive/' || page_id || '.pdf' WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'council/a.pdf' END AS local_pdf, true AS valid, CASE WHEN url LIKE '%.html' THEN 'text/html' ELSE 'application/octet-stream' END AS kind FROM pages""")
 def url_safety(spark, sf):
     k = F.col("page_id")
     path = F.when(k % 4 == 0, F.concat(F.lit("./archive/"), k.cast("string"), F.lit(".pdf?x=1"))).when(k % 4 == 1, F.col("url")).when(k % 4 == 2, "archive/a/../../b.pdf").otherwise("../council\\a.pdf#p2")
@@ -264,12 +264,6 @@ def sample_or_default(spark, sf):
     return sample.unionByName(fallback(absent, spark.sql("SELECT -1L AS event_id, 'default' AS origin")))
 
 
-@add("summary_ingest", "SELECT conv_id, turn, length(substr(text, 1, 5000)) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS r FROM conversations WHERE role = 'user') WHERE r = 1")
-def summary_ingest(spark, sf):
-    rows = t(spark, sf, "conversations").where("role = 'user'").select("conv_id", "text", "turn")
-    return keep_first(rows, ["conv_id", "text"], "turn").select("conv_id", "turn", F.length(F.substring("text", 1, 5000)).cast("long").alias("n"))
-
-
 @add("link_discovery", r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) AS pos FROM pages)
 SELECT href, min(page_id * 100000 + pos) AS first_at, max(page_id * 100000 + pos) AS last_at, regexp_matches(lower(href), 'agenda|report|notice|\.pdf$') AS is_record FROM a WHERE NOT contains(lower(href), 'calendar') GROUP BY href""")
 def link_discovery(spark, sf):
