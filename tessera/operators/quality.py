@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import urls
+from tessera.sources import files
+
 
 def check(code: str, value: Column, failed: Column, severity: str = "warn") -> Column:
     """A check as a struct over aggregates of a table."""
     return F.struct(F.when(F.coalesce(failed, F.lit(False)), severity).otherwise("pass").alias("severity"), F.lit(code).alias("code"), F.round(value.cast("double"), 6).alias("value"))
 
 
+def check_row(severity: Column | str, code: str, message: Column | str, details: Column | None = None) -> Column:
+    """A check as (severity, code, message, details): details are JSON text, or null where there is nothing to tell: null,
+    an empty text, list, map or struct list."""
+    as_column = lambda c: c if isinstance(c, Column) else F.lit(c)
+    told = F.lit(None).cast("string") if details is None else F.to_json(F.struct(details.alias("d")))
+    body = F.regexp_extract(told, r'(?s)^\{"d":(.*)\}$', 1)
+    return F.struct(as_column(severity).alias("severity"), F.lit(code).alias("code"), as_column(message).alias("message"), F.when(~body.isin("", "[]", "{}", '""', "null"), body).alias("details"))
+
+
+def missing_datasets(spark: SparkSession, required: dict[str, str]) -> DataFrame:
+    """(severity, code, message, details) of the required datasets (name and path) whose file isn't there or holds no JSON;
+    each has a code of its own, ``missing-`` and its name."""
+    there = {name: path for name, path in required.items() if files.exists(spark, path)}
+    whole = [spark.read.text(path, wholetext=True).select(F.lit(name).alias("name"), F.try_parse_json("value").isNotNull().alias("ok")) for name, path in there.items()]
+    shape = "name string, ok boolean"
+    readable = combine(*whole) if whole else spark.createDataFrame([], shape)
+    named = spark.createDataFrame(list(required.items()), "name string, path string")
+    bad = named.join(F.broadcast(readable.groupBy("name").agg(F.bool_and("ok").alias("ok"))), "name", "left").where("NOT coalesce(ok, false)")
+    return bad.select(F.lit("fail").alias("severity"), F.concat(F.lit("missing-"), "name").alias("code"), F.concat(F.lit("Missing or invalid "), F.element_at(F.split("path", "/"), -1)).alias("message"), F.lit(None).cast("string").alias("details"))
+
+
 def report(df: DataFrame, *checks: Column) -> DataFrame:
     """The checks of one table, evaluated in a single aggregate."""
     return df.agg(F.array(*checks).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
@@ -100,19 +124,35 @@ def health(datasets: DataFrame) -> DataFrame:
     return datasets.agg(there.alias("n_available"), missing.alias("n_missing"), status.alias("status"))
 
 
-def header_lint(pages: DataFrame, path: str, html: str, placeholder: str, script: str, root: Column, expected: Column) -> DataFrame:
+def header_lint(pages: DataFrame, path: str, html: str, placeholder: str, script: str, root: Column, expected: Column, hard_coded: str | None = None, within: bool = False) -> DataFrame:
     """(path, errors): pages whose shared header isn't one placeholder for the site's root and, after it, one script of
-    the expected address. ``placeholder`` and ``script`` are patterns; group 1 is the root or the address."""
+    the expected address, or that hold the text ``hard_coded`` of a header of their own. ``placeholder`` and ``script``
+    are patterns; group 1 is the root or the address, or with ``within`` a text that the root must stand in."""
     every = lambda p, g: F.regexp_extract_all(html, F.lit(p), g)
-    df = pages.select(F.col(path), F.size(every(placeholder, 0)).alias("_p"), F.size(every(script, 0)).alias("_s"), F.get(every(placeholder, 1), F.lit(0)).alias("_root"), F.get(every(script, 1), F.lit(0)).alias("_src"), F.expr(f"instr(`{html}`, regexp_extract(`{html}`, '{_quoted(placeholder)}', 0))").alias("_at"), F.expr(f"instr(`{html}`, regexp_extract(`{html}`, '{_quoted(script)}', 0))").alias("_after"), root.alias("_want"), expected.alias("_wanted"))
+    own = F.contains(html, F.lit(hard_coded)) if hard_coded else F.lit(False)
+    df = pages.select(F.col(path), own.alias("_own"), F.size(every(placeholder, 0)).alias("_p"), F.size(every(script, 0)).alias("_s"), F.get(every(placeholder, 1), F.lit(0)).alias("_root"), F.get(every(script, 1), F.lit(0)).alias("_src"), F.expr(f"instr(`{html}`, regexp_extract(`{html}`, '{_quoted(placeholder)}', 0))").alias("_at"), F.expr(f"instr(`{html}`, regexp_extract(`{html}`, '{_quoted(script)}', 0))").alias("_after"), root.alias("_want"), expected.alias("_wanted"))
     errors = F.array_compact(F.array(
-        F.when(F.col("_p") != 1, "placeholders").otherwise(F.when(F.col("_root") != F.col("_want"), "root")),
+        F.when(F.col("_p") != 1, "placeholders").otherwise(F.when(~F.contains("_root", F.col("_want")) if within else F.col("_root") != F.col("_want"), "root")),
         F.when(F.col("_s") != 1, "scripts").otherwise(F.when(F.col("_src") != F.col("_wanted"), "address")),
         F.when((F.col("_p") > 0) & (F.col("_s") > 0) & (F.col("_at") > F.col("_after")), "order"),
+        F.when(F.col("_own"), "hard-coded"),
     ))
     return df.select(path, F.array_join(errors, ",").alias("errors")).where("errors <> ''")
 
 
+# The shared header's placeholder and script.
+HEADER_PLACEHOLDER = r'(?i)<div\s+([^>]*data-shared-header[^>]*)></div>'
+HEADER_SCRIPT = r'(?i)<script\b[^>]*src="([^"]*shared-header\.min\.js\?v=[^"]+)"[^>]*></script>'
+
+
+def shared_header_lint(pages: DataFrame, path: str, html: str, version: str) -> DataFrame:
+    """``header_lint`` for the shared header of this version: the script lies at the site's root."""
+    root = urls.expected_root(F.col(path))
+    address = F.concat(F.when(root == "..", "../").otherwise(""), F.lit(f"shared-header.min.js?v={version}"))
+    attribute = F.concat(F.lit('data-root="'), root, F.lit('"'))
+    return header_lint(pages, path, html, HEADER_PLACEHOLDER, HEADER_SCRIPT, attribute, address, '<header class="site-header', within=True)
+
+
 def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tessera.plans import civic, flows, matters, pages, records, search  # noqa: F401  the modules enter their queries
+from tessera.plans import civic, flows, matters, pages, records, search, site  # noqa: F401  the modules enter their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
