@@ -245,8 +245,8 @@ def pseudonym(kind, x):
     keyed = lambda what: hashlib.sha256(f"{KEY}|{kind}|{what}".encode()).hexdigest()
     if kind == "email":
         return f"user-{keyed(x.lower())[:16]}@mail.invalid"
-    value = re.search(r"[A-Za-z0-9+/_.-]{12,200}$", x)[0]
-    return x[: -len(value)] + (keyed(value) * 4)[: len(value)]
+    value = re.search(r"[A-Za-z0-9+/_.-]+$", x)[0]
+    return x[: -len(value)] + (keyed(value) * (len(value) // 64 + 1))[: len(value)]
 
 
 def test_pii_against_brute_force(spark):
@@ -276,7 +276,7 @@ def test_pii_against_brute_force(spark):
         lambda: card(rng.choice([13, 16, 19])), lambda: blocks(card(16), 4, 4, 4, 4), lambda: blocks(card(15), 4, 6, 5), lambda: d(16), lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
         lambda: f"{rng.randrange(1890, 2090)}-{rng.randrange(14):02}-{rng.randrange(33):02}", lambda: f"{rng.randrange(1, 32):02}/{rng.randrange(1, 32):02}/{rng.randrange(1900, 2079)}", lambda: f"{rng.randrange(1, 32):02}.{rng.randrange(1, 13):02}.1999",
         lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"+1 {d(10)}", lambda: f"+44 20 {d(4)} {d(4)}", lambda: f"+49{d(9)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: "000-12-3456", lambda: "000 000 0000", lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB29NWBK60161331926819",
-        lambda: "ES91 2100 0418 4502 0005 1332 PAGE", lambda: "4111 1111 1111 1111 12/27", lambda: "4111111111111111 345 Main", lambda: f"x{d(2)}@mail{d(1)}.example.com", lambda: f'token = "{d(20)}abc"', lambda: "plain words", lambda: d(5),
+        lambda: "ES91 2100 0418 4502 0005 1332 PAGE", lambda: "4111 1111 1111 1111 12/27", lambda: "4111111111111111 345 Main", lambda: f"x{d(2)}@mail{d(1)}.example.com", lambda: f'token = "{d(20)}abc"', lambda: f"password: {d(rng.randrange(190, 400))}", lambda: f"{'l' * rng.randrange(60, 90)}@{'sub.' * rng.randrange(6, 14)}example.museum.", lambda: "plain words", lambda: d(5),
     ]
     rows = [(i, " ".join(f"{rng.choice(make)()} word" for _ in range(rng.randrange(8))), "kept", "kept") for i in range(700)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, _found string, pii string")
@@ -307,6 +307,16 @@ def test_pii_permutations_are_one_to_one(spark):
     assert short.select(F.expr(pii.feistel_digits("x", "key", "'t'")).alias("y")).distinct().count() == 1000
 
 
+def test_pii_of_any_length_goes_whole(spark):
+    from tessera.llm import pii
+
+    long = ["api_key=" + "Zq9_" * 75, "secret: '" + "ab/" * 40_000 + "'", "x" * 100 + "@" + "a." * 5000 + "com", "me@" + ".".join(["deep"] * 12) + ".org, you@b.co.", "first.last+tag@" + "h" * 80 + ".travelersinsurance9"]
+    rows = {r.i: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(long)), "i int, text string"), KEY).collect()}
+    for i, left in enumerate(("Zq9_", "ab/", "a.a.", "deep", "first.last")):
+        assert left not in rows[i].text and len(rows[i].pii) == (2 if i == 3 else 1)
+    assert len(rows[0].text) == len(long[0]) and rows[1].text.endswith("'") and rows[3].text.endswith(".invalid.") and rows[2].text.endswith("@mail.invalid")
+
+
 def test_pii_edges(spark, edges, empty):
     from tessera.llm import pii
 
