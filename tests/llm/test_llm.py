@@ -658,11 +658,48 @@ def test_legacy_archives_of_any_content(spark, tmp_path):
         assert got.count() == 8 and info.content_type == "text/plain" and bytes(info.payload).startswith(f"{version} 0 ".encode())
         assert bytes(got.where("target = 'http://a.example/l'").first().head) == head
         out = f"file://{tmp_path}/warc{version}"
-        arc.write_warc(got.withColumn("refers_to", F.lit(None).cast("long")), out)
+        arc.write_warc(got, out)
         back = arc.read_warc(spark, out).collect()
         assert sorted((r.record_type, r.payload_digest, r.payload_bytes, r.warc_date) for r in back) == sorted((r.kind, r.payload_digest, r.payload_bytes, r.warc_date) for r in got.collect())
 
 
+def test_records_without_page_ids_have_ids_of_their_own(spark, tmp_path):
+    from tessera.llm import arc
+
+    head = b"HTTP/1.0 200 OK\r\n\r\n"
+    records = [("http://a.example/1", "1.2.3.4", "19970101", "text/html", head + b"same"), ("http://b.example/2", "1.2.3.4", "19980101", "text/html", head + b"same"), ("http://b.example/2", "1.2.3.4", "19980101", "text/html", head + b"same"), ("dns:a", "1.2.3.4", "19960101", "text/dns", b"same"), ("metadata:x", "0.0.0.0", "1999", "text/anvl", b"same")]
+    (tmp_path / "a.arc").write_bytes(arc.arc_file(records, 1, "a.arc"))
+    (tmp_path / "b.arc").write_bytes(arc.arc_file(records, 2, "b.arc"))
+    parsed = arc.read_arc(spark, f"file://{tmp_path}").cache()
+    arc.write_warc(arc.with_revisits(parsed), f"file://{tmp_path}/warc")
+    back = arc.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    ids = {r.record_id: r for r in back}
+    assert len(ids) == len(back) == 12  # two version records among them
+    same = [r for r in back if r.payload_digest == arc.digest(b"same")]
+    kept = [r for r in same if r.record_type == "response"]
+    revisits = [r for r in same if r.record_type == "revisit"]
+    assert len(kept) == 1 and len(revisits) == 7 and {r.refers_to_id for r in revisits} == {kept[0].record_id} and {r.payload_bytes for r in revisits} == {4}
+    assert (kept[0].target, kept[0].warc_date) == ("http://b.example/2", "1998-01-01T00:00:00Z") and {r.record_type for r in same} == {"response", "revisit", "metadata"}
+
+
+def test_archives_hold_many_pages(spark, tmp_path):
+    import os
+
+    from tessera.llm import arc
+
+    docs = spark.read.parquet(f"{SF}/pages.parquet").coalesce(1)
+    files = [list(arc.parse_arc(bytes(r.content))) for r in arc.pages_as_arc(docs).collect()]
+    assert len(files) == 2 and sum(len(x) - 1 for x in files) == docs.count() and {x[0][1].split()[0] for x in files} == {b"1", b"2"}
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    got = {r.page_id: r for r in arc.archive_pages(docs).collect()}
+    assert all(x.startswith("archived") for x in set(os.listdir(shared)) - before)  # archives and records are gone
+    kept = {r.page_id: r for r in arc.archive_pages(docs, f"file://{tmp_path}/kept").collect()}
+    assert len({r.record_id for r in kept.values()}) == docs.count() and os.path.isdir(tmp_path / "kept")
+    assert {i: (r.record_type, r.refers_to, r.payload_digest) for i, r in got.items()} == {i: (r.record_type, r.refers_to, r.payload_digest) for i, r in kept.items()}
+    assert all(r.refers_to_id == kept[r.refers_to].record_id for r in kept.values() if r.record_type == "revisit")
+
+
 # 9
 def fingerprint(text):
     """The selected (hash, place) pairs of a text, written anew."""
