@@ -265,12 +265,15 @@ def tokenizer(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256, and the ids if asked for.
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text", key: str = "doc_id", others: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256, and the ids if asked for; with
+    ``others``, after all other columns as they are but for those of these names.
 
     Map-only: nothing is shuffled. ``path`` must be readable on every executor.
     """
     kind = docs.schema[key].dataType
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    kept = [c for c in docs.columns if c not in (key, *made)] if others else []
 
     def run(batches):
         bpe = tokenizer(path)
@@ -284,12 +287,13 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, text: s
             ]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in rows], pa.list_(pa.int32())))
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *rows]).astype(np.int32))))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays([arrays[0], *[column(part, c) for c in kept], *arrays[1:]], [key, *kept, *names[1:]])
 
-    schema = f"`{key}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(key, text).mapInArrow(run, schema)
+    schema = f"`{key}` {kind.simpleString()}" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(*dict.fromkeys([key, *kept, text])).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

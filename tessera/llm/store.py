@@ -42,9 +42,27 @@ def cut(df: DataFrame, label: str = "cut", arrow_rows: int = 10_000) -> DataFram
         df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._tessera_path = path
+    for scope in _SCOPES[-1:]:
+        scope.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Gathers the tables that ``cut`` writes inside and deletes them at the end; what is taken out of the list stays."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+        for df in made:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for a table that nothing will read again."""
     path = getattr(df, "_tessera_path", None)

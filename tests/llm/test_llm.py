@@ -981,8 +981,60 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = {r.doc_id: r.text or "" for r in pure.collect()}
     encoded = stage["bpe"](spark, pure, SF).collect()
-    assert {r.doc_id: r.n_tokens for r in encoded} == {i: len(tokenizer.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
-    assert len(encoded) < docs.count()
+    assert {r.doc_id: list(r.ids) for r in encoded} == {i: tokenizer.encode(x, add_special_tokens=False).ids for i, x in texts.items()}
+    assert all(r.n_tokens == len(r.ids) for r in encoded) and len(encoded) < docs.count()
+    assert {tuple(r[c] for c in docs.columns) for r in encoded} == {tuple(r) for r in pure.collect()}
+
+
+def test_pipeline_run_leaves_only_what_it_returns(spark):
+    import os
+
+    import corpus_pipeline as p
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = p.run(spark, SF)
+    left = set(os.listdir(shared)) - before
+    assert out.count() > 100 and [x.split("-")[0] for x in left] == ["decontamination"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+#: Names that operators use inside, of columns that documents may have.
+CLASHES = ["_text", "_key", "_row", "id", "n", "h", "token", "score", "label", "component_id", "n_tokens", "ids", "host", "centre", "item_id", "kind", "held_out", "words", "rule", "payload", "toxic"]
+
+
+def test_columns_with_clashing_names_change_nothing(spark):
+    import corpus_pipeline as p
+    from tessera.llm import bpe, class_lm, decontam, jaccard, toxicity
+    from tessera.llm.entries import vocabulary
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clashing = docs.withColumns({c: F.lit("other") for c in CLASHES})
+    labels, benchmark = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    same = lambda run: sorted(map(str, run(docs).collect())) == sorted(map(str, run(clashing).collect()))
+    assert same(lambda d: bpe.encode_documents(d, vocabulary(), with_ids=True))
+    assert same(lambda d: class_lm.fit_and_score(d).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6)))
+    assert same(jaccard.near_duplicates)
+    assert same(lambda d: decontam.judge(d, benchmark))
+    assert same(lambda d: toxicity.score(d, toxicity.fit(d, labels.where(~toxicity.held_out()))).select("doc_id", F.round("score", 6), "predicted"))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, clashing, SF)
+        assert out.columns == clashing.columns, name
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in stage(spark, docs, SF).collect()), name
+
+
+def test_pages_with_clashing_names_change_nothing(spark):
+    from tessera.llm import arc, url_reputation
+    from tessera.llm.entries import URL_RULES
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    clashing = pages.withColumns({c: F.lit("other") for c in [*CLASHES, "content", "source", "offset", "verdict", "path", "bad_mean", "bad", "domain"]})
+    outcomes = spark.range(200).select(F.col("id").alias("page_id"), (F.col("id") % 3 == 0).alias("bad"))
+    one, two = (url_reputation.judge_urls(d, outcomes, URL_RULES) for d in (pages, clashing))
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(map(str, one.select(names).collect())) == sorted(map(str, two.select(names).collect()))
+    kept = ["page_id", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(str, arc.archive_pages(pages).select(kept).collect())) == sorted(map(str, arc.archive_pages(clashing).select(kept).collect()))
 
 
 def test_pipeline_stages_on_nothing(spark):
