@@ -24,14 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.batches import column, gather, small
+from tessera.llm.batches import column, gather, give_back, small
 
 #: Fixed value: how the byte-level scheme cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts all below this code point are cut by an equivalent pattern with spelled-out classes, which the
 #: standard library's matcher runs about twice as fast.
 PLAIN_BELOW = 0x250
-#: Words whose tokens a task remembers, besides those of one slice of a batch (4 MB of text); a cache, so results
+#: Words whose tokens a task remembers until it ends, besides those of one slice of a batch (4 MB of text); a cache, so results
 #: don't depend on it.
 REMEMBERED = 300_000
 #: What a vocabulary file must say for the steps below to be the right ones.
@@ -291,6 +291,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, text: s
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *rows]).astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([arrays[0], *[column(part, c) for c in kept], *arrays[1:]], [key, *kept, *names[1:]])
+        bpe._forget()  # the worker may wait beside other stages
+        give_back()
 
     schema = f"`{key}` {kind.simpleString()}" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(*dict.fromkeys([key, *kept, text])).mapInArrow(run, schema)

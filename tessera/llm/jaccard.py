@@ -19,8 +19,10 @@ differ, and most(n, m) the largest symmetric difference of linked sets of these
 share at least t = (|D(x)| + |D(y)| - most) / 2 of their differences, and t > 0 if x isn't linked with c. If
 they have a light shingle in common, they also meet in its list, as all light ones of both are in their
 prefixes; else the shared differences are among the others. So in lists of more than SHORT members only
-those meet again that have an element in common in the prefixes of these differences. A group of copies
-with edits of their own costs a star of links, not all pairs. In shorter lists the members meet each
+those meet again that have an element in common in the prefixes of these differences. In the order of a centre's
+differences those that many of its members share come last, the commonest at the end, so that a whole family's
+differences from the centre fall out of the prefixes and what is left is a member's own. Members that are in one
+component already don't meet. A group of copies with edits of their own costs a star of links, not all pairs. In shorter lists the members meet each
 other, if the places of the common shingle allow a link. Every pair is bounded by the histograms of its sets and verified exactly on its whole texts.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than K
@@ -39,6 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.batches import column, small
 from tessera.llm.components import connected_components
@@ -61,8 +64,15 @@ HEAVY, MAX_HEAVY = 64, 500_000
 PART, MAX_PARTS, MAX_DEALT = 2048, 4096, 50_000
 #: In longer lists members meet by their differences from the centre.
 SHORT = 32
-#: Pairs of texts in one Arrow batch.
-PAIR_ROWS = 256
+#: Differences from a centre that so many prefixes hold, and more than one SHARE-th of all prefixes' elements, are common:
+#: there are SHARE of them at most. They are moved to the end of the order; what then stands in crowds of its own is
+#: looked for again, ROUNDS times at most. The order changes which pairs are tested, never the result.
+CROWD, SHARE, ROUNDS = 64, 10_000, 4
+#: Members that meet many others in one element are dealt in parts of so many, and by how many differences they have: each
+#: band reaches BAND times as far as the one before.
+MEETING_PART, BAND = 2048, 1.1
+#: Pairs of texts in one Arrow batch, and bytes of either side that are split into sets at once.
+PAIR_ROWS, PAIR_BYTES = 256, 1 << 20
 #: Histogram bins of a set, 16 bits each; larger sets than LARGEST_BINNED are not bounded by them.
 BINS, LARGEST_BINNED = 128, 65_535
 
@@ -364,7 +374,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
-        for part in small(small(batches, "_x"), "_y"):
+        for part in small(small(batches, "_x", PAIR_BYTES), "_y", PAIR_BYTES):
             linked = []
             for v, w in _set_pairs(part):
                 common = len(np.intersect1d(v, w, assume_unique=True))
@@ -394,20 +404,21 @@ def shared_differences(d: int, m: int, k: int) -> int:
 DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, left int, d int, label {id}, home {id}"
 
 
-def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str, common=None) -> DataFrame:
     """DIFFERENCES: prefixes of the differences of list members (a, b, label, far, light) from their centres (b).
 
     The order is: light elements that only the member has (if they meet in the list of a light one), heavy
-    ones, those that only the centre has. The prefix
-    for far partners, which aren't linked with the centre, is marked (both); a far member has a longer one
-    for near partners.
+    ones, those that only the centre has; and after all others those that ``common`` names, a broadcast of {centre: (sorted
+    elements, counts)}, by their counts. The prefix for far partners, which aren't linked with the centre, is marked (both); a
+    far member has a longer one for near partners.
     """
     kind = members.schema["a"].dataType.simpleString()
     lacks = np.uint64(0xA0761D6478BD642F)  # marks what only the centre has
 
     def run(batches):
-        last = heavy.value
-        for part in small(small(batches, "_x"), "_y"):
+        last, crowds = heavy.value, common.value if common else {}
+        for part in small(small(batches, "_x", PAIR_BYTES), "_y", PAIR_BYTES):
+            centres = column(part, "b").to_pylist() if crowds else []
             far, lights = (np.asarray(column(part, c).to_numpy(zero_copy_only=False), dtype=bool) for c in ("far", "light"))
             rows, tokens, both, left, count, size = [], [], [], [], [], []
             for i, (v, w) in enumerate(_set_pairs(part)):
@@ -415,6 +426,10 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
                 at = np.minimum(np.searchsorted(last, own), max(len(last) - 1, 0))
                 weighty = last[at] == own if len(last) else np.zeros(len(own), dtype=bool)
                 order = np.concatenate((own[~weighty] if lights[i] else own[:0], own[weighty], mix(gone ^ lacks)))
+                if crowds and centres[i] in crowds and len(order):
+                    named, counts = crowds[centres[i]]
+                    place = np.minimum(np.searchsorted(named, order), len(named) - 1)
+                    order = order[np.argsort(np.where(named[place] == order, counts[place], 0), kind="stable")]
                 d, n, m = len(own) + len(gone), len(v), len(order)
                 if not m or not n:
                     continue
@@ -442,16 +457,83 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
 APART = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + DEN}))"
 
 
-def _meetings(differences: DataFrame) -> DataFrame:
+def _crowds(differences: DataFrame) -> list:
+    """(centre, token, n) of the elements that many prefixes of one centre hold whose members are in several components."""
+    least = max(CROWD, differences.count() // SHARE)
+    per = differences.groupBy("centre", "token").agg(F.count("*").alias("n"), F.bool_or("far").alias("_far"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+    return per.where((F.col("n") > least) & F.col("_far") & (F.col("_a") < F.col("_b"))).select("centre", "token", "n").collect()
+
+
+def _uncrowded(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The written ``_differences`` of members, with common elements last."""
+    context = docs.sparkSession.sparkContext
+    differences, known = cut(_differences(members, heavy, docs, key, text), "differences", PAIR_ROWS), {}
+    for _ in range(ROUNDS):
+        found = [r for r in _crowds(differences) if r.token not in known.get(r.centre, {})]
+        if not found:
+            break
+        for r in found:
+            known.setdefault(r.centre, {})[r.token] = r.n
+        anew = {r.centre for r in found}
+        sent = {}
+        for c, tokens in known.items():
+            names = np.array(list(tokens), dtype=np.int64).view(np.uint64)
+            order = np.argsort(names)
+            sent[c] = names[order], np.array(list(tokens.values()), dtype=np.int64)[order]
+        kind = members.schema["b"].dataType
+        crowded = docs.sparkSession.createDataFrame([(c,) for c in anew], T.StructType([T.StructField("b", kind)]))
+        again = _differences(members.join(F.broadcast(crowded), "b", "left_semi"), heavy, docs, key, text, context.broadcast(sent))
+        others = differences.join(F.broadcast(crowded.withColumnRenamed("b", "centre")), "centre", "left_anti").select(*differences.columns)
+        last, differences = differences, cut(others.unionByName(again), "differences", PAIR_ROWS)
+        discard(last)
+    return differences
+
+
+#: What two members meet by.
+MEETING = ["centre", "token", "_class", "_pair", "_part"]
+
+
+def _sides(differences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the meetings, keyed by MEETING; elements whose members are all in one component
+    are left out.
+
+    An element's members are of its most frequent component, or of others. Of the four classes of pairs that make three are
+    needed, as two members of the most frequent component have nothing to tell each other. In a crowded element members
+    meet by bands of their numbers of differences: the more a partner has, the more must be shared, so the earlier in
+    the order the first shared one must be. Its first side is dealt in parts, the second repeated for each.
+    """
+    banded = differences.withColumn("_band", F.floor(F.log("d") / F.log(F.lit(BAND))).cast("int"))
+    by_label = banded.groupBy("centre", "token", "label").agg(F.count("*").alias("_n"), F.bool_or("far").alias("_far"), F.collect_set("_band").alias("_bands"))
+    keys = by_label.groupBy("centre", "token").agg(
+        F.max_by("label", F.struct("_n", "label")).alias("_major"), F.count("*").alias("_k"), F.sum("_n").alias("_all"), F.bool_or("_far").alias("_some"), F.array_distinct(F.flatten(F.collect_list("_bands"))).alias("_bands"))
+    keys = keys.where("_k > 1 AND _some").select("centre", "token", "_major", F.ceil(F.col("_all") / MEETING_PART).cast("int").alias("_parts"), F.when(F.col("_all") > CROWD, F.col("_bands")).alias("_bands"))
+    marked = banded.join(keys, ["centre", "token"]).withColumn("_is", F.col("label") == F.col("_major"))
+    # partners are a quarter larger at most
+    most = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) / (NUM + DEN))
+    open_ = F.filter("_bands", lambda j: 2 * F.col("left") >= F.col("d") + F.floor(F.pow(F.lit(BAND), j) - 1e-6) - most)
+    marked = cut(marked.withColumn("_open", F.when(F.col("_bands").isNull(), F.array(F.lit(-1))).otherwise(open_)).where("size(_open) > 0").drop("_bands"), "marked")
+    ids = F.pmod(F.xxhash64("id"), F.col("_parts").cast("long")).cast("int")
+    pair = lambda own, other: F.when(F.col("_other") < 0, -1).otherwise(1000 * F.col(own) + F.col(other))
+    met = marked.withColumn("_other", F.explode("_open"))
+    # classes: 0 neither of the most frequent component, 1 the second, 2 the first
+    x = met.where("far").withColumn("_class", F.explode(F.when(F.col("_is"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))).withColumn("_part", ids).withColumn("_pair", pair("_band", "_other"))
+    y = met.withColumn("_class", F.explode(F.when(F.col("_is"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2))))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_pair", pair("_other", "_band"))
+    one, two = (d.select(*MEETING, *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "left", "d", "label", "home")]) for d, side in ((x, "x"), (y, "y")))
+    one._tessera_path = marked._tessera_path
+    return one, two
+
+
+def _meetings(one: DataFrame, two: DataFrame) -> DataFrame:
     """Pairs (a, b) of members whose differences from a centre can be those of linked sets; for members with the same
     home, from that one."""
-    sides = [differences.select("centre", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "left", "d", "label", "home")]) for side in "xy"]
-    x, y = sides[0].where("x_far").alias("x"), sides[1].alias("y")
+    x, y = one.alias("x"), two.alias("y")
     fits = F.expr(
         f"(NOT y_far OR x_both AND y_both AND x_id < y_id) AND x_label <> y_label AND (x_home <> y_home OR x.centre = x_home) AND least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
         f" AND 2 * least(x_left, y_left) >= x_d + y_d - {APART}"
     )
-    found = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & fits)
+    for c in MEETING:
+        fits = fits & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    found = x.join(y, fits)
     return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
@@ -530,11 +612,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     discard(member)
     # a centre without far members has nothing to add
     open_centres = members.where("far").select("b").distinct()
-    differences = cut(_differences(salted_join(members, open_centres, "b"), heavy, docs, key, text), "differences", PAIR_ROWS)
-    more = compared(late.union(_meetings(differences)).distinct())
+    open_members = cut(salted_join(members, open_centres, "b"), "open")
+    differences = _uncrowded(open_members, heavy, docs, key, text)
+    one, two = _sides(differences)
+    more = compared(late.union(_meetings(one, two)).distinct())
     if more.limit(1).count():
         found = connected_components(links.union(more))
-    for table in (*temporary, stars, best, rest, members, differences):
+    for table in (*temporary, stars, best, rest, members, open_members, differences, one):
         discard(table)
 
     named = whole.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("_component"))

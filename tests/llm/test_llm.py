@@ -1043,3 +1043,49 @@ def test_pipeline_stages_on_nothing(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def family_tests(spark, monkeypatch, n, own):
+    """How many pairs the meeting of differences tests in a group of two families, and whether the components are right."""
+    from tessera.llm import jaccard
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6):06}"
+    base = [word() for _ in range(300)]
+    other = list(base)
+    for i in range(6):
+        other[10 + i * 48] = word()
+    rows = []
+    for i in range(n):
+        words = list(base if i % 2 else other)
+        for _ in range(own):
+            words[rng.randrange(300)] = word()
+        rows.append((i, " ".join(words)))
+    tested, met = [], jaccard._meetings
+
+    def counted(one, two):
+        a, b = (d.groupBy(*jaccard.MEETING).agg(F.count("*").alias(c)) for d, c in ((one, "n"), (two, "m")))
+        tested.append(a.join(b, jaccard.MEETING).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0])
+        return met(one, two)
+
+    monkeypatch.setattr(jaccard, "_meetings", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    monkeypatch.setattr(jaccard, "_meetings", met)
+    return tested[0], got, rows
+
+
+@pytest.mark.parametrize("own", [2, 5])
+def test_jaccard_join_of_two_families_is_exact_when_crowded(spark, monkeypatch, own):
+    from tessera.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CROWD", 16)  # so that the order and the bands matter in a small group
+    monkeypatch.setattr(jaccard, "MEETING_PART", 32)
+    tested, got, rows = family_tests(spark, monkeypatch, 240, own)
+    expected, _ = components(rows)
+    assert got == expected
+
+
+def test_jaccard_join_tests_few_pairs_of_a_large_group(spark, monkeypatch):
+    small, _, _ = family_tests(spark, monkeypatch, 500, 5)
+    large, _, _ = family_tests(spark, monkeypatch, 1500, 5)
+    assert large < 4 * small  # all pairs would be nine times as many
