@@ -25,8 +25,9 @@ from tessera.llm.store import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this count are held in the expression, more are joined; both give the same.
 INLINE_RULES = 24
-#: Suffixes of two labels under which names are registered; a longer list can be given.
-SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp or.jp ne.jp com.br com.cn com.mx co.in co.kr co.za com.tr com.ar com.sg com.hk com.tw".split())
+#: Suffixes of two labels under which names are registered. Other rules can be given: a suffix of any number of
+#: labels, ``*.x`` for any one label before x, and ``!y`` for a name y that is registered all the same.
+SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp or.jp ne.jp com.br com.cn com.mx com.pl net.pl org.pl co.in co.kr co.za com.tr com.ar com.sg com.hk com.tw github.io gitlab.io blogspot.com".split())
 _ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -40,20 +41,35 @@ def url_path(url: Column) -> Column:
 
 
 def _name(host: Column) -> Column:
-    """The host without user, port and a final dot."""
-    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(?::[0-9]*)?$|\.(?::[0-9]*)?$", "")
+    """The host in lower case without user, port and a final dot."""
+    return F.translate(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(?::[0-9]*)?$|\.(?::[0-9]*)?$", ""), UPPER, LOWER)
+
+
+def _parent(name: Column) -> Column:
+    """The name without its first label; empty for one label."""
+    return F.regexp_extract(name, r"^[^.]*\.(.*)$", 1)
+
+
+def _suffix_of(name: Column, suffixes: Sequence[str]) -> Column:
+    """The longest suffix of a name that a rule gives, else its last label. Exceptions go before all other rules."""
+    plain, wild, but = ([x[n:] for x in suffixes if x.startswith(mark) and (mark or x[0] not in "*!")] for n, mark in ((0, ""), (2, "*."), (1, "!")))
+    fits = lambda x: x.isin(*plain) | (x.contains(".") & _parent(x).isin(*wild) if wild else F.lit(False))
+    longest = F.get(F.filter(_suffixes(name), fits), F.lit(0))
+    kept = F.get(F.filter(_suffixes(name), lambda x: x.isin(*but)), F.lit(0)) if but else F.lit(None).cast("string")
+    return F.coalesce(_parent(kept), longest, F.substring_index(name, ".", -1))
 
 
 def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix and the label before it; an IP address, or a name that is a suffix, itself."""
     name = _name(host)
-    labels = F.when(F.substring_index(name, ".", -2).isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
-    return F.when(name.rlike(_ADDRESS), name).otherwise(labels)
+    suffix = _suffix_of(name, suffixes)
+    own = F.substring_index(F.substr(name, F.lit(1), F.greatest(F.length(name) - F.length(suffix) - 1, F.lit(0))), ".", -1)
+    return F.when(name.rlike(_ADDRESS) | (name == suffix), name).otherwise(F.concat(own, F.lit("."), suffix))
 
 
 def public_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     name = _name(host)
-    two = F.substring_index(name, ".", -2)
-    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(name.rlike(_ADDRESS), name).otherwise(_suffix_of(name, suffixes))
 
 
 def _suffixes(host: Column) -> Column:
@@ -119,7 +135,7 @@ def _level(units: DataFrame, parents: DataFrame, parent: str, floor: float, ceil
     )
 
 
-def host_reputation(outcomes: DataFrame, floor: float = 2.0, ceiling: float = 1000.0, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, floor: float = 2.0, ceiling: float = 1000.0, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior bad rate of every host: (host, n, bad, mean, lower, world).
 
     ``outcomes`` has host and bad (0, 1 or null for unlabelled). Counts are aggregated before any
@@ -127,13 +143,13 @@ def host_reputation(outcomes: DataFrame, floor: float = 2.0, ceiling: float = 10
     one-sided bound mean - z * sd of the beta posterior, ``world`` the rate of all.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host")), "all": F.lit(1)})
+    hosts = hosts.withColumns({"domain": registered_domain(F.col("host"), suffixes), "suffix": public_suffix(F.col("host"), suffixes), "all": F.lit(1)})
     hosts = cut(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix", "all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix", "all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    world = suffixes.groupBy("all").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
-    suffixes = _level(suffixes, world, "all", floor, ceiling)
-    domains = _level(domains, suffixes, "suffix", floor, ceiling)
+    ends = domains.groupBy("suffix", "all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    world = ends.groupBy("all").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
+    ends = _level(ends, world, "all", floor, ceiling)
+    domains = _level(domains, ends, "suffix", floor, ceiling)
     hosts = _level(hosts, domains, "domain", floor, ceiling).join(F.broadcast(world.select("all", F.col("mean").alias("world"))), "all")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return hosts.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("lower"), "world")

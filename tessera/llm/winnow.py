@@ -24,8 +24,8 @@ from tessera.llm.store import cut
 K = 5
 #: A power of two: the windowed minimum is built by doubling.
 W = 16
-#: Ids of a part of the order aimed at, and the bound on the number of parts.
-PART_IDS, MAX_PARTS = 50_000, 4096
+#: Ids of a part of the order aimed at, and the bound on the number of parts, whose edges (8 bytes each) are in the plan.
+PART_IDS, MAX_PARTS = 50_000, 1 << 16
 
 
 def _turned(x: str, n: int) -> str:
@@ -77,6 +77,15 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
+def part_of(value: str, edges: list[int]) -> Column:
+    """How many of the ascending edges are below a column's value, by halving."""
+    if not edges:
+        return F.lit(0)
+    limits, steps = F.array(*[F.lit(x) for x in edges]), [1 << i for i in reversed(range(len(edges).bit_length()))]
+    below = lambda at: F.coalesce(F.get(limits, at - 1) < F.col(value), F.lit(False))
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
     """(_key, _null, _rid, _half, _next_key, _next_rid): the row that follows in descending order; the first one follows the last.
 
@@ -86,10 +95,9 @@ def next_ids(ids: DataFrame) -> DataFrame:
     """
     spark, total = ids.sparkSession, ids.count()
     n = max(1, min(MAX_PARTS, total // PART_IDS))
-    edges = sorted(set(ids.where("NOT _null").agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 20 * MAX_PARTS)).first()[0] or [])) if n > 1 else []
+    edges = sorted(set(ids.where("NOT _null").agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
     # parts ascend with the key; null ids are in the lowest, -1
-    limits = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<bigint>")
-    placed = ids.withColumn("_part", F.when(F.col("_null"), F.lit(-1)).otherwise(F.size(F.filter(limits, lambda e: e < F.col("_key")))))
+    placed = ids.withColumn("_part", F.when(F.col("_null"), F.lit(-1)).otherwise(part_of("_key", edges)))
     firsts = {r._part: r.f for r in placed.groupBy("_part").agg(F.max(F.struct("_key", "_rid")).alias("f")).collect()}
     order = sorted(firsts, reverse=True)
     after = [(b, *firsts[order[(i + 1) % len(order)]]) for i, b in enumerate(order)]

@@ -75,6 +75,29 @@ def test_url_rules_and_reputation(spark):
     assert [tuple(r) for r in odd.select(u.registered_domain(F.col("h")), u.public_suffix(F.col("h"))).collect()] == [("b.co.uk", "co.uk"), ("example.com", "com"), ("10.0.0.1", "10.0.0.1"), ("co.uk", "co.uk"), ("com", "com"), ("", "")]
 
 
+def test_suffix_rules_go_by_depth(spark):
+    from tessera.llm import url_reputation as u
+
+    rules = ["uk", "co.uk", "*.ck", "!www.ck", "a.b.example", "io", "github.io"]
+    given = {"X.Y.co.uk": ("y.co.uk", "co.uk"), "b.github.io": ("b.github.io", "github.io"), "github.io": ("github.io", "github.io"), "p.q.any.ck": ("q.any.ck", "any.ck"), "any.ck": ("any.ck", "any.ck"), "x.www.ck": ("www.ck", "ck"), "www.ck": ("www.ck", "ck"), "z.a.b.example": ("z.a.b.example", "a.b.example"), "m.n.org.": ("n.org", "org"), "ck": ("ck", "ck"), "EXAMPLE.com:8080": ("example.com", "com")}
+    frame = spark.createDataFrame([(h,) for h in given], "h string")
+    got = {r.h: (r.d, r.s) for r in frame.select("h", u.registered_domain(F.col("h"), rules).alias("d"), u.public_suffix(F.col("h"), rules).alias("s")).collect()}
+    assert got == given
+
+
+def test_planted_hosts_among_the_given_pages_are_blocked(spark):
+    from tessera.llm import url_reputation as u
+    from tessera.llm.entries import URL_RULES
+
+    sf = "/root/testdata/sf0.01"
+    pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels"))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    planted = spark.range(400).select((F.col("id") + 10**6).alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 4, F.lit(".bad.org/"), "id").alias("url"))
+    bad = planted.select("page_id", (F.col("page_id") % 5 > 0).alias("bad"))
+    got = u.judge_urls(pages.select("page_id", "url").unionByName(planted), outcomes.unionByName(bad), URL_RULES).where("rule IS NULL AND verdict = 'block'")
+    assert {r.host for r in got.select("host").distinct().collect()} == {f"h{i}.bad.org" for i in range(4)} and got.count() == 400
+
+
 def test_url_reputation_decides_pages(spark):
     from tessera.llm import url_reputation as u
 
@@ -770,6 +793,14 @@ def test_winnowing_order_in_parts(spark, monkeypatch):
 
 
 # 10
+def test_places_among_edges(spark):
+    from tessera.llm.winnow import part_of
+
+    for edges in ([], [3], [3, 5, 9], list(range(0, 200, 7))):
+        got = spark.range(-2, 220).select("id", part_of("id", edges).alias("k")).collect()
+        assert all(r.k == sum(e < r.id for e in edges) for r in got)
+
+
 def test_decontamination(spark, edges, empty):
     from tessera.llm import decontam
 
