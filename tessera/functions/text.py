@@ -146,6 +146,11 @@ def natural_key(c: Column) -> Column:
     return F.transform(pieces, place)
 
 
+def ordered_strings(c: Column) -> Column:
+    """The members of a list as texts, each once, in order of first occurrence; nothing for no list."""
+    return F.coalesce(F.array_distinct(F.filter(F.transform(c, lambda x: x.cast("string")), lambda x: x.isNotNull())), F.array().cast("array<string>"))
+
+
 def toggle(members: Column, value: Column) -> Column:
     """The set without the value where it has it, else with it at its end."""
     return F.when(F.array_contains(members, value), F.array_remove(members, value)).otherwise(F.array_append(members, value))

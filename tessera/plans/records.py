@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +11,7 @@ from tessera.functions import dates, hashes, text, urls
 from tessera.operators import alerts, archive, diff, extract, facets, graph, quality
 from tessera.operators.dedup import duplicate_groups, newest_known, rewrite_duplicates, small_join
 from tessera.plans.registry import add, t
+from tessera.sources import json_tables
 from tessera.sources.shared import shared_dir
 
 
@@ -115,12 +118,26 @@ def relation_resolve(spark, sf):
     return full.select("source", "target", F.coalesce("target_title", F.lit("Historical reference")).alias("title"), "target_collected")
 
 
-@add("relationship_infer", """SELECT p_partkey, CAST(1000 + p_partkey % 500 AS VARCHAR) AS amends, CASE WHEN p_partkey % 2 = 0 THEN CAST(4000 + p_partkey % 100 AS VARCHAR) ELSE '' END AS repeals FROM part""")
+#: Sentences about a number n and a second one, and the relationship that record 9000 or n has by them.
+_SENTENCES = [
+    ("This amends the Zoning Bylaw No. {n}.", "amends"), ("Zoning Bylaw 2011 No. {n} is hereby repealed.", "repeals"), ("It repeals and replaces the Fees Bylaw {n}", "repeals"), ("to replace Parks Bylaw No. {n}", "replaces"),
+    ("a consolidation of Bylaw {n} and others", "consolidates"), ("Bylaw 9000 was amended by Bylaw {n}", "amended_by"), ("Fees Bylaw No. 9000 has been replaced by Fees Bylaw No. {n}.", "replaced_by"), ("Bylaw 9000 was repealed by Bylaw {n}", "repealed_by"), ("nothing is said of bylaw numbers", ""),
+]
+
+
+def _kind_case(kind: str) -> str:
+    return f"CASE WHEN p_partkey % {len(_SENTENCES)} IN ({', '.join(str(i) for i, (_, k) in enumerate(_SENTENCES) if k == kind) or -1}) THEN n ELSE '' END"
+
+
+@add("relationship_infer", f"""WITH p AS (SELECT p_partkey, CAST(1000 + p_partkey % 7000 AS VARCHAR) AS n FROM part)
+SELECT p_partkey, {', '.join(f'{_kind_case(k)} AS {k}' for k in ('amends', 'consolidates', 'replaced_by', 'repealed_by', 'amended_by'))}, CASE p_partkey % {len(_SENTENCES)} WHEN 1 THEN n WHEN 2 THEN n WHEN 7 THEN n ELSE '' END AS repeals, CASE p_partkey % {len(_SENTENCES)} WHEN 2 THEN n WHEN 3 THEN n WHEN 6 THEN n ELSE '' END AS replaces FROM p""")
 def relationship_infer(spark, sf):
+    """Of passive sentences the verb before ``by`` counts as one of the record that acts, too."""
     k = F.col("p_partkey")
-    body = F.concat(F.lit("This amends Bylaw No. "), (1000 + k % 500).cast("string"), F.when(k % 2 == 0, F.concat(F.lit(". It repeals Bylaw No. "), (4000 + k % 100).cast("string"), F.lit("."))).otherwise("."))
+    n = (1000 + k % 7000).cast("string")
+    body = F.element_at(F.array(*[F.replace(F.lit(s), F.lit("{n}"), n) for s, _ in _SENTENCES]), (k % len(_SENTENCES) + 1).cast("int"))
     r = t(spark, sf, "part").select("p_partkey", graph.infer_relationships(F.lit("9000"), body).alias("r"))
-    return r.select("p_partkey", F.array_join("r.amends", ",").alias("amends"), F.array_join("r.repeals", ",").alias("repeals"))
+    return r.select("p_partkey", *[F.array_join(f"r.{kind}", ",").alias(kind) for kind in ("amends", "consolidates", "replaced_by", "repealed_by", "amended_by", "repeals", "replaces")])
 
 
 @add("two_key_lookup", "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, coalesce(a.p_brand, b.p_brand) AS p_brand, a.p_partkey IS NOT NULL OR b.p_partkey IS NOT NULL AS matched FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_size > 25) a ON l_partkey = a.p_partkey LEFT JOIN (SELECT * FROM part WHERE p_size > 25) b ON l_partkey % 1000 = b.p_partkey")
@@ -227,9 +244,14 @@ def _groups(spark, sf):
     return alerts.recipient_groups(subs, "recipient", "ts", "kinds", "cats", "every")
 
 
-@add("recipient_groups", "SELECT 'u' || user_id % 40 AS recipient, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS activation_at, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS change_types, string_agg(DISTINCT CAST(user_id % 5 AS VARCHAR), ',' ORDER BY CAST(user_id % 5 AS VARCHAR)) AS categories, bool_or(value > 90) AS all_categories FROM events GROUP BY 1")
+@add("recipient_groups", """SELECT 'u' || user_id % 40 AS recipient, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS activation_at, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS change_types, string_agg(DISTINCT CAST(user_id % 5 AS VARCHAR), ',' ORDER BY CAST(user_id % 5 AS VARCHAR)) AS categories, bool_or(value > 90) AS all_categories,
+string_agg(DISTINCT CASE WHEN value < 2 THEN 'immediate' WHEN value > 98 THEN 'weekly' ELSE 'daily' END, ',' ORDER BY CASE WHEN value < 2 THEN 'immediate' WHEN value > 98 THEN 'weekly' ELSE 'daily' END) AS frequencies, count(DISTINCT user_id) AS n_accounts, count(*) - 1 AS n_duplicates FROM events GROUP BY 1""")
 def recipient_groups(spark, sf):
-    return _groups(spark, sf).select("recipient", F.date_format("activation_at", "yyyy-MM-dd HH:mm:ss").alias("activation_at"), F.array_join("change_types", ",").alias("change_types"), F.array_join("categories", ",").alias("categories"), "all_categories")
+    """Subscriptions of several accounts with one address, each with its frequency; unknown ones count as daily."""
+    often = F.when(F.col("value") < 2, "immediate").when(F.col("value") > 98, "weekly").when(F.col("value") > 50, "hourly")
+    subs = t(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id") % 40).alias("recipient"), "ts", F.array("event_type").alias("kinds"), F.array((F.col("user_id") % 5).cast("string")).alias("cats"), (F.col("value") > 90).alias("every"), often.alias("often"), "user_id")
+    groups = alerts.recipient_groups(subs, "recipient", "ts", "kinds", "cats", "every", "often", "user_id")
+    return groups.select("recipient", F.date_format("activation_at", "yyyy-MM-dd HH:mm:ss").alias("activation_at"), F.array_join("change_types", ",").alias("change_types"), F.array_join("categories", ",").alias("categories"), "all_categories", F.array_join("frequencies", ",").alias("frequencies"), "n_accounts", "n_duplicates")
 
 
 def _alert_events(spark, sf):
@@ -314,9 +336,13 @@ def newest_known_record(spark, sf):
     return newest_known([o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 <> 2"), o.where("o_orderkey % 2 = 0")], "o_orderkey", "o_orderkey")
 
 
-@add("previous_snapshot", "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS run FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1997-06-01'")
+@add("previous_snapshot", "SELECT o_orderkey, 'O' AS status FROM orders WHERE o_orderstatus = 'O'")
 def previous_snapshot(spark, sf):
-    return t(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("run")).where("run < '1997-06-01'").agg(F.max("run").alias("run"))
+    """Three snapshots are written; the one before the last run is read, and only its partition."""
+    root, orders = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    for status, date, time in (("F", "2026-07-19", "181700"), ("O", "2026-07-20", "061700"), ("P", "2026-07-20", "181700")):
+        json_tables.write_snapshot(orders.where(F.col("status") == status), root, date, time)
+    return json_tables.previous_snapshot(spark, root, "2026-07-20", "181700")
 
 
 @add("bounded_resolve", """WITH RECURSIVE r AS (SELECT p_partkey AS start, p_partkey AS "at", 0 AS depth FROM part UNION ALL SELECT start, (r.at * 7) % n.n, depth + 1 FROM r, (SELECT count(*) AS n FROM part) n WHERE depth < 3 AND r.at % 5 <> 1)
@@ -369,8 +395,6 @@ def normalized_times(spark, sf):
 @add("stream_dedup_state", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_dedup_state(spark, sf):
     """Events arrive as a file stream; one of each (user, type) is kept, whichever comes first."""
-    import uuid
-
     from tessera.streaming import incremental
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

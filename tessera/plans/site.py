@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import overview, quality
 from tessera.operators.graph import KINDS
 from tessera.plans.registry import add, t
@@ -115,3 +116,20 @@ def missing_datasets(spark, sf):
     listed = n.select(quality.check_row(F.when(F.col("n") > 0, "warn").otherwise("pass"), "dear-orders", F.concat("n", F.lit(" orders are dear")), F.transform("k", lambda x: x.cast("string"))).alias("c")).select("c.*")
     found = orders.agg(quality.check_row("pass", "found", F.concat(F.count("*"), F.lit(" orders")), F.array().cast("array<string>")).alias("c")).select("c.*")
     return bad.unionByName(listed).unionByName(found)
+
+
+@add("watchlist_values", """WITH l AS (SELECT c_custkey, [c_custkey % 7, 3, c_nationkey, c_custkey % 7, 3] AS v FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ',') END AS watched FROM l""")
+def watchlist_values(spark, sf):
+    """Saved lists with repeats, and customers without any."""
+    k = F.col("c_custkey")
+    saved = F.when(k % 10 != 0, F.array((k % 7).cast("long"), F.lit(3).cast("long"), F.col("c_nationkey").cast("long"), (k % 7).cast("long"), F.lit(3).cast("long")))
+    return t(spark, sf, "customer").select("c_custkey", F.array_join(text.ordered_strings(saved), ",").alias("watched"))
+
+
+@add("title_order", """SELECT p_partkey, row_number() OVER (ORDER BY p_name, CAST(p_partkey AS VARCHAR)) AS place FROM part QUALIFY place <= 300""")
+def title_order(spark, sf):
+    """The first records by title and number, both compared as they are written."""
+    number = F.col("p_partkey").cast("string")
+    first = t(spark, sf, "part").orderBy("p_name", number).limit(300)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("p_name", number.alias("number"), "p_partkey"))).alias("l"))
+    return listed.select(F.posexplode("l.p_partkey").alias("place", "p_partkey")).select("p_partkey", (F.col("place") + 1).cast("long").alias("place"))

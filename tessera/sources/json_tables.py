@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tessera.sources.shared import setting
 from tessera.sources.versions import Versions
 
 
@@ -47,7 +48,8 @@ def read_live(spark: SparkSession, root: str, schema: T.StructType | str) -> Dat
 
 def previous_snapshot(spark: SparkSession, root: str, run_date: str, run_time: str) -> DataFrame:
     """The newest snapshot before a run; only its partition is read."""
-    every = spark.read.option("partitionColumnTypeInference.enabled", "false").parquet(f"{root}/archive")
+    with setting(spark, "spark.sql.sources.partitionColumnTypeInference.enabled", "false"):  # a time is no number: it may begin with 0
+        every = spark.read.parquet(f"{root}/archive")
     runs = every.select(F.max(F.when(F.struct(F.col("run_date").cast("string"), F.col("run_time").cast("string")) < F.struct(F.lit(run_date), F.lit(run_time)), F.struct("run_date", "run_time"))).alias("last")).first()["last"]
     if runs is None:
         return every.limit(0).drop("run_date", "run_time")

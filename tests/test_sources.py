@@ -36,6 +36,15 @@ def test_a_failed_snapshot_leaves_the_live_table(spark, tmp_path):
     assert json_tables.previous_snapshot(spark, root, "2026-01-03", "000000").count() == 2
 
 
+def test_the_snapshot_before_is_found_by_date_and_time(spark, tmp_path):
+    root, one = f"file://{tmp_path}/s", spark.createDataFrame([(1,)], "k int")
+    runs = [("2026-07-19", "181700"), ("2026-07-20", "061700"), ("2026-07-20", "181700")]
+    for i, run in enumerate(runs):
+        json_tables.write_snapshot(one.select(F.lit(i).alias("k")), root, *run)
+    for i, run in enumerate(runs):
+        assert [r.k for r in json_tables.previous_snapshot(spark, root, *run).collect()] == ([i - 1] if i else [])
+
+
 def listing(path):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
