@@ -130,7 +130,7 @@ def _kind_case(kind: str) -> str:
 
 
 @add("relationship_infer", f"""WITH p AS (SELECT p_partkey, CAST(1000 + p_partkey % 7000 AS VARCHAR) AS n FROM part)
-SELECT p_partkey, {', '.join(f'{_kind_case(k)} AS {k}' for k in ('amends', 'consolidates', 'replaced_by', 'repealed_by', 'amended_by'))}, CASE p_partkey % {len(_SENTENCES)} WHEN 1 THEN n WHEN 2 THEN n WHEN 7 THEN n ELSE '' END AS repeals, CASE p_partkey % {len(_SENTENCES)} WHEN 2 THEN n WHEN 3 THEN n WHEN 6 THEN n ELSE '' END AS replaces FROM p""")
+SELECT p_partkey, {', '.join(f'{_kind_case(k)} AS {k}' for k in ('consolidates', 'replaced_by', 'repealed_by', 'amended_by'))}, CASE p_partkey % {len(_SENTENCES)} WHEN 0 THEN n WHEN 5 THEN n ELSE '' END AS amends, CASE p_partkey % {len(_SENTENCES)} WHEN 1 THEN n WHEN 2 THEN n WHEN 7 THEN n ELSE '' END AS repeals, CASE p_partkey % {len(_SENTENCES)} WHEN 2 THEN n WHEN 3 THEN n WHEN 6 THEN n ELSE '' END AS replaces FROM p""")
 def relationship_infer(spark, sf):
     """Of passive sentences the verb before ``by`` counts as one of the record that acts, too."""
     k = F.col("p_partkey")
