@@ -1,4 +1,4 @@
-"""The reference operators' queries by name and their equivalents in SQL."""
+"""The queries by name and their equivalents in SQL."""
 
 from __future__ import annotations
 
