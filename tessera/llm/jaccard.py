@@ -42,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm.batches import column, small
 from tessera.llm.components import connected_components
@@ -65,9 +66,11 @@ PART, MAX_PARTS, MAX_DEALT = 2048, 4096, 50_000
 #: In longer lists members meet by their differences from the centre.
 SHORT = 32
 #: Differences from a centre that so many prefixes hold, and more than one SHARE-th of all prefixes' elements, are common:
-#: there are SHARE of them at most. They are moved to the end of the order; what then stands in crowds of its own is
-#: looked for again, ROUNDS times at most. The order changes which pairs are tested, never the result.
-CROWD, SHARE, ROUNDS = 64, 10_000, 4
+#: there are SHARE of them at most. Of their centres all differences are counted, and the MAX_COMMON commonest that so many
+#: members have are moved to the end of the order, which changes which pairs are tested, never the result.
+CROWD, SHARE, MAX_COMMON = 64, 10_000, 100_000
+#: Texts of up to so many documents are picked by a broadcast of their ids before they are shuffled.
+FEW_TEXTS = 200_000
 #: Members that meet many others in one element are dealt in parts of so many, and by how many differences they have: each
 #: band reaches BAND times as far as the one before.
 MEETING_PART, BAND = 2048, 1.1
@@ -401,6 +404,8 @@ def shared_differences(d: int, m: int, k: int) -> int:
     return max(1, -(-(d + 2 + least) // 2))
 
 
+#: Marks what only the centre has.
+LACKS = 0xA0761D6478BD642F
 DIFFERENCES = "centre {id}, token long, far boolean, both boolean, id {id}, n int, left int, d int, label {id}, home {id}"
 
 
@@ -413,7 +418,7 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
     far member has a longer one for near partners.
     """
     kind = members.schema["a"].dataType.simpleString()
-    lacks = np.uint64(0xA0761D6478BD642F)  # marks what only the centre has
+    lacks = np.uint64(LACKS)
 
     def run(batches):
         last, crowds = heavy.value, common.value if common else {}
@@ -457,70 +462,96 @@ def _differences(members: DataFrame, heavy, docs: DataFrame, key: str, text: str
 APART = f"(x_n + y_n - 2 * (({NUM} * (x_n + y_n) + {NUM + DEN - 1}) DIV {NUM + DEN}))"
 
 
-def _crowds(differences: DataFrame) -> list:
-    """(centre, token, n) of the elements that many prefixes of one centre hold whose members are in several components."""
-    least = max(CROWD, differences.count() // SHARE)
-    per = differences.groupBy("centre", "token").agg(F.count("*").alias("n"), F.bool_or("far").alias("_far"), F.min("label").alias("_a"), F.max("label").alias("_b"))
-    return per.where((F.col("n") > least) & F.col("_far") & (F.col("_a") < F.col("_b"))).select("centre", "token", "n").collect()
-
+def _common(members: DataFrame, least: int, docs: DataFrame, key: str, text: str) -> dict:
+    """{centre: (sorted elements, counts)} of the differences that more than ``least`` of the members (a, b) of a centre have."""
+    kind = members.schema["b"].dataType
+    lacks = np.uint64(LACKS)
 
-def _uncrowded(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The written ``_differences`` of members, with common elements last."""
-    context = docs.sparkSession.sparkContext
-    differences, known = cut(_differences(members, heavy, docs, key, text), "differences", PAIR_ROWS), {}
-    for _ in range(ROUNDS):
-        found = [r for r in _crowds(differences) if r.token not in known.get(r.centre, {})]
-        if not found:
-            break
-        for r in found:
-            known.setdefault(r.centre, {})[r.token] = r.n
-        anew = {r.centre for r in found}
-        sent = {}
-        for c, tokens in known.items():
-            names = np.array(list(tokens), dtype=np.int64).view(np.uint64)
-            order = np.argsort(names)
-            sent[c] = names[order], np.array(list(tokens.values()), dtype=np.int64)[order]
-        kind = members.schema["b"].dataType
-        crowded = docs.sparkSession.createDataFrame([(c,) for c in anew], T.StructType([T.StructField("b", kind)]))
-        again = _differences(members.join(F.broadcast(crowded), "b", "left_semi"), heavy, docs, key, text, context.broadcast(sent))
-        others = differences.join(F.broadcast(crowded.withColumnRenamed("b", "centre")), "centre", "left_anti").select(*differences.columns)
-        last, differences = differences, cut(others.unionByName(again), "differences", PAIR_ROWS)
-        discard(last)
-    return differences
+    def run(batches):
+        for part in small(small(batches, "_x", PAIR_BYTES), "_y", PAIR_BYTES):
+            found: dict = {}
+            for c, (v, w) in zip(column(part, "b").to_pylist(), _set_pairs(part)):
+                found.setdefault(c, []).append(np.concatenate((np.setdiff1d(v, w, assume_unique=True), mix(np.setdiff1d(w, v, assume_unique=True) ^ lacks))))
+            for c, tokens in found.items():
+                names, counts = np.unique(np.concatenate(tokens), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(names), column(part, "b").type), pa.array(names.view(np.int64)), pa.array(counts)], ["centre", "token", "n"])
+
+    each = _with_texts(members, docs, key, text).select("a", "b", "_x", "_y").mapInArrow(run, f"centre {kind.simpleString()}, token long, n long")
+    rows = each.groupBy("centre", "token").agg(F.sum("n").alias("n")).where(F.col("n") > least).orderBy(F.col("n").desc()).limit(MAX_COMMON).collect()
+    listed: dict = {}
+    for r in rows:
+        listed.setdefault(r.centre, []).append((r.token, r.n))
+    out = {}
+    for c, pairs in listed.items():
+        names = np.array([x for x, _ in pairs], dtype=np.int64).view(np.uint64)
+        order = np.argsort(names)
+        out[c] = names[order], np.array([n for _, n in pairs], dtype=np.int64)[order]
+    return out
+
+
+def _mixed(differences: DataFrame) -> DataFrame:
+    """The written rows of ``differences`` whose element has a far member and members of several components, with _all, how many
+    members it has."""
+    every = Window.partitionBy("centre", "token")
+    counted = differences.withColumns({"_all": F.count("*").over(every), "_a": F.min("label").over(every), "_b": F.max("label").over(every), "_some": F.max("far").over(every)})
+    return cut(counted.where("_a < _b AND _some").drop("_a", "_b", "_some"), "mixed")
+
+
+def _met(members: DataFrame, heavy, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The elements in which members (a, b, ..) can meet, as _mixed gives them; common ones come last in the order of their
+    centre."""
+    spark = docs.sparkSession
+    differences = cut(_differences(members, heavy, docs, key, text), "differences", PAIR_ROWS)
+    least = max(CROWD, differences.count() // SHARE)
+    mixed = _mixed(differences)
+    discard(differences)
+    hot = [r.centre for r in mixed.where(F.col("_all") > least).select("centre").distinct().limit(SHARE).collect()]
+    if not hot:
+        return mixed
+    crowded = F.broadcast(spark.createDataFrame([(c,) for c in hot], T.StructType([T.StructField("b", members.schema["b"].dataType)])))
+    again = cut(members.join(crowded, "b", "left_semi").select(*members.columns), "crowded")
+    ids = again.select(F.col("a").alias(key)).union(again.select("b")).distinct()
+    few = docs.join(F.broadcast(ids), key, "left_semi").select(*docs.columns) if ids.count() <= FEW_TEXTS else docs
+    common = spark.sparkContext.broadcast(_common(again, least, few, key, text))
+    differences = cut(_differences(again, heavy, few, key, text, common), "differences", PAIR_ROWS)
+    anew = _mixed(differences)
+    others = mixed.join(crowded.withColumnRenamed("b", "centre"), "centre", "left_anti").select(*mixed.columns)
+    out = cut(others.unionByName(anew), "mixed")
+    for table in (mixed, again, differences, anew):
+        discard(table)
+    return out
 
 
 #: What two members meet by.
 MEETING = ["centre", "token", "_class", "_pair", "_part"]
 
 
-def _sides(differences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two sides of the meetings, keyed by MEETING; elements whose members are all in one component
-    are left out.
+def _sides(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the meetings, keyed by MEETING.
 
-    An element's members are of its most frequent component, or of others. Of the four classes of pairs that make three are
-    needed, as two members of the most frequent component have nothing to tell each other. In a crowded element members
-    meet by bands of their numbers of differences: the more a partner has, the more must be shared, so the earlier in
-    the order the first shared one must be. Its first side is dealt in parts, the second repeated for each.
+    In an element of few members all meet. The members of a crowded one are of its most frequent component, or of others. Of the
+    four classes of pairs that make three are needed, as two members of the most frequent component have nothing to tell
+    each other. They meet by bands of their numbers of differences: the more a partner has, the more must be shared, so
+    the earlier in the order the first shared one must be. The first side is dealt in parts, the second repeated
+    for each.
     """
-    banded = differences.withColumn("_band", F.floor(F.log("d") / F.log(F.lit(BAND))).cast("int"))
-    by_label = banded.groupBy("centre", "token", "label").agg(F.count("*").alias("_n"), F.bool_or("far").alias("_far"), F.collect_set("_band").alias("_bands"))
-    keys = by_label.groupBy("centre", "token").agg(
-        F.max_by("label", F.struct("_n", "label")).alias("_major"), F.count("*").alias("_k"), F.sum("_n").alias("_all"), F.bool_or("_far").alias("_some"), F.array_distinct(F.flatten(F.collect_list("_bands"))).alias("_bands"))
-    keys = keys.where("_k > 1 AND _some").select("centre", "token", "_major", F.ceil(F.col("_all") / MEETING_PART).cast("int").alias("_parts"), F.when(F.col("_all") > CROWD, F.col("_bands")).alias("_bands"))
-    marked = banded.join(keys, ["centre", "token"]).withColumn("_is", F.col("label") == F.col("_major"))
+    values = [F.col(c) for c in ("far", "both", "id", "n", "left", "d", "label", "home")]
+    side = lambda d, name: d.select(*MEETING, *[v.alias(f"{name}_{c}") for v, c in zip(values, ("far", "both", "id", "n", "left", "d", "label", "home"))])
+    plain = mixed.where(F.col("_all") <= CROWD).withColumns({"_class": F.lit(0), "_pair": F.lit(-1), "_part": F.lit(0)})
+    banded = mixed.where(F.col("_all") > CROWD).withColumn("_band", F.floor(F.log("d") / F.log(F.lit(BAND))).cast("int"))
+    by_label = banded.groupBy("centre", "token", "label").agg(F.count("*").alias("_n"), F.collect_set("_band").alias("_bands"))
+    keys = by_label.groupBy("centre", "token").agg(F.max_by("label", F.struct("_n", "label")).alias("_major"), F.array_distinct(F.flatten(F.collect_list("_bands"))).alias("_bands"))
+    marked = banded.join(keys, ["centre", "token"]).withColumns({"_is": F.col("label") == F.col("_major"), "_parts": F.ceil(F.col("_all") / MEETING_PART).cast("int")})
     # partners are a quarter larger at most
     most = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) / (NUM + DEN))
     open_ = F.filter("_bands", lambda j: 2 * F.col("left") >= F.col("d") + F.floor(F.pow(F.lit(BAND), j) - 1e-6) - most)
-    marked = cut(marked.withColumn("_open", F.when(F.col("_bands").isNull(), F.array(F.lit(-1))).otherwise(open_)).where("size(_open) > 0").drop("_bands"), "marked")
+    met = marked.withColumn("_other", F.explode(open_))
     ids = F.pmod(F.xxhash64("id"), F.col("_parts").cast("long")).cast("int")
-    pair = lambda own, other: F.when(F.col("_other") < 0, -1).otherwise(1000 * F.col(own) + F.col(other))
-    met = marked.withColumn("_other", F.explode("_open"))
+    pair = lambda own, other: 1000 * F.col(own) + F.col(other)
     # classes: 0 neither of the most frequent component, 1 the second, 2 the first
     x = met.where("far").withColumn("_class", F.explode(F.when(F.col("_is"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))).withColumn("_part", ids).withColumn("_pair", pair("_band", "_other"))
     y = met.withColumn("_class", F.explode(F.when(F.col("_is"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2))))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_pair", pair("_other", "_band"))
-    one, two = (d.select(*MEETING, *[F.col(c).alias(f"{side}_{c}") for c in ("far", "both", "id", "n", "left", "d", "label", "home")]) for d, side in ((x, "x"), (y, "y")))
-    one._tessera_path = marked._tessera_path
-    return one, two
+    return side(plain.where("far"), "x").unionByName(side(x, "x")), side(plain, "y").unionByName(side(y, "y"))
 
 
 def _meetings(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -593,9 +624,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # those without a common light shingle are apart by their light ones, of which the centre has the fewest
     member = lists.where(f"NOT sure AND (id = centre OR pos < light OR light + weight <= n DIV {NUM})").select("token", "id", "n", "pos", "light", "centre").join(place("id", "_l"), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
     member = cut(member, "members")
-    mixed = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_c")).where("_x < _y").select("token", "_c")
+    open_lists = member.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_c")).where("_x < _y").select("token", "_c")
     discard(scanned)
-    rest = salted_join(member, mixed, "token")
+    rest = salted_join(member, open_lists, "token")
     rest = cut(rest.select("token", "id", "n", "pos", "light", "centre", "label", (F.col("_c") > SHORT).alias("long")), "rest")
     x, y = (rest.where("NOT long AND id <> centre").select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "light", "label")]) for side in "xy")
     open_ = (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & may_link("x_n", "y_n", "x_pos", "y_pos")
@@ -612,13 +643,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     discard(member)
     # a centre without far members has nothing to add
     open_centres = members.where("far").select("b").distinct()
-    open_members = cut(salted_join(members, open_centres, "b"), "open")
-    differences = _uncrowded(open_members, heavy, docs, key, text)
-    one, two = _sides(differences)
+    open_members = cut(members.join(open_centres, "b", "left_semi").select(*members.columns), "open")
+    mixed = _met(open_members, heavy, docs, key, text)
+    one, two = _sides(mixed)
     more = compared(late.union(_meetings(one, two)).distinct())
     if more.limit(1).count():
         found = connected_components(links.union(more))
-    for table in (*temporary, stars, best, rest, members, open_members, differences, one):
+    for table in (*temporary, stars, best, rest, members, open_members, mixed):
         discard(table)
 
     named = whole.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("_component"))
