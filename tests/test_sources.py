@@ -115,3 +115,11 @@ def test_natural_order(spark):
     assert [r.s for r in df.orderBy(text.natural_key(F.col("s"))).collect()] == wanted
     same = lambda a, b: spark.range(1).select((text.natural_key(F.lit(a)) == text.natural_key(F.lit(b))).alias("x")).first().x
     assert same("É", "e") and same("a 007", "A 7") and not same("a9", "a10")
+
+
+def test_page_texts_cut_within_a_separator(spark):
+    pages = [("d", 1, "x" * 10, None), ("d", 2, "y", None)]
+    df = spark.createDataFrame(pages, "doc string, page int, text string, ocr_text string")
+    for limit in range(24, 32):  # the first page and its marker end at 25, the separator at 27
+        got = archive.page_texts(df, "doc", 0, 300, 12, limit).first()
+        assert (got.text, len(got.warnings)) == ("--- Page 1 ---\nxxxxxxxxxx\n\n--- Page 2 ---\ny"[:limit], 1)
