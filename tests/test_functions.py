@@ -186,3 +186,13 @@ def test_alerts_without_category_reach_everyone_with_the_type(spark):
     groups = spark.createDataFrame([("a", 1, ["new"], ["x"], False), ("b", 1, ["new"], ["y"], False), ("c", 1, ["new", "old"], [], True)], "recipient string, activation_at int, change_types array<string>, categories array<string>, all_categories boolean")
     got = {(r.recipient, r.key) for r in alerts.match(events, groups).collect()}
     assert got == {("a", "e1"), ("a", "e2"), ("a", "e3"), ("b", "e2"), ("b", "e3"), *(("c", k) for k in ("e1", "e2", "e3", "e4", "e6"))}
+
+
+def test_lengths_of_sentences_cut_at_a_blank(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    spark.createDataFrame([(1, "a" * 2399 + " " + "b" * 50), (2, "a" * 2400 + " " + "b" * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.QUERIES["sentence_chunks"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 2, 2400), (2, 2, 2400)]
+    chunk = spark.read.parquet(f"{tmp_path}/documents.parquet").orderBy("doc_id").select(text.sentence_chunks(F.col("text")).alias("c"))
+    assert [[len(x) for x in r.c] for r in chunk.collect()] == [[2399, 50], [2400, 50]]
