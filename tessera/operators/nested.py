@@ -38,13 +38,7 @@ def replace_values(records: DataFrame, key: str, payload: str, moved: DataFrame)
     strings = F.regexp_extract_all(payload, F.lit(_STRING), F.lit(0))
     is_value = lambda x: ~x.endswith(":")
     found = records.select(key, F.explode(F.array_distinct(F.filter(strings, is_value))).alias("_literal")).withColumn("_v", _value(F.col("_literal")))
-    slashed = F.replace("_v", F.lit("\\"), F.lit("/"))
-    once = moved.groupBy("duplicate").agg(F.max("survivor").alias("survivor"))
-    one = once.select(F.col("duplicate").alias("_v"), F.col("survivor").alias("_one"))
-    # values without a backslash are looked up once
-    two = once.select(F.col("duplicate").alias("_slashed"), F.col("survivor").alias("_two"))
-    named = found.join(one, "_v", "left").withColumn("_slashed", F.when(F.col("_one").isNull() & F.contains("_v", F.lit("\\")), slashed)).join(two, "_slashed", "left")
-    named = named.withColumn("_to", F.coalesce("_one", "_two")).where("_to IS NOT NULL AND _to <> _v")
+    named = _named(found, key, moved)
     changes = named.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_literal", _literal(F.col("_to"))))).alias("_changes"))
     joined = records.join(changes, key, "left").withColumn("_strings", F.when(F.col("_changes").isNotNull(), strings))
     hit = lambda x: F.when(is_value(x), F.element_at("_changes", x))
@@ -55,6 +49,32 @@ def replace_values(records: DataFrame, key: str, payload: str, moved: DataFrame)
     return out.select(*records.columns, "n_changed")
 
 
+#: A value is common with more than this part of all values (so there are at most as many as its inverse); tasks it is dealt to.
+COMMON, DEALT = 1e-4, 64
+
+
+def _named(found: DataFrame, key: str, moved: DataFrame) -> DataFrame:
+    """The rows of ``found`` (key, _literal, _v) whose value ``moved`` names another one for, with that as _to.
+
+    Every distinct value is looked up once. Common values that aren't named never leave their task, and those that are
+    named are dealt to several tasks, so that what records share doesn't meet in one.
+    """
+    values = found.where("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias("_n"))
+    slashed = F.replace("_v", F.lit("\\"), F.lit("/"))
+    ways = F.array_compact(F.array(F.struct(F.lit(0).alias("way"), F.col("_v").alias("as")), F.when(F.contains("_v", F.lit("\\")), F.struct(F.lit(1).alias("way"), slashed.alias("as")))))
+    once = moved.groupBy("duplicate").agg(F.max("survivor").alias("survivor")).where("survivor IS NOT NULL")
+    tried = values.select("_v", "_n", F.explode(ways).alias("_w")).join(once, F.col("_w.as") == F.col("duplicate"))
+    to = tried.groupBy("_v", "_n").agg(F.min_by("survivor", "_w.way").alias("_to")).where("_to <> _v")
+    total = values.agg(F.sum("_n").alias("_total"))
+    common = lambda df: df.join(F.broadcast(total), F.lit(True)).withColumn("_common", F.col("_n") > F.col("_total") * COMMON).drop("_total", "_n")
+    parts = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))
+    dealt = common(to).select("_v", "_to", "_common", F.explode(parts).alias("_part"))
+    known = common(values).where("_common").select("_v").join(dealt.where("_part = 0 AND _common").select("_v", F.lit(True).alias("_moves")), "_v", "left")
+    rows = found.join(F.broadcast(known.select("_v", F.coalesce("_moves", F.lit(False)).alias("_moves"))), "_v", "left").where("coalesce(_moves, true)")
+    rows = rows.withColumn("_part", F.when(F.col("_moves").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.lit(DEALT)).cast("int")))
+    return rows.join(dealt, ["_v", "_part"]).select(key, "_literal", "_v", "_to")
+
+
 def structs(c: Column, kind: T.DataType, each: Callable[[Column, T.StructType], Column]) -> Column:
     """The lists that ``each`` makes of all structs within a column of any nesting, joined into one, outer before inner."""
     if isinstance(kind, T.StructType):
