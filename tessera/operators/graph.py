@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 NUMBER = r"[0-9]{3,4}(?:\.[0-9]+)*"
 BODY = r"(?:City\s+of\s+[A-Z][a-z]+\s+)?(?:[A-Z][A-Za-z0-9&,'’()\- ]{0,140}\s+)?Bylaw(?:\s+[0-9]{4})?(?:\s*,?\s*No\.?)?\s*"
 REF = rf"{BODY}({NUMBER})"
+# A reference from the word on: what stands before it in REF may be absent, so a pattern that begins with REF matches
+# somewhere if and only if it does so with CORE in its place, which is found without trying every letter.
+CORE = r"Bylaw(?:\s+[0-9]{4})?(?:\s*,?\s*No\.?)?\s*[0-9]{3,4}(?:\.[0-9]+)*"
 FORWARD = {
     "amends": [rf"(?:amend(?:s|ed|ing)?|amendment\s+to)\s+(?:the\s+)?{REF}", rf"{REF}\s+(?:is\s+hereby\s+)?amend(?:ed|s)?"],
     "repeals": [
@@ -32,13 +35,23 @@ def mentions(text: Column) -> Column:
     """What a text says about any record: a struct of the numbers by forward relationship, and of (subject, actor) pairs
     by passive one. It depends on the text alone, so texts that many records share are searched once."""
     source = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.transform(F.array(source), _mentions)[0]  # so that the text is made once, not for each pattern
+
+
+def _mentions(source: Column) -> Column:
     low = F.lower(source)
-    every = lambda pattern, group=1: F.regexp_extract_all(source, F.lit(f"(?is){pattern}"), F.lit(group))
     none, no_pairs = F.array().cast("array<string>"), F.array().cast("array<struct<subject:string,actor:string>>")
+
+    def every(pattern: str, group: int = 1) -> Column:
+        listed = F.regexp_extract_all(source, F.lit(f"(?is){pattern}"), F.lit(group))
+        # the body of a reference may begin at any letter, so a text is searched for it only where there is one
+        return F.when(source.rlike(f"(?is){CORE}{pattern[len(REF):]}"), listed).otherwise(none) if pattern.startswith(REF) else listed
+
     found = [F.when(low.contains(STEMS[kind]), F.concat(*[every(p) for p in patterns])).otherwise(none).alias(kind) for kind, patterns in FORWARD.items()]
     for kind, (verb, _) in PASSIVE.items():
         pattern = rf"{REF}\s+(?:was|is|has\s+been)?\s*{verb}\s+by\s+{REF}"
-        pairs = F.arrays_zip(every(pattern, 1).alias("subject"), every(pattern, 2).alias("actor"))
+        part = lambda m, group: F.regexp_extract(m, f"(?is){pattern}", group)  # noqa: B023, E731
+        pairs = F.transform(every(pattern, 0), lambda m: F.struct(part(m, 1).alias("subject"), part(m, 2).alias("actor")))  # noqa: B023
         found.append(F.when(low.contains(f"{verb} by"), pairs).otherwise(no_pairs).alias(kind))
     return F.struct(*found)
 
@@ -59,7 +72,7 @@ def relate(number: Column, said: Column) -> Column:
 
 def infer_relationships(number: Column, text: Column) -> Column:
     """A struct of sorted distinct numbers by relationship, the record's own left out."""
-    return relate(number, mentions(text))
+    return F.transform(F.array(mentions(text)), lambda said: relate(number, said))[0]
 
 
 def targets(relationships: str) -> Column:
