@@ -196,3 +196,27 @@ def test_lengths_of_sentences_cut_at_a_blank(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 2, 2400), (2, 2, 2400)]
     chunk = spark.read.parquet(f"{tmp_path}/documents.parquet").orderBy("doc_id").select(text.sentence_chunks(F.col("text")).alias("c"))
     assert [[len(x) for x in r.c] for r in chunk.collect()] == [[2399, 50], [2400, 50]]
+
+
+def test_bodies_of_references_are_searched_only_where_there_is_one(spark):
+    """A long text that only looks like references takes little time, where trying every letter takes many times as long."""
+    import time
+
+    long = "Amended Fees and Rates Bylaw was repealed by the City of Examples and replaced by others, consolidated by all " * 10_000
+    short = "Zoning Bylaw 2011 No. 4000 is hereby repealed. Fees Bylaw 9000 was amended by Parks Bylaw No. 500, and Bylaw 77 by Bylaw 78"
+    df = spark.createDataFrame([(1, short), (2, long)], "k int, body string").select("k", graph.mentions(F.col("body")).alias("m"))
+    start = time.time()
+    one, two = (r.m for r in df.orderBy("k").collect())
+    assert set(one.repeals) == {"4000"} and [tuple(x) for x in one.amended_by] == [("9000", "500")] and not one.replaces
+    assert not any(two) and time.time() - start < 15
+
+
+def test_relationships_are_dealt_to_all_cores(spark):
+    from tessera.plans import catalogue
+
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert catalogue.QUERIES["relationship_infer"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
