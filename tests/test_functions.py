@@ -220,3 +220,17 @@ def test_relationships_are_dealt_to_all_cores(spark):
         assert catalogue.QUERIES["relationship_infer"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_matches_are_summed_without_sorting_pairs(spark, tmp_path):
+    import datetime
+
+    from tessera.plans import catalogue
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, 7, "view", at, 95.0) for i in (0, 3, 12, 120, 119, 9, 10**18, 2**63 - 1)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["alert_match"](spark, str(tmp_path))
+    keys = sorted(f"k{r[0]}" for r in rows)
+    assert [tuple(r) for r in got.collect()] == [("u7", 8, keys[0], keys[-1])]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
