@@ -44,7 +44,7 @@ def encoded_canonical_url(c: Column) -> Column:
 
 
 def is_remote(c: Column) -> Column:
-    return F.coalesce(F.lower(c).rlike("^https?://"), F.lit(False))
+    return F.coalesce(F.lower(c).startswith("http://") | F.lower(c).startswith("https://"), F.lit(False))
 
 
 def safe_external_url(c: Column) -> Column:

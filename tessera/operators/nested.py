@@ -7,6 +7,8 @@ any size; a record gets back only what concerns it, and is rebuilt in place.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,15 +117,18 @@ def _is_local(value: Column) -> Column:
 
 
 def _normalized(value: Column) -> Column:
-    return F.regexp_replace(F.replace(value, F.lit("\\"), F.lit("/")), "^/+", "")
+    return F.ltrim(F.replace(value, F.lit("\\"), F.lit("/")), F.lit("/"))
 
 
 def _is_old(path: Column) -> Column:
-    return F.lower(path).rlike("[^/](?:" + "|".join(x.replace(".", "[.]") for x in OLD_SUFFIXES) + ")$")
+    has = lambda x: F.lower(path).endswith(x) & ~path.substr(-len(x) - 1, 1).isin("/", "")
+    return reduce(or_, map(has, OLD_SUFFIXES))
 
 
 def _target(path: Column) -> Column:
-    return F.regexp_replace(path, "[.][^./]*$", ".pdf")
+    """The PDF that stands for a path with an old suffix."""
+    stem = lambda x: F.left(path, F.length(path) - len(x))
+    return F.concat(F.coalesce(*[F.when(F.lower(path).endswith(x), stem(x)) for x in OLD_SUFFIXES]), F.lit(".pdf"))
 
 
 def repair_links(records: DataFrame, key: str, payload: str, there: DataFrame) -> DataFrame:
@@ -144,10 +149,13 @@ def repair_links(records: DataFrame, key: str, payload: str, there: DataFrame) -
     files = there.groupBy("path").agg(F.bool_or("is_pdf").alias("is_pdf"))
     moving = wanted.select("_path", "_target").distinct().join(files.where("is_pdf").select(F.col("path").alias("_path")), "_path").select("_target")
     usable = files.select(F.col("path").alias("_target")).unionByName(moving).distinct()
-    known = wanted.join(usable, "_target").groupBy(key).agg(F.collect_set("_target").alias("_there"))
+    known = wanted.join(usable, "_target").groupBy(key).agg(F.collect_set("_path").alias("_there"))
     joined = records.join(known, key, "left").withColumn("_there", F.coalesce("_there", none))
-    missing = lambda v: old(v) & ~F.array_contains("_there", _target(_normalized(v)))
-    fixed = lambda v: F.when(~_is_local(v), v).when(missing(v), None).when(_is_old(_normalized(v)), _target(_normalized(v))).otherwise(_normalized(v))
+    # every value is normalized once
+    given = lambda v, then: F.transform(F.array(_normalized(v)), then)[0]
+    gone = lambda n: _is_old(n) & ~F.array_contains("_there", n)
+    missing = lambda v: _is_local(v) & given(v, gone)
+    fixed = lambda v: F.when(~_is_local(v), v).otherwise(given(v, lambda n: F.when(gone(n), None).when(_is_old(n), _target(n)).otherwise(n)))
 
     def repaired(c: Column, shape: T.StructType) -> dict[str, Column]:
         new = {f: fixed(c[f]) for f in links(shape)}
@@ -156,10 +164,11 @@ def repair_links(records: DataFrame, key: str, payload: str, there: DataFrame) -
             new[LINK_FIELD] = F.when(missing(c[LINK_FIELD]), F.coalesce(*others, F.lit("#"))).otherwise(new[LINK_FIELD])
         return new
 
-    flags = lambda test: lambda c, shape: F.array(*[F.coalesce(test(c[f]), F.lit(False)) for f in links(shape)]).cast("array<boolean>")
-    changed = lambda v: _is_local(v) & (_is_old(_normalized(v)) | (_normalized(v) != v))
-    count = lambda test: F.size(F.filter(structs(F.col(payload), kind, flags(test)), lambda x: x))
-    counted = joined.withColumns({"n_updated": count(changed), "n_missing": count(missing)})
+    changed = lambda v: _is_local(v) & given(v, lambda n: _is_old(n) | (n != v))
+    flag = lambda v: F.struct(F.coalesce(changed(v), F.lit(False)).alias("changed"), F.coalesce(missing(v), F.lit(False)).alias("missing"))
+    flags = lambda c, shape: F.array(*[flag(c[f]) for f in links(shape)]).cast("array<struct<changed:boolean,missing:boolean>>")
+    count = lambda name: F.size(F.filter("_flags", lambda x: x[name]))
+    counted = joined.withColumn("_flags", structs(F.col(payload), kind, flags)).withColumns({"n_updated": count("changed"), "n_missing": count("missing")})
     return counted.withColumn(payload, rewrite(F.col(payload), kind, repaired)).select(*records.columns, "n_updated", "n_missing")
 
 
