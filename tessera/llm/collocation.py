@@ -322,15 +322,19 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     covered = _covered(levels)
     if covered is not None:
         candidates = candidates.join(covered, "phrase", "left").where(f"most IS NULL OR 100 * most < {overlap} * a").drop("most")
+    # both are counted and joined several times, but made once
+    candidates = cut(candidates, "candidates")
     scored = cut(_scored(candidates, counts), "scored")
+    discard(candidates)
     last = _borders(scored, top)
-    rest = _beyond(scored, last)
+    rest = cut(_beyond(scored, last), "rest")
+    discard(scored)
     with setting(scored.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", str(top)):  # each task sends its best ones only
-        ranked = salted_join(_spelled(rest, named), totals, "lang", few=FEW)
+        ranked = salted_join(_spelled(rest, named), totals, "lang", rest, few=FEW)
         order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("spelling"))
         best = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
         out = cut(best.select("lang", F.col("rank").cast("long").alias("rank"), F.col("spelling").alias("phrase"), "a", "l", "r", "n", F.col("score").cast("long").alias("score")), "collocations")
-    for table in (*levels, scored, last, totals, vocabulary):
+    for table in (*levels, rest, last, totals, vocabulary):
         discard(table)
     return out
 

@@ -59,6 +59,36 @@ def test_collocations_against_brute_force(spark, texts):
     assert collocations(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", (10, 200_000))  # more words than are broadcast, and fewer
+def test_candidates_are_made_once(spark, texts, monkeypatch, few):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import collocation
+
+    docs = spark.createDataFrame([(t, x) for x, t in texts], "text string, lang string").repartition(4)
+    made, expected = {}, {}
+
+    def counted(name):
+        real, rows = getattr(collocation, name), spark.sparkContext.accumulator(0)
+
+        def seen(_):
+            rows.add(1)
+            return True
+
+        def run(*given):
+            out = real(*given)
+            made[name], expected[name] = rows, out.count()
+            return out.where(F.udf(seen, "boolean").asNondeterministic()("phrase"))
+
+        monkeypatch.setattr(collocation, name, run)
+
+    monkeypatch.setattr(collocation, "FEW", few)
+    counted("_covered")
+    counted("_beyond")
+    assert rows_of(collocation.collocations(docs, top=20)) == defined(texts, top=20)
+    assert {k: v.value for k, v in made.items()} == expected and min(expected.values()) > 0
+
+
 def test_query_against_brute_force(spark):
     from tessera.llm.entries import QUERIES
 
