@@ -38,8 +38,12 @@ from tessera.llm.words import Words, mix
 
 #: The bytes that end a piece, and those that only separate words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Bytes of text in a block.
-BLOCK = 4 << 20
+#: Bytes of text in a block, and texts that are looked at for one: together they bound what a task holds outside the heap.
+BLOCK, TEXTS = 2 << 20, 500
+#: Blocks in a file of the index: a task that reads one sums up the phrases of so many before they are shuffled.
+BLOCKS = 4
+#: Phrases that a task passes on at once.
+PASSED = 1 << 14
 #: Words whose spellings are compared at once.
 SLICE = 1 << 15
 #: At most 2**FILTER_BITS bits (16 MB) are sent to the tasks per level.
@@ -119,7 +123,7 @@ def build_index(docs: DataFrame, text: str = "text", lang: str = "lang", bits: i
     which are hashed to ``bits`` bits at first."""
     renamed: Renamed = {}
     while True:
-        index = cut(_index(docs, text, lang, renamed, bits), "postings", arrow_rows=4000)
+        index = cut(_index(docs, text, lang, renamed, bits), "postings", arrow_rows=TEXTS, file_rows=BLOCKS)
         each = index.select(F.inline(F.arrays_zip("ids", "sizes", "spelled")))
         words = cut(each.groupBy("ids", "spelled").agg(F.sum("sizes").alias("f")), "words")
         shared = words.groupBy("ids").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k")
@@ -208,23 +212,30 @@ def extend(ids: np.ndarray, sizes: np.ndarray, positions: np.ndarray, filters: l
     return phrases, counts
 
 
+def _passed(phrases: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases and their counts in batches of PASSED rows: an executor holds a batch whole, beside its heap."""
+    width = 8 * phrases.shape[1]
+    for i in range(0, len(counts), PASSED):
+        some, n = phrases[i : i + PASSED], counts[i : i + PASSED]
+        data = pa.py_buffer(some.astype(">u8").tobytes())
+        ends = pa.py_buffer(np.arange(0, width * (len(n) + 1), width, dtype=np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(n), [None, ends, data]), pa.array(n, pa.int64())], ["phrase", "n"])
+
+
 def _level(index: DataFrame, filters: list[Filter], least: int) -> DataFrame:
     """(phrase, f) of the phrases of one word more than there are filters, with their exact frequencies."""
-    words = len(filters) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sizes, positions in zip(*(batch.column(i) for i in range(3))):
                 sizes, positions = np.asarray(sizes.values, dtype=np.int64), np.frombuffer(positions.as_py(), dtype="<i4")
                 phrases, counts = extend(np.asarray(ids.values).view(np.uint64), sizes, positions, filters)
-                data = pa.py_buffer(phrases.astype(">u8").tobytes())
-                ends = pa.py_buffer(np.arange(0, 8 * words * (len(counts) + 1), 8 * words, dtype=np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, data]), pa.array(counts, pa.int64())], ["phrase", "n"])
-                del phrases, counts, data, ends, sizes, positions
+                yield from _passed(phrases, counts)
+                del phrases, counts, sizes, positions
                 give_back()
 
     found = index.select("ids", "sizes", "positions").mapInArrow(run, "phrase binary, n long")
-    return cut(found.groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases", arrow_rows=4)
+    return cut(found.groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases", arrow_rows=1)
 
 
 #: floor(1000000 a a / (l r)), exactly: 38 digits hold the products.

@@ -109,6 +109,24 @@ def test_words_that_share_a_number_are_told_apart(spark, texts):
         assert sum(sum(r.sizes) for r in index.collect()) == sum(expected.values())
 
 
+def test_tasks_hold_bounded_pieces(spark, texts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import collocation
+
+    monkeypatch.setattr(collocation, "BLOCK", 3000)
+    docs = spark.createDataFrame([(t, x) for x, t in texts], "text string, lang string").coalesce(1)
+    index, _ = collocation.build_index(docs)
+    files = index.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 2 and max(r["count"] for r in files) <= collocation.BLOCKS
+
+    phrases, counts = np.arange(200_000, dtype=np.uint64).reshape(-1, 2), np.arange(1, 100_001)
+    passed = list(collocation._passed(phrases, counts))
+    assert max(b.num_rows for b in passed) <= 1 << 14 and np.concatenate([b.column(1).to_numpy() for b in passed]).tolist() == counts.tolist()
+    assert (np.concatenate([collocation._numbers(b.column(0), 2) for b in passed]) == phrases).all()
+    assert not list(collocation._passed(phrases[:0], counts[:0]))
+
+
 def test_lists_are_the_occurrences(texts):
     import pyarrow as pa
 
