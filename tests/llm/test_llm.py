@@ -412,6 +412,85 @@ def test_class_lm_scores_against_brute_force(spark, monkeypatch):
         assert math.isclose(r.score, expected, rel_tol=1e-9) and math.isclose(r.perplexity, 10 ** (-expected / (len(words) + 1)), rel_tol=1e-9)
 
 
+def test_class_lm_has_a_class_for_every_word(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import class_lm
+    from tessera.llm.words import Words
+
+    for name, value in (("NEAR", 40), ("SEED", 30), ("CLASSES", 3)):
+        monkeypatch.setattr(class_lm, name, value)
+    rng = random.Random(12)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]  # words of three kinds that take turns
+    texts = [" ".join(rng.choice(kinds[(i + s) % 3]) if rng.random() < 0.9 else f"rare{rng.randrange(1500)}" for i in range(rng.randint(0, 60))) for s in range(300)]
+    texts[7], texts[8] = "never1 seen1 a1 never1", "once1 once2 b3 once3"
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    training = frame.where(~class_lm.held_out()).select("text")
+    m = class_lm.fit(training, class_lm.word_counts(training))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    counts, moves, size = Counter(w for i, t in enumerate(texts) if not held(i) for w in split(t)), Counter(), m.classes + 2
+    of = lambda w: int(Words(pa.array([w])).hash.view(np.int64)[0])
+    class_of = {int(h): int(k) for h, k in zip(m.known.view(np.int64), m.of)}
+    far = {r.h: r for r in m.far.collect()}
+    assert len(m.known) <= 40 and not far.keys() & class_of.keys() and {of(w) for w in counts} == far.keys() | class_of.keys()
+    assert all(far[of(w)].c == c for w, c in counts.items() if of(w) in far)
+    class_of |= {h: r["class"] for h, r in far.items()}
+    assert set(class_of.values()) <= set(range(m.classes))
+    common = {k: Counter(class_of[of(w)] for w in ws if w in counts) for k, ws in zip("abc", kinds)}  # far words of a kind join the near ones
+    assert sum(c.most_common(1)[0][1] for c in common.values()) > 0.9 * 120 and len({c.most_common(1)[0][0] for c in common.values()}) == 3
+
+    other, bound = m.classes, m.classes + 1
+    state = lambda w: class_of.get(of(w), other) if w else bound
+    states = lambda w: [state(w), other] if counts.get(w) == 1 else [state(w)]  # noqa: E731  a word seen once was unseen when it came
+    for i, t in enumerate(texts):
+        if not held(i):
+            path = [None, *split(t), None]
+            moves.update((a, b) for x, y in zip(path, path[1:]) for a in states(x) for b in states(y))
+    n, into, away, weight = sum(moves.values()), Counter(), Counter(), Counter()
+    for (a, b), c in moves.items():
+        away[a] += c
+        into[b] += c
+    for w, c in counts.items():
+        weight[state(w)] += c
+    once = sum(c == 1 for c in counts.values())
+    assert once > 100 and any(w not in counts for t in texts for w in split(t))
+    move = lambda a, b: math.log10((moves[a, b] + 2.0 * (into[b] + 0.5) / (n + 0.5 * size)) / (away[a] + 2.0))
+    emit = lambda w: math.log10(counts[w] / weight[state(w)]) if w in counts else math.log10(0.5 / (once + 0.5 * (once + 1)))
+    total, v = sum(counts.values()) + sum(not held(i) for i in range(len(texts))), len(counts) + 1
+    for r in class_lm.fit_and_score(frame).collect():
+        words = split(texts[r.doc_id])
+        path = [bound, *map(state, words), bound]
+        expected = sum(map(move, path, path[1:])) + sum(map(emit, words))
+        assert math.isclose(r.score, expected, rel_tol=1e-9) and math.isclose(r.perplexity, 10 ** (-expected / (len(words) + 1)), rel_tol=1e-9)
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (v + 1))) for w in words) + math.log10((total - sum(counts.values()) + 0.5) / (total + 0.5 * (v + 1)))
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.n_known == sum(w in counts for w in words) + 1
+
+
+def test_class_lm_far_words_may_span_batches(spark):
+    from tessera.llm import class_lm
+
+    classes, size = 2, 5
+    rng = random.Random(3)
+    pairs = np.array([[0.0, 90.0], [90.0, 0.0]])
+    rows = [(h, rng.choice((1, 2)) * size + rng.choice((0, 1, 2, 4)), None, 1) for h in (5, -9, 7, 7, 7, 11) for _ in range(700 if h == 7 else 3)] + [(12, 2 * size, None, 1)]
+    steps = spark.createDataFrame(rows, "h long, code int, next long, c long")
+    got = {}
+    for n in (1, 10, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+        try:
+            with pytest.MonkeyPatch.context() as p:
+                p.setattr(class_lm, "cut", lambda df, *_: spark.createDataFrame(df.collect(), df.schema))
+                placed = class_lm._place_far(steps, pairs, classes).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        totals = Counter()
+        for r in placed:
+            if r.h is None:
+                totals[r.pair] += r.c
+        got[n] = {(r.h, r["class"], r.c) for r in placed if r.h is not None}, totals
+    assert got[1] == got[10] == got[10_000] and {(h, c) for h, _, c in got[1][0]} == {(5, 3), (-9, 3), (7, 2100), (11, 3), (12, 1)}
+
+
 def test_exchange_finds_planted_classes():
     from tessera.llm.class_lm import exchange
 
